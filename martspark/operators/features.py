@@ -10,28 +10,50 @@ from pyspark.sql import functions as F
 
 from martspark.functions.scalars import days_between, month_start
 from martspark.operators.scale import exact_quantiles
+from martspark.session import stage
 
 FEATURES = ("frequency", "monetary", "recency")
 RECENT_DAYS = 30
 
 
-def as_of_date(trans: DataFrame, ts: str = "trans_timestamp") -> DataFrame:
+def as_of_date(df: DataFrame, ts: str = "trans_timestamp") -> DataFrame:
     """One row: the last moment in the data, the reference point of recency."""
-    return trans.agg(F.max(ts).alias("as_of"))
+    return df.agg(F.max(ts).alias("as_of"))
 
 
 def with_recency(df: DataFrame, as_of: Column, last: str = "last_trans_date") -> DataFrame:
     return df.withColumn("recency", days_between(F.col(last), as_of))
 
 
-def rfm_features(trans: DataFrame) -> DataFrame:
-    """user_id, last_trans_date, frequency (known amounts), monetary, recency in days."""
-    per_user = trans.groupBy("user_id").agg(
+def user_totals(trans: DataFrame) -> DataFrame:
+    """Per user: first and last transaction, number of known amounts, their sum."""
+    return trans.groupBy("user_id").agg(
+        F.min("trans_timestamp").alias("first_trans_date"),
         F.max("trans_timestamp").alias("last_trans_date"),
         F.count("trans_amount").alias("frequency"),
         F.sum("trans_amount").alias("monetary"),
     )
-    return with_recency(per_user, as_of_date(trans).scalar())
+
+
+def rfm_from_totals(totals: DataFrame, as_of: Column) -> DataFrame:
+    return with_recency(totals.drop("first_trans_date"), as_of)
+
+
+def rfm_features(trans: DataFrame) -> DataFrame:
+    """user_id, last_trans_date, frequency (known amounts), monetary, recency in days.
+
+    Lazy: besides the aggregation a second scan reads the time column for the reference date.
+    """
+    return rfm_from_totals(user_totals(trans), as_of_date(trans).scalar())
+
+
+def staged_features(trans: DataFrame) -> DataFrame:
+    """rfm_features for several readers, from a single scan of the transactions.
+
+    The totals are staged, and the latest of the last transactions is the reference date.
+    """
+    totals = stage(user_totals(trans), "user-totals")
+    return rfm_from_totals(totals, as_of_date(totals, "last_trans_date").scalar())
 
 
 def user_spend(trans: DataFrame) -> DataFrame:

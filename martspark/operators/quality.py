@@ -63,11 +63,13 @@ def check_unique(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 def fk_violations(child: DataFrame, parent: DataFrame, fk: str, pk: str) -> DataFrame:
     """Foreign key values without a parent row, with the number of child rows (NULLs pass).
 
-    Children are counted per key first: the join sees each key once, however frequent it is.
+    Children are counted per key first: the join sees each key once, however frequent it is. It
+    is an outer join, as the optimizer would move an anti join below the counting.
     """
     used = child.where(F.col(fk).isNotNull()).groupBy(fk).agg(F.count(F.lit(1)).alias("rows"))
-    known = parent.select(F.col(pk).alias("_pk"))
-    return used.join(known, F.col(fk) == F.col("_pk"), "left_anti")
+    known = parent.select(F.col(pk).alias("_pk"), F.lit(True).alias("_known"))
+    joined = used.join(known, F.col(fk) == F.col("_pk"), "left")
+    return joined.where(F.col("_known").isNull()).select(fk, "rows")
 
 
 def check_fk(child: DataFrame, parent: DataFrame, fk: str, pk: str) -> DataFrame:

@@ -62,22 +62,20 @@ def positions(
     the bucket counts of a group meet. `total` optionally names a column with the group size.
     """
     keys = list(keys)
-    bucketed = df.withColumn("_bucket", bucket)
-    sizes = bucketed.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_size"))
-    group = Window.partitionBy(*keys)
-    earlier = group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    # One struct for keys and bucket: NULL keys meet in the join below, and the join can use the
+    # partitioning of the numbering.
+    bucketed = df.withColumn("_slice", F.struct(*keys, bucket.alias("_bucket")))
+    sizes = bucketed.groupBy("_slice").agg(F.count(F.lit(1)).alias("_size"))
+    group = Window.partitionBy(*[F.col(f"_slice.{k}") for k in keys])
+    earlier = group.orderBy("_slice._bucket").rowsBetween(Window.unboundedPreceding, -1)
     shifts = sizes.select(
-        *[F.col(k).alias(f"_k_{k}") for k in keys],
-        F.col("_bucket").alias("_k__bucket"),
+        "_slice",
         F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_shift"),
         *([F.sum("_size").over(group).alias(total)] if total else []),
     )
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
+    inside = Window.partitionBy("_slice").orderBy(*order)
     numbered = bucketed.withColumn("_inside", F.row_number().over(inside))
-    same = F.lit(True)
-    for k in [*keys, "_bucket"]:
-        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    return numbered.join(shifts, same).select(
+    return numbered.join(shifts, "_slice").select(
         *df.columns,
         (F.col("_shift") + F.col("_inside") - 1).cast("long").alias(name),
         *([F.col(total)] if total else []),

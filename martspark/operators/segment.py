@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from martspark.operators.features import FEATURES, rfm_features, standardize
+from martspark.operators.features import FEATURES, staged_features
 from martspark.schemas import CLUSTER_NAMES, UNKNOWN_CLUSTER
 from martspark.session import stage
 
@@ -214,12 +214,7 @@ def cluster_or_unknown(users: DataFrame, features: DataFrame) -> DataFrame:
 
 def clustered_users(users: DataFrame, trans: DataFrame, k: int = 3) -> DataFrame:
     """Transactions to features to segments, joined to the users."""
-    features = stage(rfm_features(trans), "rfm")
+    features = staged_features(trans)
     labelled = attach_cluster(users, segment_customers(features, k))
     return cluster_or_unknown(labelled, features)
 
-
-__all__ = [
-    "assign_cluster", "attach_cluster", "cluster_or_unknown", "clustered_users", "name_clusters",
-    "segment_customers", "standardize", "ward_labels", "with_cluster",
-]

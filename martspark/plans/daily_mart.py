@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from martspark.functions.scalars import month_start
 from martspark.operators import marts, quality
-from martspark.operators.features import rfm_features, rfm_scores
+from martspark.operators.features import as_of_date, rfm_from_totals, rfm_scores, user_totals
 from martspark.operators.segment import attach_cluster, cluster_or_unknown, segment_customers
 from martspark.schemas import CLUSTER_NAMES, MART
 from martspark.session import stage
@@ -18,20 +19,26 @@ USER_COLUMNS = ("user_id", "age", "gender", "city", "state", "latitude", "longit
 def mart_tables(users: DataFrame, trans: DataFrame, lookup: DataFrame, as_of=None) -> dict[str, DataFrame]:
     """The six mart tables and rfm_scores, ready to be written.
 
-    Features and clustered users are staged: several tables read them, and without a stage each
-    would repeat the aggregation of the transactions.
+    The transactions are scanned twice: for the per-user totals and for the activity counts.
+    Both, and the clustered users, are staged, as several tables read them.
     """
-    features = stage(rfm_features(trans), "rfm")
-    segments = segment_customers(features)
-    clustered = cluster_or_unknown(attach_cluster(users.select(*USER_COLUMNS), segments), features)
-    clustered = stage(clustered, "clustered-users")
+    totals = stage(user_totals(trans), "user-totals")
+    counts = stage(marts.activity(trans), "activity")
+    features = rfm_from_totals(totals, as_of_date(totals, "last_trans_date").scalar())
+    clustered = stage(
+        cluster_or_unknown(
+            attach_cluster(users.select(*USER_COLUMNS), segment_customers(features)), features
+        ),
+        "clustered-users",
+    )
+    recent = counts.where(F.col("month") >= month_start(as_of)).agg(F.sum("count")).scalar()
     return {
         "age_count": marts.age_count(clustered),
         "gender_count": marts.gender_count(clustered),
-        "service_count": marts.service_count(trans, lookup),
+        "service_count": marts.services_of_activity(counts, lookup),
         "user_geo": marts.user_geo(clustered),
-        "trans_by_day": marts.trans_by_hour(trans),
-        "stats": marts.dashboard_stats(clustered, trans, as_of),
+        "trans_by_day": marts.hours_of_activity(counts),
+        "stats": marts.stats_row(clustered, totals, recent),
         "rfm_scores": rfm_scores(features),
     }
 

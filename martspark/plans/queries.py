@@ -12,7 +12,7 @@ from martspark.operators import charts, chat, features, marts, quality, results,
 from martspark.plans import daily_mart
 from martspark.plans import samples as s
 from martspark.schemas import CLUSTER_NAMES, MART
-from martspark.session import stage, stage_path
+from martspark.session import stage_path
 from martspark.sources import files, tables
 from martspark.streaming import sessions as live
 
@@ -39,12 +39,12 @@ def rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
 
 
 def order_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stage(features.rfm_features(s.order_trans(spark, sf_dir)), "order-rfm")
+    return features.staged_features(s.order_trans(spark, sf_dir))
 
 
 def clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users with the cluster of a fixed model, so that SQL can say the same."""
-    scored = features.standardize(features.rfm_features(s.fact_trans(spark, sf_dir)))
+    scored = features.standardize(features.staged_features(s.fact_trans(spark, sf_dir)))
     model = segment.assign_cluster(scored, s.FROZEN_MODEL, [f"z_{c}" for c in features.FEATURES])
     return segment.attach_cluster(s.dim_users(spark, sf_dir), model)
 
@@ -97,7 +97,7 @@ def since_month_start(spark, sf_dir):
     "standard",
 )
 def standardize(spark, sf_dir):
-    scored = features.standardize(features.rfm_features(s.fact_trans(spark, sf_dir)))
+    scored = features.standardize(features.staged_features(s.fact_trans(spark, sf_dir)))
     zs = [f"z_{c}" for c in features.FEATURES]
     return rounded(scored, 6, *zs).select("user_id", *zs)
 
@@ -138,7 +138,7 @@ def rfm_scores(spark, sf_dir):
 
 @query("SELECT user_id, cluster FROM clusters", "clusters")
 def assign_cluster(spark, sf_dir):
-    scored = features.standardize(features.rfm_features(s.fact_trans(spark, sf_dir)))
+    scored = features.standardize(features.staged_features(s.fact_trans(spark, sf_dir)))
     zs = [f"z_{c}" for c in features.FEATURES]
     return segment.assign_cluster(scored, s.FROZEN_MODEL, zs).select("user_id", "cluster")
 
@@ -159,13 +159,13 @@ def with_cluster(spark, sf_dir):
     "clustered rfm",
 )
 def cluster_or_unknown(spark, sf_dir):
-    rfm = features.rfm_features(s.fact_trans(spark, sf_dir))
+    rfm = features.staged_features(s.fact_trans(spark, sf_dir))
     return segment.cluster_or_unknown(clustered(spark, sf_dir), rfm).select("user_id", "cluster")
 
 
 @query()
 def segment_customers(spark, sf_dir):
-    return segment.segment_customers(features.rfm_features(s.fact_trans(spark, sf_dir)))
+    return segment.segment_customers(features.staged_features(s.fact_trans(spark, sf_dir)))
 
 
 @query(
@@ -268,6 +268,16 @@ def users_by_country(spark, sf_dir):
     return marts.users_by_country(marts.user_geo(clustered(spark, sf_dir)))
 
 
+@query(
+    """SELECT date_trunc('month', trans_timestamp)::DATE AS "month", CAST(hour(trans_timestamp) AS INTEGER) AS "hour",
+              trans_service, count(trans_id) AS count
+       FROM fact_trans GROUP BY 1, 2, 3""",
+    "fact_trans",
+)
+def activity(spark, sf_dir):
+    return marts.activity(s.fact_trans(spark, sf_dir))
+
+
 @query()
 def daily_mart_tables(spark, sf_dir):
     """The whole daily job; returns the rows of each table it wrote."""
@@ -823,9 +833,8 @@ def prompt_payloads(spark, sf_dir):
     """Each session's last message asked again, with the session's images attached."""
     rows = s.messages(spark, sf_dir)
     last = rows.groupBy("chat_session_id").agg(F.max_by("content", F.struct("created_at", "id")).alias("text"))
-    owned = s.message_images(spark, sf_dir).join(
-        rows.select(F.col("id").alias("message_id"), "chat_session_id"), "message_id"
-    )
+    owners = rows.select(F.col("id").alias("message_id"), "chat_session_id")
+    owned = scale.salted_join(s.message_images(spark, sf_dir), owners, ["message_id"], "inner")
     lists = chat.collect_images(owned.drop("message_id").withColumnRenamed("chat_session_id", "message_id"))
     urls = lists.select(F.col("message_id").alias("chat_session_id"), F.col("images.url").alias("image_urls"))
     current = last.join(urls, "chat_session_id", "left")

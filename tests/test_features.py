@@ -1,0 +1,99 @@
+import datetime as dt
+
+import pytest
+from pyspark.sql import functions as F
+
+from martspark.operators import features as f
+
+TRANS = "trans_id long, user_id int, trans_timestamp timestamp_ntz, trans_amount double, trans_service string"
+
+
+def day(text):
+    return dt.datetime.fromisoformat(text)
+
+
+@pytest.fixture(scope="module")
+def trans(spark):
+    rows = [
+        (1, 1, day("2024-01-01T00:00:00"), 10.0, "0742"),
+        (2, 1, day("2024-02-10T23:59:00"), None, "5411"),
+        (3, 2, day("2024-03-31T12:00:00"), 5.0, "abc"),
+        (4, 2, day("2024-03-01T00:00:00"), 7.5, "742"),
+        (5, 3, None, 1.0, "abc"),
+    ]
+    return spark.createDataFrame(rows, TRANS)
+
+
+def by_user(df):
+    return {r["user_id"]: r for r in df.collect()}
+
+
+def test_frequency_counts_known_amounts_and_recency_uses_the_data(trans):
+    rows = by_user(f.rfm_features(trans))
+    assert (rows[1]["frequency"], rows[1]["monetary"], rows[1]["recency"]) == (1, 10.0, 50)
+    assert (rows[2]["frequency"], rows[2]["monetary"], rows[2]["recency"]) == (2, 12.5, 0)
+    assert rows[3]["recency"] is None
+
+
+def test_staged_features_are_the_same(trans):
+    assert by_user(f.staged_features(trans)) == by_user(f.rfm_features(trans))
+
+
+def test_avg_clv(spark, trans):
+    assert f.avg_clv(trans).first()["avg_clv"] == pytest.approx((10 + 12.5 + 1) / 3)
+    assert f.avg_clv(spark.createDataFrame([], TRANS)).first()["avg_clv"] == 0.0
+
+
+def test_month_start_is_inclusive(trans):
+    found = f.since_month_start(trans, dt.date(2024, 3, 15)).select("trans_id").collect()
+    assert sorted(r[0] for r in found) == [3, 4]
+    assert f.since_month_start(trans).count() == 0
+
+
+def test_month_filter_reaches_the_scan(spark, sf_dir):
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").withColumnRenamed("ts", "trans_timestamp")
+    plan = f.since_month_start(events, "2024-01-20")._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(ts), GreaterThanOrEqual(ts" in plan
+
+
+def scores(spark, values, k=5):
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    return {r["x"]: r["x_score"] for r in f.quantile_score(df, "x", k).collect()}
+
+
+def test_scores_are_right_closed_quintiles(spark):
+    got = scores(spark, [float(i) for i in range(1, 11)])
+    assert [got[float(i)] for i in range(1, 11)] == [1, 1, 2, 2, 3, 3, 4, 4, 5, 5]
+
+
+def test_collapsed_edges_are_renumbered_without_gaps(spark):
+    got = scores(spark, [1.0] * 8 + [2.0, 3.0])
+    assert got == {1.0: 1, 2.0: 2, 3.0: 2}
+    assert scores(spark, [4.0] * 5) == {4.0: 1}
+
+
+def test_unknown_values_have_no_score(spark):
+    assert scores(spark, [1.0, None])[None] is None
+
+
+def test_recency_score(spark):
+    df = spark.createDataFrame([(30,), (31,), (None,)], "recency int")
+    assert [r["recency_score"] for r in f.recency_score(df).collect()] == [5, 1, 5]
+
+
+def test_standardize_uses_the_population_deviation(spark):
+    df = spark.createDataFrame([(1.0, 4.0), (3.0, 4.0)], "a double, b double")
+    rows = f.standardize(df, ["a", "b"]).orderBy("a").collect()
+    assert [(r["z_a"], r["z_b"]) for r in rows] == [(-1.0, 0.0), (1.0, 0.0)]
+
+
+def test_no_python_in_the_plan(trans):
+    for df in (f.rfm_features(trans), f.standardize(f.rfm_features(trans)), f.rfm_scores(f.rfm_features(trans))):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in plan and "Pandas" not in plan
+
+
+def test_rfm_scores_columns(trans):
+    out = f.rfm_scores(f.rfm_features(trans))
+    assert {"frequency_score", "monetary_score", "recency_score"} <= set(out.columns)
+    assert out.where(F.col("user_id") == 2).first()["frequency_score"] == 3  # edges 1, 1.2, 1.6, 2
