@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from martspark.functions.scalars import default_if_empty, map_role
@@ -14,7 +14,7 @@ from martspark.functions.text import (
     non_blank_text,
     number_items,
 )
-from martspark.operators.scale import last_n_per_group, positions, salted_join
+from martspark.operators.scale import first_n_per_group, last_n_per_group, positions, salted_join
 
 NEW_CHAT = "New Chat"
 MESSAGE_ORDER = ("created_at", "id")
@@ -65,14 +65,13 @@ def list_sessions(sessions: DataFrame, user_id: int | None = None, limit: int =
     """A page of sessions, latest first: of one user, or one page for each user.
 
     Sessions without a message come last, the id breaks ties. Only the first limit + offset
-    sessions of a user leave their input tasks (see last_n_per_group).
+    sessions of a user leave their input tasks (see first_n_per_group).
     """
     live = active_for_user(sessions, user_id)
     order = [F.desc_nulls_last("last_message_at"), F.desc("created_at"), F.col("id")]
     if user_id is not None:
         return live.orderBy(*order).offset(offset).limit(limit)
-    place = F.row_number().over(Window.partitionBy("user_id").orderBy(*order))
-    page = live.withColumn("_place", place).where(F.col("_place") <= limit + offset)
+    page = first_n_per_group(live, ["user_id"], order, limit + offset)
     return page.where(F.col("_place") > offset).drop("_place")
 
 
@@ -125,7 +124,7 @@ def collect_images(images: DataFrame, part_size: int = 10_000) -> DataFrame:
         images.select("message_id", "id", *IMAGE_FIELDS),
         ["message_id"],
         [F.col("id")],
-        F.floor(F.col("id") / 100_000),
+        F.floor(F.col("id") / 100_000),  # ids are given out in sequence
         total="image_count",
     )
     image = F.struct("position", *[F.col(c).alias(name) for c, name in IMAGE_FIELDS.items()])

@@ -82,15 +82,31 @@ def positions(
     )
 
 
-def last_n_per_group(df: DataFrame, key: str | Sequence[str], order: Sequence[str], n: int) -> DataFrame:
-    """The last `n` rows of each group along `order` (make `order` unique for a fixed result).
+# Up to this rank Spark itself drops rows before the shuffle of a rank filter
+# (spark.sql.optimizer.windowGroupLimitThreshold).
+_RANKED_BEFORE_SHUFFLE = 1000
+_SLICES = 64
+
+
+def first_n_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
+    """The first `n` rows of each group in `order`, with their 1-based `_place`.
 
-    The rank filter is applied before the shuffle as well (up to the session's window group
-    limit of 1000), so a hot group sends at most n rows per input task.
+    No group is ever ranked whole in one task: a rank filter is applied on the input side of the
+    shuffle, or, for large n, first within slices of the group.
     """
+    if n > _RANKED_BEFORE_SHUFFLE:
+        sliced = df.withColumn("_slice", F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(_SLICES)))
+        within = Window.partitionBy(*keys, "_slice").orderBy(*order)
+        df = sliced.withColumn("_place", F.row_number().over(within)).where(F.col("_place") <= n)
+        df = df.drop("_slice", "_place")
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return df.withColumn("_place", place).where(F.col("_place") <= n)
+
+
+def last_n_per_group(df: DataFrame, key: str | Sequence[str], order: Sequence[str], n: int) -> DataFrame:
+    """The last `n` rows of each group along `order` (make `order` unique for a fixed result)."""
     keys = [key] if isinstance(key, str) else list(key)
-    newest = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in order])
-    return df.withColumn("_back", F.row_number().over(newest)).where(F.col("_back") <= n).drop("_back")
+    return first_n_per_group(df, keys, [F.col(c).desc() for c in order], n).drop("_place")
 
 
 def exact_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float]) -> DataFrame:

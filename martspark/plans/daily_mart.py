@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,10 +52,14 @@ def run_daily(
 
     Raises if a mart table is empty; a missing segment only shows in check_mart.
     """
-    rows = {
-        name: write_mart(df, f"{target}/{name}", MART.get(name))
-        for name, df in mart_tables(users, trans, lookup, as_of).items()
-    }
+    tables = mart_tables(users, trans, lookup, as_of)
+
+    def write(name: str) -> int:
+        return write_mart(tables[name], f"{target}/{name}", MART.get(name))
+
+    # The tables are independent and mostly small, so their jobs may overlap.
+    with ThreadPoolExecutor(len(tables)) as pool:
+        rows = dict(zip(tables, pool.map(write, tables)))
     quality.raise_on_failure(check_mart(spark, target).where(F.col("severity") == "fail"), "mart")
     return spark.createDataFrame(list(rows.items()), "table string, rows long")
 

@@ -77,6 +77,6 @@ def write_jdbc(
     props: Mapping[str, str] | None = None,
     connections: int = 8,
 ) -> None:
-    """Writes a mart table over at most `connections` connections."""
+    """Writes a mart table over `connections` connections; computing it keeps all its tasks."""
     options = jdbc_writer_options(url, table, props)
-    df.coalesce(connections).write.format("jdbc").options(**options).mode(mode).save()
+    df.repartition(connections).write.format("jdbc").options(**options).mode(mode).save()

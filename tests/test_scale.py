@@ -87,6 +87,17 @@ def test_last_n_limits_before_the_shuffle(facts):
     assert "WindowGroupLimit" in plan and "Partial" in plan
 
 
+def test_last_n_with_a_large_n_ranks_slices_first(facts):
+    n = 1500
+    got = last_n_per_group(facts, "k", ["id"], n)
+    by_key = {}
+    for r in facts.collect():
+        by_key.setdefault(r["k"], []).append(r["id"])
+    expected = {(k, i) for k, ids in by_key.items() for i in sorted(ids)[-n:]}
+    assert {(r["k"], r["id"]) for r in got.collect()} == expected
+    assert "_slice" in plan_of(got)
+
+
 def quantiles(spark, values, probs):
     df = spark.createDataFrame([(v,) for v in values], "x double")
     return exact_quantiles(df, ["x"], probs).first()["edges"]
