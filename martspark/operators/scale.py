@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -121,6 +122,7 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequen
     accuracy = 10_000
     slack = 5 / accuracy
     probs = [float(p) for p in probabilities]
+    n_probs = len(probs)
     lows = [max(p - slack, 0.0) for p in probs]
     highs = [min(p + slack, 1.0) for p in probs]
 
@@ -132,34 +134,54 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequen
         ).alias("m")
     ).select("m.metric", "m.value").where(F.col("value").isNotNull())
 
-    brackets = (
+    # One row per column.
+    brackets = F.broadcast(
         values.groupBy("metric")
         .agg(
             F.count(F.lit(1)).alias("n"),
-            F.percentile_approx("value", lows, accuracy).alias("low"),
-            F.percentile_approx("value", highs, accuracy).alias("high"),
+            F.percentile_approx("value", lows + highs, accuracy).alias("ends"),
         )
         .select(
             "metric",
             "n",
-            F.posexplode(
-                F.arrays_zip(F.array(*map(F.lit, probs)).alias("p"), F.col("low"), F.col("high"))
-            ).alias("edge", "b"),
+            F.slice("ends", 1, n_probs).alias("low"),
+            F.slice("ends", n_probs + 1, n_probs).alias("high"),
         )
-        .select("metric", "edge", "n", "b.p", "b.low", "b.high")
     )
-    # One row per column and probability.
-    placed = values.join(F.broadcast(brackets), "metric").withColumn(
-        "side",
-        F.when(F.col("value") < F.col("low"), -1).when(F.col("value") > F.col("high"), 1).otherwise(0),
+
+    def side(low: Column, high: Column, smallest: Column, largest: Column) -> Column:
+        """-1 below the bracket, 0 inside, 1 above."""
+        return F.when(largest < low, -1).when(smallest > high, 1).otherwise(0)
+
+    # Rows on the same sides of all brackets are counted together, inside a bracket by value.
+    value = F.col("value")
+    sides = [side(F.col("low")[i], F.col("high")[i], value, value) for i in range(n_probs)]
+    zone = sum(((s + 1) * F.lit(3**i) for i, s in enumerate(sides)), F.lit(0).cast("long"))
+    inside = reduce(lambda x, y: x | y, [s == 0 for s in sides])
+    zones = (
+        values.join(brackets, "metric")
+        .groupBy("metric", zone.alias("zone"), F.when(inside, value).alias("inner"))
+        .agg(
+            F.count(F.lit(1)).alias("rows"), F.min("value").alias("smallest"), F.max("value").alias("largest")
+        )
     )
-    counted = placed.groupBy(
-        "metric", "edge", "n", "p", "side",
-        F.when(F.col("side") == 0, F.col("value")).alias("inner_value"),
-    ).agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.min("value").alias("smallest"),
-        F.max("value").alias("largest"),
+    per_edge = zones.join(brackets, "metric").select(
+        "metric",
+        "n",
+        F.posexplode(
+            F.arrays_zip(F.array(*map(F.lit, probs)).alias("p"), F.col("low"), F.col("high"))
+        ).alias("edge", "b"),
+        "rows",
+        "smallest",
+        "largest",
+    )
+    at_side = side(F.col("b.low"), F.col("b.high"), F.col("smallest"), F.col("largest"))
+    counted = (
+        per_edge.select("metric", "edge", "n", "b.p", at_side.alias("side"), "rows", "smallest", "largest")
+        .groupBy(
+            "metric", "edge", "n", "p", "side", F.when(F.col("side") == 0, F.col("smallest")).alias("inner_value")
+        )
+        .agg(F.sum("rows").alias("rows"), F.min("smallest").alias("smallest"), F.max("largest").alias("largest"))
     )
     running = Window.partitionBy("metric", "edge").orderBy("side", "inner_value")
     ranked = counted.select(
