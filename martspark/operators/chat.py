@@ -18,6 +18,7 @@ from martspark.operators.scale import first_n_per_group, last_n_per_group, posit
 
 NEW_CHAT = "New Chat"
 MESSAGE_ORDER = ("created_at", "id")
+PARTS_PER_BLOCK = 1000
 IMAGE_FIELDS = {
     "image_url": "url",
     "thumbnail_url": "thumbnail_url",
@@ -136,9 +137,22 @@ def collect_images(images: DataFrame, part_size: int = 10_000) -> DataFrame:
 
 
 def messages_with_images(messages: DataFrame, images: DataFrame, part_size: int = 10_000) -> DataFrame:
-    """Messages with image_urls (packed text), images and image_count; one row per image part."""
+    """Messages with image_urls (packed text), images and image_count; one row per image part.
+
+    A message meets its parts in blocks of PARTS_PER_BLOCK, so that even the parts of one
+    enormous message are joined by many tasks.
+    """
+    block_size = part_size * PARTS_PER_BLOCK
     lists = collect_images(images, part_size).withColumnRenamed("message_id", "id")
-    return messages.join(lists, "id", "left").select(
+    lists = lists.withColumn("_block", F.floor(F.col("part") / PARTS_PER_BLOCK))
+    counts = images.groupBy(F.col("message_id").alias("id")).agg(F.count(F.lit(1)).alias("_n"))
+    # At most one row per block_size images of the whole table, so safe to broadcast.
+    enormous = F.broadcast(counts.where(F.col("_n") > block_size))
+    last_block = F.coalesce(F.floor((F.col("_n") - 1) / block_size), F.lit(0).cast("long"))
+    spread = messages.join(enormous, "id", "left").select(
+        *messages.columns, F.explode(F.sequence(F.lit(0).cast("long"), last_block)).alias("_block")
+    )
+    return spread.join(lists, ["id", "_block"], "left").select(
         *messages.columns,
         F.coalesce("part", F.lit(0)).alias("part"),
         F.when(F.col("images").isNotNull(), F.array_join(F.col("images.url"), ",")).alias("image_urls"),

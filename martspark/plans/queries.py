@@ -11,7 +11,7 @@ from martspark.functions import scalars, text
 from martspark.operators import charts, chat, features, marts, quality, results, scale, segment
 from martspark.plans import daily_mart
 from martspark.plans import samples as s
-from martspark.schemas import CLUSTER_NAMES, MART
+from martspark.schemas import CHAT, CLUSTER_NAMES, MART
 from martspark.session import stage_path
 from martspark.sources import files, tables
 from martspark.streaming import sessions as live
@@ -1203,6 +1203,28 @@ def read_mcc(spark, sf_dir):
     return files.read_mcc(spark, out)
 
 
+@query(
+    """SELECT m.id, m.sender_type, cs.user_id, cs.is_active, CAST(cs.created_at AS DATE) AS day
+       FROM messages m JOIN chat_sessions cs ON m.chat_session_id = cs.id""",
+    "messages chat_sessions",
+)
+def read_chat(spark, sf_dir):
+    """The chat tables written in their declared schemas and read back."""
+    out = stage_path(spark, "chat")
+    given = {"chat_sessions": s.chat_sessions(spark, sf_dir), "messages": s.messages(spark, sf_dir)}
+    for name, schema in CHAT.items():
+        df = given.get(name, s.table(spark, sf_dir, "nation").limit(0))
+        padded = df.withColumns({f.name: F.lit(None) for f in schema.fields if f.name not in df.columns})
+        tables.write_mart(padded, f"{out}/{name}", schema)
+    read = files.read_chat(spark, out)
+    owner = read.chat_sessions.select(
+        F.col("id").alias("chat_session_id"), "user_id", "is_active", F.to_date("created_at").alias("day")
+    )
+    return scale.salted_join(read.messages, owner, ["chat_session_id"], "inner").select(
+        "id", "sender_type", "user_id", "is_active", "day"
+    )
+
+
 @query('SELECT "hour", count FROM trans_by_day', "trans_by_day")
 def write_mart(spark, sf_dir):
     out = stage_path(spark, "trans_by_day")

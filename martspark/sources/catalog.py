@@ -14,17 +14,25 @@ _COLUMNS = (
 )
 
 
-def catalog_tables(spark: SparkSession) -> DataFrame:
-    rows = [(t.name, "view" if t.isTemporary else t.tableType.lower()) for t in spark.catalog.listTables()]
-    return spark.createDataFrame(rows, "table string, type string")
+def _listed(spark: SparkSession, database: str | None) -> list[tuple[str, str, str]]:
+    """(name, kind, full name) of the tables and views of a database, by default the current one."""
+    found = []
+    for t in spark.catalog.listTables(database):
+        full = t.name if t.isTemporary or not database else f"{database}.{t.name}"
+        found.append((t.name, "view" if t.isTemporary else t.tableType.lower(), full))
+    return sorted(found)
 
 
-def catalog_columns(spark: SparkSession) -> DataFrame:
-    """Columns of all tables and views of the session, by table and position."""
+def catalog_tables(spark: SparkSession, database: str | None = None) -> DataFrame:
+    return spark.createDataFrame([t[:2] for t in _listed(spark, database)], "table string, type string")
+
+
+def catalog_columns(spark: SparkSession, database: str | None = None) -> DataFrame:
+    """Columns of all tables and views, with their position from 1. Reads metadata only."""
     rows = [
-        (t.name, "view" if t.isTemporary else t.tableType.lower(), f.name, f.dataType.simpleString(), f.nullable, i)
-        for t in spark.catalog.listTables()
-        for i, f in enumerate(spark.table(t.name).schema.fields, start=1)
+        (name, kind, f.name, f.dataType.simpleString(), f.nullable, i)
+        for name, kind, full in _listed(spark, database)
+        for i, f in enumerate(spark.table(full).schema.fields, start=1)
     ]
     return spark.createDataFrame(rows, _COLUMNS)
 

@@ -108,6 +108,22 @@ def test_a_message_with_very_many_images_is_split_not_cut(spark):
     assert {r["image_count"] for r in rows} == {len(ids)}
 
 
+def test_an_enormous_message_is_joined_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(chat, "PARTS_PER_BLOCK", 2)
+    images = spark.range(1, 96).select(
+        "id", F.when(F.col("id") > 5, 7).otherwise(8).cast("long").alias("message_id"),
+        F.col("id").cast("string").alias("image_url"),
+        *[F.lit(None).cast("string").alias(c) for c in ("thumbnail_url", "imagekit_file_id", "file_name")],
+        *[F.lit(None).cast("int").alias(c) for c in ("width", "height")],
+    )
+    messages = spark.createDataFrame([(7, "big"), (8, "small"), (9, "none")], "id long, content string")
+    out = chat.messages_with_images(messages, images, part_size=10).orderBy("id", "part").collect()
+    assert [(r["id"], r["part"], len(r["images"] or [])) for r in out] == [
+        *[(7, p, 10) for p in range(9)], (8, 0, 5), (9, 0, 0)]
+    assert ",".join(r["image_urls"] for r in out[:9]) == ",".join(str(i) for i in range(6, 96))
+    assert {r["image_count"] for r in out} == {90, 5, 0}
+
+
 def test_chat_detail(sessions, messages, images):
     rows = chat.chat_detail(sessions, messages, images, "s1").collect()
     assert [r["id"] for r in rows] == ["m11", "m12", "m13", "m14", "m15", "m16"]

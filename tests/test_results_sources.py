@@ -6,7 +6,7 @@ from pyspark.sql import types as T
 
 from martspark import schemas
 from martspark.operators import results
-from martspark.session import stage, stage_dir, stage_path
+from martspark.session import sizing, stage, stage_dir, stage_path
 from martspark.sources import catalog, files, jdbc, tables
 
 
@@ -163,6 +163,13 @@ def test_views_persist_touch(spark):
     assert [r["updated_at"].month for r in tables.touch(base, F.col("id") == 2, moment).orderBy("id").collect()] == [1, 5]
 
 
+def test_sizing():
+    small, large = sizing(1 << 30), sizing(100 << 40)
+    part = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    assert small[part] == "200" and large[part] == "200000"
+    assert int(large["spark.sql.files.maxPartitionBytes"]) > int(small["spark.sql.files.maxPartitionBytes"])
+
+
 def test_stage_reads_back_the_same_from_the_shared_folder(spark):
     df = spark.createDataFrame([(1, "a", None)], "id int, t string, x double")
     again = stage(df, "round-trip")
@@ -188,5 +195,6 @@ def test_schema_description(spark):
     joined = catalog.catalog_join(catalog.catalog_tables(spark), catalog.catalog_columns(spark))
     assert joined.where(F.col("table") == "dim_card").count() == 2
     assert catalog.catalog_relationships(spark).count() == len(schemas.FOREIGN_KEYS)
+    assert catalog.catalog_columns(spark, "default").where(F.col("table") == "dim_card").count() == 2
     assert catalog.fallback_query(["a", "b"]) == "SELECT * FROM a LIMIT 10"
     assert catalog.fallback_query([]) == "SELECT 1 AS status"
