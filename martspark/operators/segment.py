@@ -104,6 +104,7 @@ def segment_customers(
     max_points: int = MAX_POINTS,
     columns: Sequence[str] = FEATURES,
     names: Sequence[str] = CLUSTER_NAMES,
+    staged: bool = False,
 ) -> DataFrame:
     """(user_id, cluster) for every user whose features are all known.
 
@@ -111,10 +112,13 @@ def segment_customers(
     first counted into grid cells, on the finest grid with at most `max_points` used cells, and
     the cells' weighted means are clustered. Only these at most `max_points` rows reach the
     driver. The users take their cell's cluster in a join with as few rows.
+
+    The features are read four times and must not change in between, so they are staged, unless
+    the caller says that they come from a staged table already.
     """
     spark = features.sparkSession
     known = features.select("user_id", *[F.col(c).cast("double").alias(c) for c in columns]).dropna()
-    known = stage(known, "segment-features")
+    known = known if staged else stage(known, "segment-features")
     moments = _moments(known, columns)
     if moments["n"] == 0:
         return known.select("user_id", F.lit(None).cast("string").alias("cluster"))
@@ -126,14 +130,17 @@ def segment_customers(
         keys = [F.col(c) if step is None else _bin(z[c], step) for c in columns]
         return [key.alias(cell) for key, cell in zip(keys, cells)]
 
+    # Step None keys by the exact values.
     steps = [None] + [_FINEST_STEP * _STEP_GROWTH**i for i in range(_LEVELS)]
-    used = known.agg(
-        *[
-            F.hll_sketch_estimate(F.hll_sketch_agg(F.xxhash64(*keyed(s)), 12)).alias(f"s{i}")
-            for i, s in enumerate(steps)
-        ]
-    ).first()
-    level = next((i for i in range(len(steps)) if used[i] <= max_points), len(steps) - 1)
+    level = 0
+    if moments["n"] > max_points:
+        used = known.agg(
+            *[
+                F.hll_sketch_estimate(F.hll_sketch_agg(F.xxhash64(*keyed(s)), 12)).alias(f"s{i}")
+                for i, s in enumerate(steps)
+            ]
+        ).first()
+        level = next((i for i in range(len(steps)) if used[i] <= max_points), len(steps) - 1)
 
     points: list = []
     step: float | None = None
@@ -215,6 +222,6 @@ def cluster_or_unknown(users: DataFrame, features: DataFrame) -> DataFrame:
 def clustered_users(users: DataFrame, trans: DataFrame, k: int = 3) -> DataFrame:
     """Transactions to features to segments, joined to the users."""
     features = staged_features(trans)
-    labelled = attach_cluster(users, segment_customers(features, k))
+    labelled = attach_cluster(users, segment_customers(features, k, staged=True))
     return cluster_or_unknown(labelled, features)
 

@@ -29,7 +29,7 @@ def mart_tables(users: DataFrame, trans: DataFrame, lookup: DataFrame, as_of=Non
     features = rfm_from_totals(totals, as_of_date(totals, "last_trans_date").scalar())
     clustered = stage(
         cluster_or_unknown(
-            attach_cluster(users.select(*USER_COLUMNS), segment_customers(features)), features
+            attach_cluster(users.select(*USER_COLUMNS), segment_customers(features, staged=True)), features
         ),
         "clustered-users",
     )

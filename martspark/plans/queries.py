@@ -165,7 +165,22 @@ def cluster_or_unknown(spark, sf_dir):
 
 @query()
 def segment_customers(spark, sf_dir):
-    return segment.segment_customers(features.staged_features(s.fact_trans(spark, sf_dir)))
+    return segment.segment_customers(features.staged_features(s.fact_trans(spark, sf_dir)), staged=True)
+
+
+@query(
+    """SELECT count(DISTINCT user_id) AS users, CAST(3 AS BIGINT) AS clusters, count(DISTINCT user_id) AS with_cluster
+       FROM order_trans""",
+    "order_trans",
+)
+def segment_coverage(spark, sf_dir):
+    """Every user with features gets one of three clusters."""
+    found = segment.segment_customers(order_features(spark, sf_dir), staged=True)
+    return found.agg(
+        F.count_distinct("user_id").alias("users"),
+        F.count_distinct("cluster").alias("clusters"),
+        F.count("cluster").alias("with_cluster"),
+    )
 
 
 @query(
@@ -278,19 +293,54 @@ def activity(spark, sf_dir):
     return marts.activity(s.fact_trans(spark, sf_dir))
 
 
-@query()
-def daily_mart_tables(spark, sf_dir):
-    """The whole daily job; returns the rows of each table it wrote."""
+def run_daily(spark: SparkSession, sf_dir: str, target: str) -> DataFrame:
     return daily_mart.run_daily(
         spark,
         s.dim_users(spark, sf_dir),
         s.fact_trans(spark, sf_dir),
         s.mcc_lookup(spark, sf_dir),
-        stage_path(spark, "mart"),
+        target,
         as_of="2024-01-15",
     )
 
 
+@query()
+def daily_mart_tables(spark, sf_dir):
+    """The whole daily job; returns the rows of each table it wrote."""
+    return run_daily(spark, sf_dir, stage_path(spark, "mart"))
+
+
+@query(
+    """SELECT 'service_count' AS "table", service AS label, count FROM service_count
+       UNION ALL SELECT 'trans_by_day', CAST("hour" AS VARCHAR), count FROM trans_by_day
+       UNION ALL SELECT 'stats', 'new_users', count(*) FROM dim_users
+       UNION ALL SELECT 'stats', 'new_transactions', count(*) FROM fact_trans
+         WHERE trans_timestamp >= TIMESTAMP '2024-01-01 00:00:00'
+       UNION ALL SELECT 'user_geo', 'rows', count(*) FROM dim_users
+       UNION ALL SELECT 'rfm_scores', 'rows', count(DISTINCT user_id) FROM fact_trans""",
+    "service_count trans_by_day dim_users",
+)
+def daily_mart_content(spark, sf_dir):
+    """What the daily job wrote, where SQL can say the same."""
+    target = stage_path(spark, "mart")
+    written = run_daily(spark, sf_dir, target)
+    mart = daily_mart.read_mart(spark, target)
+
+    def rows(table: str, label, count) -> DataFrame:
+        return mart[table].select(F.lit(table).alias("table"), label.alias("label"), count.alias("count"))
+
+    sizes = written.where(F.col("table").isin("user_geo", "rfm_scores")).select(
+        "table", F.lit("rows").alias("label"), F.col("rows").alias("count")
+    )
+    return quality.union_all(
+        rows("service_count", F.col("service"), F.col("count")),
+        rows("trans_by_day", F.col("hour").cast("string"), F.col("count")),
+        rows("stats", F.lit("new_users"), F.col("new_users")),
+        rows("stats", F.lit("new_transactions"), F.col("new_transactions")),
+        sizes,
+    )
+
+
 # -- charts -----------------------------------------------------------------------------------
 
 
