@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from martspark.functions import scalars, text
 from martspark.operators import charts, chat, features, marts, quality, results, scale, segment
+from martspark.operators import chat_writes as writes
 from martspark.plans import daily_mart
 from martspark.plans import samples as s
 from martspark.schemas import CHAT, CLUSTER_NAMES, MART
@@ -1344,6 +1345,93 @@ def cascade_delete(spark, sf_dir):
     return quality.union_all(*[df.select(F.lit(name).alias("table"), "id") for name, df in kept.items()])
 
 
+def chat_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as requests: English ones to an order's chat, French ones to somebody else's."""
+    lang = F.col("lang")
+    image = F.struct(
+        F.col("source").alias("url"), F.lit(None).cast("string").alias("thumbnail_url"),
+        F.lit(None).cast("string").alias("file_id"), F.lit(None).cast("string").alias("fileName"),
+        F.col("n_chars").cast("int").alias("width"), F.lit(1).alias("height"),
+    )
+    images = F.when(F.col("n_chars") > 1000, F.array(image, image)).otherwise(F.array().cast(
+        "array<struct<url:string,thumbnail_url:string,file_id:string,fileName:string,width:int,height:int>>"))
+    joined = s.table(spark, sf_dir, "documents").join(
+        s.table(spark, sf_dir, "orders"), F.col("doc_id") == F.col("o_orderkey")
+    )
+    return joined.select(
+        F.col("doc_id").alias("request_id"),
+        (F.col("o_custkey") + (lang == "fr").cast("int")).alias("user_id"),
+        F.when(lang.isin("en", "fr"), F.concat(F.lit("chat-"), F.col("doc_id").cast("string"))).alias("chat_uuid"),
+        "text",
+        images.alias("images"),
+        F.concat(F.lit("Noted: "), lang).alias("reply"),
+        (F.lit("2024-06-01").cast("timestamp_ntz") + F.make_dt_interval(secs=F.col("doc_id"))).alias("created_at"),
+    )
+
+
+def chat_writes(spark: SparkSession, sf_dir: str) -> writes.ChatWrites:
+    return writes.apply_requests(
+        chat_requests(spark, sf_dir), s.chat_sessions(spark, sf_dir), s.messages(spark, sf_dir),
+        s.message_images(spark, sf_dir),
+    )
+
+
+_REQUESTS = """
+    SELECT d.*, o_custkey, o_orderstatus <> 'F' AND lang = 'en' AS existing, lang NOT IN ('en', 'fr') AS opens,
+           TIMESTAMP '2024-06-01 00:00:00' + to_seconds(doc_id) AS moment
+    FROM documents d JOIN orders ON doc_id = o_orderkey"""
+_ACCEPTED = f"""
+    SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS no FROM ({_REQUESTS}) WHERE existing OR opens"""
+
+
+@query(
+    f"""SELECT (SELECT max(id) + 1 FROM messages) + 2 * no + turn AS id,
+               CASE WHEN opens THEN (SELECT max(id) + 1 FROM chat_sessions) + no ELSE doc_id END AS chat_session_id,
+               CASE turn WHEN 0 THEN 'user' ELSE 'assistant' END AS sender_type,
+               CASE turn WHEN 0 THEN "text" ELSE 'Noted: ' || lang END AS content,
+               CASE WHEN turn = 0 AND n_chars > 1000 THEN 'mixed' ELSE 'text' END AS content_type, moment AS created_at
+        FROM ({_ACCEPTED}), (VALUES (0), (1)) t(turn)""",
+    "messages chat_sessions",
+)
+def write_messages(spark, sf_dir):
+    rows = chat_writes(spark, sf_dir).messages
+    return rows.select("id", "chat_session_id", "sender_type", "content", "content_type", "created_at")
+
+
+@query(
+    f"""SELECT (SELECT max(id) FROM message_images) + row_number() OVER (ORDER BY no, i) AS id,
+               (SELECT max(id) + 1 FROM messages) + 2 * no AS message_id, source AS image_url,
+               CAST(n_chars AS INTEGER) AS width
+        FROM ({_ACCEPTED}), (VALUES (0), (1)) t(i) WHERE n_chars > 1000""",
+    "messages message_images",
+)
+def write_images(spark, sf_dir):
+    return chat_writes(spark, sf_dir).images.select("id", "message_id", "image_url", "width")
+
+
+@query(
+    f"""WITH moved AS (
+          SELECT CASE WHEN opens THEN (SELECT max(id) + 1 FROM chat_sessions) + no ELSE doc_id END AS id,
+                 o_custkey AS user_id, opens, "text", moment FROM ({_ACCEPTED}))
+        SELECT c.id, c.user_id, c.title, CAST(c.message_count + CASE WHEN m.id IS NULL THEN 0 ELSE 2 END AS INTEGER)
+                 AS message_count, coalesce(m.moment, c.last_message_at) AS last_message_at
+        FROM chat_sessions c LEFT JOIN moved m ON c.id = m.id
+        UNION ALL
+        SELECT id, user_id, CASE WHEN length("text") > 50 THEN substring("text", 1, 50) || '...'
+                                 WHEN coalesce("text", '') = '' THEN 'New Chat' ELSE "text" END, 2, moment
+        FROM moved WHERE opens""",
+    "chat_sessions",
+)
+def write_sessions(spark, sf_dir):
+    after = chat_writes(spark, sf_dir).sessions
+    return after.select("id", "user_id", "title", "message_count", "last_message_at")
+
+
+@query(f"SELECT doc_id AS request_id FROM ({_REQUESTS}) WHERE NOT existing AND NOT opens")
+def rejected_requests(spark, sf_dir):
+    return chat_writes(spark, sf_dir).rejected.select("request_id")
+
+
 # -- streaming --------------------------------------------------------------------------------
 
 
