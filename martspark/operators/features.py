@@ -47,13 +47,18 @@ def rfm_features(trans: DataFrame) -> DataFrame:
     return rfm_from_totals(user_totals(trans), as_of_date(trans).scalar())
 
 
-def staged_features(trans: DataFrame) -> DataFrame:
-    """rfm_features for several readers, from a single scan of the transactions.
+def staged_rfm(totals: DataFrame) -> DataFrame:
+    """The features from staged user totals: the latest of the last transactions is the reference.
 
-    The totals are staged, and the latest of the last transactions is the reference date.
+    That date is read at once, so that the many expressions built on recency hold a plain value.
     """
-    totals = stage(user_totals(trans), "user-totals")
-    return rfm_from_totals(totals, as_of_date(totals, "last_trans_date").scalar())
+    as_of = totals.agg(F.max(F.to_date("last_trans_date")).alias("as_of")).first()["as_of"]
+    return rfm_from_totals(totals, F.lit(as_of).cast("date"))
+
+
+def staged_features(trans: DataFrame) -> DataFrame:
+    """rfm_features for several readers, from a single scan of the transactions."""
+    return staged_rfm(stage(user_totals(trans), "user-totals"))
 
 
 def user_spend(trans: DataFrame) -> DataFrame:
@@ -72,20 +77,28 @@ def since_month_start(
     return trans.where(F.col(ts) >= month_start(as_of))
 
 
+def moments(df: DataFrame, columns: Sequence[str] = FEATURES) -> dict[str, float]:
+    """The row count `n`, and mean_* and std_* (of the population) of the columns, read at once."""
+    return df.agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.avg(c).alias(f"mean_{c}") for c in columns],
+        *[F.stddev_pop(c).alias(f"std_{c}") for c in columns],
+    ).first().asDict()
+
+
+def z_scores(given: dict[str, float], columns: Sequence[str] = FEATURES) -> dict[str, Column]:
+    """The z-score of each column as an expression; a constant column gives 0."""
+    return {c: (F.col(c) - F.lit(given[f"mean_{c}"])) / F.lit(given[f"std_{c}"] or 1.0) for c in columns}
+
+
 def standardize(df: DataFrame, columns: Sequence[str] = FEATURES, prefix: str = "z_") -> DataFrame:
-    """Adds z-scores with the population deviation; a constant column gives 0."""
-    moments = df.agg(
-        F.struct(
-            *[F.avg(c).alias(f"mean_{c}") for c in columns],
-            *[F.stddev_pop(c).alias(f"std_{c}") for c in columns],
-        ).alias("moments")
-    ).scalar()
-    scored = df.withColumn("_m", moments)
-    for c in columns:
-        std = F.col(f"_m.std_{c}")
-        spread = F.when(std == 0, F.lit(1.0)).otherwise(std)
-        scored = scored.withColumn(f"{prefix}{c}", (F.col(c) - F.col(f"_m.mean_{c}")) / spread)
-    return scored.drop("_m")
+    """Adds z-scores with the population deviation.
+
+    The moments are one row, read first: as numbers they keep the expressions built on the
+    scores small, where a subquery would be repeated in each of them.
+    """
+    scores = z_scores(moments(df, columns), columns)
+    return df.withColumns({f"{prefix}{c}": z for c, z in scores.items()})
 
 
 def quantile_edges(df: DataFrame, columns: Sequence[str], k: int = 5) -> DataFrame:

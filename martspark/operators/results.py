@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,6 +32,22 @@ def numeric_columns(df: DataFrame, max_columns: int | None = 3) -> list[str]:
     return names if max_columns is None else names[:max_columns]
 
 
+def _summaries(names: list[str]) -> list[Column]:
+    """Per column a struct of its name, place, total, average, minimum and maximum."""
+    out = []
+    for i, name in enumerate(names):
+        value = F.col(f"`{name}`").cast("double")
+        out.append(F.struct(
+            F.lit(name).alias("column"),
+            F.lit(i).alias("position"),
+            F.sum(value).alias("total"),
+            F.avg(value).alias("average"),
+            F.min(value).alias("minimum"),
+            F.max(value).alias("maximum"),
+        ))
+    return out
+
+
 def numeric_summary(df: DataFrame, max_columns: int = 3) -> DataFrame:
     """(column, position, total, average, minimum, maximum) of the first numeric columns.
 
@@ -40,18 +57,7 @@ def numeric_summary(df: DataFrame, max_columns: int = 3) -> DataFrame:
     if not names:
         empty = "column string, position int, total double, average double, minimum double, maximum double"
         return df.sparkSession.createDataFrame([], empty)
-    values = [F.col(f"`{n}`").cast("double") for n in names]
-    summary = df.agg(*[
-        F.struct(
-            F.lit(name).alias("column"),
-            F.lit(i).alias("position"),
-            F.sum(v).alias("total"),
-            F.avg(v).alias("average"),
-            F.min(v).alias("minimum"),
-            F.max(v).alias("maximum"),
-        ).alias(f"c{i}")
-        for i, (name, v) in enumerate(zip(names, values))
-    ])
+    summary = df.agg(*[c.alias(f"c{i}") for i, c in enumerate(_summaries(names))])
     rows = F.array(*[F.col(f"c{i}") for i in range(len(names))])
     return summary.select(F.inline(rows)).where(F.col("total").isNotNull())
 
@@ -82,60 +88,57 @@ def run_readonly_sql(spark: SparkSession, sql: str, cap: int | None = RESULT_CAP
 
 
 def result_lines(df: DataFrame, database: str, query: str, order: list[str] | None = None, n: int = 5) -> DataFrame:
-    """Numbered lines describing a query result: its size, n sample rows and number summaries."""
-    rows = df.agg(F.count(F.lit(1)).alias("rows"))
-    line = "section int, no long, line string"
-    spark = df.sparkSession
-    head = spark.createDataFrame([(0, 0, f"Database: {database}"), (0, 1, f"Query: {query}")], line)
-    size = rows.select(
-        F.lit(1).alias("section"),
-        F.lit(0).cast("long").alias("no"),
-        F.concat(F.lit("Results: "), F.col("rows").cast("string"), F.lit(" rows returned")).alias("line"),
-    )
-    titles = rows.select(
-        F.lit(2).alias("section"),
-        F.lit(0).cast("long").alias("no"),
-        F.when(F.col("rows") > 0, F.lit("Sample data:")).otherwise(F.lit("No data returned")).alias("line"),
+    """Numbered lines describing a query result: its size, n sample rows and number summaries.
+
+    The result is read twice, for one row of totals and for the sample; stage it if it is dear.
+    """
+    names = numeric_columns(df)
+    totals = df.agg(
+        F.count(F.lit(1)).alias("rows"), *[c.alias(f"c{i}") for i, c in enumerate(_summaries(names))]
     )
-    # The sample is at most n rows, so numbering it in one place is fine.
-    sample = head_n(df, n, order).select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("json"))
-    listed = (
-        sample.agg(F.collect_list("json").alias("rows"))
-        .select(F.posexplode("rows").alias("i", "json"))
-        .select(
-            F.lit(3).alias("section"),
-            F.col("i").cast("long").alias("no"),
-            F.concat(F.lit("  Row "), (F.col("i") + 1).cast("string"), F.lit(": "), F.col("json")).alias("line"),
+    rows = F.col("rows")
+    summarised = [F.col(f"c{i}") for i in range(len(names))]
+    any_total = reduce(lambda x, y: x | y, [c["total"].isNotNull() for c in summarised], F.lit(False))
+
+    def line(section: int, no: int, *parts: Column | str, given: Column = F.lit(True)) -> Column:
+        text = F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+        return F.when(
+            given, F.struct(F.lit(section).alias("section"), F.lit(no).alias("no"), text.alias("line"))
         )
-    )
-    more = rows.where(F.col("rows") > n).select(
-        F.lit(4).alias("section"),
-        F.lit(0).cast("long").alias("no"),
-        F.concat(F.lit("  ... and "), (F.col("rows") - n).cast("string"), F.lit(" more rows")).alias("line"),
-    )
 
-    def number(c: str):
-        text = F.col(c).cast("decimal(38,6)").cast("string")
-        return F.regexp_replace(text, r"\.?0+$", "")
-
-    stats = numeric_summary(df)
-    summary = stats.select(
-        F.lit(6).alias("section"),
-        F.col("position").cast("long").alias("no"),
+    def number(c: Column) -> Column:
+        return F.regexp_replace(c.cast("decimal(38,6)").cast("string"), r"\.?0+$", "")
+
+    lines = [
+        line(0, 0, f"Database: {database}"),
+        line(0, 1, f"Query: {query}"),
+        line(1, 0, "Results: ", rows, " rows returned"),
+        line(2, 0, "Sample data:", given=rows > 0),
+        line(2, 0, "No data returned", given=rows == 0),
+        line(4, 0, "  ... and ", rows - n, " more rows", given=rows > n),
+        line(5, 0, "Summary statistics:", given=any_total),
+        *[
+            line(
+                6, i, "  ", c["column"], ": Total=", number(c["total"]),
+                ", Average=", F.round(c["average"], 2).cast("decimal(38,2)"),
+                ", Min=", number(c["minimum"]), ", Max=", number(c["maximum"]),
+                given=c["total"].isNotNull(),
+            )
+            for i, c in enumerate(summarised)
+        ],
+    ]
+    described = totals.select(F.inline(F.array_compact(F.array(*lines))))
+    # At most n rows, so collecting them into one list is fine.
+    sample = head_n(df, n, order).agg(F.collect_list(F.struct("*")).alias("rows"))
+    listed = sample.select(F.posexplode("rows").alias("no", "row")).select(
+        F.lit(3).alias("section"),
+        "no",
         F.concat(
-            F.lit("  "), F.col("column"), F.lit(": Total="), number("total"),
-            F.lit(", Average="), F.round("average", 2).cast("decimal(38,2)").cast("string"),
-            F.lit(", Min="), number("minimum"), F.lit(", Max="), number("maximum"),
+            F.lit("  Row "), (F.col("no") + 1).cast("string"), F.lit(": "),
+            F.to_json("row", {"ignoreNullFields": "false"}),
         ).alias("line"),
     )
-    caption = stats.limit(1).select(
-        F.lit(5).alias("section"), F.lit(0).cast("long").alias("no"), F.lit("Summary statistics:").alias("line")
-    )
-    parts = [head, size, titles, listed, more, caption, summary]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    return described.unionByName(listed)
 
 
 def result_context(df: DataFrame, database: str, query: str, order: list[str] | None = None) -> DataFrame:

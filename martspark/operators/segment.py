@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from martspark.operators.features import FEATURES, staged_features
+from martspark.operators.features import FEATURES, moments, staged_features, z_scores
 from martspark.schemas import CLUSTER_NAMES, UNKNOWN_CLUSTER
 from martspark.session import stage
 
@@ -22,14 +22,6 @@ _STEP_GROWTH = 1.4
 _LEVELS = 18
 
 
-def _moments(features: DataFrame, columns: Sequence[str]) -> dict:
-    return features.agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.avg(c).alias(f"mean_{c}") for c in columns],
-        *[F.stddev_pop(c).alias(f"std_{c}") for c in columns],
-    ).first().asDict()
-
-
 def _bin(z: Column, step: float) -> Column:
     return F.floor(F.asinh(z / F.lit(_CORE)) / F.lit(step)).cast("int")
 
@@ -119,11 +111,11 @@ def segment_customers(
     spark = features.sparkSession
     known = features.select("user_id", *[F.col(c).cast("double").alias(c) for c in columns]).dropna()
     known = known if staged else stage(known, "segment-features")
-    moments = _moments(known, columns)
-    if moments["n"] == 0:
+    given = moments(known, columns)
+    if given["n"] == 0:
         return known.select("user_id", F.lit(None).cast("string").alias("cluster"))
 
-    z = {c: (F.col(c) - moments[f"mean_{c}"]) / (moments[f"std_{c}"] or 1.0) for c in columns}
+    z = z_scores(given, columns)
     cells = [f"cell_{c}" for c in columns]
 
     def keyed(step: float | None) -> list[Column]:
@@ -133,7 +125,7 @@ def segment_customers(
     # Step None keys by the exact values.
     steps = [None] + [_FINEST_STEP * _STEP_GROWTH**i for i in range(_LEVELS)]
     level = 0
-    if moments["n"] > max_points:
+    if given["n"] > max_points:
         used = known.agg(
             *[
                 F.hll_sketch_estimate(F.hll_sketch_agg(F.xxhash64(*keyed(s)), 12)).alias(f"s{i}")

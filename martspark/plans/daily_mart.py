@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from martspark.functions.scalars import month_start
 from martspark.operators import marts, quality
-from martspark.operators.features import as_of_date, rfm_from_totals, rfm_scores, user_totals
+from martspark.operators.features import rfm_scores, staged_rfm, user_totals
 from martspark.operators.segment import attach_cluster, cluster_or_unknown, segment_customers
 from martspark.schemas import CLUSTER_NAMES, MART
 from martspark.session import stage
@@ -26,7 +26,7 @@ def mart_tables(users: DataFrame, trans: DataFrame, lookup: DataFrame, as_of=Non
     """
     totals = stage(user_totals(trans), "user-totals")
     counts = stage(marts.activity(trans), "activity")
-    features = rfm_from_totals(totals, as_of_date(totals, "last_trans_date").scalar())
+    features = staged_rfm(totals)
     clustered = stage(
         cluster_or_unknown(
             attach_cluster(users.select(*USER_COLUMNS), segment_customers(features, staged=True)), features
