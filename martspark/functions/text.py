@@ -12,16 +12,23 @@ from pyspark.sql import types as T
 from martspark.functions.scalars import ColumnOrName, as_column
 
 
+def holds_any(text: ColumnOrName, keywords: Sequence[str]) -> Column:
+    """Does the text hold any of the keywords, as it is written?"""
+    return reduce(lambda a, b: a | b, [as_column(text).contains(k) for k in keywords])
+
+
+def held_keywords(text: ColumnOrName, keywords: Sequence[str]) -> Column:
+    return F.array_compact(F.array(*[F.when(as_column(text).contains(k), F.lit(k)) for k in keywords]))
+
+
 def contains_any(text: ColumnOrName, keywords: Sequence[str]) -> Column:
     """Does the lower-cased text hold any of the (lower-case) keywords?"""
-    lowered = F.lower(as_column(text))
-    return reduce(lambda a, b: a | b, [lowered.contains(k) for k in keywords])
+    return holds_any(F.lower(as_column(text)), keywords)
 
 
 def matched_keywords(text: ColumnOrName, keywords: Sequence[str]) -> Column:
-    """The keywords found in the text, in the order given."""
-    lowered = F.lower(as_column(text))
-    return F.array_compact(F.array(*[F.when(lowered.contains(k), F.lit(k)) for k in keywords]))
+    """The keywords found in the lower-cased text, in the order given."""
+    return held_keywords(F.lower(as_column(text)), keywords)
 
 
 def ellipsis(text: ColumnOrName, n: int, mark: str = "...") -> Column:

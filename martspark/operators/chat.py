@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from martspark.functions.scalars import default_if_empty, map_role
 from martspark.functions.text import (
-    contains_any,
     ellipsis,
+    held_keywords,
+    holds_any,
     join_lines,
-    matched_keywords,
     non_blank_text,
     number_items,
 )
@@ -288,16 +288,19 @@ QUESTION_DATABASES = ("CustomerWarehouse", "MarketingDataMart")
 
 def route_questions(df: DataFrame, text: str = "text") -> DataFrame:
     """Adds needs_private_data, databases_needed, query_type and reasoning by keyword."""
-    memory = contains_any(text, MEMORY_KEYWORDS)
-    data = contains_any(text, DATA_KEYWORDS)
+    # In steps, so that a text is lower-cased and searched once for all four columns.
+    searched = df.withColumn("_lower", F.lower(text)).withColumns({
+        "_memory": F.coalesce(holds_any("_lower", MEMORY_KEYWORDS), F.lit(False)),
+        "_data": F.coalesce(holds_any("_lower", DATA_KEYWORDS), F.lit(False)),
+    })
 
     def choose(on_memory: Column, on_data: Column, otherwise: Column) -> Column:
-        return F.when(memory, on_memory).when(data, on_data).otherwise(otherwise)
+        return F.when(F.col("_memory"), on_memory).when(F.col("_data"), on_data).otherwise(otherwise)
 
     nothing = F.array().cast("array<string>")
     databases = F.array(*[F.lit(d) for d in QUESTION_DATABASES])
-    found = F.concat_ws(", ", matched_keywords(text, MEMORY_KEYWORDS))
-    return df.select(
+    found = F.concat_ws(", ", held_keywords("_lower", MEMORY_KEYWORDS))
+    return searched.select(
         *df.columns,
         choose(F.lit(False), F.lit(True), F.lit(False)).alias("needs_private_data"),
         choose(nothing, databases, nothing).alias("databases_needed"),
