@@ -116,14 +116,13 @@ def _truthy(df: DataFrame, column: str) -> Column:
     return F.when(~empty, value)
 
 
-def generic_series(df: DataFrame, order: str, x: str = "x", y: str = "y", width: int = 1_000_000) -> DataFrame:
+def generic_series(df: DataFrame, order: str, x: str = "x", y: str = "y") -> DataFrame:
     """Rows (id, position, x, y) of one series for a table of unknown shape.
 
     x is the first non-missing of `x`, `hour` and the row's position along the integer column
-    `order`; y the first of `y`, `count`, and else `value`. `width` values of `order` are
-    numbered together.
+    `order`; y the first of `y`, `count`, and else `value`.
     """
-    numbered = positions(df, [], [F.col(order)], F.floor(F.col(order) / width))
+    numbered = positions(df, [], [F.col(order)], order)
     xs = [_truthy(df, c).cast("string") for c in (x, "hour") if c in df.columns]
     ys = [_truthy(df, c).cast("double") for c in (y, "count") if c in df.columns]
     if "value" in df.columns:

@@ -125,7 +125,7 @@ def collect_images(images: DataFrame, part_size: int = 10_000) -> DataFrame:
         images.select("message_id", "id", *IMAGE_FIELDS),
         ["message_id"],
         [F.col("id")],
-        F.floor(F.col("id") / 100_000),  # ids are given out in sequence
+        "id",
         total="image_count",
     )
     image = F.struct("position", *[F.col(c).alias(name) for c, name in IMAGE_FIELDS.items()])

@@ -11,8 +11,6 @@ from martspark.operators.chat import IMAGE_FIELDS, session_stats, session_title
 from martspark.operators.scale import positions, salted_join
 from martspark.session import stage
 
-_TOGETHER = 100_000
-
 
 @dataclass(frozen=True)
 class ChatWrites:
@@ -54,7 +52,7 @@ def apply_requests(
     opens = F.col("chat_uuid").isNull()
     allowed = F.coalesce(F.col("_owner") == F.col("user_id"), F.lit(False))
     numbered = positions(
-        looked_up.where(opens | allowed), [], [F.col("request_id")], F.floor(F.col("request_id") / _TOGETHER), "_no"
+        looked_up.where(opens | allowed), [], [F.col("request_id")], "request_id", "_no"
     )
     # Read by every result below.
     accepted = stage(
@@ -104,7 +102,7 @@ def apply_requests(
         "created_at",
     )
     attached = accepted.select("_no", "created_at", F.posexplode("images").alias("_i", "image"))
-    placed = positions(attached, [], [F.col("_no"), F.col("_i")], F.floor(F.col("_no") / _TOGETHER), "_image")
+    placed = positions(attached, [], [F.col("_no"), F.col("_i")], "_no", "_image")
     pictures = placed.select(
         (_next_id(images) + F.col("_image")).alias("id"),
         (first_message + F.col("_no") * 2).alias("message_id"),

@@ -52,37 +52,61 @@ def positions(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[Column],
-    bucket: Column,
+    place: str,
     name: str = "position",
     total: str | None = None,
+    hot_share: float = 0.005,
 ) -> DataFrame:
     """0-based position of each row among the rows of its `keys`, in `order`.
 
-    `bucket` must not decrease along `order`. Rows are numbered inside their bucket and shifted
-    by the row counts of the earlier buckets, so a huge group is sorted by many tasks and only
-    the bucket counts of a group meet. `total` optionally names a column with the group size.
+    `place` is the integer column that leads `order` (ascending), best one given out in sequence.
+    A group with more than `hot_share` of the rows, or the whole table without keys, is cut into
+    ranges of `place`: each range is numbered by itself and shifted by the rows before it. Fewer
+    than 1 / hot_share groups can be that large, which bounds what is broadcast: those groups and
+    their range counts. All rows are shuffled once. `total` names a column with the group size.
     """
     keys = list(keys)
-    # One struct for keys and bucket: NULL keys meet in the join below, and the join can use the
-    # partitioning of the numbering.
-    bucketed = df.withColumn("_slice", F.struct(*keys, bucket.alias("_bucket")))
-    sizes = bucketed.groupBy("_slice").agg(F.count(F.lit(1)).alias("_size"))
-    group = Window.partitionBy(*[F.col(f"_slice.{k}") for k in keys])
-    earlier = group.orderBy("_slice._bucket").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = 2_048 if keys else 65_536
+    span = [F.count(F.lit(1)).alias("_n"), F.min(place).alias("_low"), F.max(place).alias("_high")]
+    if keys:
+        groups = df.groupBy(*keys).agg(*span)
+        rows = groups.agg(F.sum("_n")).scalar()
+        large = groups.where(F.col("_n") > rows * F.lit(hot_share))
+        large = F.broadcast(large.withColumnsRenamed({k: f"_large_{k}" for k in keys}))
+        same = _all_equal([(k, f"_large_{k}") for k in keys])
+        known, cut = df.join(large, same, "left"), df.join(large, same)
+    else:
+        known = df.withColumn("_span", df.agg(F.struct(*span)).scalar()).withColumns(
+            {c: F.col(f"_span.{c}") for c in ("_n", "_low", "_high")}
+        )
+        cut = known
+    width = F.col("_high") - F.col("_low") + 1
+    part = F.floor((F.col(place) - F.col("_low")) / width * ranges)
+
+    numbered = known.withColumn("_part", part)
+    inside = Window.partitionBy(*keys, "_part")
+    numbered = numbered.withColumn("_inside", F.row_number().over(inside.orderBy(*order)))
+    if total:
+        numbered = numbered.withColumn(total, F.coalesce("_n", F.count(F.lit(1)).over(inside)))
+
+    sizes = cut.groupBy(*keys, part.alias("_part")).agg(F.count(F.lit(1)).alias("_size"))
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     shifts = sizes.select(
-        "_slice",
-        F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_shift"),
-        *([F.sum("_size").over(group).alias(total)] if total else []),
+        *[F.col(k).alias(f"_shift_{k}") for k in [*keys, "_part"]], F.sum("_size").over(earlier).alias("_shift")
     )
-    inside = Window.partitionBy("_slice").orderBy(*order)
-    numbered = bucketed.withColumn("_inside", F.row_number().over(inside))
-    return numbered.join(shifts, "_slice").select(
+    here = _all_equal([(k, f"_shift_{k}") for k in [*keys, "_part"]])
+    return numbered.join(F.broadcast(shifts), here, "left").select(
         *df.columns,
-        (F.col("_shift") + F.col("_inside") - 1).cast("long").alias(name),
+        (F.coalesce("_shift", F.lit(0)) + F.col("_inside") - 1).cast("long").alias(name),
         *([F.col(total)] if total else []),
     )
 
 
+def _all_equal(pairs: Sequence[tuple[str, str]]) -> Column:
+    """All pairs of columns hold the same value, or are both NULL."""
+    return reduce(lambda a, b: a & b, [F.col(x).eqNullSafe(F.col(y)) for x, y in pairs])
+
+
 # Up to this rank Spark itself drops rows before the shuffle of a rank filter
 # (spark.sql.optimizer.windowGroupLimitThreshold).
 _RANKED_BEFORE_SHUFFLE = 1000

@@ -473,7 +473,7 @@ def bar_keys(spark, sf_dir):
 )
 def generic_series(spark, sf_dir):
     orders = s.table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_totalprice").alias("value"))
-    return charts.generic_series(orders, "o_orderkey", width=4096)
+    return charts.generic_series(orders, "o_orderkey")
 
 
 @query(
@@ -859,8 +859,7 @@ def last_n_per_group(spark, sf_dir):
 )
 def positions(spark, sf_dir):
     orders = s.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    bucket = F.floor(F.col("o_orderkey") / 1000)
-    return scale.positions(orders, ["o_custkey"], [F.col("o_orderkey")], bucket, total="total")
+    return scale.positions(orders, ["o_custkey"], [F.col("o_orderkey")], "o_orderkey", total="total")
 
 
 @query(

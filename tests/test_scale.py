@@ -51,8 +51,9 @@ def test_salted_join_spreads_the_hot_key_and_no_key(spark, facts, dims):
     assert max(plain) > 6_000 and max(sizes) < 5_000
 
 
-def test_positions_count_through_buckets(facts):
-    out = positions(facts, ["k"], [F.col("id")], F.floor(F.col("id") / 97), total="n").collect()
+@pytest.mark.parametrize("hot_share", [0.005, 0.0, 1.0])
+def test_positions_of_hot_small_and_unknown_groups(facts, hot_share):
+    out = positions(facts, ["k"], [F.col("id")], "id", total="n", hot_share=hot_share).collect()
     seen = {}
     for r in sorted(out, key=lambda r: r["id"]):
         expected = seen.get(r["k"], 0)
@@ -62,19 +63,29 @@ def test_positions_count_through_buckets(facts):
 
 
 def test_positions_without_key(facts):
-    out = positions(facts, [], [F.col("id")], F.floor(F.col("id") / 1000)).select("id", "position").collect()
+    out = positions(facts, [], [F.col("id")], "id").select("id", "position").collect()
     assert all(r["id"] == r["position"] for r in out) and len(out) == 20_000
 
 
-def test_positions_shuffle_rows_once(spark, facts):
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+def test_positions_of_equal_unknown_and_no_rows(spark):
+    df = spark.createDataFrame([(5, "b"), (5, "a"), (None, "z"), (9, "c")], "n int, t string")
+    out = positions(df, [], [F.col("n"), F.col("t")], "n").orderBy("position")
+    assert [r["t"] for r in out.collect()] == ["z", "a", "b", "c"]
+    assert positions(df.limit(0), [], [F.col("n")], "n").count() == 0
+    assert positions(df.limit(0), ["t"], [F.col("n")], "n", total="total").count() == 0
+
+
+def test_positions_spread_the_hot_group_in_one_shuffle(spark, facts):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        plan = plan_of(positions(facts, ["k"], [F.col("id")], F.floor(F.col("id") / 97)))
+        out = positions(facts, ["k"], [F.col("id")], "id")
+        sizes = [r[0] for r in out.groupBy(F.spark_partition_id()).count().select("count").collect()]
+        plan = plan_of(out)
     finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10485760")
-    # One exchange of the rows; the others carry the bucket counts.
-    assert plan.count("Exchange hashpartitioning(_slice") <= 3
-    assert "BroadcastNestedLoopJoin" not in plan and "CartesianProduct" not in plan
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert max(sizes) < 5_000 and sum(sizes) == 20_000
+    # Only the numbering shuffles rows; the joins are broadcasts of the large groups.
+    assert plan.count("_part") and "SortMergeJoin" not in plan and "NestedLoop" not in plan
 
 
 def test_last_n_keeps_all_of_small_groups(spark):
