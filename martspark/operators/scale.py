@@ -22,7 +22,8 @@ def salted_join(
     Keys with more than `hot_share` of the left rows are spread over `salts` tasks, their right
     rows repeated once per salt. Fewer than 1 / hot_share keys can be that frequent, which bounds
     both the broadcast key list and the repeated rows. NULL keys match nothing and are spread
-    too. The salt is a hash of the row, so a recomputed task puts each row in the same place.
+    too. The salt is a hash of the row, so a recomputed task puts each row in the same place; let
+    `left` carry a row key, as fully equal rows get equal salts.
     """
     on = list(on)
     known = F.lit(True)

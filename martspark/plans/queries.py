@@ -1,1478 +1,9 @@
 """Every operator as a query over the given tables, next to the SQL that must give the same."""
 
-from __future__ import annotations
+from martspark.plans import chat_queries, mart_queries, quality_queries, table_queries, text_queries
+from martspark.plans.registry import ORACLES, QUERIES
 
-from collections.abc import Callable
+# Importing the modules above fills the register.
+MODULES = (mart_queries, quality_queries, chat_queries, text_queries, table_queries)
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from martspark.functions import scalars, text
-from martspark.operators import charts, chat, features, marts, quality, results, scale, segment
-from martspark.operators import chat_writes as writes
-from martspark.plans import daily_mart
-from martspark.plans import samples as s
-from martspark.schemas import CHAT, CLUSTER_NAMES, MART
-from martspark.session import stage_path
-from martspark.sources import files, tables
-from martspark.streaming import sessions as live
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None, uses: str = "") -> Callable[[Query], Query]:
-    """Registers a query under its function name; `uses` names the shared subqueries of the SQL."""
-
-    def register(fn: Query) -> Query:
-        QUERIES[fn.__name__] = fn
-        if sql is not None:
-            ORACLES[fn.__name__] = s.with_tables(uses, sql)
-        return fn
-
-    return register
-
-
-def rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
-    """Float sums depend on the order of the rows, so results are compared rounded."""
-    return df.withColumns({c: F.round(c, digits) for c in columns})
-
-
-def order_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.staged_features(s.order_trans(spark, sf_dir))
-
-
-def clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Users with the cluster of a fixed model, so that SQL can say the same."""
-    scored = features.standardize(features.staged_features(s.fact_trans(spark, sf_dir)))
-    model = segment.assign_cluster(scored, s.FROZEN_MODEL, [f"z_{c}" for c in features.FEATURES])
-    return segment.attach_cluster(s.dim_users(spark, sf_dir), model)
-
-
-def services(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return marts.service_count(s.fact_trans(spark, sf_dir), s.mcc_lookup(spark, sf_dir))
-
-
-# -- features and segments --------------------------------------------------------------------
-
-
-@query(
-    "SELECT user_id, last_trans_date, frequency, round(monetary, 2) AS monetary, recency FROM rfm",
-    "rfm",
-)
-def rfm_features(spark, sf_dir):
-    return rounded(features.rfm_features(s.fact_trans(spark, sf_dir)), 2, "monetary")
-
-
-@query("SELECT max(trans_timestamp) AS as_of FROM fact_trans", "fact_trans")
-def as_of_date(spark, sf_dir):
-    return features.as_of_date(s.fact_trans(spark, sf_dir))
-
-
-@query("SELECT user_id, round(sum(trans_amount), 2) AS total_spent FROM fact_trans GROUP BY 1", "fact_trans")
-def user_spend(spark, sf_dir):
-    return rounded(features.user_spend(s.fact_trans(spark, sf_dir)), 2, "total_spent")
-
-
-@query(
-    """SELECT round(avg(total), 4) AS avg_clv
-       FROM (SELECT sum(trans_amount) AS total FROM fact_trans GROUP BY user_id)""",
-    "fact_trans",
-)
-def avg_clv(spark, sf_dir):
-    return rounded(features.avg_clv(s.fact_trans(spark, sf_dir)), 4, "avg_clv")
-
-
-@query(
-    """SELECT * FROM order_trans WHERE trans_timestamp >= date_trunc('month', TIMESTAMP '2001-05-20 00:00:00')""",
-    "order_trans",
-)
-def since_month_start(spark, sf_dir):
-    return features.since_month_start(s.order_trans(spark, sf_dir), "2001-05-20")
-
-
-@query(
-    """SELECT user_id, round(z_frequency, 6) AS z_frequency, round(z_monetary, 6) AS z_monetary,
-              round(z_recency, 6) AS z_recency FROM standard""",
-    "standard",
-)
-def standardize(spark, sf_dir):
-    scored = features.standardize(features.staged_features(s.fact_trans(spark, sf_dir)))
-    zs = [f"z_{c}" for c in features.FEATURES]
-    return rounded(scored, 6, *zs).select("user_id", *zs)
-
-
-@query(
-    """SELECT metric, edge, round(v, 4) AS value FROM (
-         SELECT 'frequency' AS metric, unnest(range(0, 6)) AS edge,
-                unnest(quantile_cont(frequency, [0.0, 0.2, 0.4, 0.6, 0.8, 1.0])) AS v FROM order_rfm
-         UNION ALL
-         SELECT 'monetary', unnest(range(0, 6)),
-                unnest(quantile_cont(monetary, [0.0, 0.2, 0.4, 0.6, 0.8, 1.0])) FROM order_rfm)""",
-    "order_rfm",
-)
-def quantile_edges(spark, sf_dir):
-    edges = features.quantile_edges(order_features(spark, sf_dir), ["frequency", "monetary"])
-    rows = edges.select("metric", F.posexplode("edges").alias("edge", "value"))
-    return rounded(rows.withColumn("edge", F.col("edge").cast("long")), 4, "value")
-
-
-@query(
-    """SELECT user_id, frequency,
-              CAST(1 + (f[2] > f[1] AND frequency > f[2])::INT + (f[3] > f[2] AND frequency > f[3])::INT
-                     + (f[4] > f[3] AND frequency > f[4])::INT + (f[5] > f[4] AND frequency > f[5])::INT
-                   AS INTEGER) AS frequency_score,
-              CAST(1 + (m[2] > m[1] AND monetary > m[2])::INT + (m[3] > m[2] AND monetary > m[3])::INT
-                     + (m[4] > m[3] AND monetary > m[4])::INT + (m[5] > m[4] AND monetary > m[5])::INT
-                   AS INTEGER) AS monetary_score,
-              CAST(CASE WHEN recency > 30 THEN 1 ELSE 5 END AS INTEGER) AS recency_score
-       FROM order_rfm, (SELECT quantile_cont(frequency, [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]) AS f,
-                               quantile_cont(monetary, [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]) AS m FROM order_rfm)""",
-    "order_rfm",
-)
-def rfm_scores(spark, sf_dir):
-    return features.rfm_scores(order_features(spark, sf_dir)).select(
-        "user_id", "frequency", "frequency_score", "monetary_score", "recency_score"
-    )
-
-
-@query("SELECT user_id, cluster FROM clusters", "clusters")
-def assign_cluster(spark, sf_dir):
-    scored = features.standardize(features.staged_features(s.fact_trans(spark, sf_dir)))
-    zs = [f"z_{c}" for c in features.FEATURES]
-    return segment.assign_cluster(scored, s.FROZEN_MODEL, zs).select("user_id", "cluster")
-
-
-@query("SELECT user_id, age, gender, city, state, cluster FROM clustered", "clustered")
-def attach_cluster(spark, sf_dir):
-    return clustered(spark, sf_dir).select("user_id", "age", "gender", "city", "state", "cluster")
-
-
-@query("SELECT user_id, cluster FROM clustered WHERE cluster IS NOT NULL", "clustered")
-def with_cluster(spark, sf_dir):
-    return segment.with_cluster(clustered(spark, sf_dir)).select("user_id", "cluster")
-
-
-@query(
-    """SELECT user_id, CASE WHEN (SELECT count(*) FROM rfm) = 0 THEN 'Unknown' ELSE cluster END AS cluster
-       FROM clustered""",
-    "clustered rfm",
-)
-def cluster_or_unknown(spark, sf_dir):
-    rfm = features.staged_features(s.fact_trans(spark, sf_dir))
-    return segment.cluster_or_unknown(clustered(spark, sf_dir), rfm).select("user_id", "cluster")
-
-
-@query()
-def segment_customers(spark, sf_dir):
-    return segment.segment_customers(features.staged_features(s.fact_trans(spark, sf_dir)), staged=True)
-
-
-@query(
-    """SELECT count(DISTINCT user_id) AS users, CAST(3 AS BIGINT) AS clusters, count(DISTINCT user_id) AS with_cluster
-       FROM order_trans""",
-    "order_trans",
-)
-def segment_coverage(spark, sf_dir):
-    """Every user with features gets one of three clusters."""
-    found = segment.segment_customers(order_features(spark, sf_dir), staged=True)
-    return found.agg(
-        F.count_distinct("user_id").alias("users"),
-        F.count_distinct("cluster").alias("clusters"),
-        F.count("cluster").alias("with_cluster"),
-    )
-
-
-@query(
-    """WITH c AS (SELECT label AS cluster_id, avg(embedding[1]) AS f, avg(embedding[2]) AS m, avg(embedding[3]) AS r
-                  FROM embeddings GROUP BY label)
-       SELECT cluster_id, CASE row_number() OVER (ORDER BY f + m - r DESC, cluster_id)
-                WHEN 1 THEN 'Top Users' WHEN 2 THEN 'Loyal Users' WHEN 3 THEN 'At-Risk Users'
-                ELSE 'Cluster ' || row_number() OVER (ORDER BY f + m - r DESC, cluster_id) END AS cluster
-       FROM c"""
-)
-def name_clusters(spark, sf_dir):
-    vectors = s.table(spark, sf_dir, "embeddings")
-    centroids = vectors.groupBy(F.col("label").alias("cluster_id")).agg(
-        *[F.avg(F.col("embedding")[i]).alias(f"z_{c}") for i, c in enumerate(features.FEATURES)]
-    )
-    return segment.name_clusters(centroids).select("cluster_id", "cluster")
-
-
-@query()
-def clustered_users(spark, sf_dir):
-    return segment.clustered_users(s.dim_users(spark, sf_dir), s.fact_trans(spark, sf_dir))
-
-
-# -- mart tables ------------------------------------------------------------------------------
-
-
-@query("SELECT age, cluster, count FROM age_count", "age_count")
-def age_count(spark, sf_dir):
-    return marts.age_count(clustered(spark, sf_dir))
-
-
-@query("SELECT gender, cluster, count FROM gender_count", "gender_count")
-def gender_count(spark, sf_dir):
-    return marts.gender_count(clustered(spark, sf_dir))
-
-
-@query('SELECT "hour", count FROM trans_by_day', "trans_by_day")
-def trans_by_hour(spark, sf_dir):
-    return marts.trans_by_hour(s.fact_trans(spark, sf_dir))
-
-
-@query(
-    """SELECT trans_service AS service, count, description
-       FROM (SELECT trans_service, count(trans_id) AS count FROM fact_trans GROUP BY 1)
-       LEFT JOIN mcc_lookup ON TRY_CAST(trans_service AS BIGINT) = mcc""",
-    "fact_trans mcc_lookup",
-)
-def describe_codes(spark, sf_dir):
-    return marts.describe_codes(marts.code_counts(s.fact_trans(spark, sf_dir)), s.mcc_lookup(spark, sf_dir))
-
-
-@query("SELECT service, count FROM service_count", "service_count")
-def service_count(spark, sf_dir):
-    return services(spark, sf_dir)
-
-
-@query(
-    """SELECT longitude, latitude, city, state AS country, cluster
-       FROM clustered""",
-    "clustered",
-)
-def user_geo(spark, sf_dir):
-    return marts.user_geo(clustered(spark, sf_dir))
-
-
-@query("SELECT count(*) AS rows FROM lineitem")
-def row_count(spark, sf_dir):
-    return marts.row_count(s.table(spark, sf_dir, "lineitem"))
-
-
-@query(
-    """SELECT n AS new_users, n // 4 AS returning_users, CAST(r AS BIGINT) AS new_transactions,
-              round(a, 4) AS avg_clv, CAST(b AS BIGINT) AS active_returning_users
-       FROM (SELECT count(*) AS n FROM dim_users),
-            (SELECT sum(recent) AS r, avg(spent) AS a, count(*) FILTER (WHERE first_day < last_day) AS b
-             FROM (SELECT user_id, sum(trans_amount) AS spent,
-                          count(*) FILTER (WHERE trans_timestamp >= TIMESTAMP '2001-05-01 00:00:00') AS recent,
-                          min(CAST(trans_timestamp AS DATE)) AS first_day,
-                          max(CAST(trans_timestamp AS DATE)) AS last_day
-                   FROM order_trans GROUP BY user_id))""",
-    "dim_users order_trans",
-)
-def dashboard_stats(spark, sf_dir):
-    stats = marts.dashboard_stats(s.dim_users(spark, sf_dir), s.order_trans(spark, sf_dir), "2001-05-20")
-    return rounded(stats, 4, "avg_clv")
-
-
-@query(
-    """SELECT CAST(year(trans_timestamp) AS INTEGER) AS "year", CAST(quarter(trans_timestamp) AS INTEGER) AS "quarter",
-              round(sum(trans_amount), 2) AS revenue
-       FROM order_trans GROUP BY 1, 2""",
-    "order_trans",
-)
-def revenue_by_quarter(spark, sf_dir):
-    return rounded(marts.revenue_by_quarter(s.order_trans(spark, sf_dir)), 2, "revenue")
-
-
-@query("SELECT state AS country, count(*) AS users FROM clustered GROUP BY 1", "clustered")
-def users_by_country(spark, sf_dir):
-    return marts.users_by_country(marts.user_geo(clustered(spark, sf_dir)))
-
-
-@query(
-    """SELECT date_trunc('month', trans_timestamp)::DATE AS "month", CAST(hour(trans_timestamp) AS INTEGER) AS "hour",
-              trans_service, count(trans_id) AS count
-       FROM fact_trans GROUP BY 1, 2, 3""",
-    "fact_trans",
-)
-def activity(spark, sf_dir):
-    return marts.activity(s.fact_trans(spark, sf_dir))
-
-
-def run_daily(spark: SparkSession, sf_dir: str, target: str) -> DataFrame:
-    return daily_mart.run_daily(
-        spark,
-        s.dim_users(spark, sf_dir),
-        s.fact_trans(spark, sf_dir),
-        s.mcc_lookup(spark, sf_dir),
-        target,
-        as_of="2024-01-15",
-    )
-
-
-@query()
-def daily_mart_tables(spark, sf_dir):
-    """The whole daily job; returns the rows of each table it wrote."""
-    return run_daily(spark, sf_dir, stage_path(spark, "mart"))
-
-
-@query(
-    """SELECT 'service_count' AS "table", service AS label, count FROM service_count
-       UNION ALL SELECT 'trans_by_day', CAST("hour" AS VARCHAR), count FROM trans_by_day
-       UNION ALL SELECT 'stats', 'new_users', count(*) FROM dim_users
-       UNION ALL SELECT 'stats', 'new_transactions', count(*) FROM fact_trans
-         WHERE trans_timestamp >= TIMESTAMP '2024-01-01 00:00:00'
-       UNION ALL SELECT 'user_geo', 'rows', count(*) FROM dim_users
-       UNION ALL SELECT 'rfm_scores', 'rows', count(DISTINCT user_id) FROM fact_trans""",
-    "service_count trans_by_day dim_users",
-)
-def daily_mart_content(spark, sf_dir):
-    """What the daily job wrote, where SQL can say the same."""
-    target = stage_path(spark, "mart")
-    written = run_daily(spark, sf_dir, target)
-    mart = daily_mart.read_mart(spark, target)
-
-    def rows(table: str, label, count) -> DataFrame:
-        return mart[table].select(F.lit(table).alias("table"), label.alias("label"), count.alias("count"))
-
-    sizes = written.where(F.col("table").isin("user_geo", "rfm_scores")).select(
-        "table", F.lit("rows").alias("label"), F.col("rows").alias("count")
-    )
-    return quality.union_all(
-        rows("service_count", F.col("service"), F.col("count")),
-        rows("trans_by_day", F.col("hour").cast("string"), F.col("count")),
-        rows("stats", F.lit("new_users"), F.col("new_users")),
-        rows("stats", F.lit("new_transactions"), F.col("new_transactions")),
-        sizes,
-    )
-
-
-# -- charts -----------------------------------------------------------------------------------
-
-
-@query("SELECT service, count FROM service_count ORDER BY count DESC, service LIMIT 7", "service_count")
-def top_services(spark, sf_dir):
-    return charts.top_services(services(spark, sf_dir))
-
-
-@query(
-    """SELECT service AS most_used_service, count AS usage_count
-       FROM service_count ORDER BY count DESC, service LIMIT 1""",
-    "service_count",
-)
-def top_service(spark, sf_dir):
-    return charts.top_service(services(spark, sf_dir))
-
-
-@query("SELECT count(*) AS new_users FROM dim_users", "dim_users")
-def first_row(spark, sf_dir):
-    stats = marts.dashboard_stats(s.dim_users(spark, sf_dir), s.order_trans(spark, sf_dir), "2001-05-20")
-    return charts.first_row(stats, "new_users")
-
-
-@query(
-    """SELECT round(avg(total), 2) AS average_clv
-       FROM (SELECT sum(trans_amount) AS total FROM order_trans GROUP BY user_id)""",
-    "order_trans",
-)
-def average_clv(spark, sf_dir):
-    stats = marts.dashboard_stats(s.dim_users(spark, sf_dir), s.order_trans(spark, sf_dir), "2001-05-20")
-    return charts.average_clv(stats)
-
-
-@query("SELECT gender, CAST(sum(count) AS BIGINT) AS count FROM gender_count GROUP BY 1", "gender_count")
-def gender_distribution(spark, sf_dir):
-    return charts.gender_distribution(marts.gender_count(clustered(spark, sf_dir)))
-
-
-@query("SELECT age, cluster, count FROM age_count ORDER BY age, cluster", "age_count")
-def order_by(spark, sf_dir):
-    return charts.order_by(marts.age_count(clustered(spark, sf_dir)), ["age", "cluster"])
-
-
-@query(
-    """SELECT longitude, latitude, city, state AS country, cluster
-       FROM clustered WHERE longitude IS NOT NULL AND latitude IS NOT NULL""",
-    "clustered",
-)
-def geo_points(spark, sf_dir):
-    return charts.geo_points(marts.user_geo(clustered(spark, sf_dir)))
-
-
-@query("SELECT gender, cluster, count FROM gender_count WHERE cluster = 'Loyal Users'", "gender_count")
-def filter_cluster(spark, sf_dir):
-    return charts.filter_cluster(marts.gender_count(clustered(spark, sf_dir)), "Loyal Users")
-
-
-@query("SELECT service AS id, service AS label, count AS value FROM service_count", "service_count")
-def to_pie(spark, sf_dir):
-    return charts.to_pie(services(spark, sf_dir), "service")
-
-
-@query(
-    """SELECT id, value, CASE WHEN sum(value) OVER () > 0
-              THEN round(value * 100.0::DOUBLE / CAST(sum(value) OVER () AS DOUBLE), 1) ELSE 0 END AS percentage
-       FROM (SELECT l_suppkey AS id, count(*) AS value FROM lineitem GROUP BY 1)"""
-)
-def share_of_total(spark, sf_dir):
-    lines = s.table(spark, sf_dir, "lineitem")
-    counts = lines.groupBy(F.col("l_suppkey").alias("id")).agg(F.count(F.lit(1)).alias("value"))
-    return charts.share_of_total(counts)
-
-
-@query(
-    """SELECT 'Transactions' AS id, CAST("hour" AS VARCHAR) AS x, count AS y FROM trans_by_day""", "trans_by_day"
-)
-def series_by_hour(spark, sf_dir):
-    series = charts.series_by_hour(marts.trans_by_hour(s.fact_trans(spark, sf_dir)))
-    return series.select("id", F.inline("data"))
-
-
-_BINNED = """
-    SELECT coalesce(cluster, 'No Cluster') AS id,
-           CASE WHEN age BETWEEN 18 AND 25 THEN '18-25' WHEN age BETWEEN 26 AND 35 THEN '26-35'
-                WHEN age BETWEEN 36 AND 45 THEN '36-45' WHEN age BETWEEN 46 AND 55 THEN '46-55'
-                WHEN age BETWEEN 56 AND 65 THEN '56-65' WHEN age >= 66 THEN '66+' ELSE 'Unknown' END AS x,
-           CAST(sum(count) AS BIGINT) AS y
-    FROM age_count GROUP BY 1, 2"""
-
-
-@query(f"SELECT id, x, y FROM ({_BINNED}) WHERE x <> 'Unknown'", "age_count")
-def age_distribution(spark, sf_dir):
-    return charts.age_distribution(marts.age_count(clustered(spark, sf_dir))).drop("rank")
-
-
-@query(f"SELECT id, x, y FROM ({_BINNED})", "age_count")
-def age_distribution_all(spark, sf_dir):
-    return charts.age_distribution(marts.age_count(clustered(spark, sf_dir)), keep_unknown=True).drop("rank")
-
-
-@query(
-    f"""SELECT id, coalesce(string_agg(x || ':' || y, ' ' ORDER BY x) FILTER (WHERE x <> 'Unknown'), '') AS points
-        FROM ({_BINNED}) GROUP BY id""",
-    "age_count",
-)
-def age_series(spark, sf_dir):
-    series = charts.age_series(marts.age_count(clustered(spark, sf_dir)))
-    point = F.transform("data", lambda p: F.concat(p["x"], F.lit(":"), p["y"].cast("string")))
-    return series.select("id", F.array_join(point, " ").alias("points"))
-
-
-@query(
-    """SELECT p_type AS service, sum(p_size) FILTER (WHERE p_brand = 'Brand#1')::BIGINT AS "Brand#1",
-              sum(p_size) FILTER (WHERE p_brand = 'Brand#2')::BIGINT AS "Brand#2",
-              sum(p_size) FILTER (WHERE p_brand = 'Brand#3')::BIGINT AS "Brand#3"
-       FROM part GROUP BY 1"""
-)
-def bar_keys(spark, sf_dir):
-    parts = s.table(spark, sf_dir, "part")
-    wide = charts.to_wide(parts, "p_type", "p_brand", "p_size", ["Brand#1", "Brand#2", "Brand#3"])
-    colored = wide.withColumnRenamed("p_type", "service").withColumn("Brand#1Color", F.lit("blue"))
-    return colored.select("service", *charts.bar_keys(colored))
-
-
-@query(
-    """SELECT 'Data' AS id, row_number() OVER (ORDER BY o_orderkey) - 1 AS position,
-              CAST(row_number() OVER (ORDER BY o_orderkey) - 1 AS VARCHAR) AS x, o_totalprice AS y
-       FROM orders"""
-)
-def generic_series(spark, sf_dir):
-    orders = s.table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_totalprice").alias("value"))
-    return charts.generic_series(orders, "o_orderkey")
-
-
-@query(
-    """SELECT 'Data' AS id, "hour" AS position,
-              CASE WHEN "hour" = 0 THEN '0' ELSE CAST("hour" AS VARCHAR) END AS x, CAST(count AS DOUBLE) AS y
-       FROM (SELECT CAST("hour" AS BIGINT) AS "hour", count FROM trans_by_day)""",
-    "trans_by_day",
-)
-def generic_hour_series(spark, sf_dir):
-    return charts.generic_series(marts.trans_by_hour(s.fact_trans(spark, sf_dir)), "hour")
-
-
-# -- quality ----------------------------------------------------------------------------------
-
-
-@query(
-    """SELECT 'orders' AS "table", count(*) AS rows, count(*) > 0 AS ok FROM orders
-       UNION ALL SELECT 'part', count(*), count(*) > 0 FROM part
-       UNION ALL SELECT 'nobody', count(*), count(*) > 0 FROM customer WHERE c_acctbal IS NULL"""
-)
-def check_not_empty(spark, sf_dir):
-    return quality.check_not_empty({
-        "orders": s.table(spark, sf_dir, "orders"),
-        "part": s.table(spark, sf_dir, "part"),
-        "nobody": s.table(spark, sf_dir, "customer").where(F.col("c_acctbal").isNull()),
-    })
-
-
-@query(
-    """SELECT e.value, count(a.cluster) > 0 AS found, CASE WHEN count(a.cluster) > 0 THEN 'ok' ELSE 'warn' END AS severity
-       FROM (VALUES ('Top Users'), ('Loyal Users'), ('At-Risk Users'), ('Lost Users')) e(value)
-       LEFT JOIN age_count a ON a.cluster = e.value GROUP BY 1""",
-    "age_count",
-)
-def check_expected_values(spark, sf_dir):
-    ages = marts.age_count(clustered(spark, sf_dir))
-    return quality.check_expected_values(ages, "cluster", [*CLUSTER_NAMES, "Lost Users"])
-
-
-@query(
-    """SELECT v AS l_returnflag FROM (VALUES ('A'), ('N'), ('R'), ('X')) e(v)
-       WHERE v NOT IN (SELECT l_returnflag FROM lineitem)"""
-)
-def missing_expected(spark, sf_dir):
-    return quality.missing_expected(s.table(spark, sf_dir, "lineitem"), "l_returnflag", ["A", "N", "R", "X"])
-
-
-@query("SELECT DISTINCT p_brand FROM part")
-def distinct_values(spark, sf_dir):
-    return quality.distinct_values(s.table(spark, sf_dir, "part"), "p_brand")
-
-
-@query(
-    """SELECT trans_service, count(*) AS count, round(sum(trans_amount), 2) AS amount
-       FROM (SELECT * FROM fact_trans UNION ALL SELECT * FROM order_trans) GROUP BY 1""",
-    "fact_trans order_trans",
-)
-def union_all(spark, sf_dir):
-    both = quality.union_all(s.fact_trans(spark, sf_dir), s.order_trans(spark, sf_dir))
-    totals = both.groupBy("trans_service").agg(
-        F.count(F.lit(1)).alias("count"), F.sum("trans_amount").alias("amount")
-    )
-    return rounded(totals, 2, "amount")
-
-
-@query(
-    """SELECT l_orderkey, l_linenumber, count(*) AS rows FROM lineitem
-       GROUP BY ALL HAVING count(*) > 1"""
-)
-def check_unique(spark, sf_dir):
-    return quality.check_unique(s.table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"])
-
-
-@query(
-    """SELECT l_suppkey, count(*) AS rows FROM lineitem
-       WHERE l_suppkey NOT IN (SELECT n_nationkey FROM nation) GROUP BY 1"""
-)
-def fk_violations(spark, sf_dir):
-    return quality.fk_violations(
-        s.table(spark, sf_dir, "lineitem"), s.table(spark, sf_dir, "nation"), "l_suppkey", "n_nationkey"
-    )
-
-
-@query(
-    """SELECT 'events' AS child, count(DISTINCT user_id) AS orphan_keys, count(*) AS orphan_rows, count(*) = 0 AS ok
-       FROM events WHERE user_id NOT IN (SELECT c_custkey FROM customer)
-       UNION ALL
-       SELECT 'lineitem', count(DISTINCT l_orderkey), count(*), count(*) = 0
-       FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)
-       UNION ALL
-       SELECT 'lineitem_label', count(DISTINCT l_suppkey), count(*), count(*) = 0
-       FROM lineitem WHERE l_suppkey NOT IN (SELECT label FROM embeddings)"""
-)
-def check_fk(spark, sf_dir):
-    lines = s.table(spark, sf_dir, "lineitem")
-    checks = {
-        "events": (s.table(spark, sf_dir, "events"), s.table(spark, sf_dir, "customer"), "user_id", "c_custkey"),
-        "lineitem": (lines, s.table(spark, sf_dir, "orders"), "l_orderkey", "o_orderkey"),
-        "lineitem_label": (lines, s.table(spark, sf_dir, "embeddings"), "l_suppkey", "label"),
-    }
-    found = [
-        quality.check_fk(*check).select(F.lit(name).alias("child"), "*") for name, check in checks.items()
-    ]
-    return quality.union_all(*found)
-
-
-@query(
-    """SELECT 'discount' AS rule, count(*) FILTER (WHERE NOT l_discount <= 0.05) AS violations,
-              count(*) FILTER (WHERE NOT l_discount <= 0.05) = 0 AS ok FROM lineitem
-       UNION ALL SELECT 'quantity', count(*) FILTER (WHERE NOT l_quantity >= 1),
-              count(*) FILTER (WHERE NOT l_quantity >= 1) = 0 FROM lineitem
-       UNION ALL SELECT 'flag', count(*) FILTER (WHERE l_returnflag NOT IN ('A', 'N')),
-              count(*) FILTER (WHERE l_returnflag NOT IN ('A', 'N')) = 0 FROM lineitem"""
-)
-def check_predicates(spark, sf_dir):
-    rules = {
-        "discount": F.col("l_discount") <= 0.05,
-        "quantity": F.col("l_quantity") >= 1,
-        "flag": scalars.in_set("l_returnflag", ["A", "N"]),
-    }
-    return quality.check_predicates(s.table(spark, sf_dir, "lineitem"), rules)
-
-
-@query(
-    """SELECT 'name_length' AS rule, count(*) FILTER (WHERE length(name) < 2) AS violations,
-              count(*) FILTER (WHERE length(name) < 2) = 0 AS ok FROM chat_users
-       UNION ALL SELECT 'email_shape', count(*) FILTER (WHERE email NOT LIKE '%@%.%'),
-              count(*) FILTER (WHERE email NOT LIKE '%@%.%') = 0 FROM chat_users
-       UNION ALL SELECT 'title_length', count(*) FILTER (WHERE length(title) > 255),
-              count(*) FILTER (WHERE length(title) > 255) = 0 FROM chat_sessions
-       UNION ALL SELECT 'sender_type', count(*) FILTER (WHERE sender_type NOT IN ('user', 'assistant', 'system')),
-              count(*) FILTER (WHERE sender_type NOT IN ('user', 'assistant', 'system')) = 0 FROM messages
-       UNION ALL SELECT 'content_type', 0, true UNION ALL SELECT 'status', 0, true""",
-    "chat_users chat_sessions messages",
-)
-def chat_rules(spark, sf_dir):
-    frames = {
-        "users": s.chat_users(spark, sf_dir),
-        "chat_sessions": s.chat_sessions(spark, sf_dir),
-        "messages": s.messages(spark, sf_dir),
-    }
-    return quality.union_all(*[quality.check_predicates(df, quality.chat_rules(n)) for n, df in frames.items()])
-
-
-@query(
-    """SELECT 'id' AS rule, count(*) FILTER (WHERE id IS NULL) AS violations,
-              count(*) FILTER (WHERE id IS NULL) = 0 AS ok FROM chat_sessions
-       UNION ALL SELECT 'title', count(*) FILTER (WHERE title IS NULL), count(*) FILTER (WHERE title IS NULL) = 0
-       FROM chat_sessions
-       UNION ALL SELECT 'last_message_at', count(*) FILTER (WHERE last_message_at IS NULL),
-              count(*) FILTER (WHERE last_message_at IS NULL) = 0 FROM chat_sessions""",
-    "chat_sessions",
-)
-def check_not_null(spark, sf_dir):
-    return quality.check_not_null(s.chat_sessions(spark, sf_dir), ["id", "title", "last_message_at"])
-
-
-@query(
-    """SELECT max(ts) AS latest, round(epoch(TIMESTAMP '2024-02-01 00:00:00' - max(ts)) / 3600, 4) AS age_hours,
-              TIMESTAMP '2024-02-01 00:00:00' - max(ts) <= INTERVAL 48 HOURS AS ok FROM events"""
-)
-def check_freshness(spark, sf_dir):
-    as_of = F.lit("2024-02-01 00:00:00").cast("timestamp")
-    return rounded(quality.check_freshness(s.table(spark, sf_dir, "events"), "ts", 48, as_of), 4, "age_hours")
-
-
-def contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    name = F.split("c_name", "#")
-    bad = F.col("c_acctbal") < 0
-    return s.table(spark, sf_dir, "customer").select(
-        "c_custkey",
-        name[0].alias("firstName"),
-        F.when(F.col("c_nationkey") > 2, name[1]).alias("lastName"),
-        F.when(bad, F.lower("c_name")).otherwise(
-            F.concat(F.lower(F.replace("c_name", F.lit("#"), F.lit("."))), F.lit("@example.com"))
-        ).alias("email"),
-        F.concat(
-            F.when(F.col("c_nationkey") < 10, F.lit("+1 ")).when(bad, F.lit("0x")).otherwise(F.lit("(030) ")),
-            F.lpad(F.col("c_custkey").cast("string"), 7, "5"),
-        ).alias("contact"),
-        F.col("c_mktsegment").alias("address1"),
-        F.when(bad, F.lit("")).otherwise(F.col("c_mktsegment")).alias("address2"),
-    )
-
-
-@query(
-    r"""WITH contacts AS (
-         SELECT c_custkey, split_part(c_name, '#', 1) AS f, CASE WHEN c_nationkey > 2 THEN split_part(c_name, '#', 2) END AS l,
-                CASE WHEN c_acctbal < 0 THEN lower(c_name) ELSE lower(replace(c_name, '#', '.')) || '@example.com' END AS e,
-                CASE WHEN c_nationkey < 10 THEN '+1 ' WHEN c_acctbal < 0 THEN '0x' ELSE '(030) ' END
-                    || lpad(CAST(c_custkey AS VARCHAR), 7, '5') AS p,
-                c_mktsegment AS a1, CASE WHEN c_acctbal < 0 THEN '' ELSE c_mktsegment END AS a2
-         FROM customer)
-       SELECT c_custkey, concat_ws('; ',
-         CASE WHEN coalesce(f, '') = '' THEN 'firstName required' END,
-         CASE WHEN coalesce(l, '') = '' THEN 'lastName required' END,
-         CASE WHEN coalesce(e, '') = '' THEN 'email required' END,
-         CASE WHEN coalesce(p, '') = '' THEN 'contact required' END,
-         CASE WHEN coalesce(a1, '') = '' THEN 'address1 required' END,
-         CASE WHEN coalesce(a2, '') = '' THEN 'address2 required' END,
-         CASE WHEN NOT regexp_matches(e, '^[a-zA-Z0-9.!#$%&''*+/=?^_`{|}~-]+@[a-zA-Z0-9-]+(\.[a-zA-Z0-9-]+)*$')
-              THEN 'invalid email' END,
-         CASE WHEN NOT regexp_matches(p,
-              '^((\+[1-9]{1,4}[ -]?)|(\([0-9]{2,3}\)[ -]?)|([0-9]{2,4})[ -]?)*[0-9]{3,4}[ -]?[0-9]{3,4}$')
-              THEN 'Phone number is not valid' END) AS failed
-       FROM contacts"""
-)
-def validate_contacts(spark, sf_dir):
-    checked = quality.validate_contacts(contacts(spark, sf_dir))
-    return checked.select("c_custkey", F.array_join("failed_rules", "; ").alias("failed"))
-
-
-# -- chat -------------------------------------------------------------------------------------
-
-
-@query(
-    """SELECT cs.id, cs.uuid, title, message_count, created_at, last_message_at, u.name AS user_name, u.email AS user_email
-       FROM chat_sessions cs JOIN chat_users u ON cs.user_id = u.id WHERE is_active""",
-    "chat_sessions chat_users",
-)
-def active_sessions(spark, sf_dir):
-    return chat.active_sessions(s.chat_sessions(spark, sf_dir), s.chat_users(spark, sf_dir))
-
-
-@query("SELECT user_id, count(*) AS total FROM chat_sessions WHERE is_active GROUP BY 1", "chat_sessions")
-def active_session_total(spark, sf_dir):
-    return chat.active_session_total(s.chat_sessions(spark, sf_dir))
-
-
-@query("SELECT id, user_id, title FROM chat_sessions WHERE is_active", "chat_sessions")
-def active_for_user(spark, sf_dir):
-    return chat.active_for_user(s.chat_sessions(spark, sf_dir)).select("id", "user_id", "title")
-
-
-@query("SELECT min(id) AS id FROM chat_users", "chat_users")
-def default_user(spark, sf_dir):
-    return chat.default_user(s.chat_users(spark, sf_dir))
-
-
-_PAGE = """
-    SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id
-                     ORDER BY last_message_at DESC NULLS LAST, created_at DESC, id) AS place
-                   FROM chat_sessions WHERE is_active)
-    WHERE place BETWEEN 3 AND 7"""
-
-
-@query(f"SELECT id, uuid, user_id, created_at, last_message_at FROM ({_PAGE})", "chat_sessions")
-def list_sessions(spark, sf_dir):
-    page = chat.list_sessions(s.chat_sessions(spark, sf_dir), limit=5, offset=2)
-    return page.select("id", "uuid", "user_id", "created_at", "last_message_at")
-
-
-@query(
-    f"""SELECT p.user_id, uuid AS id, CASE WHEN coalesce(title, '') = '' THEN 'New Chat' ELSE title END AS title,
-               message_count, created_at, last_message_at, total
-        FROM ({_PAGE}) p JOIN (SELECT user_id, count(*) AS total FROM chat_sessions WHERE is_active GROUP BY 1) t
-             ON p.user_id = t.user_id""",
-    "chat_sessions",
-)
-def chat_list(spark, sf_dir):
-    return chat.chat_list(s.chat_sessions(spark, sf_dir), limit=5, offset=2)
-
-
-@query(
-    """SELECT doc_id, CASE WHEN length("text") > 50 THEN substring("text", 1, 50) || '...'
-                           WHEN coalesce("text", '') = '' THEN 'New Chat' ELSE "text" END AS title
-       FROM documents"""
-)
-def session_title(spark, sf_dir):
-    return s.table(spark, sf_dir, "documents").select("doc_id", chat.session_title("text").alias("title"))
-
-
-_SESSION_STATS = """
-    SELECT chat_session_id, count(*) AS message_count, max(created_at) AS last_message_at FROM messages GROUP BY 1"""
-
-
-@query(_SESSION_STATS, "messages")
-def session_stats(spark, sf_dir):
-    return chat.session_stats(s.messages(spark, sf_dir))
-
-
-@query("SELECT id, chat_session_id, sender_type, created_at FROM messages ORDER BY created_at, id", "messages")
-def ordered_messages(spark, sf_dir):
-    rows = chat.ordered_messages(s.messages(spark, sf_dir))
-    return rows.select("id", "chat_session_id", "sender_type", "created_at")
-
-
-@query(
-    """SELECT id, sender_type, content FROM messages
-       WHERE chat_session_id = (SELECT chat_session_id FROM messages ORDER BY created_at DESC, id DESC LIMIT 1)""",
-    "messages",
-)
-def messages_of(spark, sf_dir):
-    """The session that was written to last, found through its external id."""
-    rows = s.messages(spark, sf_dir)
-    latest = rows.agg(F.max_by("chat_session_id", F.struct("created_at", "id")).alias("id"))
-    uuid = latest.select(F.concat(F.lit("chat-"), F.col("id").cast("string"))).scalar()
-    found = chat.messages_of(uuid, s.chat_sessions(spark, sf_dir), rows)
-    return found.select("id", "sender_type", "content")
-
-
-@query(
-    """SELECT message_id, 0 AS part, count(*) AS image_count, string_agg(image_url, ' ' ORDER BY id) AS urls,
-              string_agg(coalesce(thumbnail_url, '-'), ' ' ORDER BY id) AS thumbnails,
-              string_agg(file_name, ' ' ORDER BY id) AS names, string_agg(CAST(width AS VARCHAR), ' ' ORDER BY id) AS widths
-       FROM message_images GROUP BY 1""",
-    "message_images",
-)
-def collect_images(spark, sf_dir):
-    lists = chat.collect_images(s.message_images(spark, sf_dir))
-
-    def packed(field: str):
-        return F.array_join(F.col(f"images.{field}").cast("array<string>"), " ", "-")
-
-    return lists.select(
-        "message_id",
-        "part",
-        "image_count",
-        packed("url").alias("urls"),
-        packed("thumbnail_url").alias("thumbnails"),
-        packed("fileName").alias("names"),
-        packed("width").alias("widths"),
-    )
-
-
-@query(
-    """SELECT m.id, m.sender_type, string_agg(image_url, ',' ORDER BY i.id) AS image_urls, count(i.id) AS image_count
-       FROM messages m LEFT JOIN message_images i ON m.id = i.message_id GROUP BY m.id, m.sender_type""",
-    "messages message_images",
-)
-def messages_with_images(spark, sf_dir):
-    joined = chat.messages_with_images(s.messages(spark, sf_dir), s.message_images(spark, sf_dir))
-    return joined.select("id", "sender_type", "image_urls", "image_count")
-
-
-@query(
-    """SELECT cs.uuid AS chat_id, cs.title, m.uuid AS id, CASE WHEN sender_type = 'user' THEN 'user' ELSE 'ai' END AS role,
-              content, m.created_at, count(i.id) AS n_images,
-              coalesce(string_agg(coalesce(thumbnail_url, image_url) || '|' || file_name || '|' || width, ' ' ORDER BY i.id), '')
-                  AS images
-       FROM chat_sessions cs JOIN messages m ON m.chat_session_id = cs.id
-            LEFT JOIN message_images i ON i.message_id = m.id
-       WHERE is_active GROUP BY ALL""",
-    "chat_sessions messages message_images",
-)
-def chat_detail(spark, sf_dir):
-    detail = chat.chat_detail(
-        s.chat_sessions(spark, sf_dir), s.messages(spark, sf_dir), s.message_images(spark, sf_dir)
-    )
-    shown = F.transform(
-        "images", lambda i: F.concat_ws("|", i["thumbnail_url"], i["fileName"], i["width"].cast("string"))
-    )
-    return detail.select(
-        "chat_id", "title", "id", "role", "content", "created_at",
-        F.size("images").cast("long").alias("n_images"),
-        F.array_join(shown, " ").alias("images"),
-    )
-
-
-@query(
-    """SELECT id, CASE WHEN sender_type = 'user' THEN 'user' ELSE 'assistant' END AS role FROM messages
-       WHERE trim(content) <> ''""",
-    "messages",
-)
-def non_blank(spark, sf_dir):
-    rows = chat.non_blank(s.messages(spark, sf_dir))
-    return rows.select("id", scalars.map_role("sender_type").alias("role"))
-
-
-@query(
-    """SELECT id, chat_session_id, content FROM messages
-       QUALIFY row_number() OVER (PARTITION BY chat_session_id ORDER BY created_at DESC, id DESC) <= 3""",
-    "messages",
-)
-def last_n_per_group(spark, sf_dir):
-    latest = scale.last_n_per_group(s.messages(spark, sf_dir), "chat_session_id", chat.MESSAGE_ORDER, 3)
-    return latest.select("id", "chat_session_id", "content")
-
-
-@query(
-    """SELECT o_orderkey, o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS position,
-              count(*) OVER (PARTITION BY o_custkey) AS total FROM orders"""
-)
-def positions(spark, sf_dir):
-    orders = s.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    return scale.positions(orders, ["o_custkey"], [F.col("o_orderkey")], "o_orderkey", total="total")
-
-
-@query(
-    """WITH latest AS (
-         SELECT *, row_number() OVER (PARTITION BY chat_session_id ORDER BY created_at DESC, id DESC) AS back FROM messages),
-       urls AS (
-         SELECT chat_session_id, string_agg('Image ' || n || ': ' || image_url, chr(10) ORDER BY n) AS lines
-         FROM (SELECT m.chat_session_id, image_url,
-                      row_number() OVER (PARTITION BY m.chat_session_id ORDER BY i.id) AS n
-               FROM message_images i JOIN messages m ON m.id = i.message_id) GROUP BY 1)
-       SELECT l.chat_session_id, CAST(count(*) FILTER (WHERE back <= 4 AND trim(content) <> '') + 2 AS INTEGER) AS entries,
-              'system: You are a marketing assistant.' || chr(10)
-              || string_agg(CASE WHEN sender_type = 'user' THEN 'user' ELSE 'assistant' END || ': ' || content, chr(10)
-                            ORDER BY created_at, id) FILTER (WHERE back <= 4 AND trim(content) <> '') || chr(10)
-              || 'user: ' || max(content) FILTER (WHERE back = 1)
-              || coalesce(chr(10) || 'Attached images:' || chr(10) || max(u.lines), '') AS prompt
-       FROM latest l LEFT JOIN urls u ON u.chat_session_id = l.chat_session_id GROUP BY l.chat_session_id""",
-    "messages message_images",
-)
-def prompt_payloads(spark, sf_dir):
-    """Each session's last message asked again, with the session's images attached."""
-    rows = s.messages(spark, sf_dir)
-    last = rows.groupBy("chat_session_id").agg(F.max_by("content", F.struct("created_at", "id")).alias("text"))
-    owners = rows.select(F.col("id").alias("message_id"), "chat_session_id")
-    owned = scale.salted_join(s.message_images(spark, sf_dir), owners, ["message_id"], "inner")
-    lists = chat.collect_images(owned.drop("message_id").withColumnRenamed("chat_session_id", "message_id"))
-    urls = lists.select(F.col("message_id").alias("chat_session_id"), F.col("images.url").alias("image_urls"))
-    current = last.join(urls, "chat_session_id", "left")
-    payloads = chat.prompt_payloads(rows, "You are a marketing assistant.", 4, current)
-    lines = F.transform("payload", lambda p: F.concat(p["role"], F.lit(": "), p["content"]))
-    return payloads.select(
-        "chat_session_id", F.size("payload").alias("entries"), text.join_lines(lines).alias("prompt")
-    )
-
-
-_QUESTIONS = """
-    SELECT conv_id, turn, "text" || CASE WHEN turn = 0 THEN ' How many transactions in TOTAL?'
-                                       WHEN turn = 1 THEN ' Do you Remember my name, as I told you earlier?'
-                                       ELSE '' END AS q FROM conversations"""
-
-_MEMORY = (
-    "['" + "', '".join(chat.MEMORY_KEYWORDS) + "']"
-)
-_DATA = "['" + "', '".join(chat.DATA_KEYWORDS) + "']"
-
-
-def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ending = (
-        F.when(F.col("turn") == 0, " How many transactions in TOTAL?")
-        .when(F.col("turn") == 1, " Do you Remember my name, as I told you earlier?")
-        .otherwise("")
-    )
-    return s.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat("text", ending).alias("q"))
-
-
-@query(
-    f"""SELECT conv_id, turn, len(m) = 0 AND len(d) > 0 AS needs_private_data,
-               CASE WHEN len(m) = 0 AND len(d) > 0 THEN 'CustomerWarehouse,MarketingDataMart' ELSE '' END AS databases,
-               CASE WHEN len(m) > 0 THEN 'memory_query' WHEN len(d) > 0 THEN 'data_query' ELSE 'conversational' END AS query_type,
-               CASE WHEN len(m) > 0 THEN 'memory keywords: ' || array_to_string(m, ', ')
-                    WHEN len(d) > 0 THEN 'data keywords' ELSE 'no keywords' END AS reasoning
-        FROM (SELECT conv_id, turn, list_filter({_MEMORY}, lambda k: contains(lower(q), k)) AS m,
-                     list_filter({_DATA}, lambda k: contains(lower(q), k)) AS d FROM ({_QUESTIONS}))"""
-)
-def route_questions(spark, sf_dir):
-    routed = chat.route_questions(questions(spark, sf_dir), "q")
-    return routed.select(
-        "conv_id", "turn", "needs_private_data",
-        F.array_join("databases_needed", ",").alias("databases"), "query_type", "reasoning",
-    )
-
-
-# -- text functions ---------------------------------------------------------------------------
-
-_WORDS = ["the", "http", "@", "license", "<p>", "ion"]
-_WORDS_SQL = "['the', 'http', '@', 'license', '<p>', 'ion']"
-
-
-@query(
-    f"""SELECT doc_id, len(m) > 0 AS hit, array_to_string(m, ',') AS words
-        FROM (SELECT doc_id, list_filter({_WORDS_SQL}, lambda k: contains(lower("text"), k)) AS m FROM documents)"""
-)
-def matched_keywords(spark, sf_dir):
-    return s.table(spark, sf_dir, "documents").select(
-        "doc_id",
-        text.contains_any("text", _WORDS).alias("hit"),
-        F.array_join(text.matched_keywords("text", _WORDS), ",").alias("words"),
-    )
-
-
-@query(
-    r"""SELECT page_id, nullif(regexp_extract(html, '(?s)\{.*\}'), '') AS "json" FROM pages"""
-)
-def extract_json(spark, sf_dir):
-    return s.table(spark, sf_dir, "pages").select("page_id", text.extract_json("html").alias("json"))
-
-
-@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events")
-def parse_json(spark, sf_dir):
-    return s.table(spark, sf_dir, "events").select("event_id", text.parse_json("props", "k int")["k"].alias("k"))
-
-
-_REPLIES = """
-    SELECT conv_id, turn, CASE turn % 4
-        WHEN 0 THEN "text" || chr(10) || '```sql' || chr(10) || 'SELECT count(*)' || chr(10) || '  FROM t' || conv_id || ';'
-                    || chr(10) || '```' || chr(10) || "text"
-        WHEN 1 THEN '  with a as (select 1)  ' || chr(10) || ' select * from a ' || chr(10) || '   ' || chr(10) || "text"
-        WHEN 2 THEN 'Here:' || chr(10) || '```' || chr(10) || 'select ''' || role || ''' as role; -- all' || chr(10) || 'x;'
-                    || chr(10) || '```'
-        ELSE "text" END AS reply
-    FROM conversations"""
-
-
-def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def lines(*parts):
-        return F.concat_ws("\n", *[F.lit(p) if isinstance(p, str) else p for p in parts])
-
-    body, kind = F.col("text"), F.col("turn") % 4
-    reply = (
-        F.when(kind == 0, lines(body, "```sql", "SELECT count(*)",
-                                F.concat(F.lit("  FROM t"), F.col("conv_id").cast("string"), F.lit(";")), "```", body))
-        .when(kind == 1, lines("  with a as (select 1)  ", " select * from a ", "   ", body))
-        .when(kind == 2, lines("Here:", "```",
-                               F.concat(F.lit("select '"), F.col("role"), F.lit("' as role; -- all")), "x;", "```"))
-        .otherwise(body)
-    )
-    return s.table(spark, sf_dir, "conversations").select("conv_id", "turn", reply.alias("reply"))
-
-
-@query(
-    rf"""SELECT conv_id, turn, regexp_replace(regexp_replace(reply, '```sql\n?', '', 'g'), '```\n?', '', 'g') AS plain
-         FROM ({_REPLIES})"""
-)
-def strip_fences(spark, sf_dir):
-    return replies(spark, sf_dir).select("conv_id", "turn", text.strip_fences("reply").alias("plain"))
-
-
-@query(
-    rf"""WITH plain AS (
-           SELECT conv_id, turn, [trim(x, ' ' || chr(9) || chr(13)) for x in string_split(
-                    trim(regexp_replace(regexp_replace(reply, '```sql\n?', '', 'g'), '```\n?', '', 'g'),
-                         ' ' || chr(9) || chr(13) || chr(10)), chr(10))] AS l
-           FROM ({_REPLIES})),
-         rest AS (
-           SELECT conv_id, turn, l[list_position([regexp_matches(x, '(?i)^(select|with|insert|update|delete)') for x in l], true):] AS l,
-                  list_contains([regexp_matches(x, '(?i)^(select|with|insert|update|delete)') for x in l], true) AS hit
-           FROM plain),
-         stmt AS (
-           SELECT conv_id, turn, hit, array_to_string(
-                    l[:coalesce(list_position([x = '' OR ends_with(x, ';') for x in l], true), len(l))], chr(10)) AS q FROM rest)
-         SELECT conv_id, turn, CASE WHEN NOT hit THEN ''
-                  ELSE regexp_replace(trim(q, ' ' || chr(10)), ';$', '') END AS sql FROM stmt"""
-)
-def first_sql(spark, sf_dir):
-    return replies(spark, sf_dir).select("conv_id", "turn", text.first_sql("reply").alias("sql"))
-
-
-@query(
-    """SELECT page_id, array_to_string(string_split(url, '/'), ' ') AS parts, len(string_split(url, '/')) AS n,
-              TRY_CAST(CASE WHEN regexp_full_match(split_part(url, '/', -1), '[0-9]+') THEN split_part(url, '/', -1) END
-                       AS INTEGER) AS number
-       FROM pages"""
-)
-def split_list(spark, sf_dir):
-    parts = text.split_list("url", "/")
-    return s.table(spark, sf_dir, "pages").select(
-        "page_id",
-        F.array_join(parts, " ").alias("parts"),
-        F.size(parts).cast("long").alias("n"),
-        text.safe_int(F.element_at(parts, -1)).alias("number"),
-    )
-
-
-@query(
-    """SELECT message_id, string_agg(image_url || '|' || t || '|' || w, ' ' ORDER BY n) AS records FROM (
-         SELECT message_id, image_url, row_number() OVER (PARTITION BY message_id ORDER BY id) AS n,
-                coalesce(list(thumbnail_url) FILTER (WHERE thumbnail_url IS NOT NULL) OVER
-                  (PARTITION BY message_id ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)
-                  [row_number() OVER (PARTITION BY message_id ORDER BY id)], image_url) AS t,
-                CAST(width AS VARCHAR) AS w
-         FROM message_images) GROUP BY 1""",
-    "message_images",
-)
-def zip_records(spark, sf_dir):
-    """Lists packed as text without the missing entries, read back by position."""
-    lists = chat.collect_images(s.message_images(spark, sf_dir)).select(
-        "message_id",
-        F.array_join("images.url", ",").alias("urls"),
-        F.array_join("images.thumbnail_url", ",").alias("thumbnails"),
-        F.array_join(F.col("images.width").cast("array<string>"), ",").alias("widths"),
-    )
-    columns = {
-        "url": text.split_list("urls"),
-        "thumbnail": F.filter(text.split_list("thumbnails"), lambda t: F.length(t) > 0),
-        "width": text.split_list("widths"),
-    }
-    records = text.zip_records(columns, "url", {})
-    shown = F.transform(
-        records,
-        lambda r: F.concat_ws("|", r["url"], F.coalesce(r["thumbnail"], r["url"]), r["width"]),
-    )
-    return lists.select("message_id", F.array_join(shown, " ").alias("records"))
-
-
-@query(
-    """SELECT message_id, string_agg('Image ' || n || ': ' || image_url, chr(10) ORDER BY n) AS lines
-       FROM (SELECT *, row_number() OVER (PARTITION BY message_id ORDER BY id) AS n FROM message_images) GROUP BY 1""",
-    "message_images",
-)
-def number_items(spark, sf_dir):
-    lists = chat.collect_images(s.message_images(spark, sf_dir))
-    return lists.select("message_id", text.join_lines(text.number_items("images.url", "Image")).alias("lines"))
-
-
-@query(
-    """SELECT page_id, CASE WHEN contains(url, '.') THEN split_part(url, '.', -1) ELSE 'jpg' END AS ext,
-              starts_with(url, 'image/') AS image, length(html) <= 10 * 1024 * 1024 AS fits,
-              length(url) BETWEEN 20 AND 40 AS good_length
-       FROM pages"""
-)
-def file_rules(spark, sf_dir):
-    return s.table(spark, sf_dir, "pages").select(
-        "page_id",
-        text.file_ext("url").alias("ext"),
-        text.is_image("url").alias("image"),
-        text.size_ok(F.length("html")).alias("fits"),
-        scalars.length_between("url", 20, 40).alias("good_length"),
-    )
-
-
-@query(
-    """SELECT o_orderkey, round(o_totalprice / 7, 2) AS price, o_orderkey // 4 AS quarter_key,
-              format('{:,}', o_orderkey) AS number, '$' || format('{:,}', o_custkey) AS money,
-              CAST(o_custkey AS VARCHAR) AS axis
-       FROM orders"""
-)
-def number_formats(spark, sf_dir):
-    return s.table(spark, sf_dir, "orders").select(
-        "o_orderkey",
-        scalars.round2(F.col("o_totalprice") / 7).alias("price"),
-        scalars.floor_div("o_orderkey", 4).alias("quarter_key"),
-        scalars.fmt_number("o_orderkey").alias("number"),
-        scalars.fmt_currency("o_custkey").alias("money"),
-        scalars.axis_text("o_custkey").alias("axis"),
-    )
-
-
-@query(
-    """SELECT l_orderkey, l_linenumber, CAST(datediff('day', l_shipdate, TIMESTAMP '2002-01-01 00:00:00') AS INTEGER) AS days,
-              CAST(hour(l_shipdate) AS INTEGER) AS "hour", CAST(date_trunc('month', l_shipdate) AS DATE) AS month_start
-       FROM lineitem"""
-)
-def date_parts(spark, sf_dir):
-    return s.table(spark, sf_dir, "lineitem").select(
-        "l_orderkey",
-        "l_linenumber",
-        scalars.days_between("l_shipdate", F.lit("2002-01-01").cast("date")).alias("days"),
-        scalars.hour_of("l_shipdate").alias("hour"),
-        scalars.month_start(F.col("l_shipdate")).alias("month_start"),
-    )
-
-
-@query(
-    """SELECT l_returnflag, CASE l_returnflag WHEN 'A' THEN 'Returned' WHEN 'N' THEN 'Kept' END AS label,
-              count(*) AS rows FROM lineitem GROUP BY 1, 2"""
-)
-def map_labels(spark, sf_dir):
-    labelled = s.table(spark, sf_dir, "lineitem").select(
-        "l_returnflag", scalars.map_labels("l_returnflag", {"A": "Returned", "N": "Kept"}).alias("label")
-    )
-    return labelled.groupBy("l_returnflag", "label").agg(F.count(F.lit(1)).alias("rows"))
-
-
-@query("SELECT count(*) AS rows, count(*) AS ids, true AS timed FROM conversations")
-def new_ids(spark, sf_dir):
-    rows = s.table(spark, sf_dir, "conversations").select(
-        scalars.new_id().alias("uuid"), scalars.now().alias("created_at")
-    )
-    return rows.agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.count_distinct("uuid").alias("ids"),
-        F.bool_and(F.col("created_at").isNotNull()).alias("timed"),
-    )
-
-
-# -- results ----------------------------------------------------------------------------------
-
-
-@query(
-    """SELECT 'l_orderkey' AS "column", 0 AS position, CAST(sum(l_orderkey) AS DOUBLE) AS total,
-              round(avg(l_orderkey), 4) AS average, CAST(min(l_orderkey) AS DOUBLE) AS minimum,
-              CAST(max(l_orderkey) AS DOUBLE) AS maximum FROM lineitem
-       UNION ALL SELECT 'l_quantity', 1, sum(l_quantity), round(avg(l_quantity), 4), min(l_quantity), max(l_quantity)
-       FROM lineitem
-       UNION ALL SELECT 'l_linenumber', 2, sum(l_linenumber), round(avg(l_linenumber), 4), min(l_linenumber), max(l_linenumber)
-       FROM lineitem"""
-)
-def numeric_summary(spark, sf_dir):
-    lines = s.table(spark, sf_dir, "lineitem").select(
-        "l_returnflag", "l_orderkey", "l_quantity", "l_linenumber", "l_tax"
-    )
-    return rounded(results.numeric_summary(lines), 4, "average")
-
-
-@query(
-    """SELECT '{"service":"' || service || '","count":' || count || '}' AS "json" FROM service_count""",
-    "service_count",
-)
-def to_json_records(spark, sf_dir):
-    return results.to_json_records(services(spark, sf_dir))
-
-
-@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 5")
-def head_n(spark, sf_dir):
-    orders = s.table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
-    return results.head_n(orders, 5, [F.desc("o_totalprice"), F.col("o_orderkey")])
-
-
-@query("SELECT * FROM part ORDER BY p_partkey LIMIT 10")
-def preview(spark, sf_dir):
-    return results.preview(s.table(spark, sf_dir, "part"), order=["p_partkey"])
-
-
-@query(
-    """SELECT o_custkey, count(*) AS n, round(sum(o_totalprice), 2) AS spent FROM orders
-       GROUP BY 1 ORDER BY spent DESC, o_custkey LIMIT 100"""
-)
-def run_readonly_sql(spark, sf_dir):
-    tables.publish_view(s.table(spark, sf_dir, "orders"), "asked_orders")
-    asked = """SELECT o_custkey, count(*) AS n, round(sum(o_totalprice), 2) AS spent
-               FROM asked_orders GROUP BY o_custkey ORDER BY spent DESC, o_custkey;"""
-    return results.run_readonly_sql(spark, asked).frame
-
-
-@query(
-    """WITH r AS (SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY 1),
-            k AS (SELECT *, row_number() OVER (ORDER BY o_orderpriority) AS i FROM r)
-       SELECT 'Database: sales' || chr(10) || 'Query: orders by priority' || chr(10)
-              || 'Results: ' || count(*) || ' rows returned' || chr(10) || 'Sample data:' || chr(10)
-              || string_agg('  Row ' || i || ': {"o_orderpriority":"' || o_orderpriority || '","n":' || n || '}', chr(10)
-                            ORDER BY i) FILTER (WHERE i <= 5)
-              || CASE WHEN count(*) > 5 THEN chr(10) || '  ... and ' || (count(*) - 5) || ' more rows' ELSE '' END
-              || chr(10) || 'Summary statistics:' || chr(10)
-              || '  n: Total=' || CAST(sum(n) AS BIGINT) || ', Average=' || CAST(round(avg(n), 2) AS DECIMAL(38, 2))
-              || ', Min=' || min(n) || ', Max=' || max(n) AS context
-       FROM k"""
-)
-def result_context(spark, sf_dir):
-    orders = s.table(spark, sf_dir, "orders")
-    counts = orders.groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
-    return results.result_context(counts, "sales", "orders by priority", ["o_orderpriority"])
-
-
-# -- sources and sinks ------------------------------------------------------------------------
-
-
-@query(
-    """SELECT event_id AS trans_id, CAST(user_id AS INTEGER) AS user_id, CAST(user_id % 3 AS INTEGER) AS card_id,
-              CASE WHEN event_type <> 'error' THEN date_trunc('second', ts) END AS trans_timestamp,
-              value AS trans_amount, event_type AS trans_service
-       FROM events"""
-)
-def read_fact_parts(spark, sf_dir):
-    """Events written as CSV part files and loaded back; errors carry a text that is no time."""
-    stamp = F.when(F.col("event_type") == "error", F.lit("not a time")).otherwise(
-        F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
-    )
-    out = stage_path(spark, "fact-parts")
-    s.table(spark, sf_dir, "events").select(
-        F.col("event_id").alias("trans_id"),
-        "user_id",
-        (F.col("user_id") % 3).alias("card_id"),
-        stamp.alias("trans_timestamp"),
-        F.col("value").alias("trans_amount"),
-        F.col("event_type").alias("trans_service"),
-    ).repartition(18).write.option("header", True).csv(out)
-    return files.read_fact_parts(spark, f"{out}/part-*.csv")
-
-
-@query("SELECT CAST(n_nationkey AS BIGINT) AS mcc, n_name AS description FROM nation")
-def read_mcc(spark, sf_dir):
-    out = stage_path(spark, "codes")
-    s.table(spark, sf_dir, "nation").select(
-        F.col("n_nationkey").alias("mcc"),
-        F.col("n_name").alias("edited_description"),
-        F.col("n_name").alias("combined_description"),
-        F.lit("-").alias("usda_description"),
-        F.col("n_name").alias("irs_description"),
-        F.lit("Yes").alias("irs_reportable"),
-    ).write.option("header", True).csv(out)
-    return files.read_mcc(spark, out)
-
-
-@query(
-    """SELECT m.id, m.sender_type, cs.user_id, cs.is_active, CAST(cs.created_at AS DATE) AS day
-       FROM messages m JOIN chat_sessions cs ON m.chat_session_id = cs.id""",
-    "messages chat_sessions",
-)
-def read_chat(spark, sf_dir):
-    """The chat tables written in their declared schemas and read back."""
-    out = stage_path(spark, "chat")
-    given = {"chat_sessions": s.chat_sessions(spark, sf_dir), "messages": s.messages(spark, sf_dir)}
-    for name, schema in CHAT.items():
-        df = given.get(name, s.table(spark, sf_dir, "nation").limit(0))
-        padded = df.withColumns({f.name: F.lit(None) for f in schema.fields if f.name not in df.columns})
-        tables.write_mart(padded, f"{out}/{name}", schema)
-    read = files.read_chat(spark, out)
-    owner = read.chat_sessions.select(
-        F.col("id").alias("chat_session_id"), "user_id", "is_active", F.to_date("created_at").alias("day")
-    )
-    return scale.salted_join(read.messages, owner, ["chat_session_id"], "inner").select(
-        "id", "sender_type", "user_id", "is_active", "day"
-    )
-
-
-@query('SELECT "hour", count FROM trans_by_day', "trans_by_day")
-def write_mart(spark, sf_dir):
-    out = stage_path(spark, "trans_by_day")
-    tables.write_mart(marts.trans_by_hour(s.fact_trans(spark, sf_dir)), out, MART["trans_by_day"])
-    return spark.read.schema(MART["trans_by_day"]).parquet(out)
-
-
-@query("SELECT uuid, chat_session_id, sender_type FROM messages", "messages")
-def append_rows(spark, sf_dir):
-    """User messages first, then all of them: those already there are not added again."""
-    out = stage_path(spark, "messages")
-    rows = s.messages(spark, sf_dir).select("uuid", "chat_session_id", "sender_type")
-    tables.append_rows(rows.where(F.col("sender_type") == "user"), out)
-    tables.append_rows(rows, out)
-    return spark.read.schema(rows.schema).parquet(out)
-
-
-@query(
-    """SELECT event_id, CAST(event_id AS VARCHAR) AS code, TRY_CAST(event_type AS INTEGER) AS kind,
-              CAST(user_id AS INTEGER) AS user_id FROM events"""
-)
-def conform(spark, sf_dir):
-    events = s.table(spark, sf_dir, "events")
-    loose = events.select(
-        "user_id", F.col("event_type").alias("kind"), "event_id", F.col("event_id").alias("code")
-    )
-    return tables.conform(loose, files.T.StructType.fromDDL("event_id long, code string, kind int, user_id int"))
-
-
-@query(
-    """SELECT cs.id, cs.title, coalesce(CAST(st.message_count AS INTEGER), cs.message_count) AS message_count,
-              coalesce(st.last_message_at, cs.last_message_at) AS last_message_at
-       FROM chat_sessions cs LEFT JOIN (SELECT chat_session_id, count(*) AS message_count, max(created_at) AS last_message_at
-                                        FROM messages GROUP BY 1) st ON st.chat_session_id = cs.id""",
-    "chat_sessions messages",
-)
-def upsert(spark, sf_dir):
-    """Session counters replaced by what the messages say."""
-    base = s.chat_sessions(spark, sf_dir).select("id", "title", "message_count", "last_message_at")
-    stats = chat.session_stats(s.messages(spark, sf_dir)).select(
-        F.col("chat_session_id").alias("id"), F.col("message_count").cast("int").alias("message_count"), "last_message_at"
-    )
-    return tables.upsert(base, stats, "id")
-
-
-@query(
-    """SELECT 'chat_sessions' AS "table", id FROM chat_sessions WHERE is_active
-       UNION ALL SELECT 'messages', id FROM messages
-         WHERE chat_session_id NOT IN (SELECT id FROM chat_sessions WHERE NOT is_active)
-       UNION ALL SELECT 'message_images', id FROM message_images WHERE message_id NOT IN (
-         SELECT id FROM messages WHERE chat_session_id IN (SELECT id FROM chat_sessions WHERE NOT is_active))""",
-    "chat_sessions messages message_images",
-)
-def cascade_delete(spark, sf_dir):
-    """Inactive sessions removed with their messages and those messages' images."""
-    base = {
-        "chat_sessions": s.chat_sessions(spark, sf_dir).select("id", "is_active"),
-        "messages": s.messages(spark, sf_dir).select("id", "chat_session_id"),
-        "message_images": s.message_images(spark, sf_dir).select("id", "message_id"),
-    }
-    gone = base["chat_sessions"].where(~F.col("is_active"))
-    links = {
-        "messages": ("chat_sessions", "chat_session_id"),
-        "message_images": ("messages", "message_id"),
-    }
-    kept = tables.cascade_delete(base, "chat_sessions", gone, "id", links)
-    return quality.union_all(*[df.select(F.lit(name).alias("table"), "id") for name, df in kept.items()])
-
-
-def chat_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as requests: English ones to an order's chat, French ones to somebody else's."""
-    lang = F.col("lang")
-    image = F.struct(
-        F.col("source").alias("url"), F.lit(None).cast("string").alias("thumbnail_url"),
-        F.lit(None).cast("string").alias("file_id"), F.lit(None).cast("string").alias("fileName"),
-        F.col("n_chars").cast("int").alias("width"), F.lit(1).alias("height"),
-    )
-    images = F.when(F.col("n_chars") > 1000, F.array(image, image)).otherwise(F.array().cast(
-        "array<struct<url:string,thumbnail_url:string,file_id:string,fileName:string,width:int,height:int>>"))
-    joined = s.table(spark, sf_dir, "documents").join(
-        s.table(spark, sf_dir, "orders"), F.col("doc_id") == F.col("o_orderkey")
-    )
-    return joined.select(
-        F.col("doc_id").alias("request_id"),
-        (F.col("o_custkey") + (lang == "fr").cast("int")).alias("user_id"),
-        F.when(lang.isin("en", "fr"), F.concat(F.lit("chat-"), F.col("doc_id").cast("string"))).alias("chat_uuid"),
-        "text",
-        images.alias("images"),
-        F.concat(F.lit("Noted: "), lang).alias("reply"),
-        (F.lit("2024-06-01").cast("timestamp_ntz") + F.make_dt_interval(secs=F.col("doc_id"))).alias("created_at"),
-    )
-
-
-def chat_writes(spark: SparkSession, sf_dir: str) -> writes.ChatWrites:
-    return writes.apply_requests(
-        chat_requests(spark, sf_dir), s.chat_sessions(spark, sf_dir), s.messages(spark, sf_dir),
-        s.message_images(spark, sf_dir),
-    )
-
-
-_REQUESTS = """
-    SELECT d.*, o_custkey, o_orderstatus <> 'F' AND lang = 'en' AS existing, lang NOT IN ('en', 'fr') AS opens,
-           TIMESTAMP '2024-06-01 00:00:00' + to_seconds(doc_id) AS moment
-    FROM documents d JOIN orders ON doc_id = o_orderkey"""
-_ACCEPTED = f"""
-    SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS no FROM ({_REQUESTS}) WHERE existing OR opens"""
-
-
-@query(
-    f"""SELECT (SELECT max(id) + 1 FROM messages) + 2 * no + turn AS id,
-               CASE WHEN opens THEN (SELECT max(id) + 1 FROM chat_sessions) + no ELSE doc_id END AS chat_session_id,
-               CASE turn WHEN 0 THEN 'user' ELSE 'assistant' END AS sender_type,
-               CASE turn WHEN 0 THEN "text" ELSE 'Noted: ' || lang END AS content,
-               CASE WHEN turn = 0 AND n_chars > 1000 THEN 'mixed' ELSE 'text' END AS content_type, moment AS created_at
-        FROM ({_ACCEPTED}), (VALUES (0), (1)) t(turn)""",
-    "messages chat_sessions",
-)
-def write_messages(spark, sf_dir):
-    rows = chat_writes(spark, sf_dir).messages
-    return rows.select("id", "chat_session_id", "sender_type", "content", "content_type", "created_at")
-
-
-@query(
-    f"""SELECT (SELECT max(id) FROM message_images) + row_number() OVER (ORDER BY no, i) AS id,
-               (SELECT max(id) + 1 FROM messages) + 2 * no AS message_id, source AS image_url,
-               CAST(n_chars AS INTEGER) AS width
-        FROM ({_ACCEPTED}), (VALUES (0), (1)) t(i) WHERE n_chars > 1000""",
-    "messages message_images",
-)
-def write_images(spark, sf_dir):
-    return chat_writes(spark, sf_dir).images.select("id", "message_id", "image_url", "width")
-
-
-@query(
-    f"""WITH moved AS (
-          SELECT CASE WHEN opens THEN (SELECT max(id) + 1 FROM chat_sessions) + no ELSE doc_id END AS id,
-                 o_custkey AS user_id, opens, "text", moment FROM ({_ACCEPTED}))
-        SELECT c.id, c.user_id, c.title, CAST(c.message_count + CASE WHEN m.id IS NULL THEN 0 ELSE 2 END AS INTEGER)
-                 AS message_count, coalesce(m.moment, c.last_message_at) AS last_message_at
-        FROM chat_sessions c LEFT JOIN moved m ON c.id = m.id
-        UNION ALL
-        SELECT id, user_id, CASE WHEN length("text") > 50 THEN substring("text", 1, 50) || '...'
-                                 WHEN coalesce("text", '') = '' THEN 'New Chat' ELSE "text" END, 2, moment
-        FROM moved WHERE opens""",
-    "chat_sessions",
-)
-def write_sessions(spark, sf_dir):
-    after = chat_writes(spark, sf_dir).sessions
-    return after.select("id", "user_id", "title", "message_count", "last_message_at")
-
-
-@query(f"SELECT doc_id AS request_id FROM ({_REQUESTS}) WHERE NOT existing AND NOT opens")
-def rejected_requests(spark, sf_dir):
-    return chat_writes(spark, sf_dir).rejected.select("request_id")
-
-
-# -- streaming --------------------------------------------------------------------------------
-
-
-def _run_stream(updates: DataFrame, key: str, name: str) -> DataFrame:
-    spark = updates.sparkSession
-    folder, checkpoint = stage_path(spark, name), stage_path(spark, f"{name}-checkpoint")
-    live.write_updates(updates, folder, checkpoint).awaitTermination()
-    return live.current_state(spark, folder, key)
-
-
-def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    schema = s.table(spark, sf_dir, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
-
-
-@query(
-    """SELECT chat_session_id, CAST(sum(CASE WHEN sender_type = 'system' THEN 0 ELSE 1 END) AS BIGINT) AS message_count,
-              max(created_at) AS last_message_at FROM messages GROUP BY 1""",
-    "messages",
-)
-def stream_session_stats(spark, sf_dir):
-    """Every message arrives as an insert, twice; system messages are deleted again."""
-    number = F.col("conv_id") * 1000 + F.col("turn")
-    offset = F.make_dt_interval(secs=F.col("conv_id") * 60 + F.floor(F.col("turn") / 2))
-    ops = F.when(F.col("role") == "system", F.array(F.lit("insert"), F.lit("insert"), F.lit("delete"))).otherwise(
-        F.array(F.lit("insert"), F.lit("insert"))
-    )
-    changes = _stream(spark, sf_dir, "conversations").select(
-        F.concat(F.lit("m-"), number.cast("string")).alias("uuid"),
-        F.col("conv_id").alias("chat_session_id"),
-        (F.lit("2024-01-01").cast("timestamp_ntz") + offset).alias("created_at"),
-        F.explode(ops).alias("op"),
-    )
-    state = _run_stream(live.stream_session_stats(changes), "chat_session_id", "session-stats")
-    return state.withColumn("last_message_at", F.col("last_message_at").cast("timestamp_ntz"))
-
-
-@query("SELECT user_id, max(ts) AS updated_at FROM events GROUP BY 1")
-def stream_touch(spark, sf_dir):
-    touched = live.stream_touch(_stream(spark, sf_dir, "events"), "user_id", "ts")
-    state = _run_stream(touched, "user_id", "touched")
-    return state.withColumn("updated_at", F.col("updated_at").cast("timestamp_ntz"))
-
-
-__all__ = ["ORACLES", "QUERIES", "query"]
+__all__ = ["MODULES", "ORACLES", "QUERIES"]

@@ -66,7 +66,8 @@ def stage_dir(spark: SparkSession) -> str:
 
 
 def stage_path(spark: SparkSession, name: str) -> str:
-    return f"{stage_dir(spark)}/martspark/{name}-{uuid.uuid4().hex}"
+    """A new path below a folder of this application, which can go once the application has ended."""
+    return f"{stage_dir(spark)}/martspark/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:

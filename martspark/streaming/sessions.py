@@ -50,7 +50,24 @@ def write_updates(
     return writer.foreachBatch(save).trigger(**(trigger or {"availableNow": True})).start()
 
 
-def current_state(spark: SparkSession, folder: str, key: str) -> DataFrame:
-    """The newest logged row of each key."""
+def current_state(spark: SparkSession, folder: str, key: str, snapshot: str | None = None) -> DataFrame:
+    """The newest logged row of each key; with a snapshot only later batches are read."""
+    return _newest(spark, folder, key, snapshot).drop("batch")
+
+
+def write_snapshot(spark: SparkSession, folder: str, key: str, target: str, snapshot: str | None = None) -> None:
+    """Writes the state as of the batches logged so far, from an older snapshot if there is one.
+
+    Batch folders up to the snapshot's last batch are no longer read with it.
+    """
+    _newest(spark, folder, key, snapshot).write.parquet(target)
+
+
+def _newest(spark: SparkSession, folder: str, key: str, snapshot: str | None) -> DataFrame:
     log = spark.read.parquet(folder)
-    return latest_per_key(log, key, ["batch"]).drop("batch")
+    if snapshot is not None:
+        base = spark.read.parquet(snapshot)
+        covered = base.agg(F.max("batch")).first()[0]
+        # A literal, so that the folders of the older batches are not even listed for reading.
+        log = base.unionByName(log.where(F.col("batch") > covered))
+    return latest_per_key(log, key, ["batch"])

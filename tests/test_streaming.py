@@ -45,3 +45,24 @@ def test_a_repeated_batch_changes_nothing(spark):
     row.withColumn("message_count", F.lit(3).cast("long")).write.mode("overwrite").parquet(f"{folder}/batch=2")
     state = live.current_state(spark, folder, "chat_session_id")
     assert [tuple(r) for r in state.collect()] == [(1, 5)]
+
+
+def test_a_snapshot_stands_for_the_older_batches(spark):
+    folder, first, second = (stage_path(spark, n) for n in ("state", "snapshot", "snapshot"))
+
+    def log(batch, *rows):
+        spark.createDataFrame(list(rows), "k long, n long").write.parquet(f"{folder}/batch={batch}")
+
+    def state(snapshot=None):
+        return sorted(map(tuple, live.current_state(spark, folder, "k", snapshot).collect()))
+
+    log(0, (1, 1), (2, 1))
+    log(1, (1, 2))
+    live.write_snapshot(spark, folder, "k", first)
+    log(2, (1, 3), (3, 1))
+    assert state() == state(first) == [(1, 3), (2, 1), (3, 1)]
+    live.write_snapshot(spark, folder, "k", second, first)
+    log(3, (2, 9))
+    assert state() == state(second) == [(1, 3), (2, 9), (3, 1)]
+    plan = live.current_state(spark, folder, "k", second)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(batch" in plan
