@@ -53,8 +53,17 @@ def append_rows(df: DataFrame, path: str, key: str = "uuid") -> int:
     spark = df.sparkSession
     df.limit(0).write.mode("ignore").parquet(path)  # an empty table, if there is none yet
     known = spark.read.schema(T.StructType([df.schema[key]])).parquet(path)
-    fresh = df.dropDuplicates([key]).join(known, key, "left_anti").select(*df.columns)
-    return write_mart(fresh, path, mode="append")
+    return write_mart(rows_not_in(df.dropDuplicates([key]), known, key), path, mode="append")
+
+
+def rows_not_in(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """The rows whose key is not in a (usually much larger) table.
+
+    The table is first reduced to the keys in question. That join may broadcast the rows if they
+    are few, where an anti join against the table would always shuffle it.
+    """
+    present = table.select(key).join(rows.select(key), key, "left_semi")
+    return rows.join(present, key, "left_anti").select(*rows.columns)
 
 
 def latest_per_key(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
@@ -70,18 +79,17 @@ def upsert(base: DataFrame, updates: DataFrame, key: str, order: Sequence[str] |
     """`base` with the rows of `updates` put in by key.
 
     A NULL or absent column of an update keeps the old value. `order` picks the latest update
-    per key; without it `updates` must be unique on the key.
+    per key; without it `updates` must be unique on the key. Few updates are broadcast, so that
+    the base is not shuffled, which a full outer join would do.
     """
     changes = latest_per_key(updates, key, order) if order else updates
     carried = [c for c in base.columns if c != key and c in changes.columns]
     new = changes.select(F.col(key), *[F.col(c).alias(f"_new_{c}") for c in carried])
-    joined = base.join(new, key, "full")
-    return joined.select(
-        *[
-            F.coalesce(F.col(f"_new_{c}"), F.col(c)).alias(c) if c in carried else F.col(c)
-            for c in base.columns
-        ]
+    changed = base.join(new, key, "left").select(
+        *[F.coalesce(f"_new_{c}", c).alias(c) if c in carried else F.col(c) for c in base.columns]
     )
+    added = rows_not_in(changes.select(key, *carried), base, key)
+    return changed.unionByName(added, allowMissingColumns=True)
 
 
 def cascade_delete(
@@ -120,5 +128,5 @@ def touch(df: DataFrame, changed: Column, now: Column | None = None, column: str
 
 __all__ = [
     "append_rows", "cascade_delete", "conform", "conform_losses", "latest_per_key",
-    "persist_stage", "publish_view", "touch", "upsert", "write_mart",
+    "persist_stage", "publish_view", "rows_not_in", "touch", "upsert", "write_mart",
 ]

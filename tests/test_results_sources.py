@@ -140,6 +140,16 @@ def test_upsert_keeps_what_is_not_given(spark):
     assert rows(tables.upsert(base, new, "id", ["at"])) == [(1, "a", 1), (2, "b", 7), (3, None, 9)]
 
 
+def test_few_updates_do_not_shuffle_the_base(spark):
+    path = stage_path(spark, "base")
+    spark.range(50_000).selectExpr("id", "id % 7 AS n").write.parquet(path)
+    new = stage(spark.createDataFrame([(3, 100), (60_000, 1)], "id long, n long"), "updates")
+    out = tables.upsert(spark.read.parquet(path), new, "id")
+    assert out.count() == 50_001 and out.agg(F.max("n")).first()[0] == 100
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "BroadcastHashJoin" in plan
+
+
 def test_cascade_delete(spark):
     base = {
         "s": spark.createDataFrame([(1,), (2,)], "id int"),
