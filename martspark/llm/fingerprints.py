@@ -2,81 +2,90 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from martspark.llm.common import text_or_empty
 
-# Units are runs of up to eight characters without white space, so that a long run without blanks has several.
-UNIT = r"[^\x20\x09-\x0D]{1,8}"
+# Units are words; longer runs without white space are cut into pieces of this many characters.
+_LONGEST = 64
+_SPACE = r"[\x20\x09-\x0D]+"
 _PRIME = (1 << 31) - 1
 _BASE = 1_000_003
 # Packed: the hash above the place counted backwards, so the least value is the rightmost least hash.
 _PLACES = 1 << 31
 
 
-def _paired(a: str, b: str, shift: int, join) -> Column:
-    """`join` of a[i] and b[i + shift], for every i that has both."""
-    n = F.greatest(F.size(b) - F.lit(shift), F.lit(0))
-    return F.zip_with(F.slice(F.col(a), F.lit(1), n), F.slice(F.col(b), F.lit(shift + 1), n), join)
+def _shifted(array: Column, shift: int, join) -> Column:
+    """`join(x[i], x[i + shift])` for every i that has both."""
+    n = F.greatest(F.size(array) - F.lit(shift), F.lit(0))
+    return F.zip_with(F.slice(array, F.lit(1), n), F.slice(array, F.lit(shift + 1), n), join)
 
 
-def fingerprint(df: DataFrame, text: str, into: str, k: int = 5, window: int = 4) -> DataFrame:
+def fingerprint(df: DataFrame, text: str, into: str, k: int = 4, window: int = 4) -> DataFrame:
     """Adds `into`: the selected hashes of a text column, packed with their places, in the order of the text.
 
-    A hash covers `k` units. Hashes of longer grams come from those of shorter ones by one multiplication
-    each, so the steps grow with log k. Of every `window` consecutive hashes the least is kept, the
-    rightmost on ties; a run of k + window - 1 units that two texts share gives them a hash in common. A
-    text with fewer than k units has one hash of all, one with fewer than `window` hashes keeps the least;
-    a NULL or blank text has an empty fingerprint. Equal texts, also up to upper and lower case, have equal
-    fingerprints.
+    A hash covers `k` units, a power of two: the hash of a gram comes from those of its halves by one
+    multiplication, so the steps grow with log k. Of every `window` (2 or more) consecutive hashes the least
+    is kept, the rightmost on ties; a run of k + window - 1 units that two texts share gives them a hash in
+    common. A text with fewer than k units has one hash of all, one with fewer than `window` hashes keeps the
+    least; a NULL or blank text has an empty fingerprint. Equal texts have equal fingerprints.
 
-    Each step is a column of its own, since a step reads the one before it twice.
+    Each step is a column of its own, since it reads the one before it several times.
     """
+    if k < 2 or k & (k - 1) or window < 2:
+        raise ValueError("k must be a power of two, the window at least 2")
     keep = [c for c in df.columns if c != into]
-    names = iter(f"{into}__{i}" for i in range(100))
+    names = (f"{into}__{i}" for i in range(100))
 
-    def add(frame: DataFrame, value: Column) -> tuple[DataFrame, str]:
+    def add(frame: DataFrame, value: Column) -> tuple[DataFrame, Column]:
         name = next(names)
-        return frame.withColumn(name, value), name
+        return frame.withColumn(name, value), F.col(name)
 
-    units = F.regexp_extract_all(F.lower(F.col(text)), F.lit(UNIT), F.lit(0))
     mask = F.lit(_PRIME).cast("bigint")
-    df, unit = add(df, F.transform(F.coalesce(units, F.array().cast("array<string>")),
-                                   lambda u: F.xxhash64(u).bitwiseAND(mask)))
-
-    grams = {1: unit}
-
-    def gram(frame: DataFrame, n: int) -> tuple[DataFrame, str]:
-        if n in grams:
-            return frame, grams[n]
-        left = n // 2 if n % 2 == 0 else n - 1
-        frame, a = gram(frame, left)
-        frame, b = gram(frame, n - left)
-        power = pow(_BASE, n - left, _PRIME)
-        frame, grams[n] = add(
-            frame, _paired(a, b, left, lambda x, y: (x * F.lit(power).cast("bigint") + y) % F.lit(_PRIME))
-        )
-        return frame, grams[n]
-
-    df, gram_k = gram(df, k)
-    whole = F.array(F.xxhash64(F.col(unit)).bitwiseAND(mask))
-    hashes = F.when(F.size(unit) >= k, F.col(gram_k)).when(F.size(unit) > 0, whole).otherwise(F.col(unit))
-    df, packed = add(
-        df, F.transform(hashes, lambda h, i: h * F.lit(_PLACES) + (F.lit(_PLACES - 1) - i.cast("bigint")))
+    # Cutting at white space is the fast way where no run is too long.
+    df, words = add(df, F.split(F.coalesce(F.col(text), F.lit("")), _SPACE))
+    pieces = F.regexp_extract_all(F.col(text), F.lit(rf"[^\x20\x09-\x0D]{{1,{_LONGEST}}}"), F.lit(0))
+    long = F.exists(words, lambda w: F.length(w) > _LONGEST)
+    units = F.when(long, pieces).otherwise(F.filter(words, lambda w: w != ""))
+    df, unit = add(df, F.transform(units, lambda u: F.xxhash64(u).bitwiseAND(mask)))
+    gram, n = unit, 1
+    while 2 * n < k:
+        df, gram = add(df, _shifted(gram, n, _joined(n)))
+        n *= 2
+
+    # The last doubling also packs the hash with its place.
+    count = F.greatest(F.size(gram) - F.lit(n), F.lit(0))
+    last = _joined(n)
+    packed = F.transform(
+        F.slice(gram, F.lit(1), count), lambda x, i: _pack(last(x, F.get(gram, i + F.lit(n))), i)
+    )
+    whole = F.array(_pack(F.xxhash64(unit).bitwiseAND(mask), F.lit(0)))
+    packed = F.when(F.size(unit) >= k, packed).when(F.size(unit) > 0, whole).otherwise(unit)
+    df, packed = add(df, packed)
+    count = F.greatest(F.size(packed) - F.lit(window - 1), F.lit(0))
+    least = F.transform(
+        F.slice(packed, F.lit(1), count),
+        lambda x, i: F.least(x, *[F.get(packed, i + F.lit(j)) for j in range(1, window)]),
     )
-
-    span, least = 1, packed
-    while span < window:
-        step = min(span, window - span)
-        df, least = add(df, _paired(least, least, step, lambda x, y: F.least(x, y)))
-        span += step
     chosen = (
-        F.when(F.size(packed) >= window, F.array_distinct(F.col(least)))
+        F.when(F.size(packed) >= window, F.array_distinct(least))
         .when(F.size(packed) > 0, F.array(F.array_min(packed)))
-        .otherwise(F.col(packed))
+        .otherwise(packed)
     )
-    return df.select(*keep, chosen.alias(into))
+    return df.withColumn(into, chosen).select(*keep, into)
+
+
+def _joined(n: int):
+    """Hash of a gram from its first part and a second part of n units."""
+    power = F.lit(pow(_BASE, n, _PRIME)).cast("bigint")
+    prime = F.lit(_PRIME).cast("bigint")
+    return lambda x, y: (x * power + y) % prime
+
+
+def _pack(value: Column, place: Column) -> Column:
+    return value * F.lit(_PLACES) + (F.lit(_PLACES - 1) - place.cast("bigint"))
 
 
 def hashes(chosen: Column) -> Column:
@@ -85,18 +94,8 @@ def hashes(chosen: Column) -> Column:
 
 
 def listed(chosen: Column) -> Column:
-    """A fingerprint as text: hash@place, in the order of the text."""
-    return F.array_join(
-        F.transform(
-            chosen,
-            lambda x: F.concat(
-                F.shiftright(x, 31).cast("string"),
-                F.lit("@"),
-                (F.lit(_PLACES - 1) - x.bitwiseAND(F.lit(_PLACES - 1))).cast("string"),
-            ),
-        ),
-        ",",
-    )
+    """A fingerprint as text, in the order of the text: hash * 2^31 + (2^31 - 1 - place)."""
+    return F.array_join(chosen.cast("array<string>"), ",")
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -118,8 +117,9 @@ def in_order(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     rows = docs.select(F.coalesce(F.col(key), F.lit(-(1 << 63))).cast("bigint").alias("k"), F.col(key).alias("id"),
                        text_or_empty().alias("text"))
     ids = rows.select("k")
-    cuts = ids.agg(F.percentile_approx("k", [i / parts for i in range(1, parts)], 10 * parts)).scalar()
-    part = F.size(F.filter(F.coalesce(cuts, F.array().cast("array<bigint>")), lambda c: c < F.col("k")))
+    # Four numbers per shuffle partition come to the driver, whatever the number of documents.
+    cuts = ids.agg(F.percentile_approx("k", [i / parts for i in range(1, parts)], 10 * parts)).first()[0]
+    part = F.size(F.filter(F.lit(np.array(cuts or [], dtype=np.int64)), lambda c: c < F.col("k")))
     # One row per range.
     ends = ids.groupBy(part.alias("part")).agg(F.max("k").alias("last"))
     order = Window.orderBy("part")
@@ -134,7 +134,7 @@ def in_order(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     return own.unionByName(extra).repartition("part")
 
 
-def edited_fingerprints(docs: DataFrame, k: int = 5, window: int = 4) -> DataFrame:
+def edited_fingerprints(docs: DataFrame, k: int = 4, window: int = 4) -> DataFrame:
     """Fingerprints of every document, of its edited text, and their likeness.
 
     The edited text is the document with its last floor(n / 2) characters replaced by as many of the next
