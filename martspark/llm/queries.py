@@ -8,7 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from martspark.llm import bpe, fingerprints, packing, pii, quality
+from martspark.llm import (
+    bpe,
+    fingerprints,
+    line_dedup,
+    packing,
+    pii,
+    quality,
+    simhash,
+    substring_dedup,
+    tool_calls,
+    toxicity,
+)
 from martspark.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +36,56 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack_documents(documents(spark, sf_dir), path))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of all documents that repeat an earlier one, equal or one word apart."""
+    return line_dedup.line_report(documents(spark, sf_dir))
+
+
+def op4_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations as linked, ordered and checked calls."""
+    conversations = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return tool_calls.link_calls(*tool_calls.from_conversations(conversations), tool_calls.SCHEMAS)
+
+
+_OP4_SQL = """
+WITH RECURSIVE turns AS (
+    SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+), calls AS (
+    SELECT conv_id, turn, CASE role WHEN 'user' THEN 'ask' WHEN 'system' THEN 'configure' ELSE role END AS name, text
+    FROM turns WHERE role <> 'assistant'
+), chain AS (
+    SELECT conv_id, turn, 0 AS level FROM calls c
+    WHERE NOT EXISTS (SELECT 1 FROM calls p WHERE p.conv_id = c.conv_id AND p.turn = c.turn - 2)
+    UNION ALL
+    SELECT c.conv_id, c.turn, chain.level + 1 FROM chain
+    JOIN calls c ON c.conv_id = chain.conv_id AND c.turn = chain.turn + 2
+)
+SELECT c.conv_id, 'call-' || c.conv_id || '-' || c.turn AS call_id, c.turn, c.name, chain.level,
+       CASE WHEN c.name = 'ask' AND length(c.text) < 1 THEN 'arguments.chars: too small'
+            WHEN c.name = 'ask' AND length(c.text) > 400 THEN 'arguments.text: too long'
+            WHEN c.name NOT IN ('ask', 'configure') THEN 'unknown tool'
+            WHEN r.text IS NULL THEN 'no result' ELSE 'linked' END AS status,
+       CAST(json_object('arguments', json_object('chars', length(c.text), 'text', c.text),
+                        'id', 'call-' || c.conv_id || '-' || c.turn, 'name', c.name,
+                        'result', r.text, 'type', 'tool_call') AS VARCHAR) AS message
+FROM calls c JOIN chain USING (conv_id, turn)
+LEFT JOIN turns r ON r.conv_id = c.conv_id AND r.turn = c.turn + 1 AND r.role = 'assistant'
+"""
+
+
+def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash of all documents and the groups that their links make."""
+    found = simhash.near_duplicates(documents(spark, sf_dir))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the passages of 50 words that an earlier one has."""
+    return substring_dedup.remove_repeats(documents(spark, sf_dir)).select(
+        "doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256")
+    )
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repetition measures and verdict of all documents."""
     return quality.score_quality(documents(spark, sf_dir))
@@ -41,6 +102,13 @@ def op8_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all documents."""
+    docs = documents(spark, sf_dir)
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.score_toxicity(docs, model)
+
+
 def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in all documents."""
     return pii.find_personal_data(documents(spark, sf_dir))
@@ -51,9 +119,15 @@ QUERIES: dict[str, Query] = {
     for f in (
         op1_document_fingerprints,
         op2_packing,
+        op3_line_dedup,
+        op4_tool_calls,
+        op5_simhash_near_dedup,
+        op6_substring_dedup,
         op7_quality_rules,
         op8_bpe_encoding,
+        op9_toxicity,
         op10_personal_data,
     )
 }
-ORACLES: dict[str, str] = {}
+# The others read texts in ways that SQL cannot express; tests compare them with brute force.
+ORACLES: dict[str, str] = {"op4_tool_calls": _OP4_SQL}
