@@ -186,14 +186,13 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     compared with its earliest only, never with each other: in a group of equal places all are one word
     apart.
     """
-    lines = _lines(docs)
+    # Texts are cut into lines once; what follows reads the hashes.
+    hashed = stage(_hashed(_lines(docs), _ends(F.col("words")).alias("ends")), "line-hashes")
     distinct = stage(
-        _hashed(lines, _ends(F.col("words")).alias("ends")).groupBy("h1", "h2").agg(
-            F.min("id").alias("id"), F.first("ends").alias("ends")
-        ), "lines",
+        hashed.groupBy("h1", "h2").agg(F.min("id").alias("id"), F.first("ends").alias("ends")), "lines"
     )
     firsts = distinct.select("h1", "h2", F.col("id").alias("first"))
-    again = _hashed(lines).join(firsts, ["h1", "h2"]).where("id != first").select("id")
+    again = hashed.select("h1", "h2", "id").join(firsts, ["h1", "h2"]).where("id != first").select("id")
     gone = again.unionByName(_near_earlier(docs, distinct))
     return gone.groupBy(F.col("id.doc").alias("doc_id")).agg(F.sort_array(F.collect_set("id.pos")).alias("removed"))
 
