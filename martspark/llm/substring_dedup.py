@@ -247,7 +247,8 @@ def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
     shards = max(1, -(-distinct.count() // _SHARD))
     least = distinct.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards))).groupBy("shard").applyInPandas(
         lambda s: _shard_rows(s, window), f"p1 bigint, p2 bigint, least array<{kind}>"
-    ).dropDuplicates(["p1", "p2"])
+    )
+    # A passage has one key, so `least` has a row for each; a passage in very many documents is a skewed join.
     starts = (
         passages.select("p1", "p2", "doc", "start").join(least, ["p1", "p2"])
         .select("doc", "start", F.posexplode("least").alias("i", "first"))
