@@ -11,6 +11,7 @@ import json
 import os
 import statistics
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -36,6 +37,7 @@ def main() -> None:
     spark = build_session(
         "martspark-bench",
         master=f"local[{cpus}]",
+        spark__checkpoint__dir=tempfile.mkdtemp(prefix="bench-"),
         spark__ui__enabled="false",
         spark__ui__showConsoleProgress="false",
         spark__driver__memory="12g",

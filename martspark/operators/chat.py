@@ -53,8 +53,13 @@ def active_for_user(sessions: DataFrame, user_id: int | None = None) -> DataFram
 
 
 def active_session_total(sessions: DataFrame, user_id: int | None = None) -> DataFrame:
-    """(user_id, total) active sessions per user."""
-    return active_for_user(sessions, user_id).groupBy("user_id").agg(F.count(F.lit(1)).alias("total"))
+    """(user_id, total) active sessions per user; for a given user always one row, 0 without sessions."""
+    live = active_for_user(sessions, user_id)
+    total = F.count(F.lit(1)).alias("total")
+    if user_id is None:
+        return live.groupBy("user_id").agg(total)
+    kind = sessions.schema["user_id"].dataType
+    return live.agg(total).select(F.lit(user_id).cast(kind).alias("user_id"), "total")
 
 
 def default_user(users: DataFrame) -> DataFrame:
@@ -186,7 +191,11 @@ def chat_detail(
     uuid: str | None = None,
     user_id: int | None = None,
 ) -> DataFrame:
-    """Messages of an active session (of all of them without `uuid`) with session and images."""
+    """Messages of an active session (of all of them without `uuid`) with session and images.
+
+    A session without messages is one row without a message and with an empty list of images. The
+    page of one session is in order; all sessions together are left in the order of the tasks.
+    """
     live = active_for_user(sessions, user_id)
     if uuid is not None:
         live = live.where(F.col("uuid") == uuid)
@@ -198,12 +207,10 @@ def chat_detail(
         "last_message_at",
     )
     rows = messages if uuid is None else messages_of(uuid, sessions, messages)
-    inside = salted_join(
-        rows.select("id", "uuid", "chat_session_id", "sender_type", "content", "created_at"),
-        head,
-        ["chat_session_id"],
-        "inner",
-    )
+    told = rows.select("id", "uuid", "chat_session_id", "sender_type", "content", "created_at")
+    inside = salted_join(told, head, ["chat_session_id"], "inner")
+    silent = head.join(told, "chat_session_id", "left_anti")
+    inside = inside.unionByName(silent, allowMissingColumns=True)
     if uuid is not None:
         # Only the images of this session are worth numbering.
         images = salted_join(images, inside.select(F.col("id").alias("message_id")), ["message_id"], "left_semi")
@@ -214,13 +221,15 @@ def chat_detail(
         "last_message_at",
         F.col("uuid").alias("id"),
         "part",
-        map_role("sender_type", "ai").alias("role"),
+        F.when(F.col("id").isNotNull(), map_role("sender_type", "ai")).alias("role"),
         "content",
         shown_images("images").alias("images"),
         "created_at",
         F.col("id").alias("message_no"),
     )
-    return shown.orderBy("chat_id", "created_at", "message_no", "part").drop("message_no")
+    if uuid is not None:
+        shown = shown.orderBy("created_at", "message_no", "part")
+    return shown.drop("message_no")
 
 
 # -- context and routing ----------------------------------------------------------------------

@@ -145,6 +145,8 @@ def validate_contacts(df: DataFrame) -> DataFrame:
 
 def raise_on_failure(checks: DataFrame, name: str) -> None:
     """Raises when a finding table has a row that is not ok."""
-    failed = checks.where(~F.col("ok")).limit(20).collect()
-    if failed:
-        raise ValueError(f"quality check '{name}' failed: {[r.asDict() for r in failed]}")
+    failed = checks.where(~F.col("ok"))
+    count = failed.count()
+    if count:
+        shown = [r.asDict() for r in failed.limit(20).collect()]
+        raise ValueError(f"quality check '{name}' failed: {count} findings, {len(shown)} of them: {shown}")

@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-RESULT_CAP = 100
 PREVIEW_ROWS = 10
 
 
@@ -71,8 +70,8 @@ class QueryResult:
     error: str | None = None
 
 
-def run_readonly_sql(spark: SparkSession, sql: str, cap: int | None = RESULT_CAP) -> QueryResult:
-    """A query as a frame of at most `cap` rows, or the error text.
+def run_readonly_sql(spark: SparkSession, sql: str, cap: int | None = None) -> QueryResult:
+    """A query as a frame of all its rows, of at most `cap` where the caller asks for that, or the error text.
 
     The text is placed as a subquery, where Spark accepts nothing but a query: statements that
     change data or settings do not even parse.

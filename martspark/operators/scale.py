@@ -7,6 +7,12 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+# Rows of one key that a task may take before the key is spread.
+ROWS_PER_TASK = 1_000_000
+_NULL_SALTS = 65_536
 
 
 def salted_join(
@@ -14,16 +20,15 @@ def salted_join(
     right: DataFrame,
     on: Sequence[str],
     how: str = "left",
-    salts: int = 64,
-    hot_share: float = 0.002,
+    rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Equi join of a skewed `left` with a `right` that is unique on `on`.
 
-    Keys with more than `hot_share` of the left rows are spread over `salts` tasks, their right
-    rows repeated once per salt. Fewer than 1 / hot_share keys can be that frequent, which bounds
-    both the broadcast key list and the repeated rows. NULL keys match nothing and are spread
-    too. The salt is a hash of the row, so a recomputed task puts each row in the same place; let
-    `left` carry a row key, as fully equal rows get equal salts.
+    A key with more than `rows_per_task` left rows is spread over as many salts as that takes, its
+    right row repeated once per salt, so the limit of a task does not move with the size of the
+    table. NULL keys match nothing and are spread too. The salt is a hash of the row, so a
+    recomputed task puts each row in the same place; let `left` carry a row key, as fully equal
+    rows get equal salts. The list of large keys is joined as Spark sees fit for its size.
     """
     on = list(on)
     known = F.lit(True)
@@ -31,24 +36,22 @@ def salted_join(
         known = known & F.col(key).isNotNull()
 
     sizes = left.where(known).groupBy(*on).agg(F.count(F.lit(1)).alias("_rows"))
-    total = sizes.agg(F.sum("_rows")).scalar()
-    hot = sizes.where(F.col("_rows") > total * F.lit(hot_share)).select(*on, F.lit(True).alias("_hot"))
-
-    row_salt = F.pmod(F.xxhash64(*[F.col(c) for c in left.columns]), F.lit(salts)).cast("int")
-    spread = F.coalesce(F.col("_hot"), F.lit(False)) | ~known
-    salted_left = left.join(F.broadcast(hot), on, "left").select(
-        *left.columns, F.when(spread, row_salt).otherwise(F.lit(0)).alias("_salt")
-    )
-    every_salt = F.sequence(F.lit(0), F.lit(salts - 1))
-    salted_right = right.join(F.broadcast(hot), on, "left").select(
-        *right.columns,
-        F.explode(F.when(F.col("_hot"), every_salt).otherwise(F.array(F.lit(0)))).alias("_salt"),
+    hot = sizes.where(F.col("_rows") > rows_per_task).select(
+        *on, F.ceil(F.col("_rows") / rows_per_task).cast("int").alias("_salts")
     )
+    salts = F.when(known, F.coalesce("_salts", F.lit(1))).otherwise(F.lit(_NULL_SALTS))
+    row_salt = F.pmod(F.xxhash64(*[F.col(c) for c in left.columns]), salts).cast("int")
+    salted_left = left.join(hot, on, "left").select(*left.columns, row_salt.alias("_salt"))
+    every_salt = F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)
+    salted_right = right.join(hot, on, "left").select(*right.columns, F.explode(every_salt).alias("_salt"))
     joined = salted_left.join(salted_right, [*on, "_salt"], how)
     extra = [c for c in right.columns if c not in on] if how in ("inner", "left") else []
     return joined.select(*left.columns, *extra)
 
 
+_COARSE, _FINE = 32, 32
+
+
 def positions(
     df: DataFrame,
     keys: Sequence[str],
@@ -56,47 +59,56 @@ def positions(
     place: str,
     name: str = "position",
     total: str | None = None,
-    hot_share: float = 0.005,
+    range_rows: int = 100_000,
 ) -> DataFrame:
     """0-based position of each row among the rows of its `keys`, in `order`.
 
-    `place` is the integer column that leads `order` (ascending), best one given out in sequence.
-    A group with more than `hot_share` of the rows, or the whole table without keys, is cut into
-    ranges of `place`: each range is numbered by itself and shifted by the rows before it. Fewer
-    than 1 / hot_share groups can be that large, which bounds what is broadcast: those groups and
-    their range counts. All rows are shuffled once. `total` names a column with the group size.
+    `place` is the integer column that leads `order` (ascending). A group with more than
+    `range_rows` rows, or the whole table without keys, is cut at about a thousand approximate
+    quantiles of `place`, so ranges are equally filled wherever the values lie; rows with the same
+    place stay together. Each range is numbered by itself and shifted by the rows before it.
+    `total` names a column with the group size.
     """
     keys = list(keys)
-    ranges = 2_048 if keys else 65_536
-    span = [F.count(F.lit(1)).alias("_n"), F.min(place).alias("_low"), F.max(place).alias("_high")]
+    parts = _COARSE * _FINE
+    quantiles = F.percentile_approx(place, [i / parts for i in range(1, parts)], 10 * parts).alias("_cuts")
+    size = F.count(F.lit(1)).alias("_n")
     if keys:
-        groups = df.groupBy(*keys).agg(*span)
-        rows = groups.agg(F.sum("_n")).scalar()
-        large = groups.where(F.col("_n") > rows * F.lit(hot_share))
-        large = F.broadcast(large.withColumnsRenamed({k: f"_large_{k}" for k in keys}))
+        renamed = {k: f"_large_{k}" for k in keys}
+        large = df.groupBy(*keys).agg(size).where(F.col("_n") > range_rows).withColumnsRenamed(renamed)
         same = _all_equal([(k, f"_large_{k}") for k in keys])
-        known, cut = df.join(large, same, "left"), df.join(large, same)
+        cuts = df.join(large.drop("_n"), same).groupBy(*renamed.values()).agg(size, quantiles)
+        known = df.join(cuts, same, "left").drop(*renamed.values())
     else:
-        known = df.withColumn("_span", df.agg(F.struct(*span)).scalar()).withColumns(
-            {c: F.col(f"_span.{c}") for c in ("_n", "_low", "_high")}
-        )
-        cut = known
-    width = F.col("_high") - F.col("_low") + 1
-    part = F.floor((F.col(place) - F.col("_low")) / width * ranges)
+        whole = df.agg(size, quantiles).first()
+        kind = df.schema[place].dataType
+        given = F.array(*[F.lit(c).cast(kind) for c in whole["_cuts"] or []]).cast(T.ArrayType(kind))
+        known = df.withColumns({"_n": F.lit(whole["_n"]), "_cuts": given})
+
+    def below(values: Column) -> Column:
+        return F.size(F.filter(values, lambda c: c < F.col(place)))
+
+    # First among every 32nd cut, then among the cuts that follow it.
+    known = known.withColumn(
+        "_block", below(F.filter("_cuts", lambda _, i: (i + 1) % _FINE == 0))
+    )
+    inner = below(F.slice("_cuts", F.col("_block") * _FINE + 1, F.lit(_FINE - 1)))
+    part = F.when(F.col("_cuts").isNotNull(), F.col("_block") * _FINE + inner).otherwise(F.lit(0))
+    known = known.withColumn("_part", part).drop("_block")
 
-    numbered = known.withColumn("_part", part)
     inside = Window.partitionBy(*keys, "_part")
-    numbered = numbered.withColumn("_inside", F.row_number().over(inside.orderBy(*order)))
+    numbered = known.withColumn("_inside", F.row_number().over(inside.orderBy(*order)))
     if total:
         numbered = numbered.withColumn(total, F.coalesce("_n", F.count(F.lit(1)).over(inside)))
 
-    sizes = cut.groupBy(*keys, part.alias("_part")).agg(F.count(F.lit(1)).alias("_size"))
+    cut = known.where(F.col("_cuts").isNotNull())
+    sizes = cut.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_size"))
     earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     shifts = sizes.select(
         *[F.col(k).alias(f"_shift_{k}") for k in [*keys, "_part"]], F.sum("_size").over(earlier).alias("_shift")
     )
     here = _all_equal([(k, f"_shift_{k}") for k in [*keys, "_part"]])
-    return numbered.join(F.broadcast(shifts), here, "left").select(
+    return numbered.drop("_cuts").join(shifts, here, "left").select(
         *df.columns,
         (F.coalesce("_shift", F.lit(0)) + F.col("_inside") - 1).cast("long").alias(name),
         *([F.col(total)] if total else []),
@@ -108,19 +120,17 @@ def _all_equal(pairs: Sequence[tuple[str, str]]) -> Column:
     return reduce(lambda a, b: a & b, [F.col(x).eqNullSafe(F.col(y)) for x, y in pairs])
 
 
-# Up to this rank Spark itself drops rows before the shuffle of a rank filter
-# (spark.sql.optimizer.windowGroupLimitThreshold).
-_RANKED_BEFORE_SHUFFLE = 1000
 _SLICES = 64
 
 
 def first_n_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
     """The first `n` rows of each group in `order`, with their 1-based `_place`.
 
-    No group is ever ranked whole in one task: a rank filter is applied on the input side of the
-    shuffle, or, for large n, first within slices of the group.
+    No group is ever ranked whole in one task: where Spark itself does not apply the rank filter on
+    the input side of the shuffle, the rows are ranked within slices of the group first.
     """
-    if n > _RANKED_BEFORE_SHUFFLE:
+    ranked_first = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
+    if n > ranked_first:
         sliced = df.withColumn("_slice", F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(_SLICES)))
         within = Window.partitionBy(*keys, "_slice").orderBy(*order)
         df = sliced.withColumn("_place", F.row_number().over(within)).where(F.col("_place") <= n)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -10,20 +10,35 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from martspark.operators.features import FEATURES, moments, staged_features, z_scores
+from martspark.operators.scale import exact_quantiles
 from martspark.schemas import CLUSTER_NAMES, UNKNOWN_CLUSTER
 from martspark.session import stage
 
-MAX_POINTS = 2048
-
-# Grid cells have the width step * sqrt(z^2 + core^2): fine in the bulk, wider in the tails.
+# Grid of the summary: cuts per feature at equal shares of the users, and at equal widths on the
+# asinh scale between the extremes, so that one outlier cannot press the bulk into one cell.
+# At most (2 * _CUTS + 1)^3 cells, whatever the number of users.
+_CUTS = 7
 _CORE = 0.5
-_FINEST_STEP = 0.01
-_STEP_GROWTH = 1.4
-_LEVELS = 18
+_DIGITS = 9
+
 
+def _grid(features: DataFrame, given: dict, columns: Sequence[str]) -> dict[str, list[float]]:
+    """The cuts of each feature, ascending."""
+    shares = [i / (_CUTS + 1) for i in range(_CUTS + 2)]
+    cuts = {}
+    for row in exact_quantiles(features, columns, shares).collect():  # one row per feature
+        low, *inner, high = row["edges"]
+        mean, std = given[f"mean_{row['metric']}"], given[f"std_{row['metric']}"] or 1.0
+        ends = np.arcsinh((np.array([low, high]) - mean) / std / _CORE)
+        wide = np.linspace(*ends, _CUTS + 2)[1:-1]
+        even = mean + std * _CORE * np.sinh(wide)
+        cuts[row["metric"]] = sorted({*map(float, inner), *map(float, even)})
+    return cuts
 
-def _bin(z: Column, step: float) -> Column:
-    return F.floor(F.asinh(z / F.lit(_CORE)) / F.lit(step)).cast("int")
+
+def _cell(column: str, cuts: Sequence[float]) -> Column:
+    """Number of cuts below the value."""
+    return F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(column)))
 
 
 def ward_labels(points: np.ndarray, weights: np.ndarray, k: int) -> np.ndarray:
@@ -93,19 +108,17 @@ def name_clusters(
 def segment_customers(
     features: DataFrame,
     k: int = 3,
-    max_points: int = MAX_POINTS,
     columns: Sequence[str] = FEATURES,
     names: Sequence[str] = CLUSTER_NAMES,
     staged: bool = False,
 ) -> DataFrame:
     """(user_id, cluster) for every user whose features are all known.
 
-    Up to `max_points` distinct feature rows are clustered exactly. Beyond that the users are
-    first counted into grid cells, on the finest grid with at most `max_points` used cells, and
-    the cells' weighted means are clustered. Only these at most `max_points` rows reach the
-    driver. The users take their cell's cluster in a join with as few rows.
+    Users are counted into the cells of a fixed grid and the cells' weighted means are clustered,
+    in the same way for any number of users. Only the cells reach the driver, and the users take
+    their cell's cluster in a broadcast join of that size.
 
-    The features are read four times and must not change in between, so they are staged, unless
+    The features are read several times and must not change in between, so they are staged, unless
     the caller says that they come from a staged table already.
     """
     spark = features.sparkSession
@@ -116,49 +129,23 @@ def segment_customers(
         return known.select("user_id", F.lit(None).cast("string").alias("cluster"))
 
     z = z_scores(given, columns)
+    grid = _grid(known, given, columns)
     cells = [f"cell_{c}" for c in columns]
-
-    def keyed(step: float | None) -> list[Column]:
-        keys = [F.col(c) if step is None else _bin(z[c], step) for c in columns]
-        return [key.alias(cell) for key, cell in zip(keys, cells)]
-
-    # Step None keys by the exact values.
-    steps = [None] + [_FINEST_STEP * _STEP_GROWTH**i for i in range(_LEVELS)]
-    level = 0
-    if given["n"] > max_points:
-        used = known.agg(
-            *[
-                F.hll_sketch_estimate(F.hll_sketch_agg(F.xxhash64(*keyed(s)), 12)).alias(f"s{i}")
-                for i, s in enumerate(steps)
-            ]
-        ).first()
-        level = next((i for i in range(len(steps)) if used[i] <= max_points), len(steps) - 1)
-
-    points: list = []
-    step: float | None = None
-    while True:
-        step = steps[level] if level < len(steps) else (step or _FINEST_STEP) * _STEP_GROWTH
-        # The counts above are estimates, so one more row than allowed is asked for.
-        points = (
-            known.select(*keyed(step), *[z[c].alias(f"z_{c}") for c in columns])
-            .groupBy(*cells)
-            .agg(F.count(F.lit(1)).alias("n"), *[F.avg(f"z_{c}").alias(f"z_{c}") for c in columns])
-            .orderBy(*cells)
-            .limit(max_points + 1)
-            .collect()
-        )
-        if len(points) <= max_points:
-            break
-        level += 1
-
+    keyed = [_cell(c, grid[c]).alias(cell) for c, cell in zip(columns, cells)]
+    points = (
+        known.select(*keyed, *[z[c].alias(f"z_{c}") for c in columns])
+        .groupBy(*cells)
+        .agg(F.count(F.lit(1)).alias("n"), *[F.round(F.avg(f"z_{c}"), _DIGITS).alias(f"z_{c}") for c in columns])
+        .orderBy(*cells)
+        .collect()
+    )
     labels = ward_labels(
         np.array([[p[f"z_{c}"] for c in columns] for p in points]),
         np.array([p["n"] for p in points]),
         k,
     )
-    cell_type = T.DoubleType() if step is None else T.IntegerType()
     schema = T.StructType(
-        [T.StructField(cell, cell_type) for cell in cells]
+        [T.StructField(cell, T.IntegerType()) for cell in cells]
         + [T.StructField("n", T.LongType())]
         + [T.StructField(f"z_{c}", T.DoubleType()) for c in columns]
         + [T.StructField("cluster_id", T.IntegerType())]
@@ -171,9 +158,7 @@ def segment_customers(
     )
     named = name_clusters(centroids, columns, names).select("cluster_id", "cluster")
     lookup = summary.join(named, "cluster_id").select(*cells, "cluster")
-    return known.select("user_id", *keyed(step)).join(F.broadcast(lookup), cells, "left").select(
-        "user_id", "cluster"
-    )
+    return known.select("user_id", *keyed).join(F.broadcast(lookup), cells, "left").select("user_id", "cluster")
 
 
 def assign_cluster(
@@ -211,9 +196,16 @@ def cluster_or_unknown(users: DataFrame, features: DataFrame) -> DataFrame:
     return users.withColumn("cluster", F.coalesce(fallback, F.col("cluster")))
 
 
-def clustered_users(users: DataFrame, trans: DataFrame, k: int = 3) -> DataFrame:
-    """Transactions to features to segments, joined to the users."""
-    features = staged_features(trans)
-    labelled = attach_cluster(users, segment_customers(features, k, staged=True))
-    return cluster_or_unknown(labelled, features)
+def _segmented(features: DataFrame) -> DataFrame:
+    return segment_customers(features, staged=True)
 
+
+def clustered_users(
+    users: DataFrame, trans: DataFrame, label: Callable[[DataFrame], DataFrame] = _segmented
+) -> DataFrame:
+    """Transactions to features to segments, joined to the users.
+
+    `label` gives (user_id, cluster) of a frame of features, for instance by a frozen model.
+    """
+    features = staged_features(trans)
+    return cluster_or_unknown(attach_cluster(users, label(features)), features)

@@ -136,11 +136,11 @@ def messages_with_images(spark, sf_dir):
 
 
 @query(
-    """SELECT cs.uuid AS chat_id, cs.title, m.uuid AS id, CASE WHEN sender_type = 'user' THEN 'user' ELSE 'ai' END AS role,
+    """SELECT cs.uuid AS chat_id, cs.title, m.uuid AS id, CASE WHEN sender_type = 'user' THEN 'user' WHEN m.id IS NOT NULL THEN 'ai' END AS role,
               content, m.created_at, count(i.id) AS n_images,
               coalesce(string_agg(coalesce(thumbnail_url, image_url) || '|' || file_name || '|' || width, ' ' ORDER BY i.id), '')
                   AS images
-       FROM chat_sessions cs JOIN messages m ON m.chat_session_id = cs.id
+       FROM chat_sessions cs LEFT JOIN messages m ON m.chat_session_id = cs.id
             LEFT JOIN message_images i ON i.message_id = m.id
        WHERE is_active GROUP BY ALL""",
     "chat_sessions messages message_images",

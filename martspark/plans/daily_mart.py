@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from martspark.functions.scalars import month_start
 from martspark.operators import marts, quality
 from martspark.operators.features import rfm_scores, staged_rfm, user_totals
-from martspark.operators.segment import attach_cluster, cluster_or_unknown, segment_customers
+from martspark.operators.segment import _segmented, attach_cluster, cluster_or_unknown
 from martspark.schemas import CLUSTER_NAMES, MART
 from martspark.session import stage
 from martspark.sources.tables import write_mart
@@ -18,7 +18,7 @@ from martspark.sources.tables import write_mart
 USER_COLUMNS = ("user_id", "age", "gender", "city", "state", "latitude", "longitude")
 
 
-def mart_tables(users: DataFrame, trans: DataFrame, lookup: DataFrame, as_of=None) -> dict[str, DataFrame]:
+def mart_tables(users: DataFrame, trans: DataFrame, lookup: DataFrame, as_of=None, label=_segmented) -> dict[str, DataFrame]:
     """The six mart tables and rfm_scores, ready to be written.
 
     The transactions are scanned twice: for the per-user totals and for the activity counts.
@@ -29,7 +29,7 @@ def mart_tables(users: DataFrame, trans: DataFrame, lookup: DataFrame, as_of=Non
     features = staged_rfm(totals)
     clustered = stage(
         cluster_or_unknown(
-            attach_cluster(users.select(*USER_COLUMNS), segment_customers(features, staged=True)), features
+            attach_cluster(users.select(*USER_COLUMNS), label(features)), features
         ),
         "clustered-users",
     )
@@ -46,13 +46,14 @@ def mart_tables(users: DataFrame, trans: DataFrame, lookup: DataFrame, as_of=Non
 
 
 def run_daily(
-    spark: SparkSession, users: DataFrame, trans: DataFrame, lookup: DataFrame, target: str, as_of=None
+    spark: SparkSession, users: DataFrame, trans: DataFrame, lookup: DataFrame, target: str, as_of=None,
+    label=_segmented,
 ) -> DataFrame:
     """Writes all tables under `target` and returns (table, rows) as written.
 
     Raises if a mart table is empty; a missing segment only shows in check_mart.
     """
-    tables = mart_tables(users, trans, lookup, as_of)
+    tables = mart_tables(users, trans, lookup, as_of, label)
 
     def write(name: str) -> int:
         return write_mart(tables[name], f"{target}/{name}", MART.get(name))

@@ -122,9 +122,34 @@ def cluster_or_unknown(spark, sf_dir):
     return segment.cluster_or_unknown(clustered(spark, sf_dir), rfm).select("user_id", "cluster")
 
 
-@query()
+@query(
+    """SELECT count(DISTINCT user_id) AS users, CAST(3 AS BIGINT) AS clusters, CAST(0 AS BIGINT) AS without,
+              TRUE AS best_first, TRUE AS tight
+       FROM fact_trans""",
+    "fact_trans",
+)
 def segment_customers(spark, sf_dir):
-    return segment.segment_customers(features.staged_features(s.fact_trans(spark, sf_dir)), staged=True)
+    """What must hold of the segments: all users, three clusters named best first, and no more spread within
+    them than the clusters of the frozen model have."""
+    scored = features.standardize(features.staged_features(s.fact_trans(spark, sf_dir)))
+    found = scored.join(segment.segment_customers(scored, staged=True), "user_id", "left")
+    z = [f"z_{c}" for c in features.FEATURES]
+    frozen = segment.assign_cluster(scored, s.FROZEN_MODEL, z)
+
+    def spread(df: DataFrame):
+        parts = df.groupBy("cluster").agg(*[(F.var_pop(c) * F.count(F.lit(1))).alias(c) for c in z])
+        return parts.agg(F.sum(sum((F.col(c) for c in z), F.lit(0.0)))).scalar()
+
+    score = F.avg(F.col("z_frequency") + F.col("z_monetary") - F.col("z_recency"))
+    by_name = found.groupBy("cluster").agg(score.alias("score"), F.count(F.lit(1)).alias("n"))
+    ranked = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "cluster")))
+    names = F.transform(ranked, lambda x: x["cluster"])
+    return by_name.agg(
+        F.sum("n").alias("users"),
+        F.count_distinct("cluster").alias("clusters"),
+        F.sum(F.when(F.col("cluster").isNull(), F.col("n")).otherwise(0)).alias("without"),
+        (names == F.array(*map(F.lit, segment.CLUSTER_NAMES))).alias("best_first"),
+    ).withColumn("tight", spread(found) <= spread(frozen))
 
 
 @query(
@@ -158,9 +183,20 @@ def name_clusters(spark, sf_dir):
     return segment.name_clusters(centroids).select("cluster_id", "cluster")
 
 
-@query()
+def _frozen(scored: DataFrame) -> DataFrame:
+    """Clusters of a fixed model, so that SQL can say the same."""
+    columns = [f"z_{c}" for c in features.FEATURES]
+    return segment.assign_cluster(features.standardize(scored), s.FROZEN_MODEL, columns).select("user_id", "cluster")
+
+
+@query(
+    """SELECT user_id, CASE WHEN (SELECT count(*) FROM rfm) = 0 THEN 'Unknown' ELSE cluster END AS cluster
+       FROM clustered""",
+    "clustered rfm",
+)
 def clustered_users(spark, sf_dir):
-    return segment.clustered_users(s.dim_users(spark, sf_dir), s.fact_trans(spark, sf_dir))
+    found = segment.clustered_users(s.dim_users(spark, sf_dir), s.fact_trans(spark, sf_dir), _frozen)
+    return found.select("user_id", "cluster")
 
 
 # -- mart tables ---------------------------------------------------------------------------------
@@ -252,7 +288,7 @@ def activity(spark, sf_dir):
     return marts.activity(s.fact_trans(spark, sf_dir))
 
 
-def run_daily(spark: SparkSession, sf_dir: str, target: str) -> DataFrame:
+def run_daily(spark: SparkSession, sf_dir: str, target: str, **how) -> DataFrame:
     return daily_mart.run_daily(
         spark,
         s.dim_users(spark, sf_dir),
@@ -260,13 +296,24 @@ def run_daily(spark: SparkSession, sf_dir: str, target: str) -> DataFrame:
         s.mcc_lookup(spark, sf_dir),
         target,
         as_of="2024-01-15",
+        **how,
     )
 
 
-@query()
+_WRITTEN = " UNION ALL ".join(
+    f"SELECT '{t}' AS \"table\", count(*) AS rows FROM {source}"
+    for t, source in {
+        "age_count": "age_count", "gender_count": "gender_count", "service_count": "service_count",
+        "trans_by_day": "trans_by_day", "user_geo": "dim_users", "stats": "(SELECT 1)",
+        "rfm_scores": "(SELECT DISTINCT user_id FROM fact_trans)",
+    }.items()
+)
+
+
+@query(_WRITTEN, "age_count gender_count service_count trans_by_day dim_users fact_trans")
 def daily_mart_tables(spark, sf_dir):
-    """The whole daily job; returns the rows of each table it wrote."""
-    return run_daily(spark, sf_dir, stage_path(spark, "mart"))
+    """The whole daily job with the frozen model; the rows of each table it wrote."""
+    return run_daily(spark, sf_dir, stage_path(spark, "mart"), label=_frozen)
 
 
 @query(
@@ -411,17 +458,19 @@ def age_series(spark, sf_dir):
     return series.select("id", F.array_join(point, " ").alias("points"))
 
 
-@query(
-    """SELECT p_type AS service, sum(p_size) FILTER (WHERE p_brand = 'Brand#1')::BIGINT AS "Brand#1",
-              sum(p_size) FILTER (WHERE p_brand = 'Brand#2')::BIGINT AS "Brand#2",
-              sum(p_size) FILTER (WHERE p_brand = 'Brand#3')::BIGINT AS "Brand#3"
-       FROM part GROUP BY 1"""
-)
+# All brands of the test tables, checked by the total of every row.
+_BRANDS = [f"Brand#{i}" for i in range(1, 26)]
+_BARS = ", ".join(f"sum(p_size) FILTER (WHERE p_brand = '{b}')::BIGINT AS \"{b}\"" for b in _BRANDS)
+
+
+@query(f"SELECT p_type AS service, {_BARS}, sum(p_size)::BIGINT AS total FROM part GROUP BY 1")
 def bar_keys(spark, sf_dir):
     parts = s.table(spark, sf_dir, "part")
-    wide = charts.to_wide(parts, "p_type", "p_brand", "p_size", ["Brand#1", "Brand#2", "Brand#3"])
+    wide = charts.to_wide(parts, "p_type", "p_brand", "p_size", _BRANDS)
     colored = wide.withColumnRenamed("p_type", "service").withColumn("Brand#1Color", F.lit("blue"))
-    return colored.select("service", *charts.bar_keys(colored))
+    bars = charts.bar_keys(colored)
+    total = sum((F.coalesce(F.col(f"`{b}`"), F.lit(0)) for b in bars), F.lit(0)).cast("long")
+    return colored.select("service", *[F.col(f"`{b}`") for b in bars], total.alias("total"))
 
 
 @query(

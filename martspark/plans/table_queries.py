@@ -36,7 +36,7 @@ def read_fact_parts(spark, sf_dir):
         stamp.alias("trans_timestamp"),
         F.col("value").alias("trans_amount"),
         F.col("event_type").alias("trans_service"),
-    ).repartition(18).write.option("header", True).csv(out)
+    ).write.option("header", True).csv(out)
     return files.read_fact_parts(spark, f"{out}/part-*.csv")
 
 
@@ -55,24 +55,40 @@ def read_mcc(spark, sf_dir):
 
 
 @query(
-    """SELECT m.id, m.sender_type, cs.user_id, cs.is_active, CAST(cs.created_at AS DATE) AS day
-       FROM messages m JOIN chat_sessions cs ON m.chat_session_id = cs.id""",
-    "messages chat_sessions",
+    """SELECT m.id, m.sender_type, cs.user_id, cs.is_active, CAST(cs.created_at AS DATE) AS day, u.name AS user_name,
+              coalesce(i.n, 0) AS n_images, CAST(1 AS BIGINT) AS n_members
+       FROM messages m JOIN chat_sessions cs ON m.chat_session_id = cs.id JOIN chat_users u ON u.id = cs.user_id
+            LEFT JOIN (SELECT message_id, count(*) AS n FROM message_images GROUP BY 1) i ON i.message_id = m.id""",
+    "messages chat_sessions chat_users message_images",
 )
 def read_chat(spark, sf_dir):
     """The chat tables written in their declared schemas and read back."""
     out = stage_path(spark, "chat")
-    given = {"chat_sessions": s.chat_sessions(spark, sf_dir), "messages": s.messages(spark, sf_dir)}
+    given = {
+        "users": s.chat_users(spark, sf_dir),
+        "chat_sessions": s.chat_sessions(spark, sf_dir),
+        "messages": s.messages(spark, sf_dir),
+        "message_images": s.message_images(spark, sf_dir),
+    }
+    sessions = given["chat_sessions"]
+    given["chat_participants"] = sessions.select("id", F.col("id").alias("chat_session_id"), "user_id")
     for name, schema in CHAT.items():
-        df = given.get(name, s.table(spark, sf_dir, "nation").limit(0))
+        df = given[name]
         padded = df.withColumns({f.name: F.lit(None) for f in schema.fields if f.name not in df.columns})
         tables.write_mart(padded, f"{out}/{name}", schema)
     read = files.read_chat(spark, out)
     owner = read.chat_sessions.select(
         F.col("id").alias("chat_session_id"), "user_id", "is_active", F.to_date("created_at").alias("day")
     )
-    return scale.salted_join(read.messages, owner, ["chat_session_id"], "inner").select(
-        "id", "sender_type", "user_id", "is_active", "day"
+    names = read.users.select(F.col("id").alias("user_id"), F.col("name").alias("user_name"))
+    counted = F.count(F.lit(1))
+    members = read.chat_participants.groupBy("chat_session_id").agg(counted.alias("n_members"))
+    images = read.message_images.groupBy(F.col("message_id").alias("id")).agg(counted.alias("n_images"))
+    owned = scale.salted_join(owner, names, ["user_id"], "inner").join(members, "chat_session_id")
+    inside = scale.salted_join(read.messages, owned, ["chat_session_id"], "inner").join(images, "id", "left")
+    return inside.select(
+        "id", "sender_type", "user_id", "is_active", "day", "user_name",
+        F.coalesce("n_images", F.lit(0)).alias("n_images"), "n_members",
     )
 
 
@@ -156,8 +172,11 @@ def _run_stream(updates: DataFrame, key: str, name: str) -> DataFrame:
 
 
 def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    schema = s.table(spark, sf_dir, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    """A table as a stream of several micro-batches."""
+    df = s.table(spark, sf_dir, name)
+    folder = stage_path(spark, f"{name}-stream")
+    df.repartition(3).write.parquet(folder)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder)
 
 
 @query(

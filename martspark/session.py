@@ -23,12 +23,12 @@ def sizing(input_bytes: int) -> dict[str, str]:
     """Partition settings for an input of this size.
 
     Shuffles start with one partition per 128 MB of input, and AQE merges what turns out small;
-    the built-in 200 would mean half a terabyte per task at 100 TB. Reads of many terabytes take
-    larger splits, to keep the number of tasks in the hundred thousands.
+    the built-in 200 would mean half a terabyte per task at 100 TB. Splits grow with the cube root
+    of the input from 1 TB on, so that neither they nor the number of tasks jump.
     """
     mb = 1 << 20
-    partitions = min(max(200, input_bytes // (128 * mb)), 200_000)
-    split = 128 * mb if input_bytes < 1 << 40 else 512 * mb
+    partitions = max(200, input_bytes // (128 * mb))
+    split = round(128 * mb * max(1.0, input_bytes / (1 << 40)) ** (1 / 3))
     return {
         "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(partitions),
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(128 * mb),
@@ -54,10 +54,16 @@ def build_session(
 
 
 def stage_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a temporary one only where none is configured."""
+    """The shared folder of the cluster.
+
+    A local master, whose tasks all run in one process, gets a temporary folder where none is
+    configured. On a cluster that would be another disk on each executor, so there it is an error.
+    """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     own = spark.conf.get(_OWN_DIR, None)
     if not own:
         own = tempfile.mkdtemp(prefix="martspark-")

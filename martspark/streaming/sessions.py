@@ -15,15 +15,18 @@ from martspark.sources.tables import latest_per_key
 
 
 def stream_session_stats(
-    changes: DataFrame, delay: str = "1 hour", event_time: str = "created_at"
+    changes: DataFrame, delay: str = "1 hour", event_time: str = "created_at", arrival: str | None = None
 ) -> DataFrame:
     """Running (chat_session_id, message_count, last_message_at) of a stream of changes.
 
     `changes` has uuid, chat_session_id, created_at and op, "insert" or "delete". A change that
-    is delivered again within `delay` counts once. Use update mode.
+    is delivered again within `delay` of its arrival counts once. The watermark is on the arrival,
+    the column `arrival` set at ingestion or else the time of the micro-batch, so no change is too
+    old to count, however long ago its message was written. Use update mode.
     """
-    timed = changes.withColumn(event_time, F.col(event_time).cast("timestamp"))
-    once = timed.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(["uuid", "op"])
+    arrived = F.current_timestamp() if arrival is None else F.col(arrival).cast("timestamp")
+    timed = changes.withColumns({event_time: F.col(event_time).cast("timestamp"), "_arrived": arrived})
+    once = timed.withWatermark("_arrived", delay).dropDuplicatesWithinWatermark(["uuid", "op"])
     inserted = F.col("op") == "insert"
     return once.groupBy("chat_session_id").agg(
         F.sum(F.when(inserted, 1).otherwise(-1)).alias("message_count"),

@@ -12,10 +12,11 @@ SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     session = build_session(
         "martspark-tests",
         master="local[8]",
+        spark__checkpoint__dir=str(tmp_path_factory.mktemp("shared")),
         spark__ui__enabled="false",
         spark__ui__showConsoleProgress="false",
         spark__sql__shuffle__partitions="8",

@@ -135,7 +135,12 @@ def test_chat_detail(sessions, messages, images):
     assert rows[0]["images"] == []
     assert chat.chat_detail(sessions, messages, images, "s3").count() == 0
     everything = chat.chat_detail(sessions, messages, images).collect()
-    assert len(everything) == 7 and everything[-1]["images"] == []  # an empty url is no image
+    assert len(everything) == 9
+    assert [r["images"] for r in everything if r["id"] == "m17"] == [[]]  # an empty url is no image
+    silent = [r for r in everything if r["id"] is None]
+    assert sorted(r["chat_id"] for r in silent) == ["s2", "s5"] and {r["role"] for r in silent} == {None}
+    assert [r["images"] for r in chat.chat_detail(sessions, messages, images, "s2").collect()] == [[]]
+    assert [tuple(r) for r in chat.active_session_total(sessions, 77).collect()] == [(77, 0)]
     assert chat.chat_detail(sessions, messages, images, "s1", user_id=2).count() == 0
 
 

@@ -4,10 +4,9 @@ import oracle
 import pytest
 
 import __spark_entry__ as entry
+from martspark.plans.queries import ORACLES, QUERIES
 
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
-# Results without a SQL form; tests of their own are in the other files.
-ROWS_ONLY = {"segment_customers", "clustered_users", "daily_mart_tables"}
+# The text queries have tests of their own.
 # No pairs of all rows with all rows, no rows through Python.
 UNWANTED = ("CartesianProduct", "BroadcastNestedLoopJoin", "EvalPython", "InPandas", "InArrow")
 
@@ -17,8 +16,9 @@ def con(sf_dir):
     return oracle.connect(sf_dir)
 
 
-def test_only_clustering_lacks_sql():
-    assert set(QUERIES) - set(ORACLES) == ROWS_ONLY
+def test_all_have_sql_and_are_registered():
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
@@ -29,10 +29,5 @@ def test_same_as_sql(spark, sf_dir, con, name):
     assert oracle.compare(df, con, ORACLES[name]) == []
 
 
-@pytest.mark.parametrize("name", sorted(ROWS_ONLY))
-def test_gives_rows(spark, sf_dir, name):
-    assert QUERIES[name](spark, sf_dir).count() > 0
-
-
 def test_entry(spark):
     assert entry.entry(spark).columns == ["user_id", "last_trans_date", "frequency", "monetary", "recency"]

@@ -32,7 +32,7 @@ def test_salted_join_is_a_join(facts, dims, how):
     def content(df):
         return sorted((tuple(r) for r in df.select(*sorted(df.columns)).collect()), key=str)
 
-    salted = salted_join(facts, dims, ["k"], how, salts=8)
+    salted = salted_join(facts, dims, ["k"], how, rows_per_task=1000)
     assert content(salted) == content(facts.join(dims, "k", how))
 
 
@@ -40,7 +40,7 @@ def test_salted_join_spreads_the_hot_key_and_no_key(spark, facts, dims):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        sizes = [r[0] for r in salted_join(facts, dims, ["k"], "left", salts=32)
+        sizes = [r[0] for r in salted_join(facts, dims, ["k"], "left", rows_per_task=200)
                  .groupBy(F.spark_partition_id()).count().select("count").collect()]
         plain = [r[0] for r in facts.join(dims, "k", "left")
                  .groupBy(F.spark_partition_id()).count().select("count").collect()]
@@ -51,9 +51,9 @@ def test_salted_join_spreads_the_hot_key_and_no_key(spark, facts, dims):
     assert max(plain) > 6_000 and max(sizes) < 5_000
 
 
-@pytest.mark.parametrize("hot_share", [0.005, 0.0, 1.0])
-def test_positions_of_hot_small_and_unknown_groups(facts, hot_share):
-    out = positions(facts, ["k"], [F.col("id")], "id", total="n", hot_share=hot_share).collect()
+@pytest.mark.parametrize("range_rows", [100, 0, 1_000_000])
+def test_positions_of_hot_small_and_unknown_groups(facts, range_rows):
+    out = positions(facts, ["k"], [F.col("id")], "id", total="n", range_rows=range_rows).collect()
     seen = {}
     for r in sorted(out, key=lambda r: r["id"]):
         expected = seen.get(r["k"], 0)
@@ -75,17 +75,16 @@ def test_positions_of_equal_unknown_and_no_rows(spark):
     assert positions(df.limit(0), ["t"], [F.col("n")], "n", total="total").count() == 0
 
 
-def test_positions_spread_the_hot_group_in_one_shuffle(spark, facts):
+def test_positions_spread_the_hot_group(spark, facts):
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        out = positions(facts, ["k"], [F.col("id")], "id")
+        out = positions(facts, ["k"], [F.col("id")], "id", range_rows=500)
         sizes = [r[0] for r in out.groupBy(F.spark_partition_id()).count().select("count").collect()]
         plan = plan_of(out)
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert max(sizes) < 5_000 and sum(sizes) == 20_000
-    # Only the numbering shuffles rows; the joins are broadcasts of the large groups.
-    assert plan.count("_part") and "SortMergeJoin" not in plan and "NestedLoop" not in plan
+    assert plan.count("_part") and "NestedLoop" not in plan
 
 
 def test_last_n_keeps_all_of_small_groups(spark):
@@ -137,3 +136,15 @@ def test_quantiles_of_many_skewed_rows(spark):
 def test_quantiles_leave_out_nulls(spark):
     df = spark.createDataFrame([(None,), (1.0,), (3.0,)], "x double")
     assert exact_quantiles(df, ["x"], [0.5]).first()["edges"] == [2.0]
+
+
+@pytest.mark.parametrize("ids", [
+    [*range(20_000), 10**15],
+    [-(2**63), *range(-5000, 5000), 2**63 - 1],
+])
+def test_positions_with_ids_far_apart(spark, ids):
+    """The ranges follow the rows, not the width between the ids, so an outlier does not empty them."""
+    df = spark.createDataFrame([(i,) for i in ids], "id long")
+    out = positions(df, [], [F.col("id")], "id").withColumn("task", F.spark_partition_id()).collect()
+    assert [r["id"] for r in sorted(out, key=lambda r: r["position"])] == sorted(ids)
+    assert [r["position"] for r in sorted(out, key=lambda r: r["id"])] == list(range(len(ids)))

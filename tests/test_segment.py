@@ -50,10 +50,14 @@ def blobs(spark, n, seed=5):
     return spark.createDataFrame(rows, SCHEMA), truth
 
 
-@pytest.mark.parametrize("max_points", [2048, 64])
-def test_finds_separated_groups_exact_and_summarised(spark, max_points):
-    df, truth = blobs(spark, 1200)
-    found = {r["user_id"]: r["cluster"] for r in segment.segment_customers(df, max_points=max_points).collect()}
+@pytest.mark.parametrize("n", [1000, 2048, 2049, 10_000])
+@pytest.mark.parametrize("outlier", [False, True])
+def test_finds_separated_groups_at_any_size(spark, n, outlier):
+    df, truth = blobs(spark, n)
+    if outlier:
+        far = spark.createDataFrame([(n, 260, 13_000.0, 2)], SCHEMA)
+        df, truth = df.unionByName(far), truth | {n: "Top Users"}
+    found = {r["user_id"]: r["cluster"] for r in segment.segment_customers(df).collect()}
     assert found == truth
 
 
@@ -64,7 +68,7 @@ def test_many_users_and_a_hot_row(spark):
         F.col("id").alias("user_id"), F.lit(50).cast("long").alias("frequency"),
         F.lit(2000.0).alias("monetary"), F.lit(20).alias("recency"),
     )
-    out = segment.segment_customers(rows.unionByName(same), max_points=256)
+    out = segment.segment_customers(rows.unionByName(same))
     assert out.count() == 6000
     assert out.where(F.col("cluster").isNull()).count() == 0
     hot = out.where(F.col("user_id") >= 3000).select("cluster").distinct().collect()
@@ -86,11 +90,11 @@ def adjusted_rand(a, b):
 
 def test_summary_agrees_with_the_exact_result(spark):
     df, _ = blobs(spark, 2000, seed=9)
-    exact = {r["user_id"]: r["cluster"] for r in segment.segment_customers(df, max_points=4096).collect()}
-    summary = {r["user_id"]: r["cluster"] for r in segment.segment_customers(df, max_points=300).collect()}
-    users = sorted(exact)
-    score = adjusted_rand(np.array([exact[u] for u in users]), np.array([summary[u] for u in users]))
-    assert score > 0.95
+    rows = sorted(map(tuple, df.collect()))
+    points = np.array([r[1:] for r in rows], float)
+    exact = segment.ward_labels((points - points.mean(0)) / points.std(0), np.ones(len(points)), 3)
+    summary = {r["user_id"]: r["cluster"] for r in segment.segment_customers(df).collect()}
+    assert adjusted_rand(exact, np.array([summary[r[0]] for r in rows])) > 0.95
 
 
 def test_same_result_for_any_row_order(spark):

@@ -66,3 +66,18 @@ def test_a_snapshot_stands_for_the_older_batches(spark):
     assert state() == state(second) == [(1, 3), (2, 9), (3, 1)]
     plan = live.current_state(spark, folder, "k", second)._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(batch" in plan
+
+
+def test_changes_weeks_late_count(spark):
+    """Three batches: a delete of an old message, then an insert older than everything seen."""
+    source, folder, checkpoint = (stage_path(spark, n) for n in ("changes", "state", "checkpoint"))
+    old, new = at(0), at(60 * 24 * 30)
+    batches = [
+        [("a", 1, old, "insert"), ("b", 2, new, "insert")],
+        [("c", 1, new, "insert"), ("a", 1, old, "delete")],
+        [("d", 2, at(5), "insert"), ("d", 2, at(5), "insert"), ("c", 1, new, "insert")],
+    ]
+    for rows in batches:
+        spark.createDataFrame(rows, CHANGES).write.mode("append").parquet(source)
+        state = run(spark, source, folder, checkpoint)
+    assert state == {1: (1, new), 2: (2, new)}
