@@ -129,7 +129,7 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
     """Learns from rows outside the held-out fold: labelled toxic documents against all documents as
     unlabelled, at most as many of each as `settings` says, those with the least hash of their id. Only the
     hashes of their distinct words reach the driver. The class prior is the share of toxic ones among all
-    labelled rows of the same folds. Without any labelled toxic document all scores are 0.
+    labelled rows of the same folds, so labels should be spread like the documents. Without any labelled toxic document all scores are 0.
     """
     marks = labels.where("toxic is not null").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(
         F.max("toxic").alias("toxic")
