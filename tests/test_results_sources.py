@@ -176,8 +176,11 @@ def test_views_persist_touch(spark):
 def test_sizing():
     small, large = sizing(1 << 30), sizing(100 << 40)
     part = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
-    assert small[part] == "200" and large[part] == "200000"
-    assert int(large["spark.sql.files.maxPartitionBytes"]) > int(small["spark.sql.files.maxPartitionBytes"])
+    split = "spark.sql.files.maxPartitionBytes"
+    assert small[part] == "200" and int(large[part]) * (128 << 20) == 100 << 40
+    assert int(large[split]) > int(small[split])
+    below, above = sizing((1 << 40) - 1), sizing((1 << 40) + 1)
+    assert abs(int(above[split]) - int(below[split])) < 10  # no jump
 
 
 def test_stage_reads_back_the_same_from_the_shared_folder(spark):
