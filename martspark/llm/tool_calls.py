@@ -85,33 +85,71 @@ def _checked(frames: Iterator[pd.DataFrame], schemas: dict) -> Iterator[pd.DataF
         ]
 
 
+def _chains(calls: DataFrame, needs: DataFrame) -> DataFrame:
+    """(call_id, n, end, steps, done): where a call's chain of single dependencies ends, that many steps on.
+
+    A call with n = 0 or several dependencies is an end itself. In each round every call jumps to where its
+    target points, so the rounds grow with the logarithm of the longest chain. Each round settles some call
+    until only circular chains are left; those stay not `done`.
+    """
+    counted = calls.join(
+        needs.groupBy("call_id").agg(F.count(F.lit(1)).alias("n"), F.min("needs").alias("only")), "call_id", "left"
+    )
+    single = F.coalesce(F.col("n") == 1, F.lit(False))
+    chains = stage(
+        counted.select(
+            "call_id", F.coalesce("n", F.lit(0)).alias("n"), F.when(single, F.col("only")).otherwise(F.col("call_id")).alias("end"),
+            single.cast("bigint").alias("steps"), (~single).alias("done"),
+        ), "call-chains",
+    )
+    before = None
+    while (left := chains.where("not done").count()) not in (0, before):
+        before = left
+        ahead = chains.select(
+            F.col("call_id").alias("end"), F.col("end").alias("far"), F.col("steps").alias("more"), F.col("done").alias("stop")
+        )
+        jumped = chains.where("not done").join(ahead, "end").select(
+            "call_id", "n", F.col("far").alias("end"), (F.col("steps") + F.col("more")).alias("steps"), F.col("stop").alias("done")
+        )
+        chains = stage(chains.where("done").unionByName(jumped), "call-chains")
+    return chains
+
+
 def levels(calls: DataFrame) -> DataFrame:
     """(call_id, level): 0 for calls without known dependencies, else one more than the highest of them.
 
-    Calls that depend on themselves, also by way of others, and calls behind them are left out. All calls of
-    a level are found in one distributed step, whichever conversation they belong to, so the steps are as
-    many as the longest chain of dependencies. Each step is written to the shared folder.
+    Calls that depend on themselves, also by way of others, and calls behind them are left out. Chains of
+    calls with one dependency each are followed by doubling (`_chains`). Calls with several dependencies are
+    then settled in rounds, all at once whose dependencies' chains end in settled calls; these rounds are as
+    many as such calls stand behind each other. Each round is written to the shared folder.
     """
     known = calls.select("call_id")
     needs = stage(
         calls.select("call_id", F.explode("depends_on").alias("needs")).distinct()
         .join(known.withColumnRenamed("call_id", "needs"), "needs", "left_semi"), "call-needs",
     )
-    done = stage(known.join(needs, "call_id", "left_anti").withColumn("level", F.lit(0)), "call-levels")
-    fresh, level = done, 0
-    while not fresh.isEmpty() and not needs.isEmpty():
-        level += 1
-        # What the last level answered is crossed off; calls that wait for nothing more are next.
-        waiting = needs
-        needs = stage(
-            needs.join(fresh.select(F.col("call_id").alias("needs")), "needs", "left_anti"), "call-needs"
+    chains = _chains(known, needs)
+    done = fresh = chains.where("n = 0").select("call_id", F.lit(0).cast("bigint").alias("level"))
+    way = chains.select(F.col("call_id").alias("needs"), F.when(F.col("done"), F.col("end")).alias("end"), "steps")
+    waiting = stage(
+        needs.join(chains.where("n > 1").select("call_id"), "call_id", "left_semi").join(way, "needs").select(
+            "call_id", "end", (F.col("steps") + 1).alias("steps"), F.lit(None).cast("bigint").alias("base")
+        ), "call-waiting",
+    )
+    while not waiting.isEmpty() and not fresh.isEmpty():
+        found = fresh.select(F.col("call_id").alias("end"), F.col("level").alias("new"))
+        waiting = stage(
+            waiting.join(found, "end", "left").select("call_id", "end", "steps", F.coalesce("base", "new").alias("base")),
+            "call-waiting",
         )
-        fresh = stage(
-            waiting.select("call_id").distinct().join(needs, "call_id", "left_anti").withColumn("level", F.lit(level)),
-            "call-levels",
+        settled = waiting.groupBy("call_id").agg(
+            F.max(F.col("base") + F.col("steps")).alias("level"), F.count_if(F.col("base").isNull()).alias("open")
         )
+        fresh = stage(settled.where("open = 0").select("call_id", "level"), "call-levels")
         done = done.unionByName(fresh)
-    return done
+        waiting = waiting.join(fresh.select("call_id"), "call_id", "left_anti")
+    base = done.select(F.col("call_id").alias("end"), F.col("level").alias("base"))
+    return chains.where("done").join(base, "end").select("call_id", (F.col("base") + F.col("steps")).cast("int").alias("level"))
 
 
 def link_calls(calls: DataFrame, results: DataFrame, schemas: dict) -> DataFrame:

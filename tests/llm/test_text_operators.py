@@ -273,6 +273,25 @@ def test_tool_calls(spark):
     assert tool_calls.link_calls(calls.limit(0), results, schemas).count() == 0
 
 
+def test_levels_same_as_brute_force(spark):
+    """Long chains, calls with several dependencies, repeated and unknown ones, and circles."""
+    rng = random.Random(8)
+    needs = {f"c{i}": [f"c{i - 1}"] if i else [] for i in range(150)}  # one long chain
+    for i in range(120):
+        needs[f"d{i}"] = [f"d{rng.randrange(i)}" for _ in range(rng.choice([0, 1, 1, 1, 2, 3]))] if i else []
+    needs |= {f"star{i}": ["c149"] for i in range(20)} | {"both": ["star3", "d119", "both2"], "both2": ["c3", "c90"]}
+    needs |= {"x": ["y"], "y": ["z"], "z": ["x"], "behind": ["x"], "more": ["c1", "behind"], "self": ["self"], "lost": ["gone"]}
+    expected = {}
+    for _ in needs:
+        for call, on in needs.items():
+            on = [n for n in on if n in needs]
+            if all(n in expected for n in on):
+                expected[call] = max((expected[n] + 1 for n in on), default=0)
+    calls = spark.createDataFrame(list(needs.items()), "call_id string, depends_on array<string>")
+    assert dict(map(tuple, tool_calls.levels(calls).collect())) == expected
+    assert max(expected.values()) > 150 and {"x", "behind", "more", "self"}.isdisjoint(expected)
+
+
 def test_tool_calls_same_as_sql(spark, sf_dir):
     import oracle
 
