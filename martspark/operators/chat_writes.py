@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from martspark.operators.chat import IMAGE_FIELDS, session_stats, session_title
 from martspark.operators.scale import positions, salted_join
 from martspark.session import stage
+from martspark.sources.tables import touch
 
 
 @dataclass(frozen=True)
@@ -118,6 +119,8 @@ def apply_requests(
     )
     known = [c for c in sessions.columns if c in opened.columns]
     every = sessions.unionByName(opened.select(*known), allowMissingColumns=True).join(moved, "id", "left")
+    if "updated_at" in sessions.columns:
+        every = touch(every, F.col("_last").isNotNull(), F.col("_last"))
     after = every.withColumns({
         "message_count": (F.col("message_count") + F.coalesce("_added", F.lit(0))).cast("int"),
         "last_message_at": F.coalesce("_last", "last_message_at"),

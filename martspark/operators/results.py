@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -145,3 +146,21 @@ def result_context(df: DataFrame, database: str, query: str, order: list[str] |
     lines = result_lines(df, database, query, order)
     ordered = F.array_sort(F.collect_list(F.struct("section", "no", "line")))
     return lines.agg(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias("context"))
+
+
+def answers_context(spark: SparkSession, answers: Sequence[tuple[str, QueryResult]]) -> DataFrame:
+    """One row (context): the results of several (database, answer) pairs in their order, each with a blank
+    line behind it. A failed answer gives its error."""
+    if not answers:
+        return spark.range(1).select(F.lit("No data was retrieved.").alias("context"))
+    parts = []
+    for no, (database, answer) in enumerate(answers):
+        if answer.success:
+            part = result_context(answer.frame, database, answer.query)
+        else:
+            told = f"Database: {database}\nQuery: {answer.query}\nQuery failed: {answer.error}"
+            part = spark.range(1).select(F.lit(told).alias("context"))
+        parts.append(part.select(F.lit(no).alias("no"), "context"))
+    ordered = F.array_sort(F.collect_list(F.struct("no", "context")))
+    texts = F.transform(ordered, lambda x: F.concat(x["context"], F.lit("\n")))
+    return reduce(DataFrame.unionByName, parts).agg(F.array_join(texts, "\n").alias("context"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from martspark.operators import chat, marts, quality, scale
 from martspark.plans import samples as s
 from martspark.plans.registry import query
-from martspark.schemas import CHAT, MART
+from martspark.schemas import CHAT, FOREIGN_KEYS, MART
 from martspark.session import stage_path
 from martspark.sources import files, tables
 from martspark.streaming import sessions as live
@@ -138,26 +138,40 @@ def upsert(spark, sf_dir):
 
 
 @query(
-    """SELECT 'chat_sessions' AS "table", id FROM chat_sessions WHERE is_active
-       UNION ALL SELECT 'messages', id FROM messages
-         WHERE chat_session_id NOT IN (SELECT id FROM chat_sessions WHERE NOT is_active)
+    """WITH gone AS (SELECT id FROM chat_users WHERE id % 4 = 1),
+            closed AS (SELECT id FROM chat_sessions WHERE user_id IN (SELECT id FROM gone)),
+            seats AS (SELECT 2 * id + g AS id, id AS chat_session_id, user_id + g AS user_id
+                      FROM chat_sessions, (VALUES (0), (1)) t(g))
+       SELECT 'users' AS "table", id FROM chat_users WHERE id % 4 <> 1
+       UNION ALL SELECT 'chat_sessions', id FROM chat_sessions WHERE user_id NOT IN (SELECT id FROM gone)
+       UNION ALL SELECT 'messages', id FROM messages WHERE chat_session_id NOT IN (SELECT id FROM closed)
        UNION ALL SELECT 'message_images', id FROM message_images WHERE message_id NOT IN (
-         SELECT id FROM messages WHERE chat_session_id IN (SELECT id FROM chat_sessions WHERE NOT is_active))""",
-    "chat_sessions messages message_images",
+         SELECT id FROM messages WHERE chat_session_id IN (SELECT id FROM closed))
+       UNION ALL SELECT 'chat_participants', id FROM seats
+         WHERE chat_session_id NOT IN (SELECT id FROM closed) AND user_id NOT IN (SELECT id FROM gone)""",
+    "chat_users chat_sessions messages message_images",
 )
 def cascade_delete(spark, sf_dir):
-    """Inactive sessions removed with their messages and those messages' images."""
+    """A quarter of the users removed with all that hangs on them, their seats in others' sessions too."""
+    sessions = s.chat_sessions(spark, sf_dir)
+    guest = F.explode(F.array(F.lit(0), F.lit(1))).alias("g")
+    seats = sessions.select("id", "user_id", guest).select(
+        (F.col("id") * 2 + F.col("g")).alias("id"), F.col("id").alias("chat_session_id"),
+        (F.col("user_id") + F.col("g")).alias("user_id"),
+    )
     base = {
-        "chat_sessions": s.chat_sessions(spark, sf_dir).select("id", "is_active"),
+        "users": s.chat_users(spark, sf_dir).select("id"),
+        "chat_sessions": sessions.select("id", "user_id"),
         "messages": s.messages(spark, sf_dir).select("id", "chat_session_id"),
         "message_images": s.message_images(spark, sf_dir).select("id", "message_id"),
+        "chat_participants": seats,
     }
-    gone = base["chat_sessions"].where(~F.col("is_active"))
-    links = {
-        "messages": ("chat_sessions", "chat_session_id"),
-        "message_images": ("messages", "message_id"),
-    }
-    kept = tables.cascade_delete(base, "chat_sessions", gone, "id", links)
+    gone = base["users"].where("id % 4 = 1")
+    links: dict[str, list] = {}
+    for link in FOREIGN_KEYS:
+        if link.child in base:
+            links.setdefault(link.child, []).append((link.parent, link.child_column))
+    kept = tables.cascade_delete(base, "users", gone, "id", links)
     return quality.union_all(*[df.select(F.lit(name).alias("table"), "id") for name, df in kept.items()])
 
 

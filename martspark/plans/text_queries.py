@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from martspark.functions import scalars, text
 from martspark.operators import chat, results
 from martspark.plans import samples as s
-from martspark.plans.registry import query, rounded, services
+from martspark.plans.registry import ORACLES, query, rounded, services
 from martspark.sources import tables
 
 
@@ -292,3 +292,16 @@ def result_context(spark, sf_dir):
     orders = s.table(spark, sf_dir, "orders")
     counts = orders.groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
     return results.result_context(counts, "sales", "orders by priority", ["o_orderpriority"])
+
+
+@query(
+    f"""SELECT context || chr(10) || chr(10) || 'Database: mart' || chr(10) || 'Query: DROP TABLE orders' || chr(10)
+               || 'Query failed: not a query' || chr(10) AS context FROM ({ORACLES["result_context"]})"""
+)
+def answers_context(spark, sf_dir):
+    """A good answer and a failed one."""
+    orders = s.table(spark, sf_dir, "orders")
+    counts = orders.groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n")).orderBy("o_orderpriority")
+    good = results.QueryResult(True, "orders by priority", counts, tuple(counts.columns))
+    bad = results.QueryResult(False, "DROP TABLE orders", error="not a query")
+    return results.answers_context(spark, [("sales", good), ("mart", bad)])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Observation
@@ -18,16 +18,37 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
 
 
 def conform_losses(df: DataFrame, schema: T.StructType) -> DataFrame:
-    """One row: per column the values that `conform` turns into NULL."""
+    """One row: per column the values that `conform` turns into NULL, and the NULLs that the schema forbids."""
 
     def lost(f: T.StructField) -> Column:
-        return F.col(f.name).isNotNull() & F.col(f.name).try_cast(f.dataType).isNull()
+        missing = F.col(f.name).try_cast(f.dataType).isNull()
+        return F.col(f.name).isNotNull() & missing if f.nullable else missing
 
     return df.agg(*[F.count_if(lost(f)).alias(f.name) for f in schema.fields])
 
 
-def write_mart(df: DataFrame, path: str, schema: T.StructType | None = None, mode: str = "overwrite") -> int:
-    """Writes a mart table as Parquet and returns its rows, counted while writing."""
+def write_mart(
+    df: DataFrame,
+    path: str,
+    schema: T.StructType | None = None,
+    mode: str = "overwrite",
+    allow_losses: bool = False,
+) -> int:
+    """Writes a mart table as Parquet and returns its rows, counted while writing.
+
+    Values that do not fit the declared type or a NULL where none may be stop the write before it
+    begins, unless `allow_losses`. They are counted in a pass of its own, which reads only the columns
+    that can have any: those of another type than declared, and those that must not be NULL but can be.
+    """
+    if schema is not None and not allow_losses:
+        given = df.schema
+        doubtful = [
+            f for f in schema.fields
+            if given[f.name].dataType != f.dataType or (given[f.name].nullable and not f.nullable)
+        ]
+        losses = conform_losses(df, T.StructType(doubtful)).first().asDict() if doubtful else {}
+        if any(losses.values()):
+            raise ValueError(f"values that do not fit {path}: { {c: n for c, n in losses.items() if n} }")
     seen = Observation()
     out = conform(df, schema) if schema is not None else df
     out.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode(mode).parquet(path)
@@ -93,30 +114,50 @@ def upsert(base: DataFrame, updates: DataFrame, key: str, order: Sequence[str] |
 
 
 def cascade_delete(
-    tables: dict[str, DataFrame], root: str, deleted: DataFrame, key: str, children: dict[str, tuple[str, str]]
+    tables: dict[str, DataFrame],
+    root: str,
+    deleted: DataFrame,
+    key: str,
+    children: Mapping[str, Sequence[tuple[str, str]]],
 ) -> dict[str, DataFrame]:
     """The tables without the `deleted` keys of `root` and without their descendants.
 
-    `children` maps a child table to (parent table, foreign key column); each table's own key is
-    `key`. A parent with very many children is spread by the join.
+    `children` maps a child table to its (parent table, foreign key column) pairs; a row goes with the
+    first of its parents that goes. Each table's own key is `key`. A child meets each parent in one
+    join, which spreads a parent with very many children.
     """
     gone = {root: deleted.select(key).distinct()}
     kept = {}
     for name in _parents_first(root, children):
+        columns = tables[name].columns
         if name == root:
-            kept[name] = tables[name].join(gone[root], key, "left_anti").select(*tables[name].columns)
+            kept[name] = tables[name].join(gone[root], key, "left_anti").select(*columns)
             continue
-        parent, fk = children[name]
-        doomed = gone[parent].withColumnRenamed(key, fk)
-        kept[name] = salted_join(tables[name], doomed, [fk], "left_anti")
-        gone[name] = salted_join(tables[name], doomed, [fk], "left_semi").select(key)
+        marked, goes = tables[name], F.lit(False)
+        for i, (parent, fk) in enumerate(children[name]):
+            if parent in gone:
+                doomed = gone[parent].select(F.col(key).alias(fk), F.lit(True).alias(f"_gone_{i}"))
+                marked = salted_join(marked, doomed, [fk], "left")
+                goes = goes | F.col(f"_gone_{i}").isNotNull()
+        kept[name] = marked.where(~goes).select(*columns)
+        gone[name] = marked.where(goes).select(key)
     return {**tables, **kept}
 
 
-def _parents_first(root: str, children: dict[str, tuple[str, str]]) -> list[str]:
+def _parents_first(root: str, children: Mapping[str, Sequence[tuple[str, str]]]) -> list[str]:
+    """The root and what hangs on it, each table after all of its parents that hang on the root."""
+    below = [root]
+    for name in below:
+        below += [c for c, links in children.items() if c not in below and any(p == name for p, _ in links)]
     order = [root]
-    for name in order:
-        order += [child for child, (parent, _) in children.items() if parent == name]
+    while len(order) < len(below):
+        ready = [
+            c for c in below
+            if c not in order and all(p in order for p, _ in children[c] if p in below)
+        ]
+        if not ready:
+            raise ValueError(f"tables that refer to each other: {sorted(set(below) - set(order))}")
+        order += ready
     return order
 
 

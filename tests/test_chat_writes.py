@@ -1,6 +1,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from martspark.operators.chat_writes import apply_requests
 from martspark.session import stage_path
@@ -56,6 +57,13 @@ def test_counters_move_once(tables):
     assert (rows[4]["message_count"], rows[4]["title"], rows[4]["user_id"]) == (2, "x" * 50 + "...", 7)
 
 
+def test_changed_sessions_carry_the_time_of_the_change(tables):
+    requests, sessions, messages, images = tables
+    dated = sessions.withColumn("updated_at", F.lit(dt.datetime(2024, 2, 2)).cast("timestamp_ntz"))
+    rows = {r["id"]: r["updated_at"] for r in apply_requests(requests, dated, messages, images).sessions.collect()}
+    assert rows == {1: AT + dt.timedelta(minutes=1), 2: dt.datetime(2024, 2, 2), 4: AT}
+
+
 def test_a_repeated_batch_appends_nothing(spark, tables):
     path = stage_path(spark, "messages")
     assert append_rows(apply_requests(*tables).messages, path) == 6

@@ -56,6 +56,17 @@ def test_context_text(spark):
     assert empty.split("\n")[2:] == ["Results: 0 rows returned", "No data returned"]
 
 
+def test_context_of_several_answers(spark):
+    spark.range(2).createOrReplaceTempView("numbers")
+    good = results.run_readonly_sql(spark, "SELECT id FROM numbers")
+    bad = results.run_readonly_sql(spark, "DROP TABLE numbers")
+    text = results.answers_context(spark, [("a", good), ("b", bad), ("c", good)]).first()["context"]
+    first, second, third = text.removesuffix("\n").split("\n\nDatabase: ")
+    assert first == results.result_context(good.frame, "a", good.query).first()["context"]
+    assert second == f"b\nQuery: DROP TABLE numbers\nQuery failed: {bad.error}" and third.startswith("c\nQuery")
+    assert results.answers_context(spark, []).first()["context"] == "No data was retrieved."
+
+
 def test_json_records_keep_nulls(spark):
     df = spark.createDataFrame([(1, None)], "a int, b string")
     assert results.to_json_records(df).first()["json"] == '{"a":1,"b":null}'
@@ -158,12 +169,37 @@ def test_cascade_delete(spark):
         "p": spark.createDataFrame([(7, 1), (8, 2)], "id int, s int"),
         "other": spark.createDataFrame([(1,)], "id int"),
     }
-    links = {"m": ("s", "s"), "i": ("m", "m"), "p": ("s", "s")}
+    links = {"m": [("s", "s")], "i": [("m", "m")], "p": [("s", "s")]}
     left = tables.cascade_delete(base, "s", base["s"].where("id = 1"), "id", links)
     assert {n: rows(df.select("id")) for n, df in left.items()} == {
         "s": [(2,)], "m": [(20,), (30,)], "i": [(200,)], "p": [(8,)], "other": [(1,)]}
 
 
+def test_a_row_goes_with_any_of_its_parents(spark):
+    base = {
+        "u": spark.createDataFrame([(1,), (2,)], "id int"),
+        "s": spark.createDataFrame([(10, 1), (20, 2)], "id int, u int"),
+        # Seats: in the own session, in another's, of nobody.
+        "p": spark.createDataFrame([(5, 10, 1), (6, 20, 1), (7, 20, 2), (8, 10, 2), (9, 20, None)], "id int, s int, u int"),
+    }
+    links = {"p": [("s", "s"), ("u", "u")], "s": [("u", "u")]}
+    left = tables.cascade_delete(base, "u", base["u"].where("id = 1"), "id", links)
+    assert {n: rows(df.select("id")) for n, df in left.items()} == {"u": [(2,)], "s": [(20,)], "p": [(7,), (9,)]}
+    assert left["p"].columns == base["p"].columns
+    with pytest.raises(ValueError, match="refer to each other"):
+        tables.cascade_delete(base, "u", base["u"], "id", {"s": [("u", "u"), ("p", "s")], "p": [("s", "s")]})
+
+
+def test_misfits_are_not_written(spark):
+    schema = T.StructType([T.StructField("a", T.IntegerType(), False), T.StructField("b", T.StringType())])
+    path = stage_path(spark, "misfits")
+    df = spark.createDataFrame([("1", 5), ("x", None), (None, 6)], "a string, b int")
+    with pytest.raises(ValueError, match="'a': 2"):
+        tables.write_mart(df, path, schema)
+    assert tables.write_mart(df, path, schema, allow_losses=True) == 3
+    assert tables.write_mart(df.where("b = 5"), path, schema) == 1 and rows(spark.read.parquet(path)) == [(1, "5")]
+
+
 def test_views_persist_touch(spark):
     df = tables.publish_view(tables.persist_stage(spark.range(3)), "shared_numbers")
     assert df.count() == 3
