@@ -200,6 +200,19 @@ def one_apart(a, b):
     return len(a) == len(b) + 1 and any(a[:i] + a[i + 1:] == b for i in range(len(a)))
 
 
+def slow_lines(rows):
+    """Places of the lines of each document that repeat an earlier one."""
+    seen, expected = [], {}
+    for doc, text in sorted(rows):
+        for at, text_line in enumerate((text or "").split("\n")):
+            own = text_line.encode().split()
+            if own:
+                if any(x == own or (min(len(x), len(own)) >= 8 and one_apart(x, own)) for x in seen):
+                    expected.setdefault(doc, []).append(at)
+                seen.append(own)
+    return expected
+
+
 def test_line_dedup(spark):
     rng = random.Random(4)
     words = ["a", "b", "c", "dé", "e,"]
@@ -223,14 +236,7 @@ def test_line_dedup(spark):
             lines.append(rng.choice([" ", "  ", "\t"]).join(own))
         rows.append((i, "\n".join(lines)))
     rows += [(200, None), (201, ""), (202, "\n\n "), (-5, "x y z")]
-    seen, expected = [], {}
-    for doc, text in sorted(rows):
-        for at, text_line in enumerate((text or "").split("\n")):
-            own = text_line.encode().split()
-            if own:
-                if any(x == own or (min(len(x), len(own)) >= 8 and one_apart(x, own)) for x in seen):
-                    expected.setdefault(doc, []).append(at)
-                seen.append(own)
+    expected = slow_lines(rows)
     docs = frame(spark, rows).repartition(4)
     got = {r["doc_id"]: list(r["removed"]) for r in line_dedup.repeated_lines(docs).collect()}
     assert got == expected and sum(map(len, got.values())) > 50
@@ -583,3 +589,91 @@ def test_pipeline(spark, sf_dir):
     packed = corpus_pipeline.run(spark, sf_dir)
     totals = packed.groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("all"))
     assert totals.count() == counts[-1] and totals.where("n != all").count() == 0
+
+
+def slow_verdict(text):
+    """The quality rules, n-grams compared as such."""
+    limits, words = quality.Limits(), WORDS.findall(text or "")
+    triples = [tuple(words[i: i + 3]) for i in range(len(words) - 2)]
+    inside = {i + j for i, x in enumerate(triples) if triples.count(x) > 1 for j in range(3)}
+    if len(words) < 50 or 100 * len(inside) > 50 * len(words):
+        return False
+    chars = sum(map(len, words))
+    for n, most in limits.ngrams:
+        seen, again = set(), set()
+        for i in range(len(words) - n + 1):
+            gram = tuple(words[i: i + n])
+            if gram in seen:
+                again |= set(range(i, i + n))
+            seen.add(gram)
+        if sum(len(words[i]) for i in again) > most * chars:
+            return False
+    lines = [x for x in text.split("\n") if WORDS.search(x)]
+    repeated = [x for i, x in enumerate(lines) if x in lines[:i]]
+    letters = sum(len(w) for x in repeated for w in WORDS.findall(x))
+    return letters <= limits.line_chars * chars and len(repeated) <= limits.lines * len(lines)
+
+
+def slow_mask(text):
+    out, at = [], 0
+    for span in plain_spans(text):
+        kind, start, end = span.split(":")
+        if int(start) >= at:
+            out.append(text[at: int(start)] + f"<{kind.upper()}>")
+        at = max(at, int(end))
+    return "".join(out) + text[at:]
+
+
+def test_pipeline_same_as_brute_force(spark):
+    """Every stage takes effect: rejected documents, repeated lines, near copies and personal data."""
+    import corpus_pipeline
+    from martspark.session import stage_path
+
+    rng = random.Random(12)
+
+    def words(n):
+        return [f"w{rng.randint(0, 5000)}" for _ in range(n)]
+
+    private = ["a.b@mail.org", "+1 (323) 555-9830", "10.1.2.3", "4111 1111 1111 1111"]
+    shared, rows = [" ".join(words(12)) for _ in range(5)], [(-3, None), (-2, ""), (-1, "short")]
+    for i in range(50):
+        lines = [" ".join(words(rng.randint(2, 20))) for _ in range(rng.randint(3, 9))]
+        if i % 3 == 0:
+            lines.insert(1, rng.choice(shared))
+        if i % 4 == 0:
+            own = rng.choice(shared).split()
+            own[rng.randrange(12)] = "changed"
+            lines.append(" ".join(own))
+        if i % 7 == 0:
+            lines += lines[:3] * 4  # too many repeats
+        if i % 5 == 0:
+            lines[0] += " " + rng.choice(private)
+        rows.append((i, "\n".join(lines)))
+    for i in range(8):
+        long = words(1200)
+        rows.append((100 + i, " ".join(long)))
+        long[5] = long[700] = "other"
+        rows.append((200 + i, " ".join(long)))
+
+    kept = [r for r in rows if slow_verdict(r[1])]
+    assert 20 < len(kept) < len(rows) - 5
+    repeated = slow_lines(kept)
+    assert len(repeated) > 10
+    cut = [(d, "\n".join(x for i, x in enumerate(t.split("\n")) if i not in repeated.get(d, ()))) for d, t in kept]
+    groups = groups_of([slow_simhash(t) for _, t in cut], lambda a, b: (a ^ b).bit_count() <= 3)
+    first = {}
+    for (doc, _), g in zip(cut, groups):
+        first[g] = min(first.get(g, doc), doc)
+    one = [r for r in cut if r[0] in first.values()]
+    assert len(one) < len(cut)
+    masked = [(d, slow_mask(t)) for d, t in one]
+    assert sum(a != b for a, b in zip(masked, one)) > 2
+    library = Tokenizer.from_file(BYTE_BPE)
+    expected = {d: library.encode(t, add_special_tokens=False).ids + [1] for d, t in masked}
+
+    folder = stage_path(spark, "corpus")
+    frame(spark, rows, clash=False).repartition(5).write.parquet(f"{folder}/documents.parquet")
+    got = {}
+    for p in sorted(corpus_pipeline.run(spark, folder).collect(), key=lambda p: p["start"]):
+        got.setdefault(p["doc_id"], []).extend(struct.unpack(f"<{p['length']}I", bytes(p["ids"])))
+    assert got == expected
