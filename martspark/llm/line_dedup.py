@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -30,6 +30,13 @@ def _lines(docs: DataFrame) -> DataFrame:
     return rows.select("doc", "pos", words.alias("words")).where(F.size("words") > 0)
 
 
+def _picked(lines: Column, places: Callable[[Column], Column]) -> Column:
+    """The lines at some places. The list of one element holds the lines, so that a text is cut only once."""
+    return F.transform(
+        F.array(lines), lambda held: F.transform(places(held), lambda p: F.get(held, p))
+    )[0]
+
+
 def _hashed(lines: DataFrame, *more: Column) -> DataFrame:
     return lines.select(
         F.xxhash64("words").alias("h1"), F.xxhash64(F.lit(_SALT), "words").alias("h2"),
@@ -132,7 +139,7 @@ def _near_earlier(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     asked = stage(
         texts.join(wanted, "doc").select(
             "doc", "wanted",
-            F.transform(F.col("wanted"), lambda p: F.get(F.split("text", "\n", -1), p)).alias("lines"),
+            _picked(F.split("text", "\n", -1), lambda _: F.col("wanted")).alias("lines"),
         ), "lines-asked",
     )
     ship(docs.sparkSession)
@@ -205,8 +212,10 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     key = fresh(docs, "id")
     row = docs.select(F.col("doc_id").alias(key), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("r"))
     removed = repeated_lines(docs).select(F.col("doc_id").alias(key), "removed")
-    lines = F.split(F.col("r.text"), "\n", -1)
-    kept = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("removed", i)), "\n")
+    kept = F.array_join(_picked(
+        F.split(F.col("r.text"), "\n", -1),
+        lambda lines: F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("removed")),
+    ), "\n")
     new = row.join(removed, key, "left").select(
         "r", F.when(F.col("removed").isNull(), F.col("r.text")).otherwise(kept).alias("t")
     )
