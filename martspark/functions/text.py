@@ -99,12 +99,15 @@ def zip_records(lists: Mapping[str, Column], first: str, defaults: Mapping[str,
     )
 
 
+def number_item(position: ColumnOrName, item: ColumnOrName, prefix: str) -> Column:
+    """"<prefix> 1: a" for the item a at position 0."""
+    number = (as_column(position) + 1).cast("string")
+    return F.concat(F.lit(f"{prefix} "), number, F.lit(": "), as_column(item))
+
+
 def number_items(items: ColumnOrName, prefix: str) -> Column:
     """["a", "b"] becomes ["<prefix> 1: a", "<prefix> 2: b"]."""
-    return F.transform(
-        as_column(items),
-        lambda x, i: F.concat(F.lit(f"{prefix} "), (i + 1).cast("string"), F.lit(": "), x),
-    )
+    return F.transform(as_column(items), lambda x, i: number_item(i, x, prefix))
 
 
 def join_lines(items: ColumnOrName) -> Column:

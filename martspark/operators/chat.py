@@ -18,7 +18,6 @@ from martspark.operators.scale import first_n_per_group, last_n_per_group, posit
 
 NEW_CHAT = "New Chat"
 MESSAGE_ORDER = ("created_at", "id")
-PARTS_PER_BLOCK = 1000
 IMAGE_FIELDS = {
     "image_url": "url",
     "thumbnail_url": "thumbnail_url",
@@ -119,12 +118,11 @@ def messages_of(session_uuid: str | Column, sessions: DataFrame, messages: DataF
     return messages.where(F.col("chat_session_id") == wanted)
 
 
-def collect_images(images: DataFrame, part_size: int = 10_000) -> DataFrame:
-    """(message_id, part, image_count, images): each message's images as a list, by id.
+def collect_images(images: DataFrame) -> DataFrame:
+    """(message_id, position, image_count, image): the images of each message, by id.
 
-    A list holds at most `part_size` images. Almost every message has the single part 0; one
-    with more images gets further parts, numbered in order, so no list outgrows a task.
-    image_count is the total of the message.
+    One row per image, whatever their number, so nothing of a message is gathered in one place.
+    position counts from 0, image_count is the total of the message.
     """
     placed = positions(
         images.select("message_id", "id", *IMAGE_FIELDS),
@@ -133,55 +131,35 @@ def collect_images(images: DataFrame, part_size: int = 10_000) -> DataFrame:
         "id",
         total="image_count",
     )
-    image = F.struct("position", *[F.col(c).alias(name) for c, name in IMAGE_FIELDS.items()])
-    return (
-        placed.groupBy("message_id", F.floor(F.col("position") / part_size).cast("int").alias("part"), "image_count")
-        .agg(F.array_sort(F.collect_list(image)).alias("images"))
-        .withColumn("images", F.transform("images", lambda i: i.dropFields("position")))
-    )
+    image = F.struct(*[F.col(c).alias(name) for c, name in IMAGE_FIELDS.items()])
+    return placed.select("message_id", "position", "image_count", image.alias("image"))
 
 
-def messages_with_images(messages: DataFrame, images: DataFrame, part_size: int = 10_000) -> DataFrame:
-    """Messages with image_urls (packed text), images and image_count; one row per image part.
+def messages_with_images(messages: DataFrame, images: DataFrame) -> DataFrame:
+    """Messages with position, image and image_count: a row per image, or one without an image.
 
-    A message meets its parts in blocks of PARTS_PER_BLOCK, so that even the parts of one
-    enormous message are joined by many tasks.
+    The images of a message with very many are spread over tasks by the join.
     """
-    block_size = part_size * PARTS_PER_BLOCK
-    lists = collect_images(images, part_size).withColumnRenamed("message_id", "id")
-    lists = lists.withColumn("_block", F.floor(F.col("part") / PARTS_PER_BLOCK))
-    counts = images.groupBy(F.col("message_id").alias("id")).agg(F.count(F.lit(1)).alias("_n"))
-    # At most one row per block_size images of the whole table, so safe to broadcast.
-    enormous = F.broadcast(counts.where(F.col("_n") > block_size))
-    last_block = F.coalesce(F.floor((F.col("_n") - 1) / block_size), F.lit(0).cast("long"))
-    spread = messages.join(enormous, "id", "left").select(
-        *messages.columns, F.explode(F.sequence(F.lit(0).cast("long"), last_block)).alias("_block")
-    )
-    return spread.join(lists, ["id", "_block"], "left").select(
-        *messages.columns,
-        F.coalesce("part", F.lit(0)).alias("part"),
-        F.when(F.col("images").isNotNull(), F.array_join(F.col("images.url"), ",")).alias("image_urls"),
-        "images",
-        F.coalesce("image_count", F.lit(0)).alias("image_count"),
+    rows = collect_images(images).withColumnRenamed("message_id", "id")
+    shown = salted_join(rows, messages, ["id"], "inner")
+    bare = messages.join(images.select(F.col("message_id").alias("id")), "id", "left_anti")
+    return shown.unionByName(bare, allowMissingColumns=True).select(
+        *messages.columns, "position", "image", F.coalesce("image_count", F.lit(0).cast("long")).alias("image_count")
     )
 
 
-def shown_images(images: Column | str) -> Column:
-    """Images as the chat page takes them: no empty urls, missing texts filled."""
-    column = F.col(images) if isinstance(images, str) else images
-    kept = F.filter(column, lambda i: F.length(i["url"]) > 0)
-    filled = F.transform(
-        kept,
-        lambda i: F.struct(
-            i["url"].alias("url"),
-            F.coalesce(i["thumbnail_url"], i["url"]).alias("thumbnail_url"),
-            F.coalesce(i["file_id"], F.lit("")).alias("file_id"),
-            F.coalesce(i["fileName"], F.lit("")).alias("fileName"),
-            i["width"].alias("width"),
-            i["height"].alias("height"),
-        ),
+def shown_image(image: Column | str) -> Column:
+    """An image as the chat page takes it, missing texts filled."""
+    i = F.col(image) if isinstance(image, str) else image
+    filled = F.struct(
+        i["url"].alias("url"),
+        F.coalesce(i["thumbnail_url"], i["url"]).alias("thumbnail_url"),
+        F.coalesce(i["file_id"], F.lit("")).alias("file_id"),
+        F.coalesce(i["fileName"], F.lit("")).alias("fileName"),
+        i["width"].alias("width"),
+        i["height"].alias("height"),
     )
-    return F.coalesce(filled, F.array())
+    return F.when(i.isNotNull(), filled)
 
 
 def chat_detail(
@@ -193,8 +171,9 @@ def chat_detail(
 ) -> DataFrame:
     """Messages of an active session (of all of them without `uuid`) with session and images.
 
-    A session without messages is one row without a message and with an empty list of images. The
-    page of one session is in order; all sessions together are left in the order of the tasks.
+    A message has a row per image with a url, or one row without an image; a session without
+    messages is one row without a message. The page of one session is in order; all sessions
+    together are left in the order of the tasks.
     """
     live = active_for_user(sessions, user_id)
     if uuid is not None:
@@ -211,6 +190,7 @@ def chat_detail(
     inside = salted_join(told, head, ["chat_session_id"], "inner")
     silent = head.join(told, "chat_session_id", "left_anti")
     inside = inside.unionByName(silent, allowMissingColumns=True)
+    images = images.where(F.length("image_url") > 0)
     if uuid is not None:
         # Only the images of this session are worth numbering.
         images = salted_join(images, inside.select(F.col("id").alias("message_id")), ["message_id"], "left_semi")
@@ -220,15 +200,16 @@ def chat_detail(
         "message_count",
         "last_message_at",
         F.col("uuid").alias("id"),
-        "part",
         F.when(F.col("id").isNotNull(), map_role("sender_type", "ai")).alias("role"),
         "content",
-        shown_images("images").alias("images"),
+        "position",
+        shown_image("image").alias("image"),
+        "image_count",
         "created_at",
         F.col("id").alias("message_no"),
     )
     if uuid is not None:
-        shown = shown.orderBy("created_at", "message_no", "part")
+        shown = shown.orderBy("created_at", "message_no", "position")
     return shown.drop("message_no")
 
 
@@ -259,8 +240,8 @@ def prompt_payloads(
 ) -> DataFrame:
     """(chat_session_id, payload): system prompt, recent turns and the current message.
 
-    `current` holds (chat_session_id, text, image_urls) of the messages to be answered; sessions
-    appear if they have turns or a current message. A payload has at most n + 2 entries.
+    `current` holds (chat_session_id, text, image_urls) of the messages to be answered, the urls as
+    an array that came with the request; sessions appear if they have turns or a current message. A payload has at most n + 2 entries.
     """
     entry = "struct<role:string,content:string>"
     turns = recent_turns(messages, n).groupBy("chat_session_id").agg(

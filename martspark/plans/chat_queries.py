@@ -102,60 +102,46 @@ def messages_of(spark, sf_dir):
 
 
 @query(
-    """SELECT message_id, 0 AS part, count(*) AS image_count, string_agg(image_url, ' ' ORDER BY id) AS urls,
-              string_agg(coalesce(thumbnail_url, '-'), ' ' ORDER BY id) AS thumbnails,
-              string_agg(file_name, ' ' ORDER BY id) AS names, string_agg(CAST(width AS VARCHAR), ' ' ORDER BY id) AS widths
-       FROM message_images GROUP BY 1""",
+    """SELECT message_id, row_number() OVER (PARTITION BY message_id ORDER BY id) - 1 AS position,
+              count(*) OVER (PARTITION BY message_id) AS image_count, image_url AS url, thumbnail_url, file_name, width
+       FROM message_images""",
     "message_images",
 )
 def collect_images(spark, sf_dir):
-    lists = chat.collect_images(s.message_images(spark, sf_dir))
-
-    def packed(field: str):
-        return F.array_join(F.col(f"images.{field}").cast("array<string>"), " ", "-")
-
-    return lists.select(
-        "message_id",
-        "part",
-        "image_count",
-        packed("url").alias("urls"),
-        packed("thumbnail_url").alias("thumbnails"),
-        packed("fileName").alias("names"),
-        packed("width").alias("widths"),
+    rows = chat.collect_images(s.message_images(spark, sf_dir))
+    return rows.select(
+        "message_id", "position", "image_count", "image.url", "image.thumbnail_url",
+        F.col("image.fileName").alias("file_name"), "image.width",
     )
 
 
 @query(
-    """SELECT m.id, m.sender_type, string_agg(image_url, ',' ORDER BY i.id) AS image_urls, count(i.id) AS image_count
-       FROM messages m LEFT JOIN message_images i ON m.id = i.message_id GROUP BY m.id, m.sender_type""",
+    """SELECT m.id, m.sender_type, image_url AS url, count(i.id) OVER (PARTITION BY m.id) AS image_count,
+              CASE WHEN i.id IS NOT NULL THEN row_number() OVER (PARTITION BY m.id ORDER BY i.id) - 1 END AS position
+       FROM messages m LEFT JOIN message_images i ON m.id = i.message_id""",
     "messages message_images",
 )
 def messages_with_images(spark, sf_dir):
     joined = chat.messages_with_images(s.messages(spark, sf_dir), s.message_images(spark, sf_dir))
-    return joined.select("id", "sender_type", "image_urls", "image_count")
+    return joined.select("id", "sender_type", "image.url", "image_count", "position")
 
 
 @query(
     """SELECT cs.uuid AS chat_id, cs.title, m.uuid AS id, CASE WHEN sender_type = 'user' THEN 'user' WHEN m.id IS NOT NULL THEN 'ai' END AS role,
-              content, m.created_at, count(i.id) AS n_images,
-              coalesce(string_agg(coalesce(thumbnail_url, image_url) || '|' || file_name || '|' || width, ' ' ORDER BY i.id), '')
-                  AS images
+              content, m.created_at, coalesce(thumbnail_url, image_url) AS thumbnail_url, file_name, width,
+              CASE WHEN i.id IS NOT NULL THEN row_number() OVER (PARTITION BY m.id ORDER BY i.id) - 1 END AS position
        FROM chat_sessions cs LEFT JOIN messages m ON m.chat_session_id = cs.id
-            LEFT JOIN message_images i ON i.message_id = m.id
-       WHERE is_active GROUP BY ALL""",
+            LEFT JOIN message_images i ON i.message_id = m.id AND length(image_url) > 0
+       WHERE is_active""",
     "chat_sessions messages message_images",
 )
 def chat_detail(spark, sf_dir):
     detail = chat.chat_detail(
         s.chat_sessions(spark, sf_dir), s.messages(spark, sf_dir), s.message_images(spark, sf_dir)
     )
-    shown = F.transform(
-        "images", lambda i: F.concat_ws("|", i["thumbnail_url"], i["fileName"], i["width"].cast("string"))
-    )
     return detail.select(
-        "chat_id", "title", "id", "role", "content", "created_at",
-        F.size("images").cast("long").alias("n_images"),
-        F.array_join(shown, " ").alias("images"),
+        "chat_id", "title", "id", "role", "content", "created_at", "image.thumbnail_url",
+        F.col("image.fileName").alias("file_name"), "image.width", "position",
     )
 
 
@@ -190,30 +176,31 @@ def positions(spark, sf_dir):
 
 @query(
     """WITH latest AS (
-         SELECT *, row_number() OVER (PARTITION BY chat_session_id ORDER BY created_at DESC, id DESC) AS back FROM messages),
-       urls AS (
-         SELECT chat_session_id, string_agg('Image ' || n || ': ' || image_url, chr(10) ORDER BY n) AS lines
-         FROM (SELECT m.chat_session_id, image_url,
-                      row_number() OVER (PARTITION BY m.chat_session_id ORDER BY i.id) AS n
-               FROM message_images i JOIN messages m ON m.id = i.message_id) GROUP BY 1)
-       SELECT l.chat_session_id, CAST(count(*) FILTER (WHERE back <= 4 AND trim(content) <> '') + 2 AS INTEGER) AS entries,
+         SELECT *, row_number() OVER (PARTITION BY chat_session_id ORDER BY created_at DESC, id DESC) AS back FROM messages)
+       SELECT chat_session_id, CAST(count(*) FILTER (WHERE back <= 4 AND trim(content) <> '') + 2 AS INTEGER) AS entries,
               'system: You are a marketing assistant.' || chr(10)
               || string_agg(CASE WHEN sender_type = 'user' THEN 'user' ELSE 'assistant' END || ': ' || content, chr(10)
                             ORDER BY created_at, id) FILTER (WHERE back <= 4 AND trim(content) <> '') || chr(10)
               || 'user: ' || max(content) FILTER (WHERE back = 1)
-              || coalesce(chr(10) || 'Attached images:' || chr(10) || max(u.lines), '') AS prompt
-       FROM latest l LEFT JOIN urls u ON u.chat_session_id = l.chat_session_id GROUP BY l.chat_session_id""",
-    "messages message_images",
+              || CASE WHEN chat_session_id % 2 = 0
+                      THEN chr(10) || 'Attached images:' || chr(10) || 'Image 1: a/' || max(uuid) FILTER (WHERE back = 1)
+                           || chr(10) || 'Image 2: b/' || max(uuid) FILTER (WHERE back = 1)
+                      ELSE '' END AS prompt
+       FROM latest GROUP BY chat_session_id""",
+    "messages",
 )
 def prompt_payloads(spark, sf_dir):
-    """Each session's last message asked again, with the session's images attached."""
+    """Each session's last message asked again; in every second session the request brings two images."""
     rows = s.messages(spark, sf_dir)
-    last = rows.groupBy("chat_session_id").agg(F.max_by("content", F.struct("created_at", "id")).alias("text"))
-    owners = rows.select(F.col("id").alias("message_id"), "chat_session_id")
-    owned = scale.salted_join(s.message_images(spark, sf_dir), owners, ["message_id"], "inner")
-    lists = chat.collect_images(owned.drop("message_id").withColumnRenamed("chat_session_id", "message_id"))
-    urls = lists.select(F.col("message_id").alias("chat_session_id"), F.col("images.url").alias("image_urls"))
-    current = last.join(urls, "chat_session_id", "left")
+    last = rows.groupBy("chat_session_id").agg(
+        F.max_by(F.struct("content", "uuid"), F.struct("created_at", "id")).alias("m")
+    )
+    urls = F.array(F.concat(F.lit("a/"), "m.uuid"), F.concat(F.lit("b/"), "m.uuid"))
+    current = last.select(
+        "chat_session_id",
+        F.col("m.content").alias("text"),
+        F.when(F.col("chat_session_id") % 2 == 0, urls).alias("image_urls"),
+    )
     payloads = chat.prompt_payloads(rows, "You are a marketing assistant.", 4, current)
     lines = F.transform("payload", lambda p: F.concat(p["role"], F.lit(": "), p["content"]))
     return payloads.select(

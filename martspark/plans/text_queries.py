@@ -115,44 +115,36 @@ def split_list(spark, sf_dir):
 
 
 @query(
-    """SELECT message_id, string_agg(image_url || '|' || t || '|' || w, ' ' ORDER BY n) AS records FROM (
-         SELECT message_id, image_url, row_number() OVER (PARTITION BY message_id ORDER BY id) AS n,
-                coalesce(list(thumbnail_url) FILTER (WHERE thumbnail_url IS NOT NULL) OVER
-                  (PARTITION BY message_id ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)
-                  [row_number() OVER (PARTITION BY message_id ORDER BY id)], image_url) AS t,
-                CAST(width AS VARCHAR) AS w
-         FROM message_images) GROUP BY 1""",
-    "message_images",
+    """SELECT conv_id, turn,
+              array_to_string(list_transform(list_filter(range(1, len(w) + 1), lambda i: w[i] <> ''),
+                                             lambda i: w[i] || '|' || coalesce(t[i], w[i]) || '|' || length(w[i])), ' ') AS records
+       FROM (SELECT conv_id, turn, w, list_filter(w, lambda x: length(x) > 4) AS t
+             FROM (SELECT conv_id, turn, string_split(coalesce("text", ''), ' ') AS w FROM conversations))"""
 )
 def zip_records(spark, sf_dir):
-    """Lists packed as text without the missing entries, read back by position."""
-    lists = chat.collect_images(s.message_images(spark, sf_dir)).select(
-        "message_id",
-        F.array_join("images.url", ",").alias("urls"),
-        F.array_join("images.thumbnail_url", ",").alias("thumbnails"),
-        F.array_join(F.col("images.width").cast("array<string>"), ",").alias("widths"),
-    )
+    """The words of each turn, its longer words and the lengths of all, put together by position."""
+    turns = s.table(spark, sf_dir, "conversations")
+    words = text.split_list("text", " ")
     columns = {
-        "url": text.split_list("urls"),
-        "thumbnail": F.filter(text.split_list("thumbnails"), lambda t: F.length(t) > 0),
-        "width": text.split_list("widths"),
+        "url": words,
+        "thumbnail": F.filter(words, lambda w: F.length(w) > 4),
+        "width": F.transform(words, lambda w: F.length(w).cast("string")),
     }
-    records = text.zip_records(columns, "url", {})
     shown = F.transform(
-        records,
+        text.zip_records(columns, "url", {}),
         lambda r: F.concat_ws("|", r["url"], F.coalesce(r["thumbnail"], r["url"]), r["width"]),
     )
-    return lists.select("message_id", F.array_join(shown, " ").alias("records"))
+    return turns.select("conv_id", "turn", F.array_join(shown, " ").alias("records"))
 
 
 @query(
-    """SELECT message_id, string_agg('Image ' || n || ': ' || image_url, chr(10) ORDER BY n) AS lines
-       FROM (SELECT *, row_number() OVER (PARTITION BY message_id ORDER BY id) AS n FROM message_images) GROUP BY 1""",
+    """SELECT message_id, 'Image ' || row_number() OVER (PARTITION BY message_id ORDER BY id) || ': ' || image_url AS line
+       FROM message_images""",
     "message_images",
 )
 def number_items(spark, sf_dir):
-    lists = chat.collect_images(s.message_images(spark, sf_dir))
-    return lists.select("message_id", text.join_lines(text.number_items("images.url", "Image")).alias("lines"))
+    rows = chat.collect_images(s.message_images(spark, sf_dir))
+    return rows.select("message_id", text.number_item("position", "image.url", "Image").alias("line"))
 
 
 @query(

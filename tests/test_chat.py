@@ -1,8 +1,11 @@
 import datetime as dt
 
+import duckdb
 import pytest
+from oracle import compare
 from pyspark.sql import functions as F
 
+from martspark.functions.text import number_item
 from martspark.operators import chat
 
 T0 = dt.datetime(2024, 1, 1)
@@ -84,62 +87,53 @@ def test_session_stats_count_messages_once(messages):
     assert rows[1]["message_count"] == 6 and rows[1]["last_message_at"] == at(4)
 
 
-def test_image_lists_stay_aligned(messages, images):
-    rows = {r["id"]: r for r in chat.messages_with_images(messages, images).collect()}
-    assert rows[12]["image_urls"] == "http://a,http://b" and rows[12]["image_count"] == 2
-    first, second = rows[12]["images"]
-    assert (first["fileName"], first["file_id"], first["width"]) == ("one, two.png", None, 10)
-    assert (second["fileName"], second["thumbnail_url"], second["height"]) == (None, None, None)
-    assert rows[11]["image_urls"] is None and rows[11]["image_count"] == 0 and len(rows) == 7
+def test_images_of_messages(messages, images):
+    rows = chat.messages_with_images(messages, images).orderBy("id", "position").collect()
+    first, second = [r["image"] for r in rows if r["id"] == 12]
+    assert (first["url"], first["fileName"], first["file_id"], first["width"]) == ("http://a", "one, two.png", None, 10)
+    assert (second["url"], second["fileName"], second["thumbnail_url"]) == ("http://b", None, None)
+    assert [(r["id"], r["position"], r["image_count"]) for r in rows] == [
+        (11, None, 0), (12, 0, 2), (12, 1, 2), (13, None, 0), (14, None, 0), (15, None, 0), (16, None, 0), (17, 0, 1)]
 
 
-def test_a_message_with_very_many_images_is_split_not_cut(spark):
-    hot = spark.range(25_000).select(
+def test_a_message_with_very_many_images_same_as_sql(spark, tmp_path):
+    images = spark.range(75_000).select(
         F.col("id"), F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id")).alias("message_id"),
         F.concat(F.lit("u"), F.col("id").cast("string")).alias("image_url"),
         *[F.lit(None).cast("string").alias(c) for c in ("thumbnail_url", "imagekit_file_id", "file_name")],
         *[F.lit(None).cast("int").alias(c) for c in ("width", "height")],
     )
-    rows = chat.collect_images(hot, part_size=1000).where("message_id = 1").orderBy("part").collect()
-    urls = [i["url"] for r in rows for i in r["images"]]
-    ids = sorted({1} | set(range(0, 25_000, 3)))
-    assert urls == [f"u{i}" for i in ids]
-    assert [r["part"] for r in rows] == list(range(len(rows))) and max(len(r["images"]) for r in rows) <= 1000
-    assert {r["image_count"] for r in rows} == {len(ids)}
-
-
-def test_an_enormous_message_is_joined_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(chat, "PARTS_PER_BLOCK", 2)
-    images = spark.range(1, 96).select(
-        "id", F.when(F.col("id") > 5, 7).otherwise(8).cast("long").alias("message_id"),
-        F.col("id").cast("string").alias("image_url"),
-        *[F.lit(None).cast("string").alias(c) for c in ("thumbnail_url", "imagekit_file_id", "file_name")],
-        *[F.lit(None).cast("int").alias(c) for c in ("width", "height")],
-    )
-    messages = spark.createDataFrame([(7, "big"), (8, "small"), (9, "none")], "id long, content string")
-    out = chat.messages_with_images(messages, images, part_size=10).orderBy("id", "part").collect()
-    assert [(r["id"], r["part"], len(r["images"] or [])) for r in out] == [
-        *[(7, p, 10) for p in range(9)], (8, 0, 5), (9, 0, 0)]
-    assert ",".join(r["image_urls"] for r in out[:9]) == ",".join(str(i) for i in range(6, 96))
-    assert {r["image_count"] for r in out} == {90, 5, 0}
+    messages = spark.range(0, 75_002, 2).withColumn("content", F.lit("x")).unionByName(
+        spark.createDataFrame([(1, "big")], "id long, content string"))
+    images.write.parquet(f"{tmp_path}/images.parquet")
+    messages.write.parquet(f"{tmp_path}/messages.parquet")
+    got = chat.messages_with_images(messages, images).select(
+        "id", "position", "image_count", number_item("position", "image.url", "Image").alias("line"))
+    assert got.where("id = 1").count() == 25_001  # every third id, and id 1
+    sql = f"""
+        SELECT m.id, count(i.id) OVER (PARTITION BY m.id) AS image_count,
+               CASE WHEN i.id IS NOT NULL THEN row_number() OVER (PARTITION BY m.id ORDER BY i.id) - 1 END AS position,
+               'Image ' || (position + 1) || ': ' || image_url AS line
+        FROM '{tmp_path}/messages.parquet/*.parquet' m LEFT JOIN '{tmp_path}/images.parquet/*.parquet' i ON i.message_id = m.id"""
+    assert compare(got, duckdb.connect(), sql) == []
 
 
 def test_chat_detail(sessions, messages, images):
     rows = chat.chat_detail(sessions, messages, images, "s1").collect()
-    assert [r["id"] for r in rows] == ["m11", "m12", "m13", "m14", "m15", "m16"]
-    assert [r["role"] for r in rows] == ["ai", "user", "user", "ai", "user", "user"]
-    assert [tuple(i) for i in rows[1]["images"]] == [
+    assert [r["id"] for r in rows] == ["m11", "m12", "m12", "m13", "m14", "m15", "m16"]
+    assert [r["role"] for r in rows] == ["ai", "user", "user", "user", "ai", "user", "user"]
+    assert [tuple(r["image"]) for r in rows[1:3]] == [
         ("http://a", "ta", "", "one, two.png", 10, 11),
         ("http://b", "http://b", "f2", "", 20, None),
     ]
-    assert rows[0]["images"] == []
+    assert rows[0]["image"] is None and rows[1]["image_count"] == 2
     assert chat.chat_detail(sessions, messages, images, "s3").count() == 0
     everything = chat.chat_detail(sessions, messages, images).collect()
-    assert len(everything) == 9
-    assert [r["images"] for r in everything if r["id"] == "m17"] == [[]]  # an empty url is no image
+    assert len(everything) == 10
+    assert [(r["image"], r["image_count"]) for r in everything if r["id"] == "m17"] == [(None, 0)]  # an empty url is no image
     silent = [r for r in everything if r["id"] is None]
     assert sorted(r["chat_id"] for r in silent) == ["s2", "s5"] and {r["role"] for r in silent} == {None}
-    assert [r["images"] for r in chat.chat_detail(sessions, messages, images, "s2").collect()] == [[]]
+    assert [r["image"] for r in chat.chat_detail(sessions, messages, images, "s2").collect()] == [None]
     assert [tuple(r) for r in chat.active_session_total(sessions, 77).collect()] == [(77, 0)]
     assert chat.chat_detail(sessions, messages, images, "s1", user_id=2).count() == 0
 
