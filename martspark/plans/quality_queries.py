@@ -129,7 +129,12 @@ def check_predicates(spark, sf_dir):
               count(*) FILTER (WHERE length(title) > 255) = 0 FROM chat_sessions
        UNION ALL SELECT 'sender_type', count(*) FILTER (WHERE sender_type NOT IN ('user', 'assistant', 'system')),
               count(*) FILTER (WHERE sender_type NOT IN ('user', 'assistant', 'system')) = 0 FROM messages
-       UNION ALL SELECT 'content_type', 0, true UNION ALL SELECT 'status', 0, true""",
+       UNION ALL SELECT 'content_type', count(*) FILTER (WHERE content_type NOT IN ('text', 'image', 'file', 'mixed')),
+              count(*) FILTER (WHERE content_type NOT IN ('text', 'image', 'file', 'mixed')) = 0 FROM messages
+       UNION ALL SELECT 'status',
+              count(*) FILTER (WHERE status NOT IN ('draft', 'sending', 'sent', 'delivered', 'failed', 'deleted')),
+              count(*) FILTER (WHERE status NOT IN ('draft', 'sending', 'sent', 'delivered', 'failed', 'deleted')) = 0
+       FROM messages""",
     "chat_users chat_sessions messages",
 )
 def chat_rules(spark, sf_dir):

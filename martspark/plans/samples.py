@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from martspark.schemas import CONTENT_TYPES, MESSAGE_STATUSES
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -79,6 +81,11 @@ def chat_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# The declared values and one that is not among them.
+_CONTENTS = (*CONTENT_TYPES, "video")
+_STATES = (*MESSAGE_STATUSES, "lost")
+
+
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as messages; pairs of turns share a time, so the id breaks ties."""
     number = F.col("conv_id") * 1000 + F.col("turn")
@@ -89,8 +96,8 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("conv_id").alias("chat_session_id"),
         F.col("role").alias("sender_type"),
         F.col("text").alias("content"),
-        F.lit("text").alias("content_type"),
-        F.lit("sent").alias("status"),
+        F.element_at(F.array(*map(F.lit, _CONTENTS)), (F.length("text") % 5 + 1).cast("int")).alias("content_type"),
+        F.element_at(F.array(*map(F.lit, _STATES)), (F.col("conv_id") % 7 + 1).cast("int")).alias("status"),
         (F.lit("2024-01-01").cast("timestamp_ntz") + offset).alias("created_at"),
     )
 
@@ -144,7 +151,8 @@ SQL = {
     "messages": """
         SELECT conv_id * 1000 + turn AS id, 'm-' || (conv_id * 1000 + turn) AS uuid,
                conv_id AS chat_session_id, role AS sender_type, "text" AS content,
-               'text' AS content_type, 'sent' AS status,
+               ['text', 'image', 'file', 'mixed', 'video'][length("text") % 5 + 1] AS content_type,
+               ['draft', 'sending', 'sent', 'delivered', 'failed', 'deleted', 'lost'][conv_id % 7 + 1] AS status,
                TIMESTAMP '2024-01-01 00:00:00' + to_seconds(conv_id * 60 + turn // 2) AS created_at
         FROM conversations""",
     "message_images": """

@@ -10,9 +10,16 @@ _I, _L, _D, _S = T.IntegerType(), T.LongType(), T.DoubleType(), T.StringType()
 _B, _TS, _NTZ = T.BooleanType(), T.TimestampType(), T.TimestampNTZType()
 
 
+# Key of a column's metadata: the characters that its texts may have.
+LENGTH = "length"
+
+
 def _schema(*columns: tuple) -> T.StructType:
-    """Columns as (name, type) or (name, type, nullable)."""
-    return T.StructType([T.StructField(c[0], c[1], c[2] if len(c) > 2 else True) for c in columns])
+    """Columns as (name, type), (name, type, nullable) or (name, type, nullable, characters at most)."""
+    return T.StructType([
+        T.StructField(c[0], c[1], c[2] if len(c) > 2 else True, {LENGTH: c[3]} if len(c) > 3 else None)
+        for c in columns
+    ])
 
 
 DIM_USERS = _schema(
@@ -36,11 +43,11 @@ MCC_CODES_RAW = _schema(
 )
 
 MART = {
-    "age_count": _schema(("age", _I), ("count", _L), ("cluster", _S)),
-    "gender_count": _schema(("gender", _S), ("count", _L), ("cluster", _S)),
-    "service_count": _schema(("service", _S), ("count", _L)),
+    "age_count": _schema(("age", _I), ("count", _L), ("cluster", _S, True, 50)),
+    "gender_count": _schema(("gender", _S, True, 20), ("count", _L), ("cluster", _S, True, 50)),
+    "service_count": _schema(("service", _S, True, 100), ("count", _L)),
     "user_geo": _schema(
-        ("longitude", _D), ("latitude", _D), ("city", _S), ("country", _S), ("cluster", _S)
+        ("longitude", _D), ("latitude", _D), ("city", _S, True, 100), ("country", _S, True, 100), ("cluster", _S, True, 50)
     ),
     "trans_by_day": _schema(("hour", _I), ("count", _L)),
     "stats": _schema(

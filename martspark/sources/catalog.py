@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from martspark.schemas import FOREIGN_KEYS, ForeignKey
 
+# Where Spark keeps the default that a column was declared with.
+_DEFAULT = "CURRENT_DEFAULT"
 _COLUMNS = (
-    "table string, type string, column string, data_type string, nullable boolean, position int"
+    "table string, type string, column string, data_type string, nullable boolean, default string, position int"
 )
 
 
@@ -28,9 +30,9 @@ def catalog_tables(spark: SparkSession, database: str | None = None) -> DataFram
 
 
 def catalog_columns(spark: SparkSession, database: str | None = None) -> DataFrame:
-    """Columns of all tables and views, with their position from 1. Reads metadata only."""
+    """Columns of all tables and views, with declared defaults and positions from 1. Reads metadata only."""
     rows = [
-        (name, kind, f.name, f.dataType.simpleString(), f.nullable, i)
+        (name, kind, f.name, f.dataType.simpleString(), f.nullable, f.metadata.get(_DEFAULT), i)
         for name, kind, full in _listed(spark, database)
         for i, f in enumerate(spark.table(full).schema.fields, start=1)
     ]

@@ -10,18 +10,24 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from martspark.operators.scale import salted_join
+from martspark.schemas import LENGTH
+
+
+def _fitted(f: T.StructField) -> Column:
+    value = F.col(f.name).try_cast(f.dataType)
+    return F.when(F.length(value) <= f.metadata[LENGTH], value) if LENGTH in f.metadata else value
 
 
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
-    """The columns of `schema` in its order and types; a value that does not fit is NULL."""
-    return df.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in schema.fields])
+    """The columns of `schema` in its order and types; a value of another type or a text longer than declared is NULL."""
+    return df.select(*[_fitted(f).alias(f.name) for f in schema.fields])
 
 
 def conform_losses(df: DataFrame, schema: T.StructType) -> DataFrame:
     """One row: per column the values that `conform` turns into NULL, and the NULLs that the schema forbids."""
 
     def lost(f: T.StructField) -> Column:
-        missing = F.col(f.name).try_cast(f.dataType).isNull()
+        missing = _fitted(f).isNull()
         return F.col(f.name).isNotNull() & missing if f.nullable else missing
 
     return df.agg(*[F.count_if(lost(f)).alias(f.name) for f in schema.fields])
@@ -36,15 +42,17 @@ def write_mart(
 ) -> int:
     """Writes a mart table as Parquet and returns its rows, counted while writing.
 
-    Values that do not fit the declared type or a NULL where none may be stop the write before it
-    begins, unless `allow_losses`. They are counted in a pass of its own, which reads only the columns
-    that can have any: those of another type than declared, and those that must not be NULL but can be.
+    Values that do not fit the declared type or length or a NULL where none may be stop the write before
+    it begins, unless `allow_losses`. They are counted in a pass of its own, which reads only the columns
+    that can have any: those of another type than declared, those with a declared length, and those that
+    must not be NULL but can be.
     """
     if schema is not None and not allow_losses:
         given = df.schema
         doubtful = [
             f for f in schema.fields
-            if given[f.name].dataType != f.dataType or (given[f.name].nullable and not f.nullable)
+            if given[f.name].dataType != f.dataType or LENGTH in f.metadata
+            or (given[f.name].nullable and not f.nullable)
         ]
         losses = conform_losses(df, T.StructType(doubtful)).first().asDict() if doubtful else {}
         if any(losses.values()):

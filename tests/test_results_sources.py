@@ -135,6 +135,15 @@ def test_conform(spark):
     assert rows(tables.conform_losses(df, schema)) == [(1, 0)]
 
 
+def test_declared_lengths(spark):
+    schema = schemas.MART["gender_count"]
+    df = spark.createDataFrame([("f" * 20, 1, None), ("m" * 21, 2, "c")], "gender string, count long, cluster string")
+    assert rows(tables.conform_losses(df, schema)) == [(1, 0, 0)]
+    assert rows(tables.conform(df, schema)) == [("f" * 20, 1, None), (None, 2, "c")]
+    with pytest.raises(ValueError, match="gender"):
+        tables.write_mart(df, stage_path(spark, "lengths"), schema)
+
+
 def test_write_and_append(spark):
     path = stage_path(spark, "append")
     df = spark.createDataFrame([("u1", 1), ("u2", 2)], "uuid string, n int")
@@ -235,6 +244,10 @@ def test_schema_description(spark):
     columns = catalog.catalog_columns(spark).where(F.col("table") == "dim_card")
     assert rows(columns.select("column", "data_type", "nullable", "position")) == [
         ("card_id", "int", False, 1), ("card_type", "string", True, 2)]
+    spark.sql("CREATE TABLE IF NOT EXISTS with_default (id INT, role STRING DEFAULT 'member') USING parquet")
+    defaults = catalog.catalog_columns(spark).where(F.col("table") == "with_default").select("column", "default")
+    assert rows(defaults) == [("id", None), ("role", "'member'")]
+    spark.sql("DROP TABLE with_default")
     described = {r["table"]: r["description"] for r in catalog.schema_text(catalog.catalog_columns(spark)).collect()}
     assert described["dim_card"] == (
         "Table: dim_card\nType: view\nColumns:\n  - card_id: int (NOT NULL)\n  - card_type: string (NULL)")
