@@ -21,7 +21,32 @@ _PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 # In a card number single blanks and hyphens between digits are first replaced by this letter.
 _JOINT = "\uFFFE"
 _CARD = f"[0-9][0-9{_JOINT}]++"
-_IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
+# Letters and digits of an account number by country (ISO 13616), the country and check digits included.
+_IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=(?: ?[A-Z0-9]{4}){2})"  # only the head; `_accounts` finds the end
+_IBAN_REACH = 44  # the longest account number with its blanks, and the letter after it
+
+
+def _iban_ends() -> list[str]:
+    """Patterns of whole account numbers: by the country's length, for other countries by every length, longest first."""
+    own = []
+    for n, countries in _IBAN_LENGTHS.items():
+        groups, more = divmod(n - 4, 4)
+        tail = f" ?[A-Z0-9]{{{more}}}" if more else ""
+        own.append(f"(?:{countries.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{groups}}}{tail}")
+    known = " ".join(_IBAN_LENGTHS.values()).replace(" ", "|")
+    other = [
+        f"(?!{known})[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{groups}}}{tail}"
+        for groups in range(7, 1, -1) for tail in (" ?[A-Z0-9]{1,3}", "")
+    ]
+    return [f"^(?:{p})(?![A-Za-z0-9])" for p in ("|".join(own), *other)]
+
+
 _SSN = r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])"
 
 # Score of a confirmed span, the words that raise it, and by how much.
@@ -92,6 +117,32 @@ def mod97(account: Column) -> Column:
     return F.aggregate(F.split(moved, ""), F.lit(0), add) == 1
 
 
+def _accounts(text: Column, heads: Column) -> Column:
+    """The account numbers that begin at some heads, as `_matches` gives them. They do not overlap.
+
+    Every head is tried by itself, so what fails the check hides nothing that begins inside it. Of two that
+    overlap the first stays, but one of a listed country before one of another.
+    """
+
+    def whole(head: Column) -> Column:
+        ahead = F.substring(text, (head["start"] + 1).cast("int"), F.lit(_IBAN_REACH))
+        tried = F.array(*[F.regexp_extract(ahead, p, 0) for p in _iban_ends()])
+        confirmed = F.filter(tried, lambda t: F.when(t == "", False).otherwise(mod97(t)))
+        return F.struct(
+            head["start"].alias("start"), F.get(confirmed, F.lit(0)).alias("found"), (tried[0] != "").alias("listed")
+        )
+
+    def step(out: Column, m: Column) -> Column:
+        last = F.get(out, F.size(out) - 1)
+        apart = (F.size(out) == 0) | (m["start"] >= last["start"] + F.length(last["found"]))
+        return F.when(apart, F.concat(out, F.array(m))).when(
+            m["listed"] & ~last["listed"], F.concat(F.slice(out, F.lit(1), F.size(out) - 1), F.array(m))
+        ).otherwise(out)
+
+    found = F.filter(F.transform(heads, whole), lambda m: m["found"].isNotNull())
+    return F.aggregate(found, F.array().cast("array<struct<start:bigint,found:string,listed:boolean>>"), step)
+
+
 def _is_ip(found: Column) -> Column:
     return F.forall(
         F.split(found, r"\."), lambda part: part.rlike("^0*(?:[0-9]|[1-9][0-9]|1[0-9][0-9]|2[0-4][0-9]|25[0-5])$")
@@ -144,13 +195,16 @@ def find_spans(text: Column) -> Column:
         "ip": (text, _IP, text.rlike(r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]"), _is_ip),
         "card": (joined, _CARD, text.rlike("[0-9](?:[ -]?[0-9]){13}"), _is_card),
         "phone": (text, _PHONE, F.contains(text, F.lit("+")), _is_phone),
-        "iban": (text, _IBAN, text.rlike("[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}"), mod97),
+        "iban": (text, _IBAN, text.rlike("[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}"), lambda m: F.lit(True)),
         "ssn": (text, _SSN, text.rlike("[0-9]-[0-9]{2}-[0-9]"), lambda m: F.lit(True)),
     }
     found = []
     for rank, kind in enumerate(KINDS):
         where, pattern, maybe, confirmed = kinds[kind]
-        spans = F.transform(F.filter(_matches(where, pattern, maybe), _on_found(confirmed)), _scored(text, rank, kind))
+        matches = F.filter(_matches(where, pattern, maybe), _on_found(confirmed))
+        if kind == "iban":
+            matches = _accounts(text, matches)
+        spans = F.transform(matches, _scored(text, rank, kind))
         found.append(spans if kind in BASE_KINDS else F.filter(spans, lambda s: s["score"] >= LEAST_SCORE))
     return F.array_sort(F.concat(*found))
 

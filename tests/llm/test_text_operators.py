@@ -565,6 +565,47 @@ def test_personal_data(spark, docs, odd):
     assert pii.find_personal_data(docs).count() == len(odd)
 
 
+IBANS = [
+    "NO9386011117947", "BE68539007547034", "NL91ABNA0417164300", "AT611904300234573201", "CH9300762011623852957",
+    "DE89370400440532013000", "GB82WEST12345698765432", "ES9121000418450200051332", "PT50000201231234567890154",
+    "FR1420041010050500013M02606", "HU42117730161111101800000000", "PL61109010140000071219812874",
+    "UA213223130000026007233566001", "MT84MALT011000012345MTLCAST001S",
+]
+
+
+def test_account_numbers_before_upper_case_words(spark):
+    def grouped(number):
+        return " ".join(number[i: i + 4] for i in range(0, len(number), 4))
+
+    def checked(body):  # an account number of a country that has no length in the list
+        digits = "".join(str(int(c, 36)) for c in body + "ZZ00")
+        return f"ZZ{98 - int(digits) % 97:02d}{body}"
+
+    others = [checked(("1234567890" * 3)[:n]) for n in (8, 12, 13, 16, 20, 24)]
+    rows, expected = [], {}
+    for number in IBANS + others:
+        for shape in (number, grouped(number)):
+            for after in ("", " ", ", ok", " and", " BIC", " BIC CAIXESBB", " EUR 500", " SWIFT", " SWIFT X", " 1234 5678"):
+                for before in ("", "IBAN ", "🙂 account ", "AB12 3456 ", "AT61 1904 "):
+                    if number in others and (before[:2] in ("AB", "AT") or after == " 1234 5678"):
+                        continue  # of a country without a length only the check digits say where the number ends
+                    expected[len(rows)] = f"iban:{len(before)}:{len(before) + len(shape)}"
+                    rows.append((len(rows), before + shape + after))
+    two = "BE68 5390 0754 7034 ES91 2100 0418 4502 0005 1332 AT611904300234573201"
+    for text, spans in [
+        (two, "iban:0:19,iban:20:49,iban:50:70"), ("BE68 5390 0754 7035 EUR", ""), ("BE68 5390 0754 7034EUR", ""),
+    ]:
+        expected[len(rows)] = spans
+        rows.append((len(rows), text))
+    got = pii.find_personal_data(frame(spark, rows)).collect()
+    wrong = []
+    for r in got:
+        ibans = ",".join(s for s in r["spans"].split(",") if s.startswith("iban"))
+        if ibans != expected[r["doc_id"]]:
+            wrong.append((rows[r["doc_id"]][1], ibans, expected[r["doc_id"]]))
+    assert len(got) == len(rows) and not wrong
+
+
 def test_masking(spark):
     rows = [(1, "mail é@x a@b.co or +1 (323) 555-9830, a@b.co"), (2, None), (3, "clean"), (4, "")]
     got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in pii.mask_personal_data(frame(spark, rows)).collect()}
