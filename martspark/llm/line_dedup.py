@@ -23,11 +23,25 @@ MIN_WORDS = 8
 _ROWS = 200_000
 
 
+def _key() -> Column:
+    """What tells texts apart: the id, and the text, as rows may share an id. Inside a struct NULL equals NULL."""
+    return F.struct(F.col("doc_id").alias("doc"), F.xxhash64(text_or_empty()).alias("h"))
+
+
 def _lines(docs: DataFrame) -> DataFrame:
-    """(doc, pos, words) of the lines that have a word; pos counts all lines of the text from 0."""
-    rows = docs.select(F.col("doc_id").alias("doc"), F.posexplode(F.split(text_or_empty(), "\n", -1)).alias("pos", "line"))
+    """(id, words) of the lines that have a word; the place in the id counts all lines of the text from 0."""
+    rows = docs.select(_key().alias("key"), F.posexplode(F.split(text_or_empty(), "\n", -1)).alias("pos", "line"))
     words = F.filter(F.split("line", _SPACE), lambda w: w != "")
-    return rows.select("doc", "pos", words.alias("words")).where(F.size("words") > 0)
+    return rows.select(_id(F.col("pos")), words.alias("words")).where(F.size("words") > 0)
+
+
+def _id(pos: Column) -> Column:
+    """Of a line, in the order in which lines stand."""
+    return F.struct(F.col("key.doc").alias("doc"), pos.alias("pos"), F.col("key.h").alias("h")).alias("id")
+
+
+def _key_of_line() -> Column:
+    return F.struct("id.doc", "id.h").alias("key")
 
 
 def _picked(lines: Column, places: Callable[[Column], Column]) -> Column:
@@ -40,7 +54,7 @@ def _picked(lines: Column, places: Callable[[Column], Column]) -> Column:
 def _hashed(lines: DataFrame, *more: Column) -> DataFrame:
     return lines.select(
         F.xxhash64("words").alias("h1"), F.xxhash64(F.lit(_SALT), "words").alias("h2"),
-        F.struct("doc", "pos").alias("id"), *more,
+        "id", *more,
     )
 
 
@@ -71,7 +85,7 @@ def _variants(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         made: list[tuple] = []
         size = 0
-        for doc, text, wanted in zip(frame["doc"], frame["text"], frame["wanted"]):
+        for row, text, wanted in zip(frame["row"], frame["text"], frame["wanted"]):
             lines = text.split("\n")
             for pos in wanted:
                 words = lines[pos].encode("utf-8", "surrogatepass").split()
@@ -85,7 +99,7 @@ def _variants(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     before = np.cumsum(terms) - terms
                     # What stands after the word is shifted up, as what stands before it is already.
                     without = before + (whole - before - terms) * _BASE
-                    made.append((doc, pos, np.append(without, whole * _BASE)))
+                    made.append((row, pos, np.append(without, whole * _BASE)))
                 size += n + 1
                 if size > _ROWS:
                     yield _rows(made)
@@ -103,7 +117,7 @@ def _rows(made: list[tuple]) -> pd.DataFrame:
         "v": np.concatenate([v for _, _, v in made]).view(np.int64),
         "place": place.astype(np.int32),
         "n": np.repeat(sizes - 1, sizes).astype(np.int32),
-        "doc": pd.Series([d for d, _, _ in made]).repeat(sizes).to_numpy(),
+        "row": np.repeat(np.array([r for r, _, _ in made], dtype=np.int64), sizes),
         "pos": np.repeat([p for _, p, _ in made], sizes).astype(np.int32),
     })
 
@@ -132,26 +146,26 @@ def _near_earlier(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     ends = distinct.where(F.size("ends") > 0).select("id", "h1", F.explode("ends").alias("end"))
     shared = ends.groupBy("end").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a != b").select("end")
     wanted = (
-        ends.join(shared, "end", "left_semi").select("id.doc", "id.pos").distinct()
-        .groupBy("doc").agg(F.sort_array(F.collect_list("pos")).alias("wanted"))
+        ends.join(shared, "end", "left_semi").select("id").distinct()
+        .groupBy(_key_of_line()).agg(F.sort_array(F.collect_list("id.pos")).alias("wanted"))
     )
-    texts = docs.select(F.col("doc_id").alias("doc"), text_or_empty().alias("text")).dropDuplicates(["doc"])
+    texts = docs.select(_key().alias("key"), text_or_empty().alias("text")).dropDuplicates(["key"])
+    # Rows are numbered where they are written, so that ids of any type need not pass through Python.
     asked = stage(
-        texts.join(wanted, "doc").select(
-            "doc", "wanted",
+        texts.join(wanted, "key").select(
+            F.monotonically_increasing_id().alias("row"), "key", "wanted",
             _picked(F.split("text", "\n", -1), lambda _: F.col("wanted")).alias("lines"),
         ), "lines-asked",
     )
     ship(docs.sparkSession)
-    kind = docs.schema["doc_id"].dataType.simpleString()
     # The wanted lines alone, numbered 0, 1, ... as they stand in the list.
     numbered = asked.select(
-        "doc", F.array_join("lines", "\n").alias("text"), F.sequence(F.lit(0), F.size("lines") - 1).alias("wanted")
+        "row", F.array_join("lines", "\n").alias("text"), F.sequence(F.lit(0), F.size("lines") - 1).alias("wanted")
     )
     variants = stage(
-        numbered.mapInPandas(_variants, f"v bigint, place int, n int, doc {kind}, pos int")
-        .join(asked.select("doc", F.posexplode("wanted").alias("pos", "at")), ["doc", "pos"])
-        .select("v", "place", "n", F.struct("doc", F.col("at").alias("pos")).alias("id")),
+        numbered.mapInPandas(_variants, "v bigint, place int, n int, row bigint, pos int")
+        .join(asked.select("row", "key", F.posexplode("wanted").alias("pos", "at")), ["row", "pos"])
+        .select("v", "place", "n", _id(F.col("at"))),
         "line-variants",
     )
     # Changed: the same variant with the word left out at the same place of equally long lines.
@@ -167,8 +181,8 @@ def _near_earlier(docs: DataFrame, distinct: DataFrame) -> DataFrame:
         .unionByName(changed.select("v", "id").join(shorter, "v").where("first < id").select("id", "first"))
         .distinct()
     )
-    texts = asked.select("doc", F.explode(F.arrays_zip(F.col("wanted").alias("pos"), "lines")).alias("l")).select(
-        F.struct("doc", "l.pos").alias("id"),
+    texts = asked.select("key", F.explode(F.arrays_zip(F.col("wanted").alias("pos"), "lines")).alias("l")).select(
+        _id(F.col("l.pos")),
         F.filter(F.split("l.lines", _SPACE), lambda w: w != "").alias("words"),
     )
     checked = (
@@ -179,13 +193,15 @@ def _near_earlier(docs: DataFrame, distinct: DataFrame) -> DataFrame:
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, removed): per document the places of its lines that repeat an earlier one, in order.
+    """(key, doc_id, removed): per text the places of its lines that repeat an earlier one, in order.
 
     Lines are compared as words; the earliest is the one with the least (doc_id, place). A line goes if an
     equal line stands earlier, or, from MIN_WORDS words on, a line from which it differs by one changed,
     inserted or missing word (itself kept or not). Documents without such lines are left out. Lines without
-    a word, so also NULL and empty texts, are never repeated. Rows with the same doc_id are taken for copies
-    of one document. NULL ids come first. Other columns are not read.
+    a word, so also NULL and empty texts, are never repeated. Rows with the same doc_id and text are taken for
+    copies of one document; different texts with one doc_id are compared like documents, their lines in the
+    order of (doc_id, place, hash of the text). NULL is an id like others and comes first. Other columns are
+    not read.
 
     Every line is reduced to hashes before it is shuffled, and copies of a line meet only as partial minima.
     The words of a line one word apart from another are all equal but in one half, so only lines that share
@@ -201,7 +217,9 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     firsts = distinct.select("h1", "h2", F.col("id").alias("first"))
     again = hashed.select("h1", "h2", "id").join(firsts, ["h1", "h2"]).where("id != first").select("id")
     gone = again.unionByName(_near_earlier(docs, distinct))
-    return gone.groupBy(F.col("id.doc").alias("doc_id")).agg(F.sort_array(F.collect_set("id.pos")).alias("removed"))
+    return gone.groupBy(_key_of_line()).agg(F.sort_array(F.collect_set("id.pos")).alias("removed")).select(
+        "key", F.col("key.doc").alias("doc_id"), "removed"
+    )
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
@@ -210,8 +228,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     A document may become empty; it stays as a row. A NULL text stays NULL. Columns and their order stay.
     """
     key = fresh(docs, "id")
-    row = docs.select(F.col("doc_id").alias(key), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("r"))
-    removed = repeated_lines(docs).select(F.col("doc_id").alias(key), "removed")
+    row = docs.select(_key().alias(key), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("r"))
+    removed = repeated_lines(docs).select(F.col("key").alias(key), "removed")
     kept = F.array_join(_picked(
         F.split(F.col("r.text"), "\n", -1),
         lambda lines: F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("removed")),
@@ -223,13 +241,13 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 
 
 def line_report(docs: DataFrame) -> DataFrame:
-    """One row per document with its number of lines, of removed lines, and the removed places as text."""
+    """One row per row of `docs` with its number of lines, of removed lines, and the removed places as text."""
     counts = docs.select(
-        "doc_id", F.size(F.filter(F.split(text_or_empty(), "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))).alias("n_lines")
+        _key().alias("key"), F.size(F.filter(F.split(text_or_empty(), "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))).alias("n_lines")
     )
-    removed = repeated_lines(docs)
-    return counts.join(removed, "doc_id", "left").select(
-        "doc_id",
+    removed = repeated_lines(docs).drop("doc_id")
+    return counts.join(removed, "key", "left").select(
+        F.col("key.doc").alias("doc_id"),
         F.col("n_lines").cast("bigint").alias("n_lines"),
         F.coalesce(F.size("removed"), F.lit(0)).cast("bigint").alias("n_removed"),
         F.coalesce(F.array_join(F.col("removed").cast("array<string>"), ","), F.lit("")).alias("removed"),

@@ -74,8 +74,12 @@ def _passage_rows(frames: Iterator[pd.DataFrame], window: int) -> Iterator[pd.Da
     """
     for frame in frames:
         rows = []
-        for doc, text, repeated, hot in zip(frame["doc"], frame["text"], frame["anchors"], frame["hot"]):
+        for doc, h, text, repeated, hot in zip(
+            frame["doc"], frame["h"], frame["text"], frame["anchors"], frame["hot"]
+        ):
             words = text.encode("utf-8", "surrogatepass").split()
+            if len(words) < window:  # the anchors are of another text with this id
+                continue
             grams = _gram_hashes(words)
             places = _anchors(grams, window - GRAM + 1)
             values = grams[places].view(np.int64)
@@ -90,9 +94,9 @@ def _passage_rows(frames: Iterator[pd.DataFrame], window: int) -> Iterator[pd.Da
                     passage = b" ".join(words[i: j - 1 + window])
                     digest = xxhash.xxh3_128_digest(passage)
                     p1, p2 = np.frombuffer(digest, dtype="<i8").tolist()
-                    rows.append((p1 if is_hot[anchor] else anchor, p1, p2, doc, i, passage))
+                    rows.append((p1 if is_hot[anchor] else anchor, p1, p2, doc, h, i, passage))
         if rows:
-            yield pd.DataFrame(rows, columns=["key", "p1", "p2", "doc", "start", "passage"])
+            yield pd.DataFrame(rows, columns=["key", "p1", "p2", "doc", "h", "start", "passage"])
 
 
 class Automaton:
@@ -215,17 +219,18 @@ def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
     document drop out. The comparison is by words, not by hash.
 
     A NULL or empty text has no words; a text shorter than a window keeps all. Rows with the same id are one
-    document; rows without an id are kept whole. An empty table gives no rows. Other columns are not read.
+    document, whose texts each lose what an earlier document has; rows without an id are kept whole. An empty table gives no rows. Other columns are not read.
     """
     if window <= GRAM:
         raise ValueError(f"the window must have more than {GRAM} words")
     ship(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select(F.col("doc_id").alias("doc"), text_or_empty().alias("text"))
+    texts = texts.withColumn("h", F.xxhash64("text"))  # rows may share an id but not the text
     known = texts.where("doc is not null")
 
     anchors = stage(
-        known.mapInPandas(lambda f: _anchor_rows(f, window), f"anchor bigint, doc {kind}"), "anchors"
+        known.drop("h").mapInPandas(lambda f: _anchor_rows(f, window), f"anchor bigint, doc {kind}"), "anchors"
     )
     repeated = (
         anchors.groupBy("anchor").agg(F.min("doc").alias("a"), F.max("doc").alias("b"), F.count(F.lit(1)).alias("n"))
@@ -237,7 +242,7 @@ def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
     passages = stage(
         known.join(of_doc, "doc").mapInPandas(
             lambda f: _passage_rows(f, window),
-            f"key bigint, p1 bigint, p2 bigint, doc {kind}, start int, passage binary",
+            f"key bigint, p1 bigint, p2 bigint, doc {kind}, h bigint, start int, passage binary",
         ), "passages",
     )
     distinct = passages.groupBy("key", "p1", "p2").agg(
@@ -250,11 +255,11 @@ def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
     )
     # A passage has one key, so `least` has a row for each; a passage in very many documents is a skewed join.
     starts = (
-        passages.select("p1", "p2", "doc", "start").join(least, ["p1", "p2"])
-        .select("doc", "start", F.posexplode("least").alias("i", "first"))
+        passages.select("p1", "p2", "doc", "h", "start").join(least, ["p1", "p2"])
+        .select("doc", "h", "start", F.posexplode("least").alias("i", "first"))
         .where("first < doc")
-        .groupBy("doc").agg(F.collect_set(F.col("start") + F.col("i")).alias("starts"))
+        .groupBy("doc", "h").agg(F.collect_set(F.col("start") + F.col("i")).alias("starts"))
     )
-    return texts.join(starts, "doc", "left").mapInPandas(
+    return texts.join(starts, ["doc", "h"], "left").mapInPandas(
         lambda f: _kept_rows(f, window), f"doc_id {kind}, n_words bigint, n_removed bigint, kept string"
     )

@@ -247,6 +247,31 @@ def test_line_dedup(spark):
         assert after[doc]["text"] == kept and after[doc]["n_chars"] == (None if kept is None else len(kept))
 
 
+def test_lines_of_rows_that_share_an_id(spark):
+    rng = random.Random(7)
+
+    def line(n=12):
+        return " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(n))
+
+    a, b, c = line(), line(), line()
+    near = " ".join(["other", *c.split()[1:]])
+    rows = [
+        (None, f"{line()}\n{a}"), (None, f"{a}\n{line()}\n{line()}"), (1, f"{line()}\n{line()}\n{line()}\n{b}\n{c}"),
+        (1, line()), (1, f"{line()}\n{a}"), (2, f"{b}\n{line()}"), (2, line()), (2, f"{line()}\n{near}"), (2, line()),
+    ] + [(2**62 + i, f"{line()}\n{near}") for i in range(3)]
+    gone = {rows[i]: p for i, p in ((0, [1]), (4, [1]), (5, [0]), (7, [1]), (9, [1]), (10, [1]), (11, [1]))}
+    docs = frame(spark, rows + rows[-1:]).repartition(3)
+    for r in line_dedup.dedup_lines(docs).select("doc_id", "text", "n_chars").collect():
+        kept = {
+            "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone.get((d, t), ()))
+            for d, t in rows if d == r["doc_id"]
+        }
+        assert r["text"] in kept and r["n_chars"] == len(r["text"])
+    got = sorted((r["doc_id"] or 0, r["n_lines"], r["removed"]) for r in line_dedup.line_report(docs).collect())
+    expected = [(d or 0, t.count("\n") + 1, ",".join(map(str, gone.get((d, t), ())))) for d, t in rows + rows[-1:]]
+    assert got == sorted(expected)
+
+
 # -- 4 -----------------------------------------------------------------------------------------------
 
 
@@ -420,6 +445,22 @@ def test_substring_dedup(spark, odd, monkeypatch, hot, shard):
     assert got == slow_repeats(rows) and sum(g[1] for g in got.values()) > 1000
 
 
+def test_substrings_of_rows_that_share_an_id(spark):
+    rng = random.Random(8)
+
+    def words(n):
+        return [f"w{rng.randint(0, 10**6)}" for _ in range(n)]
+
+    shared, other = words(60), words(70)
+    texts = [(1, shared), (1, other), (5, words(200) + shared), (5, words(80)), (5, words(3)), (5, words(90) + other)]
+    got = substring_dedup.remove_repeats(frame(spark, [(d, " ".join(w)) for d, w in texts])).collect()
+    expected = [(d, len(w), 0, " ".join(w)) for d, w in texts]
+    for i, n in ((2, 60), (5, 70)):
+        d, w = texts[i]
+        expected[i] = (d, len(w), n, " ".join(w[:-n]))
+    assert sorted(map(tuple, got)) == sorted(expected)
+
+
 def test_substring_dedup_of_the_table(real):
     rows = [tuple(r) for r in real.select("doc_id", "text").collect()]
     assert {r["doc_id"]: tuple(r)[1:] for r in substring_dedup.remove_repeats(real).collect()} == slow_repeats(rows)
