@@ -16,6 +16,7 @@ from martspark.schemas import (
     SENDER_TYPES,
     UPLOAD_STATUSES,
 )
+from martspark.session import stage_path
 
 
 def distinct_values(df: DataFrame, column: str) -> DataFrame:
@@ -144,9 +145,14 @@ def validate_contacts(df: DataFrame) -> DataFrame:
 
 
 def raise_on_failure(checks: DataFrame, name: str) -> None:
-    """Raises when a finding table has a row that is not ok."""
+    """Raises when a finding table has a row that is not ok; all such rows are in the table that the error names."""
     failed = checks.where(~F.col("ok"))
-    count = failed.count()
-    if count:
-        shown = [r.asDict() for r in failed.limit(20).collect()]
-        raise ValueError(f"quality check '{name}' failed: {count} findings, {len(shown)} of them: {shown}")
+    if failed.isEmpty():
+        return
+    path = stage_path(checks.sparkSession, f"failed-{name}")
+    failed.write.parquet(path)
+    written = checks.sparkSession.read.schema(failed.schema).parquet(path)
+    shown = [r.asDict() for r in written.limit(20).collect()]
+    raise ValueError(
+        f"quality check '{name}' failed: {written.count()} findings, all in {path}, {len(shown)} of them: {shown}"
+    )

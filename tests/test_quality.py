@@ -84,3 +84,12 @@ def test_contacts(spark):
         ["email required"],
         ["Phone number is not valid"],
     ]
+
+
+def test_all_failures_are_in_the_table_that_the_error_names(spark):
+    checks = spark.range(50).selectExpr("id", "id >= 30 AS ok")
+    with pytest.raises(ValueError, match="30 findings") as error:
+        q.raise_on_failure(checks, "many")
+    path = str(error.value).split(", all in ")[1].split(",")[0]
+    assert sorted(r["id"] for r in spark.read.parquet(path).collect()) == list(range(30))
+    q.raise_on_failure(checks.where("ok"), "none")
