@@ -216,7 +216,9 @@ def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
     window knows the least document that has it. So every automaton meets exactly the words that can match
     it, instead of going to all documents. An anchor in very many documents would bring its passages, which
     differ where the repeated part ends, to one shard; they are dealt window by window, and windows of one
-    document drop out. The comparison is by words, not by hash.
+    document drop out. In an automaton the comparison is by words. Passages are told apart by their 128-bit
+    digest, though, and where an anchor's key has one distinct passage in a shard, as for every window of a
+    hot anchor, there is no automaton: the least document comes from grouping by that digest.
 
     A NULL or empty text has no words; a text shorter than a window keeps all. Rows with the same id are one
     document, whose texts each lose what an earlier document has; rows without an id are kept whole. An empty table gives no rows. Other columns are not read.
