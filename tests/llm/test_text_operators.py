@@ -502,6 +502,25 @@ def test_repeated_ngrams_are_measured():
     assert quality.measure(line, quality.Limits())[6:] == pytest.approx((2 / 3, 2 / 3))
 
 
+def test_limits_reject_what_the_base_rules_keep(spark):
+    rng = random.Random(2)
+
+    def words(n):
+        return [f"w{rng.randint(1000, 9999)}x{rng.randint(1000, 9999)}" for _ in range(n)]
+
+    rows, line = [], " ".join(words(10))
+    for copies in range(2, 10):  # of 10 words each, in texts of 200 words
+        lines = [" ".join(words(10)) for _ in range(20 - copies)]
+        for _ in range(copies):
+            lines.insert(rng.randrange(len(lines) + 1), line)
+        rows.append((copies, "\n".join(lines)))
+    got = {r["doc_id"]: r for r in quality.score_quality(frame(spark, rows)).collect()}
+    assert not any(r["base_failed"] for r in got.values())
+    # Only repeats count, so 7 copies are 30 percent and 8 are 35.
+    assert [d for d in sorted(got) if not got[d]["kept"]] == [8, 9]
+    assert sorted(r["doc_id"] for r in quality.keep_good(frame(spark, rows)).collect()) == list(range(2, 8))
+
+
 # -- 8 -----------------------------------------------------------------------------------------------
 
 
