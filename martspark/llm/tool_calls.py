@@ -196,7 +196,7 @@ SCHEMAS = {
 
 def from_conversations(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Calls and results read from turns: each turn of a user or system is a call, the assistant's turn after
-    it is its result, and a call depends on the one two turns before it.
+    it is its result, and a call depends on the one two turns before it. A turn with a NULL role is neither.
     """
     turns = conversations.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
 

@@ -332,6 +332,14 @@ def test_tool_calls_same_as_sql(spark, sf_dir):
     assert oracle.compare(QUERIES["op4_tool_calls"](spark, sf_dir), con, ORACLES["op4_tool_calls"]) == []
 
 
+def test_turns_without_a_role_are_neither_calls_nor_results(spark):
+    turns = [(1, 0, "user", "a"), (1, 1, None, "b"), (1, 2, "user", "c"), (1, 3, "assistant", "d"), (2, 0, None, "e")]
+    conversations = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    got = tool_calls.link_calls(*tool_calls.from_conversations(conversations), tool_calls.SCHEMAS)
+    assert sorted((r["call_id"], r["level"], r["status"]) for r in got.collect()) == [
+        ("call-1-0", 0, "no result"), ("call-1-2", 1, "linked")]
+
+
 # -- 5 -----------------------------------------------------------------------------------------------
 
 
