@@ -17,7 +17,7 @@ from martspark.session import stage
 GRAM = 20
 # Passages of an anchor in more documents than this are dealt out window by window.
 _HOT = 500
-# Distinct passages in a shard, whose automaton one task holds.
+# Distinct passages in a shard, whose automaton one task holds. Those of an anchor with more are dealt out likewise.
 _SHARD = 1000
 _BASE = 0x9E3779B97F4A7C15
 _BACK = pow(_BASE, -1, 1 << 64)
@@ -99,6 +99,27 @@ def _passage_rows(frames: Iterator[pd.DataFrame], window: int) -> Iterator[pd.Da
             yield pd.DataFrame(rows, columns=["key", "p1", "p2", "doc", "h", "start", "passage"])
 
 
+def _window_rows(frames: Iterator[pd.DataFrame], window: int) -> Iterator[pd.DataFrame]:
+    """The windows of passages as passages of their own, as those of a hot anchor are."""
+    for frame in frames:
+        rows = []
+        for doc, h, start, passage in zip(frame["doc"], frame["h"], frame["start"], frame["passage"]):
+            words = passage.split(b" ")
+            for i in range(len(words) - window + 1):
+                piece = b" ".join(words[i: i + window])
+                p1, p2 = np.frombuffer(xxhash.xxh3_128_digest(piece), dtype="<i8").tolist()
+                rows.append((p1, p1, p2, doc, h, start + i, piece))
+        if rows:
+            yield pd.DataFrame(rows, columns=["key", "p1", "p2", "doc", "h", "start", "passage"])
+
+
+def _distinct(passages: DataFrame) -> DataFrame:
+    """Passages once each with their least document; windows that only one document has drop out."""
+    return passages.groupBy("key", "p1", "p2").agg(
+        F.min("doc").alias("doc"), F.max("doc").alias("last"), F.first("passage").alias("passage")
+    ).where("key != p1 or doc < last").drop("last")
+
+
 class Automaton:
     """Suffix automaton over sequences of words. `least[s]` is the least document of a state's words."""
 
@@ -247,10 +268,18 @@ def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
             f"key bigint, p1 bigint, p2 bigint, doc {kind}, h bigint, start int, passage binary",
         ), "passages",
     )
-    distinct = passages.groupBy("key", "p1", "p2").agg(
-        F.min("doc").alias("doc"), F.max("doc").alias("last"), F.first("passage").alias("passage")
-    ).where("key != p1 or doc < last")
-    distinct = stage(distinct.drop("last"), "distinct-passages")
+    distinct = stage(_distinct(passages), "distinct-passages")
+    # An anchor that stands very often in few long documents has as many passages as a hot one.
+    crowded = stage(
+        distinct.where("key != p1").groupBy("key").count().where(F.col("count") > _SHARD).select("key"), "crowded"
+    )
+    if not crowded.isEmpty():
+        cut = stage(
+            passages.join(crowded, "key", "left_semi").mapInPandas(lambda f: _window_rows(f, window), passages.schema),
+            "crowded-windows",
+        )
+        passages = passages.join(crowded, "key", "left_anti").unionByName(cut)
+        distinct = stage(distinct.join(crowded, "key", "left_anti").unionByName(_distinct(cut)), "distinct-passages")
     shards = max(1, -(-distinct.count() // _SHARD))
     least = distinct.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards))).groupBy("shard").applyInPandas(
         lambda s: _shard_rows(s, window), f"p1 bigint, p2 bigint, least array<{kind}>"

@@ -453,6 +453,20 @@ def test_substring_dedup(spark, odd, monkeypatch, hot, shard):
     assert got == slow_repeats(rows) and sum(g[1] for g in got.values()) > 1000
 
 
+def test_an_anchor_many_times_in_few_documents_is_dealt_out(spark, monkeypatch):
+    rng, staged = random.Random(6), {}
+    keep = substring_dedup.stage
+    monkeypatch.setattr(substring_dedup, "stage", lambda df, name: staged.setdefault(name, []).append(keep(df, name)) or staged[name][-1])
+    monkeypatch.setattr(substring_dedup, "_SHARD", 50)
+    line = [f"line{i}" for i in range(40)]
+    parts = [[f"w{rng.randint(0, 10**6)}" for _ in range(30)] for _ in range(120)]
+    rows = [(i, " ".join(w for p in rng.sample(parts, 100) for w in p + line)) for i in range(3)]
+    got = {r["doc_id"]: tuple(r)[1:] for r in substring_dedup.remove_repeats(frame(spark, rows)).collect()}
+    assert got == slow_repeats(rows) and got[2][1] > 1000
+    sizes = staged["distinct-passages"][-1].groupBy("key").count()
+    assert sizes.agg(F.max("count")).first()[0] <= 50
+
+
 def test_substrings_of_rows_that_share_an_id(spark):
     rng = random.Random(8)
 
