@@ -16,6 +16,7 @@ from martspark.llm import (
     pii,
     quality,
     simhash,
+    spelling,
     substring_dedup,
     tool_calls,
     toxicity,
@@ -114,6 +115,11 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_personal_data(documents(spark, sf_dir))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of all documents and the spelling that each one varies."""
+    return spelling.spelling_variants(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -127,6 +133,7 @@ QUERIES: dict[str, Query] = {
         op8_bpe_encoding,
         op9_toxicity,
         op10_personal_data,
+        op11_spelling_variants,
     )
 }
 # The others read texts in ways that SQL cannot express; tests compare them with brute force.
