@@ -15,6 +15,7 @@ from martspark.llm import (
     packing,
     pii,
     quality,
+    sharding,
     simhash,
     spelling,
     substring_dedup,
@@ -120,6 +121,11 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(documents(spark, sf_dir))
 
 
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 40 shards of nearly equal bytes."""
+    return sharding.report(sharding.assign_shards(documents(spark, sf_dir)))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -134,6 +140,7 @@ QUERIES: dict[str, Query] = {
         op9_toxicity,
         op10_personal_data,
         op11_spelling_variants,
+        op12_sharding,
     )
 }
 # The others read texts in ways that SQL cannot express; tests compare them with brute force.
