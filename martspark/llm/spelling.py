@@ -32,6 +32,7 @@ _GROUP_CHARS = 1 << 23
 # Rows of a block of small groups that meet in one product, and code points that a step holds.
 _BLOCK = 256
 _STEP_CHARS = 1 << 22
+_ROWS_PER_TASK = 100_000
 
 
 def _runs(shortest: int) -> re.Pattern:
@@ -235,7 +236,9 @@ def near_pairs(rows: DataFrame) -> DataFrame:
         if held:
             yield from solve(held)
 
-    sorted_rows = rows.select("word", "n", *order).repartition(*order).sortWithinPartitions(*order)
+    # A row costs far more time than bytes, so the partitions follow the rows.
+    tasks = rows.count() // _ROWS_PER_TASK + 1
+    sorted_rows = rows.select("word", "n", *order).repartition(tasks, *order).sortWithinPartitions(*order)
     return sorted_rows.mapInArrow(run, "word string, near string, near_n long")
 
 
