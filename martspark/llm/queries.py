@@ -12,6 +12,7 @@ from martspark.llm import (
     bpe,
     fingerprints,
     line_dedup,
+    merkle,
     packing,
     pii,
     quality,
@@ -126,6 +127,76 @@ def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.report(sharding.assign_shards(documents(spark, sf_dir)))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tree over all documents, with proofs checked after some of them were tampered with."""
+    return merkle.verify(merkle.manifest(documents(spark, sf_dir))[0])
+
+
+_OP13_SQL = """
+WITH RECURSIVE checks AS (
+    SELECT list(c ORDER BY i) AS t FROM (
+        SELECT i, list_reduce([i] || range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS c
+        FROM range(256) r(i))
+), hit AS (
+    SELECT *, coalesce(xor(list_reduce([4294967295] || list_transform(string_split(CAST(doc_id AS VARCHAR), ''),
+                                                                       lambda d: CAST(ascii(d) AS BIGINT)),
+                                       lambda c, b: xor(c // 256, t[xor(c % 256, b) + 1])), 4294967295) % 5 = 0, FALSE) AS tampered
+    FROM documents, checks
+), fields AS (
+    SELECT doc_id, source, tampered,
+           coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+           || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS head,
+           coalesce(strlen("text") || ':' || "text", '-') AS body,
+           coalesce(strlen("text") || ':' || translate("text", 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '-') AS lowered
+    FROM hit
+), leaves AS (
+    SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+           count(*) OVER (PARTITION BY source) AS n
+    FROM (SELECT doc_id, source, sha256(head || body) AS leaf,
+                 CASE WHEN tampered THEN sha256(head || lowered) ELSE sha256(head || body) END AS start FROM fields)
+), nodes AS (
+    SELECT 0 AS level, source, pos, n, leaf AS node FROM leaves
+    UNION ALL
+    SELECT level + 1, source, pos // 16, (n + 15) // 16, sha256(string_agg(node, '' ORDER BY pos))
+    FROM nodes WHERE n > 1 GROUP BY level, source, pos // 16, n
+), subroots AS (
+    SELECT source, node AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos, count(*) OVER () AS n
+    FROM nodes WHERE n = 1
+), tops AS (
+    SELECT 0 AS level, pos, n, subroot AS node FROM subroots
+    UNION ALL
+    SELECT level + 1, pos // 16, (n + 15) // 16, sha256(string_agg(node, '' ORDER BY pos))
+    FROM tops WHERE n > 1 GROUP BY level, pos // 16, n
+), steps AS (
+    SELECT l.source, l.pos, s.level AS step,
+           coalesce(string_agg(s.node, '' ORDER BY s.pos) FILTER (s.pos < l.pos // CAST(pow(16, s.level) AS BIGINT)), '') AS "left",
+           coalesce(string_agg(s.node, '' ORDER BY s.pos) FILTER (s.pos > l.pos // CAST(pow(16, s.level) AS BIGINT)), '') AS "right"
+    FROM leaves l JOIN nodes s ON s.source IS NOT DISTINCT FROM l.source AND s.n > 1
+         AND s.pos // 16 = l.pos // CAST(pow(16, s.level + 1) AS BIGINT)
+    GROUP BY 1, 2, 3
+), beyond AS (
+    SELECT u.source, 100 + s.level AS step,
+           coalesce(string_agg(s.node, '' ORDER BY s.pos) FILTER (s.pos < u.pos // CAST(pow(16, s.level) AS BIGINT)), '') AS "left",
+           coalesce(string_agg(s.node, '' ORDER BY s.pos) FILTER (s.pos > u.pos // CAST(pow(16, s.level) AS BIGINT)), '') AS "right"
+    FROM subroots u JOIN tops s ON s.n > 1 AND s.pos // 16 = u.pos // CAST(pow(16, s.level + 1) AS BIGINT)
+    GROUP BY 1, 2
+), paths AS (
+    SELECT source, pos, sha256(string_agg("left" || "right", '' ORDER BY step)) AS proof,
+           list("left" || '|' || "right" ORDER BY step) AS path
+    FROM (SELECT * FROM steps
+          UNION ALL SELECT l.source, l.pos, b.step, b."left", b."right"
+          FROM leaves l JOIN beyond b ON b.source IS NOT DISTINCT FROM l.source)
+    GROUP BY source, pos
+), folded AS (
+    SELECT l.doc_id, l.leaf, u.subroot, (SELECT node FROM tops WHERE n = 1) AS root, coalesce(p.proof, sha256('')) AS proof_sha256,
+           list_reduce([l.start] || coalesce(p.path, []), lambda node, s: sha256(split_part(s, '|', 1) || node || split_part(s, '|', 2))) AS folded_root
+    FROM leaves l JOIN subroots u ON u.source IS NOT DISTINCT FROM l.source
+         LEFT JOIN paths p ON p.source IS NOT DISTINCT FROM l.source AND p.pos = l.pos
+)
+SELECT *, folded_root = root AS verified FROM folded
+"""
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -141,7 +212,8 @@ QUERIES: dict[str, Query] = {
         op10_personal_data,
         op11_spelling_variants,
         op12_sharding,
+        op13_merkle_manifest,
     )
 }
 # The others read texts in ways that SQL cannot express; tests compare them with brute force.
-ORACLES: dict[str, str] = {"op4_tool_calls": _OP4_SQL}
+ORACLES: dict[str, str] = {"op4_tool_calls": _OP4_SQL, "op13_merkle_manifest": _OP13_SQL}
