@@ -208,7 +208,8 @@ def manifest(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     the root of all. Rows of a source ascend by id, NULL first, ties by digest; sources ascend by their bytes, NULL first.
     Repeated rows are leaves of their own. An empty table has no rows and no root.
     """
-    placed = ordered(leaves(docs), "source", "doc_id", "leaf")
+    # Written first: the ranges of the order are sampled from their input, which would hash all texts twice.
+    placed = ordered(stage(leaves(docs), "leaves"), "source", "doc_id", "leaf")
     made, above, subroots = tree(
         placed.select("gid", "pos", "size", F.col("leaf").alias("node"), "doc_id", "source", "tampered"),
         "doc_id", "source", "tampered",
