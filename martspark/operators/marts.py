@@ -26,15 +26,15 @@ def trans_by_hour(trans: DataFrame) -> DataFrame:
     return with_hour(trans).groupBy("hour").agg(F.count("trans_id").alias("count")).orderBy("hour")
 
 
-def activity(trans: DataFrame) -> DataFrame:
-    """Transactions per month, hour and service: small, and enough for three mart numbers.
+def activity(trans: DataFrame, *also: str) -> DataFrame:
+    """Transactions per month, hour and service (and further columns): small, and enough for three mart numbers.
 
     The daily job stages it, so that services, hours and the month's transactions take one
     scan of the fact table together.
     """
     ts = F.col("trans_timestamp")
     keys = F.trunc(ts, "month").alias("month"), hour_of(ts).alias("hour"), "trans_service"
-    return trans.groupBy(*keys).agg(F.count("trans_id").alias("count"))
+    return trans.groupBy(*also, *keys).agg(F.count("trans_id").alias("count"))
 
 
 def hours_of_activity(counts: DataFrame) -> DataFrame:

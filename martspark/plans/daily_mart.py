@@ -13,6 +13,7 @@ from martspark.operators.features import rfm_scores, staged_rfm, user_totals
 from martspark.operators.segment import _segmented, attach_cluster, cluster_or_unknown
 from martspark.schemas import CLUSTER_NAMES, MART
 from martspark.session import stage
+from martspark.sources.rollups import read_rollup
 from martspark.sources.tables import write_mart
 
 USER_COLUMNS = ("user_id", "age", "gender", "city", "state", "latitude", "longitude")
@@ -26,6 +27,13 @@ def mart_tables(users: DataFrame, trans: DataFrame, lookup: DataFrame, as_of=Non
     """
     totals = stage(user_totals(trans), "user-totals")
     counts = stage(marts.activity(trans), "activity")
+    return tables_of_totals(users, totals, counts, lookup, as_of, label)
+
+
+def tables_of_totals(
+    users: DataFrame, totals: DataFrame, counts: DataFrame, lookup: DataFrame, as_of=None, label=_segmented
+) -> dict[str, DataFrame]:
+    """The same from staged totals per user and staged activity counts."""
     features = staged_rfm(totals)
     clustered = stage(
         cluster_or_unknown(
@@ -53,8 +61,19 @@ def run_daily(
 
     Raises if a mart table is empty; a missing segment only shows in check_mart.
     """
-    tables = mart_tables(users, trans, lookup, as_of, label)
+    return _write_mart(spark, mart_tables(users, trans, lookup, as_of, label), target)
+
+
+def run_daily_from_store(
+    spark: SparkSession, users: DataFrame, store: str, lookup: DataFrame, target: str, as_of=None, label=_segmented
+) -> DataFrame:
+    """The daily run over the rollups of a store (`sources.rollups`): no fact is read again."""
+    totals = stage(read_rollup(spark, store, "users"), "user-totals")
+    counts = stage(read_rollup(spark, store, "activity"), "activity")
+    return _write_mart(spark, tables_of_totals(users, totals, counts, lookup, as_of, label), target)
+
 
+def _write_mart(spark: SparkSession, tables: dict[str, DataFrame], target: str) -> DataFrame:
     def write(name: str) -> int:
         return write_mart(tables[name], f"{target}/{name}", MART.get(name))
 
