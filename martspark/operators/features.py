@@ -25,9 +25,9 @@ def with_recency(df: DataFrame, as_of: Column, last: str = "last_trans_date") ->
     return df.withColumn("recency", days_between(F.col(last), as_of))
 
 
-def user_totals(trans: DataFrame) -> DataFrame:
-    """Per user: first and last transaction, number of known amounts, their sum."""
-    return trans.groupBy("user_id").agg(
+def user_totals(trans: DataFrame, *also: str) -> DataFrame:
+    """Per user (and per further columns): first and last transaction, number of known amounts, their sum."""
+    return trans.groupBy(*also, "user_id").agg(
         F.min("trans_timestamp").alias("first_trans_date"),
         F.max("trans_timestamp").alias("last_trans_date"),
         F.count("trans_amount").alias("frequency"),
@@ -102,7 +102,7 @@ def standardize(df: DataFrame, columns: Sequence[str] = FEATURES, prefix: str =
 
 
 def quantile_edges(df: DataFrame, columns: Sequence[str], k: int = 5) -> DataFrame:
-    """The k + 1 edges of k equally filled bins: (metric, edges) per column."""
+    """The k + 1 edges of k equally filled bins: (metric, edges) per column that has values."""
     return exact_quantiles(df, columns, [i / k for i in range(k + 1)])
 
 
@@ -110,21 +110,18 @@ def quantile_score(df: DataFrame, columns: str | Sequence[str], k: int = 5) -> D
     """Adds `<column>_score`, the number 1..k of the equal-frequency bin of each value.
 
     Bins are closed on the right and the lowest value is in bin 1. Equal edges collapse and
-    the remaining bins are numbered without gaps. The edges take two passes over `df`, the
-    scores a third one: hand in a staged frame when `df` is expensive.
+    the remaining bins are numbered without gaps. The edges take a few passes over `df`: hand in a
+    staged frame when `df` is expensive.
     """
     columns = [columns] if isinstance(columns, str) else list(columns)
-    edges = quantile_edges(df, columns, k).agg(
-        F.map_from_entries(F.collect_list(F.struct("metric", "edges"))).alias("edges")
-    ).scalar()
-    scored = df.withColumn("_edges", edges)
+    edges = {r["metric"]: r["edges"] for r in quantile_edges(df, columns, k).collect()}
+    scores = {}
     for c in columns:
-        edge = [F.col("_edges")[c][i] for i in range(k)]
-        score = F.lit(1)
-        for low, high in zip(edge, edge[1:]):
-            score = score + ((high > low) & (F.col(c).cast("double") > high)).cast("int")
-        scored = scored.withColumn(f"{c}_score", F.when(F.col(c).isNotNull(), score))
-    return scored.drop("_edges")
+        given = edges.get(c, [])
+        inner = [high for low, high in zip(given, given[1:k]) if high > low]
+        above = sum(((F.col(c).cast("double") > F.lit(e)).cast("int") for e in inner), F.lit(1))
+        scores[f"{c}_score"] = F.when(F.col(c).isNotNull(), above)
+    return df.withColumns(scores)
 
 
 def recency_score(df: DataFrame, days: int = RECENT_DAYS) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -145,113 +145,121 @@ def last_n_per_group(df: DataFrame, key: str | Sequence[str], order: Sequence[st
     return first_n_per_group(df, keys, [F.col(c).desc() for c in order], n).drop("_place")
 
 
+def count_below(cuts: Column, steps: int, value: Column) -> Column:
+    """How many of an ascending array of fewer than 2^steps numbers are below `value`: found by halving."""
+
+    def step(at: Column, width: Column) -> Column:
+        # Beyond the last cut `get` is NULL, and the place stays.
+        return F.when(F.get(cuts, at + width - 1) < value, at + width).otherwise(at)
+
+    return F.aggregate(F.lit([1 << b for b in reversed(range(steps))]), F.lit(0), step)
+
+
+# Cuts of an interval in a round, and values of an interval that are read at once.
+_CUTS = 1000
+FEW = 2000
+
+
+def order_statistics(
+    df: DataFrame, columns: Sequence[str], ranks: Callable[[int], Sequence[int]], few: int = FEW
+) -> dict[str, tuple[int, dict[int, float]]]:
+    """For each column its number of known values, and the values at the given 0-based ranks among them, ascending.
+
+    `ranks` names the ranks wanted for a number of values; NULL and NaN are no values. Selection by narrowing: approximate
+    percentiles cut an interval, then the values between two cuts and those equal to a cut are counted exactly. A rank
+    that falls on a cut is found; one between two cuts goes on with their interval, which has about a thousandth of the
+    rows, until that holds at most `few` values, which are read. The rounds follow the logarithm of the rows; all columns and
+    ranks share their passes, and no values are sorted or summed up in one task.
+    """
+    pairs = [F.struct(F.lit(i).alias("m"), F.col(c).cast("double").alias("v")) for i, c in enumerate(columns)]
+    values = df.select(F.explode(F.array(*pairs)).alias("x")).select("x.m", "x.v").where("v IS NOT NULL AND NOT isnan(v)")
+    # Of each open interval: column, the cuts around it, the values before it, the ranks in it.
+    spans: list[tuple] = [(i, None, None, 0, None) for i in range(len(columns))]
+    size: dict[int, int] = {}
+    found: list[dict[int, float]] = [{} for _ in columns]
+    while spans:
+        inside = values.withColumn("s", _span_of(spans)).where("s IS NOT NULL")
+        share = F.percentile_approx("v", [i / _CUTS for i in range(_CUTS + 1)], 10 * _CUTS)
+        measured = {r["s"]: r for r in inside.groupBy("s").agg(F.count(F.lit(1)).alias("n"), share.alias("cuts")).collect()}
+        if not size:
+            size = {i: measured[i]["n"] if i in measured else 0 for i in range(len(columns))}
+            spans = [(i, None, None, 0, sorted(set(ranks(size[i])))) for i in range(len(columns))]
+        small = [s for s in measured if measured[s]["n"] <= few and spans[s][4]]
+        if small:
+            rows = inside.where(F.col("s").isin(small)).groupBy("s", "v").agg(F.count(F.lit(1)).alias("n")).collect()
+            read: dict[int, list] = {}
+            for r in sorted(rows, key=lambda r: r["v"]):
+                read.setdefault(r["s"], []).append((r["v"], r["n"]))
+            for s, counted in read.items():
+                m, _, _, before, wanted = spans[s]
+                _take(counted, before, wanted, found[m])
+        large = [s for s in measured if s not in small and spans[s][4]]
+        following = []
+        if large:
+            cuts = [sorted(set(measured[s]["cuts"])) if s in large else [] for s in range(len(spans))]
+            own = F.get(F.array(*[F.lit(c) if c else F.array().cast("array<double>") for c in cuts]), F.col("s"))
+            below = count_below(own, (_CUTS + 1).bit_length(), F.col("v"))
+            # Even zones lie between cuts, odd ones are the values equal to one.
+            zone = (below * 2 + F.coalesce((F.get(own, below) == F.col("v")).cast("int"), F.lit(0))).alias("zone")
+            zones = inside.where(F.col("s").isin(large)).groupBy("s", zone).agg(F.count(F.lit(1)).alias("n"))
+            for s, counted in _grouped(zones.collect()).items():
+                m, low, high, at, wanted = spans[s]
+                for z, n in counted:
+                    here = [r for r in wanted if at <= r < at + n]
+                    if here and z % 2:
+                        found[m].update({r: cuts[s][z // 2] for r in here})
+                    elif here:
+                        left = cuts[s][z // 2 - 1] if z else low
+                        right = cuts[s][z // 2] if z // 2 < len(cuts[s]) else high
+                        following.append((m, left, right, at, here))
+                    at += n
+        spans = following
+    return {c: (size[i], found[i]) for i, c in enumerate(columns)}
+
+
+def _span_of(spans: Sequence[tuple]) -> Column:
+    """The number of the open interval that a value lies in, without its ends; NULL outside all of them."""
+    out = None
+    for i, (m, low, high, *_) in enumerate(spans):
+        here = F.col("m") == m
+        here = here if low is None else here & (F.col("v") > F.lit(low))
+        here = here if high is None else here & (F.col("v") < F.lit(high))
+        out = F.when(here, i) if out is None else out.when(here, i)
+    return out
+
+
+def _grouped(rows: Sequence) -> dict[int, list]:
+    out: dict[int, list] = {}
+    for r in sorted(rows, key=lambda r: r["zone"]):
+        out.setdefault(r["s"], []).append((r["zone"], r["n"]))
+    return out
+
+
+def _take(counted: Sequence[tuple[float, int]], before: int, wanted: Sequence[int], into: dict[int, float]) -> None:
+    """The values at some ranks, from ascending values with their counts."""
+    at = before
+    for value, n in counted:
+        into.update({r: value for r in wanted if at <= r < at + n})
+        at += n
+
+
 def exact_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float]) -> DataFrame:
-    """Exact, linearly interpolated quantiles: one row (metric, edges) per column.
+    """Exact, linearly interpolated quantiles: one row (metric, edges) per column that has values.
 
-    The built-in exact percentile keeps every distinct value of a column in one task. Here a
-    first pass brackets each quantile with approximate percentiles (rank error 1 / accuracy);
-    a second pass counts the rows outside each bracket and the values inside it, which are
-    about a thousandth of the rows, and reads the two neighbouring order statistics off the
-    running count. NULLs are left out.
+    The built-in exact percentile keeps every distinct value of a column in one task; here the order statistics come from
+    `order_statistics`, in a few passes over `df`, so hand in a staged frame if it is expensive.
     """
-    accuracy = 10_000
-    slack = 5 / accuracy
     probs = [float(p) for p in probabilities]
-    n_probs = len(probs)
-    lows = [max(p - slack, 0.0) for p in probs]
-    highs = [min(p + slack, 1.0) for p in probs]
-
-    values = df.select(
-        F.explode(
-            F.array(*[
-                F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in columns
-            ])
-        ).alias("m")
-    ).select("m.metric", "m.value").where(F.col("value").isNotNull())
 
-    # One row per column.
-    brackets = F.broadcast(
-        values.groupBy("metric")
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.percentile_approx("value", lows + highs, accuracy).alias("ends"),
-        )
-        .select(
-            "metric",
-            "n",
-            F.slice("ends", 1, n_probs).alias("low"),
-            F.slice("ends", n_probs + 1, n_probs).alias("high"),
-        )
-    )
+    def ranks(n: int) -> list[int]:
+        low = [int(p * (n - 1)) for p in probs] if n else []
+        return [r for k in low for r in (k, min(k + 1, n - 1))]
 
-    def side(low: Column, high: Column, smallest: Column, largest: Column) -> Column:
-        """-1 below the bracket, 0 inside, 1 above."""
-        return F.when(largest < low, -1).when(smallest > high, 1).otherwise(0)
-
-    # Rows on the same sides of all brackets are counted together, inside a bracket by value.
-    value = F.col("value")
-    sides = [side(F.col("low")[i], F.col("high")[i], value, value) for i in range(n_probs)]
-    zone = sum(((s + 1) * F.lit(3**i) for i, s in enumerate(sides)), F.lit(0).cast("long"))
-    inside = reduce(lambda x, y: x | y, [s == 0 for s in sides])
-    zones = (
-        values.join(brackets, "metric")
-        .groupBy("metric", zone.alias("zone"), F.when(inside, value).alias("inner"))
-        .agg(
-            F.count(F.lit(1)).alias("rows"), F.min("value").alias("smallest"), F.max("value").alias("largest")
-        )
-    )
-    per_edge = zones.join(brackets, "metric").select(
-        "metric",
-        "n",
-        F.posexplode(
-            F.arrays_zip(F.array(*map(F.lit, probs)).alias("p"), F.col("low"), F.col("high"))
-        ).alias("edge", "b"),
-        "rows",
-        "smallest",
-        "largest",
-    )
-    at_side = side(F.col("b.low"), F.col("b.high"), F.col("smallest"), F.col("largest"))
-    counted = (
-        per_edge.select("metric", "edge", "n", "b.p", at_side.alias("side"), "rows", "smallest", "largest")
-        .groupBy(
-            "metric", "edge", "n", "p", "side", F.when(F.col("side") == 0, F.col("smallest")).alias("inner_value")
-        )
-        .agg(F.sum("rows").alias("rows"), F.min("smallest").alias("smallest"), F.max("largest").alias("largest"))
-    )
-    running = Window.partitionBy("metric", "edge").orderBy("side", "inner_value")
-    ranked = counted.select(
-        "metric",
-        "edge",
-        (F.col("p") * (F.col("n") - 1)).alias("target"),
-        F.col("n"),
-        "side",
-        "rows",
-        # Below the bracket only the last rank is known, above it only the first.
-        F.when(F.col("side") < 0, F.col("largest")).otherwise(F.col("smallest")).alias("value"),
-        F.sum("rows").over(running).alias("upto"),
-    )
-    first_rank = F.floor("target")
-    second_rank = F.least(first_rank + 1, F.col("n") - 1)
-
-    def at(rank: Column) -> Column:
-        known = (
-            F.when(F.col("side") < 0, F.col("upto") - 1 == rank)
-            .when(F.col("side") > 0, F.col("upto") - F.col("rows") == rank)
-            .otherwise(F.lit(True))
-        )
-        hit = (F.col("upto") > rank) & (F.col("upto") - F.col("rows") <= rank)
-        value = F.when(known, F.col("value")).otherwise(F.raise_error(F.lit("quantile outside its bracket")))
-        return F.max(F.when(hit, value))
-
-    edges = (
-        ranked.groupBy("metric", "edge")
-        .agg(
-            at(first_rank).alias("v0"),
-            at(second_rank).alias("v1"),
-            F.max(F.col("target") - first_rank).alias("share"),
-        )
-        .select("metric", "edge", (F.col("v0") + (F.col("v1") - F.col("v0")) * F.col("share")).alias("value"))
-    )
-    return edges.groupBy("metric").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("edge", "value"))), lambda e: e["value"]).alias("edges")
-    )
+    rows = []
+    for column, (n, at) in order_statistics(df, columns, ranks).items():
+        if n:
+            places = [p * (n - 1) for p in probs]
+            edges = [at[int(x)] + (at[min(int(x) + 1, n - 1)] - at[int(x)]) * (x - int(x)) for x in places]
+            rows.append((column, [float(e) for e in edges]))
+    # One row per column.
+    return df.sparkSession.createDataFrame(rows, "metric string, edges array<double>")

@@ -6,6 +6,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from martspark.operators import scale
 from martspark.operators.scale import exact_quantiles, last_n_per_group, positions, salted_join
 
 
@@ -138,6 +139,55 @@ def test_quantiles_leave_out_nulls(spark):
     assert exact_quantiles(df, ["x"], [0.5]).first()["edges"] == [2.0]
 
 
+COLUMNS = {
+    "all_equal": "7.5D",
+    "all_distinct": "id * 1.5D - 1000",
+    "two_valued": "double(id % 3 = 0)",
+    "one_outlier": "if(id = 5, 1e300, id % 10)",
+    "heavy_top": "least(double(id), 300D)",
+    "partly_null": "CASE WHEN id % 4 = 0 THEN double(id) WHEN id % 4 = 1 THEN double('NaN') END",
+    "no_values": "double(NULL)",
+}
+
+
+def test_selection_narrows_until_few_values_are_left(spark, monkeypatch):
+    """Several rounds on columns of all kinds; what reaches the driver is bounded, and no plan has a window or a sort."""
+    n = 30_000
+    df = spark.range(n).selectExpr(*[f"{c} AS {name}" for name, c in COLUMNS.items()]).repartition(4).persist()
+    probs = [0.0, 0.001, 0.25, 0.5, 0.77, 1.0]
+    read, plans = [], []
+    real = type(df).collect
+
+    def collect(self):
+        rows = real(self)
+        read.append(len(rows))
+        plans.append(plan_of(self))
+        return rows
+
+    monkeypatch.setattr(scale, "_CUTS", 20)
+    monkeypatch.setattr(type(df), "collect", collect)
+    stats = scale.order_statistics(df, list(COLUMNS), lambda m: [int(p * (m - 1)) for p in probs] if m else [], few=50)
+    monkeypatch.undo()
+    assert len(read) >= 6 and max(read) <= 50 * 7 * len(probs)
+    assert not any("Window" in p or "SortExec" in p or "SortMergeJoin" in p for p in plans)
+    whole = {name: [] for name in COLUMNS}
+    for r in df.collect():
+        for name in COLUMNS:
+            if r[name] is not None and r[name] == r[name]:
+                whole[name].append(r[name])
+    for name, values in whole.items():
+        values.sort()
+        m = len(values)
+        assert stats[name] == (m, {int(p * (m - 1)): values[int(p * (m - 1))] for p in probs} if m else {})
+    df.unpersist()
+
+
+def test_columns_without_values_have_no_quantiles(spark):
+    df = spark.createDataFrame([(None, 1.0)], "x double, y double")
+    assert [tuple(r) for r in exact_quantiles(df, ["x", "y"], [0.0, 0.5]).collect()] == [("y", [1.0, 1.0])]
+    assert exact_quantiles(df.limit(0), ["x", "y"], [0.5]).count() == 0
+
+
 @pytest.mark.parametrize("ids", [
     [*range(20_000), 10**15],
     [-(2**63), *range(-5000, 5000), 2**63 - 1],
