@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from martspark.operators import features
+from martspark.operators import features, quality
 from martspark.plans import daily_mart
 from martspark.plans import samples as s
 from martspark.plans.mart_queries import _frozen, _WRITTEN
 from martspark.plans.registry import query, rounded
+from martspark.plans.table_queries import APPENDED, CASCADED, UPSERTED, chat_links, session_changes
 from martspark.session import stage, stage_path
 from martspark.sources import rollups
+from martspark.sources.file_tables import FileTables, append_new, cascade_files, create_table, upsert_files
 
 
 def _store_of_loads(spark: SparkSession, sf_dir: str) -> str:
@@ -57,3 +59,39 @@ def incremental_mart(spark, sf_dir) -> DataFrame:
 )
 def incremental_activity(spark, sf_dir):
     return rollups.read_rollup(spark, _store_of_loads(spark, sf_dir), "activity")
+
+
+# -- changes by file -----------------------------------------------------------------------------
+
+
+def _store(spark: SparkSession) -> FileTables:
+    return FileTables(spark, stage_path(spark, "tables"))
+
+
+@query(UPSERTED, "chat_sessions messages")
+def upsert_by_file(spark, sf_dir):
+    """Session counters replaced in the files that hold the sessions."""
+    base, stats = session_changes(spark, sf_dir)
+    store = create_table(_store(spark), "chat_sessions", base.repartitionByRange("id"), "id")
+    return upsert_files(store, "chat_sessions", stats, "id").read("chat_sessions")
+
+
+@query(CASCADED, "chat_users chat_sessions messages message_images")
+def cascade_by_file(spark, sf_dir):
+    """A quarter of the users removed with what hangs on them, all tables at once."""
+    base, links = chat_links(spark, sf_dir)
+    store = _store(spark)
+    for name, df in base.items():
+        store = create_table(store, name, df.repartitionByRange("id"))
+    after = cascade_files(store, "users", base["users"].where("id % 4 = 1"), "id", links)
+    return quality.union_all(*[after.read(name).select(F.lit(name).alias("table"), "id") for name in base])
+
+
+@query(APPENDED, "messages")
+def append_by_filter(spark, sf_dir):
+    """User messages first, then all of them, then a few again that are there already."""
+    rows = s.messages(spark, sf_dir).select("uuid", "chat_session_id", "sender_type")
+    store = _store(spark)
+    for part in (rows.where("sender_type = 'user'"), rows, rows.where("chat_session_id % 40 = 3")):
+        store = append_new(store, "messages", part, "uuid")
+    return store.read("messages")

@@ -99,7 +99,10 @@ def write_mart(spark, sf_dir):
     return spark.read.schema(MART["trans_by_day"]).parquet(out)
 
 
-@query("SELECT uuid, chat_session_id, sender_type FROM messages", "messages")
+APPENDED = "SELECT uuid, chat_session_id, sender_type FROM messages"
+
+
+@query(APPENDED, "messages")
 def append_rows(spark, sf_dir):
     """User messages first, then all of them: those already there are not added again."""
     out = stage_path(spark, "messages")
@@ -121,38 +124,51 @@ def conform(spark, sf_dir):
     return tables.conform(loose, files.T.StructType.fromDDL("event_id long, code string, kind int, user_id int"))
 
 
-@query(
-    """SELECT cs.id, cs.title, coalesce(CAST(st.message_count AS INTEGER), cs.message_count) AS message_count,
-              coalesce(st.last_message_at, cs.last_message_at) AS last_message_at
-       FROM chat_sessions cs LEFT JOIN (SELECT chat_session_id, count(*) AS message_count, max(created_at) AS last_message_at
-                                        FROM messages GROUP BY 1) st ON st.chat_session_id = cs.id""",
-    "chat_sessions messages",
-)
+UPSERTED = """SELECT cs.id, cs.title, coalesce(CAST(st.message_count AS INTEGER), cs.message_count) AS message_count,
+          coalesce(st.last_message_at, cs.last_message_at) AS last_message_at
+   FROM chat_sessions cs LEFT JOIN (SELECT chat_session_id, count(*) AS message_count, max(created_at) AS last_message_at
+                                    FROM messages GROUP BY 1) st ON st.chat_session_id = cs.id"""
+
+
+@query(UPSERTED, "chat_sessions messages")
 def upsert(spark, sf_dir):
     """Session counters replaced by what the messages say."""
+    return tables.upsert(*session_changes(spark, sf_dir), "id")
+
+
+def session_changes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The sessions, and the counters that the messages give some of them."""
     base = s.chat_sessions(spark, sf_dir).select("id", "title", "message_count", "last_message_at")
     stats = chat.session_stats(s.messages(spark, sf_dir)).select(
         F.col("chat_session_id").alias("id"), F.col("message_count").cast("int").alias("message_count"), "last_message_at"
     )
-    return tables.upsert(base, stats, "id")
+    return base, stats
 
 
-@query(
-    """WITH gone AS (SELECT id FROM chat_users WHERE id % 4 = 1),
-            closed AS (SELECT id FROM chat_sessions WHERE user_id IN (SELECT id FROM gone)),
-            seats AS (SELECT 2 * id + g AS id, id AS chat_session_id, user_id + g AS user_id
-                      FROM chat_sessions, (VALUES (0), (1)) t(g))
-       SELECT 'users' AS "table", id FROM chat_users WHERE id % 4 <> 1
-       UNION ALL SELECT 'chat_sessions', id FROM chat_sessions WHERE user_id NOT IN (SELECT id FROM gone)
-       UNION ALL SELECT 'messages', id FROM messages WHERE chat_session_id NOT IN (SELECT id FROM closed)
-       UNION ALL SELECT 'message_images', id FROM message_images WHERE message_id NOT IN (
-         SELECT id FROM messages WHERE chat_session_id IN (SELECT id FROM closed))
-       UNION ALL SELECT 'chat_participants', id FROM seats
-         WHERE chat_session_id NOT IN (SELECT id FROM closed) AND user_id NOT IN (SELECT id FROM gone)""",
-    "chat_users chat_sessions messages message_images",
-)
+CASCADED = """WITH gone AS (SELECT id FROM chat_users WHERE id % 4 = 1),
+        closed AS (SELECT id FROM chat_sessions WHERE user_id IN (SELECT id FROM gone)),
+        seats AS (SELECT 2 * id + g AS id, id AS chat_session_id, user_id + g AS user_id
+                  FROM chat_sessions, (VALUES (0), (1)) t(g))
+   SELECT 'users' AS "table", id FROM chat_users WHERE id % 4 <> 1
+   UNION ALL SELECT 'chat_sessions', id FROM chat_sessions WHERE user_id NOT IN (SELECT id FROM gone)
+   UNION ALL SELECT 'messages', id FROM messages WHERE chat_session_id NOT IN (SELECT id FROM closed)
+   UNION ALL SELECT 'message_images', id FROM message_images WHERE message_id NOT IN (
+     SELECT id FROM messages WHERE chat_session_id IN (SELECT id FROM closed))
+   UNION ALL SELECT 'chat_participants', id FROM seats
+     WHERE chat_session_id NOT IN (SELECT id FROM closed) AND user_id NOT IN (SELECT id FROM gone)"""
+
+
+@query(CASCADED, "chat_users chat_sessions messages message_images")
 def cascade_delete(spark, sf_dir):
     """A quarter of the users removed with all that hangs on them, their seats in others' sessions too."""
+    base, links = chat_links(spark, sf_dir)
+    gone = base["users"].where("id % 4 = 1")
+    kept = tables.cascade_delete(base, "users", gone, "id", links)
+    return quality.union_all(*[df.select(F.lit(name).alias("table"), "id") for name, df in kept.items()])
+
+
+def chat_links(spark: SparkSession, sf_dir: str) -> tuple[dict[str, DataFrame], dict[str, list]]:
+    """The keys of the chat tables, and the parents of each."""
     sessions = s.chat_sessions(spark, sf_dir)
     guest = F.explode(F.array(F.lit(0), F.lit(1))).alias("g")
     seats = sessions.select("id", "user_id", guest).select(
@@ -166,13 +182,11 @@ def cascade_delete(spark, sf_dir):
         "message_images": s.message_images(spark, sf_dir).select("id", "message_id"),
         "chat_participants": seats,
     }
-    gone = base["users"].where("id % 4 = 1")
     links: dict[str, list] = {}
     for link in FOREIGN_KEYS:
         if link.child in base:
             links.setdefault(link.child, []).append((link.parent, link.child_column))
-    kept = tables.cascade_delete(base, "users", gone, "id", links)
-    return quality.union_all(*[df.select(F.lit(name).alias("table"), "id") for name, df in kept.items()])
+    return base, links
 
 
 # -- streaming -----------------------------------------------------------------------------------

@@ -136,7 +136,7 @@ def cascade_delete(
     """
     gone = {root: deleted.select(key).distinct()}
     kept = {}
-    for name in _parents_first(root, children):
+    for name in parents_first(root, children):
         columns = tables[name].columns
         if name == root:
             kept[name] = tables[name].join(gone[root], key, "left_anti").select(*columns)
@@ -152,7 +152,7 @@ def cascade_delete(
     return {**tables, **kept}
 
 
-def _parents_first(root: str, children: Mapping[str, Sequence[tuple[str, str]]]) -> list[str]:
+def parents_first(root: str, children: Mapping[str, Sequence[tuple[str, str]]]) -> list[str]:
     """The root and what hangs on it, each table after all of its parents that hang on the root."""
     below = [root]
     for name in below:

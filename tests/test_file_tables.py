@@ -1,0 +1,129 @@
+"""Changes of tables by file."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from martspark.session import stage_path
+from martspark.sources import tables
+from martspark.sources.file_tables import FileTables, append_new, cascade_files, create_table, upsert_files
+
+
+def new_store(spark):
+    return FileTables(spark, stage_path(spark, "file tables"))
+
+
+def people(spark, start, end, files=8):
+    rows = spark.range(start, end, 1, files).select("id", F.concat(F.lit("n"), "id").alias("name"), F.lit(0).alias("age"))
+    return rows
+
+
+def state(df):
+    return sorted(map(tuple, df.collect()), key=str)
+
+
+def test_an_upsert_rewrites_only_the_files_with_changed_keys(spark):
+    store = create_table(new_store(spark), "people", people(spark, 0, 800))
+    before = store.files["people"]
+    assert len(before) == 8
+    updates = spark.createDataFrame([(5, None, 7), (5, "x", 6), (150, "y", None), (9000, "new", 1)], "id long, name string, age int")
+    base = store.read("people")
+    want = state(tables.upsert(base, updates, "id", ["age"]))
+    after = upsert_files(store, "people", updates, "id", ["age"])
+    assert state(after.read("people")) == want
+    kept = set(before) & set(after.files["people"])
+    assert len(kept) == 6 and {f for f in before if f not in kept} == {before[0], before[1]}
+    # The version before can still be read, and a new reader sees the new one.
+    assert store.read("people").count() == 800
+    assert FileTables(spark, store.path).files == after.files and after.version == store.version + 1
+
+
+def test_only_new_keys_leave_all_files_alone(spark):
+    store = create_table(new_store(spark), "people", people(spark, 0, 80))
+    after = upsert_files(store, "people", people(spark, 100, 103, 1), "id")
+    assert set(store.files["people"]) < set(after.files["people"]) and after.read("people").count() == 83
+
+
+def test_a_cascade_rewrites_only_files_with_doomed_rows(spark):
+    users = spark.range(0, 100, 1, 4).toDF("id")
+    chats = spark.range(0, 400, 1, 4).select("id", F.expr("id div 4").alias("user_id"))
+    seats = spark.range(0, 800, 1, 8).select("id", F.expr("id div 2").alias("chat_id"), F.expr("if(id % 50 = 7, 99, id div 8)").alias("user_id"))
+    other = spark.range(0, 10, 1, 1).toDF("id")
+    given = {"users": users, "chats": chats, "seats": seats, "other": other}
+    store = new_store(spark)
+    for name, df in given.items():
+        store = create_table(store, name, df)
+    links = {"chats": [("users", "user_id")], "seats": [("chats", "chat_id"), ("users", "user_id")]}
+    gone = spark.createDataFrame([(3,), (12,)], "id long")
+    want = tables.cascade_delete(given, "users", gone, "id", links)
+    after = cascade_files(store, "users", gone, "id", links)
+    for name in given:
+        assert state(after.read(name)) == state(want[name])
+    kept = {n: len(set(store.files[n]) & set(after.files[n])) for n in given}
+    assert kept == {"users": 3, "chats": 3, "seats": 6, "other": 1}
+    # All tables changed with one manifest.
+    assert after.version == store.version + 1
+    assert cascade_files(after, "users", gone, "id", links).version == after.version
+
+
+def test_a_row_goes_with_any_of_its_parents(spark):
+    store = new_store(spark)
+    for name, df in {
+        "users": spark.range(3).toDF("id"),
+        "chats": spark.range(3).select("id", F.col("id").alias("user_id")),
+        "seats": spark.createDataFrame([(0, 0, 2), (1, 1, 2), (2, 1, None), (3, None, None)], "id long, chat_id long, user_id long"),
+    }.items():
+        store = create_table(store, name, df)
+    links = {"chats": [("users", "user_id")], "seats": [("chats", "chat_id"), ("users", "user_id")]}
+    after = cascade_files(store, "users", spark.createDataFrame([(2,)], "id long"), "id", links)
+    assert [r[0] for r in state(after.read("seats").select("id"))] == [2, 3]
+
+
+def test_a_change_that_ends_early_has_not_happened(spark, monkeypatch):
+    store = create_table(new_store(spark), "people", people(spark, 0, 80))
+    monkeypatch.setattr(FileTables, "commit", lambda *_: (_ for _ in ()).throw(RuntimeError("lost")))
+    with pytest.raises(RuntimeError):
+        upsert_files(store, "people", people(spark, 0, 5).withColumn("age", F.lit(9)), "id")
+    monkeypatch.undo()
+    again = FileTables(spark, store.path)
+    assert again.files == store.files and again.read("people").where("age = 9").isEmpty()
+
+
+def test_two_changes_of_one_version_do_not_both_count(spark):
+    store = create_table(new_store(spark), "people", people(spark, 0, 8))
+    upsert_files(store, "people", people(spark, 0, 1), "id")
+    with pytest.raises(Exception):
+        upsert_files(store, "people", people(spark, 1, 2), "id")
+
+
+@pytest.mark.parametrize("asked", [1000, 2])
+def test_an_append_adds_what_is_not_there(spark, asked, monkeypatch):
+    monkeypatch.setattr("martspark.sources.file_tables.ASKED", asked)
+    rows = people(spark, 0, 40).withColumn("uuid", F.sha2("name", 256))
+    store = append_new(new_store(spark), "people", rows, "uuid")
+    same = append_new(store, "people", rows, "uuid")
+    assert same.version == store.version
+    more = people(spark, 30, 50).withColumn("uuid", F.sha2("name", 256))
+    after = append_new(same, "people", more.unionByName(more), "uuid")
+    assert after.read("people").count() == 50 and set(store.files["people"]) < set(after.files["people"])
+
+
+def test_emptied_and_empty_tables(spark):
+    store = create_table(new_store(spark), "people", people(spark, 0, 3, 1))
+    gone = cascade_files(store, "people", spark.range(3), "id", {})
+    assert gone.read("people").count() == 0
+    assert upsert_files(gone, "people", people(spark, 7, 8, 1), "id").read("people").count() == 1
+    none = create_table(new_store(spark), "people", people(spark, 0, 0, 1))
+    assert append_new(none, "people", people(spark, 0, 2, 1), "id").read("people").count() == 2
+
+
+def test_files_carry_key_filters(spark):
+    """A key that lies between the least and the greatest is ruled out by the filter: no row is read for it."""
+    rows = spark.range(0, 20_000, 1, 1).select(F.sha2(F.col("id").cast("string"), 256).alias("uuid"))
+    store = create_table(new_store(spark), "m", rows, "uuid")
+    read = []
+    for key in ("8" + "0" * 63, rows.first()["uuid"]):
+        df = store.read("m").where(F.col("uuid") == key)
+        found = len(df.collect())
+        scan = df._jdf.queryExecution().executedPlan().collectLeaves().apply(0)
+        read.append((found, scan.metrics().apply("numOutputRows").value() > 0))
+    assert read == [(0, False), (1, True)]
