@@ -1,5 +1,6 @@
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from martspark.operators.chat import session_stats
@@ -81,3 +82,99 @@ def test_changes_weeks_late_count(spark):
         spark.createDataFrame(rows, CHANGES).write.mode("append").parquet(source)
         state = run(spark, source, folder, checkpoint)
     assert state == {1: (1, new), 2: (2, new)}
+
+
+def log_of(spark, batches):
+    folder = stage_path(spark, "log")
+    for b, rows in batches.items():
+        spark.createDataFrame(rows, "k long, n long").write.parquet(f"{folder}/batch={b}")
+    return folder
+
+
+def now(spark, folder):
+    return sorted(map(tuple, live.current_state(spark, folder, "k").collect()))
+
+
+def test_compaction_changes_no_state_and_bounds_the_folders(spark):
+    folder = stage_path(spark, "log")
+    want = {}
+    for b in range(14):
+        rows = [(b % 3, b), (100 + b, b)]
+        want.update(rows)
+        spark.createDataFrame(rows, "k long, n long").write.parquet(f"{folder}/batch={b}")
+        if b % 4 == 3:
+            before = live.current_state(spark, folder, "k")
+            assert live.compact(spark, folder, "k") == b - 1
+            # A reader that began before still finds its files.
+            assert sorted(map(tuple, before.collect())) == sorted(want.items())
+        assert now(spark, folder) == sorted(want.items())
+    # Those since the last compaction, its own newest, and those that only the last one covered.
+    assert live._batches(spark, folder) == list(range(7, 14))
+    assert live.compact(spark, folder, "k") == 12
+    assert live._batches(spark, folder) == [11, 12, 13] and now(spark, folder) == sorted(want.items())
+    place, system = live._path(spark, f"{folder}.snapshots")
+    assert len(system.listStatus(place)) == 2
+    # Nothing new to cover; what is left of the former goes.
+    assert live.compact(spark, folder, "k") == 12 and now(spark, folder) == sorted(want.items())
+
+
+def test_a_compaction_that_ends_early(spark, monkeypatch):
+    folder = log_of(spark, {b: [(1, b), (b, b)] for b in range(2, 7)})
+    state = now(spark, folder)
+    real = live._newest
+
+    class Lost(RuntimeError):
+        pass
+
+    def fails(*args):
+        real(*args).write.parquet(stage_path(spark, "lost"))
+        raise Lost
+
+    monkeypatch.setattr(live, "_newest", fails)
+    with pytest.raises(Lost):
+        live.compact(spark, folder, "k")
+    monkeypatch.undo()
+    assert now(spark, folder) == state and live._batches(spark, folder) == [2, 3, 4, 5, 6]
+    # Ends between manifest and removal.
+    monkeypatch.setattr(live, "_batches", lambda *_: [2, 3, 4, 5, 6])
+    live.compact(spark, folder, "k")
+    monkeypatch.undo()
+    assert now(spark, folder) == state
+    spark.createDataFrame([(1, 70)], "k long, n long").write.parquet(f"{folder}/batch=7")
+    live.compact(spark, folder, "k")
+    assert live._batches(spark, folder) == [6, 7] and now(spark, folder) == sorted([*[r for r in state if r[0] != 1], (1, 70)])
+
+
+def test_the_newest_batch_may_run_again_after_a_compaction(spark):
+    folder = log_of(spark, {0: [(1, 0)], 1: [(2, 1)], 2: [(1, 2)]})
+    assert live.compact(spark, folder, "k") == 1
+    spark.createDataFrame([(1, 2)], "k long, n long").write.mode("overwrite").parquet(f"{folder}/batch=2")
+    assert now(spark, folder) == [(1, 2), (2, 1)]
+
+
+def test_compaction_while_a_stream_stops_and_starts(spark):
+    """Batches of one file each, compacted after every second, over two runs: the same as the batch result."""
+    source, folder, checkpoint = (stage_path(spark, n) for n in ("changes", "state", "checkpoint"))
+
+    def arrive(first, last):
+        rows = [(f"u{i}", i % 4, at(i), "insert") for i in range(first, last)]
+        spark.createDataFrame(rows, CHANGES).repartition(5).write.mode("append").parquet(source)
+
+    def follow():
+        changes = spark.readStream.schema(CHANGES).option("maxFilesPerTrigger", 1).parquet(source)
+        live.write_updates(
+            live.stream_session_stats(changes), folder, checkpoint, key="chat_session_id", compact_every=2
+        ).awaitTermination()
+        state = live.current_state(spark, folder, "chat_session_id").collect()
+        return {r["chat_session_id"]: r["message_count"] for r in state}
+
+    arrive(0, 40)
+    assert follow() == {k: 10 for k in range(4)}
+    arrive(40, 100)
+    assert follow() == {k: 25 for k in range(4)}
+    assert len(live._batches(spark, folder)) <= 5
+
+
+def test_compaction_needs_a_key(spark):
+    with pytest.raises(ValueError):
+        live.write_updates(spark.readStream.format("rate").load(), "a", "b", compact_every=3)
