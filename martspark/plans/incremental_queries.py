@@ -10,9 +10,9 @@ from martspark.plans import daily_mart
 from martspark.plans import samples as s
 from martspark.plans.mart_queries import _frozen, _WRITTEN
 from martspark.plans.registry import query, rounded
-from martspark.plans.table_queries import APPENDED, CASCADED, UPSERTED, chat_links, session_changes
+from martspark.plans.table_queries import APPENDED, CASCADED, UPSERTED, chat_links, fact_lines, session_changes
 from martspark.session import stage, stage_path
-from martspark.sources import rollups
+from martspark.sources import part_loads, rollups
 from martspark.sources.file_tables import FileTables, append_new, cascade_files, create_table, upsert_files
 
 
@@ -61,6 +61,32 @@ def incremental_activity(spark, sf_dir):
     return rollups.read_rollup(spark, _store_of_loads(spark, sf_dir), "activity")
 
 
+@query(
+    """SELECT event_id AS trans_id, CASE WHEN event_id % 50 <> 7 THEN CAST(user_id AS INTEGER) END AS user_id,
+              CASE WHEN event_type <> 'error' AND event_id % 50 <> 7 THEN date_trunc('second', ts) END AS trans_timestamp,
+              CASE WHEN event_id % 50 <> 7 THEN value END AS trans_amount,
+              CASE WHEN event_id % 50 = 7 THEN 'does not fit the columns' END AS reason
+       FROM events"""
+)
+def load_parts(spark, sf_dir):
+    """Part files that arrive in two runs, some lines twice, others with a text for the user: loaded and kept aside."""
+    out, table, bad, seen = (stage_path(spark, n) for n in ("parts", "loaded", "quarantine", "seen"))
+    lines = fact_lines(spark, sf_dir)
+    user = F.when(F.col("trans_id") % 50 == 7, F.concat(F.lit("user "), "user_id")).otherwise(F.col("user_id").cast("string"))
+    lines = lines.withColumn("user_id", user)
+    # The second run delivers a sixth of the first again, but no line that does not fit.
+    runs = F.col("trans_id") % 2 == 0, (F.col("trans_id") % 2 == 1) | ((F.col("trans_id") % 12 == 0) & (F.col("trans_id") % 50 != 7))
+    for number, arrived in enumerate(runs):
+        lines.where(arrived).write.option("header", True).csv(f"{out}/run{number}")
+        part_loads.load_parts(spark, out, table, bad, seen)
+    columns = ["trans_id", "user_id", "trans_timestamp", "trans_amount"]
+    good = part_loads.read_loaded(spark, table).select(*columns, F.lit(None).cast("string").alias("reason"))
+    aside = part_loads.read_quarantine(spark, bad).select(
+        F.split("text", ",")[0].cast("long").alias("trans_id"), "reason"
+    )
+    return good.unionByName(aside, allowMissingColumns=True)
+
+
 # -- changes by file -----------------------------------------------------------------------------
 
 

@@ -24,20 +24,25 @@ from martspark.streaming import sessions as live
        FROM events"""
 )
 def read_fact_parts(spark, sf_dir):
-    """Events written as CSV part files and loaded back; errors carry a text that is no time."""
+    """Events written as CSV part files and loaded back."""
+    out = stage_path(spark, "fact-parts")
+    fact_lines(spark, sf_dir).write.option("header", True).csv(out)
+    return files.read_fact_parts(spark, f"{out}/part-*.csv")
+
+
+def fact_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as the lines of part files; errors carry a text that is no time."""
     stamp = F.when(F.col("event_type") == "error", F.lit("not a time")).otherwise(
         F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
     )
-    out = stage_path(spark, "fact-parts")
-    s.table(spark, sf_dir, "events").select(
+    return s.table(spark, sf_dir, "events").select(
         F.col("event_id").alias("trans_id"),
         "user_id",
         (F.col("user_id") % 3).alias("card_id"),
         stamp.alias("trans_timestamp"),
         F.col("value").alias("trans_amount"),
         F.col("event_type").alias("trans_service"),
-    ).write.option("header", True).csv(out)
-    return files.read_fact_parts(spark, f"{out}/part-*.csv")
+    )
 
 
 @query("SELECT CAST(n_nationkey AS BIGINT) AS mcc, n_name AS description FROM nation")
@@ -192,10 +197,10 @@ def chat_links(spark: SparkSession, sf_dir: str) -> tuple[dict[str, DataFrame],
 # -- streaming -----------------------------------------------------------------------------------
 
 
-def _run_stream(updates: DataFrame, key: str, name: str) -> DataFrame:
+def _run_stream(updates: DataFrame, key: str, name: str, **how) -> DataFrame:
     spark = updates.sparkSession
     folder, checkpoint = stage_path(spark, name), stage_path(spark, f"{name}-checkpoint")
-    live.write_updates(updates, folder, checkpoint).awaitTermination()
+    live.write_updates(updates, folder, checkpoint, key=key, **how).awaitTermination()
     return live.current_state(spark, folder, key)
 
 
@@ -207,25 +212,39 @@ def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder)
 
 
-@query(
-    """SELECT chat_session_id, CAST(sum(CASE WHEN sender_type = 'system' THEN 0 ELSE 1 END) AS BIGINT) AS message_count,
-              max(created_at) AS last_message_at FROM messages GROUP BY 1""",
-    "messages",
-)
-def stream_session_stats(spark, sf_dir):
+STREAMED = """SELECT chat_session_id, CAST(sum(CASE WHEN sender_type = 'system' THEN 0 ELSE 1 END) AS BIGINT) AS message_count,
+          max(created_at) AS last_message_at FROM messages GROUP BY 1"""
+
+
+def _message_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every message arrives as an insert, twice; system messages are deleted again."""
     number = F.col("conv_id") * 1000 + F.col("turn")
     offset = F.make_dt_interval(secs=F.col("conv_id") * 60 + F.floor(F.col("turn") / 2))
     ops = F.when(F.col("role") == "system", F.array(F.lit("insert"), F.lit("insert"), F.lit("delete"))).otherwise(
         F.array(F.lit("insert"), F.lit("insert"))
     )
-    changes = _stream(spark, sf_dir, "conversations").select(
+    return _stream(spark, sf_dir, "conversations").select(
         F.concat(F.lit("m-"), number.cast("string")).alias("uuid"),
         F.col("conv_id").alias("chat_session_id"),
         (F.lit("2024-01-01").cast("timestamp_ntz") + offset).alias("created_at"),
         F.explode(ops).alias("op"),
     )
-    state = _run_stream(live.stream_session_stats(changes), "chat_session_id", "session-stats")
+
+
+@query(STREAMED, "messages")
+def stream_session_stats(spark, sf_dir):
+    return _session_stats(spark, sf_dir)
+
+
+@query(STREAMED, "messages")
+def compacted_session_stats(spark, sf_dir):
+    """The same from a log that is compacted after every batch."""
+    return _session_stats(spark, sf_dir, compact_every=1)
+
+
+def _session_stats(spark: SparkSession, sf_dir: str, **how) -> DataFrame:
+    updates = live.stream_session_stats(_message_changes(spark, sf_dir))
+    state = _run_stream(updates, "chat_session_id", "session-stats", **how)
     return state.withColumn("last_message_at", F.col("last_message_at").cast("timestamp_ntz"))
 
 
