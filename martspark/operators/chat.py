@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -80,9 +82,63 @@ def list_sessions(sessions: DataFrame, user_id: int | None = None, limit: int =
     return page.where(F.col("_place") > offset).drop("_place")
 
 
-def chat_list(sessions: DataFrame, user_id: int | None = None, limit: int = 50, offset: int = 0) -> DataFrame:
-    """The page shown to a user, with the total of their active sessions on each row."""
-    page = list_sessions(sessions, user_id, limit, offset)
+CURSOR = ("last_message_at", "created_at", "id")
+
+
+def _after(row: Sequence[Column], cursor: Sequence[Column]) -> Column:
+    """Whether a session comes behind the cursor: by the two times, latest first and NULL last, then by id."""
+    last, created, key = zip(row, cursor)
+
+    def later(value: Column, at: Column) -> Column:
+        return at.isNotNull() & (value.isNull() | (value < at))
+
+    behind = (last[0].eqNullSafe(last[1])) & (
+        later(*created) | (created[0].eqNullSafe(created[1]) & (key[0] > key[1]))
+    )
+    return F.coalesce(later(*last) | behind, F.lit(False))
+
+
+def sessions_after(
+    sessions: DataFrame, cursor: DataFrame | Sequence | None = None, user_id: int | None = None, limit: int = 50
+) -> DataFrame:
+    """The page of sessions behind a cursor, latest first: of one user, or one page for each user.
+
+    The cursor is the (last_message_at, created_at, id) of the last session seen; without it the list begins. For each user
+    it is a frame (user_id, last_message_at, created_at, id); a user without a row begins, and `page_cursors` gives the
+    next one; their pages have the `_place` in the page. A page costs one filter and the first `limit` sessions of each task, however far down the list it is, and
+    sessions that are added meanwhile do not shift it.
+    """
+    live = active_for_user(sessions, user_id)
+    order = [F.desc_nulls_last("last_message_at"), F.desc_nulls_last("created_at"), F.col("id")]
+    own = [F.col(c) for c in CURSOR]
+    if user_id is not None:
+        if cursor is not None:
+            kinds = [sessions.schema[c].dataType for c in CURSOR]
+            live = live.where(_after(own, [F.lit(v).cast(k) for v, k in zip(cursor, kinds)]))
+        return live.orderBy(*order).limit(limit)
+    if cursor is not None:
+        seen = [F.col(f"_seen_{c}") for c in CURSOR]
+        marks = cursor.select("user_id", *[F.col(c).alias(f"_seen_{c}") for c in CURSOR])
+        met = salted_join(live, marks, ["user_id"], "left")
+        live = met.where(F.col("_seen_id").isNull() | _after(own, seen)).select(*sessions.columns)
+    return first_n_per_group(live, ["user_id"], order, limit)
+
+
+def page_cursors(page: DataFrame) -> DataFrame:
+    """(user_id, last_message_at, created_at, id): the last session of each user's page."""
+    last = F.max_by(F.struct(*CURSOR), "_place").alias("last")
+    return page.groupBy("user_id").agg(last).select("user_id", "last.*")
+
+
+def chat_list(
+    sessions: DataFrame, user_id: int | None = None, limit: int = 50, offset: int = 0,
+    cursor: DataFrame | Sequence | None = None,
+) -> DataFrame:
+    """The page shown to a user, with the total of their active sessions on each row; behind a cursor, if one is given."""
+    if cursor is not None:
+        page = sessions_after(sessions, cursor, user_id, limit)
+    else:
+        page = list_sessions(sessions, user_id, limit, offset)
     rows = page.select(
         "user_id",
         F.col("uuid").alias("id"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import threading
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -11,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from martspark.session import stage
+
 PREVIEW_ROWS = 10
 
 
@@ -87,6 +91,42 @@ def run_readonly_sql(spark: SparkSession, sql: str, cap: int | None = None) -> Q
     return QueryResult(True, sql, frame, tuple(frame.columns))
 
 
+def run_within(spark: SparkSession, sql: str, seconds: float, cap: int | None = None) -> QueryResult:
+    """The answer of `run_readonly_sql`, worked out within a time; a question that takes longer or fails is a failed result.
+
+    The answer is written to the shared folder, so reading it takes no more of the question's work. Its jobs carry a tag of
+    their own and are interrupted by it when the time is over, until none is left; other jobs of the session go on.
+    """
+    answer = run_readonly_sql(spark, sql, cap)
+    if not answer.success:
+        return answer
+    # Tags of the context, which any thread may ask to end; those of a session are known to its thread alone.
+    context, tag = spark.sparkContext, f"question-{uuid.uuid4().hex}"
+    ended, late = threading.Event(), threading.Event()
+
+    def watch() -> None:
+        # Asked again and again, as one job of the question may follow another.
+        pause = seconds
+        while not ended.wait(pause):
+            late.set()
+            context.cancelJobsWithTag(tag)
+            pause = 0.2
+
+    watcher = threading.Thread(target=watch, daemon=True)
+    context.addJobTag(tag)
+    try:
+        watcher.start()
+        frame = stage(answer.frame, "answer")
+        return QueryResult(True, sql, frame, answer.columns)
+    except Exception as e:  # noqa: BLE001, whatever the question runs into is its answer
+        if late.is_set():
+            return QueryResult(False, sql, columns=answer.columns, error=f"no answer within {seconds:g} s")
+        return QueryResult(False, sql, columns=answer.columns, error=str(e).split("\n")[0])
+    finally:
+        ended.set()
+        context.removeJobTag(tag)
+
+
 def result_lines(df: DataFrame, database: str, query: str, order: list[str] | None = None, n: int = 5) -> DataFrame:
     """Numbered lines describing a query result: its size, n sample rows and number summaries.
 

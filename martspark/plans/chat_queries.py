@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from martspark.functions import scalars, text
-from martspark.operators import chat, scale
+from martspark.operators import chat, quality, scale
 from martspark.operators import chat_writes as writes
 from martspark.plans import samples as s
 from martspark.plans.registry import query
+from martspark.session import stage
 
 
 # -- chat ----------------------------------------------------------------------------------------
@@ -63,6 +64,24 @@ def chat_list(spark, sf_dir):
     return chat.chat_list(s.chat_sessions(spark, sf_dir), limit=5, offset=2)
 
 
+@query(
+    """SELECT id, user_id, (place - 1) // 4 AS page FROM (
+         SELECT id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY last_message_at DESC NULLS LAST, created_at DESC, id) AS place
+         FROM chat_sessions WHERE is_active)""",
+    "chat_sessions",
+)
+def pages_by_cursor(spark, sf_dir):
+    """All sessions of all users, four at a time, each page behind the last row of the one before."""
+    sessions = s.chat_sessions(spark, sf_dir)
+    cursor, pages = None, []
+    while True:
+        page = stage(chat.sessions_after(sessions, cursor, limit=4), "page")
+        if page.isEmpty():
+            return quality.union_all(*pages)
+        pages.append(page.select("id", "user_id", F.lit(len(pages)).cast("long").alias("page")))
+        cursor = chat.page_cursors(page)
+
+
 @query(
     """SELECT doc_id, CASE WHEN length("text") > 50 THEN substring("text", 1, 50) || '...'
                            WHEN coalesce("text", '') = '' THEN 'New Chat' ELSE "text" END AS title

@@ -297,3 +297,20 @@ def answers_context(spark, sf_dir):
     good = results.QueryResult(True, "orders by priority", counts, tuple(counts.columns))
     bad = results.QueryResult(False, "DROP TABLE orders", error="not a query")
     return results.answers_context(spark, [("sales", good), ("mart", bad)])
+
+
+@query(
+    f"""SELECT replace(context, 'orders by priority', 'SELECT o_orderpriority, count(*) AS n FROM asked_orders GROUP BY 1 ORDER BY 1')
+               || chr(10) || chr(10) || 'Database: mart' || chr(10)
+               || 'Query: SELECT if(o_orderkey > 0, raise_error(''closed''), 1) AS n FROM asked_orders' || chr(10)
+               || 'Query failed: [USER_RAISED_EXCEPTION] closed SQLSTATE: P0001' || chr(10) AS context
+        FROM ({ORACLES["result_context"]})"""
+)
+def answers_within(spark, sf_dir):
+    """Two questions with a time limit, one of which fails while it runs."""
+    tables.publish_view(s.table(spark, sf_dir, "orders"), "asked_orders")
+    asked = (
+        ("sales", "SELECT o_orderpriority, count(*) AS n FROM asked_orders GROUP BY 1 ORDER BY 1"),
+        ("mart", "SELECT if(o_orderkey > 0, raise_error('closed'), 1) AS n FROM asked_orders"),
+    )
+    return results.answers_context(spark, [(name, results.run_within(spark, sql, 600)) for name, sql in asked])

@@ -188,3 +188,46 @@ def test_routing(spark, question, kind, data):
 def test_title(spark, first, title):
     df = spark.createDataFrame([(first,)], "t string")
     assert df.select(chat.session_title("t").alias("title")).first()["title"] == title
+
+
+def pages_of(sessions, user, limit):
+    cursor, seen = None, []
+    while rows := chat.sessions_after(sessions, cursor, user_id=user, limit=limit).collect():
+        seen += [r["id"] for r in rows]
+        cursor = [rows[-1][c] for c in chat.CURSOR]
+    return seen
+
+
+def test_pages_behind_a_cursor_walk_the_whole_list(spark):
+    """Ties in both times and NULL times, for one user and for all of them at once."""
+    times = [None, dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 2)]
+    rows = [(i, i % 2, i % 11 != 3, times[i % 3], times[i // 3 % 3], f"u{i}", None, 0) for i in range(60)]
+    schema = "id long, user_id long, is_active boolean, last_message_at timestamp_ntz, created_at timestamp_ntz, uuid string, title string, message_count int"
+    sessions = spark.createDataFrame(rows, schema)
+    whole = {u: [r["id"] for r in chat.list_sessions(sessions, u, limit=100).collect()] for u in (0, 1)}
+    assert all(pages_of(sessions, u, 7) == whole[u] for u in whole)
+
+    cursor, seen = None, {0: [], 1: []}
+    while True:
+        page = chat.sessions_after(sessions, cursor, limit=4).persist()
+        found = sorted(page.collect(), key=lambda r: r["_place"])
+        if not found:
+            break
+        for r in found:
+            seen[r["user_id"]].append(r["id"])
+        cursor = chat.page_cursors(page)
+        # A session that comes in front of the cursor later does not shift the pages behind it.
+        sessions = sessions.unionByName(spark.createDataFrame([(1000 + len(seen[0]), 0, True, dt.datetime(2025, 1, 1), None, "", None, 0)], schema))
+    assert seen == whole
+    behind = rows[whole[1][-4]]
+    shown = chat.chat_list(sessions, 1, limit=3, cursor=[behind[3], behind[4], behind[0]]).collect()
+    assert sorted(r["id"] for r in shown) == sorted(f"u{i}" for i in whole[1][-3:]) and {r["total"] for r in shown} == {len(whole[1])}
+
+
+def test_a_page_sorts_only_its_own_length(spark):
+    sessions = spark.createDataFrame(
+        [(i, 1, True, None, None) for i in range(5)], "id long, user_id long, is_active boolean, last_message_at timestamp, created_at timestamp"
+    )
+    plan = chat.sessions_after(sessions, [None, None, 2], user_id=1, limit=2)._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject(limit=2" in plan
+    assert [r["id"] for r in chat.sessions_after(sessions, [None, None, 2], user_id=1, limit=2).collect()] == [3, 4]

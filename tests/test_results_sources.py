@@ -260,3 +260,35 @@ def test_schema_description(spark):
     assert catalog.catalog_columns(spark, "default").where(F.col("table") == "dim_card").count() == 2
     assert catalog.fallback_query(["a", "b"]) == "SELECT * FROM a LIMIT 10"
     assert catalog.fallback_query([]) == "SELECT 1 AS status"
+
+
+SLOW = "SELECT count(*) AS n FROM range(300000) a, range(300000) b WHERE a.id + b.id > -1"
+
+
+def test_a_slow_question_ends_in_time_and_the_next_one_runs(spark):
+    import time
+
+    results.run_within(spark, "SELECT 1 AS a", 60)
+    start = time.monotonic()
+    slow = results.run_within(spark, SLOW, 2)
+    assert time.monotonic() - start < 15
+    assert not slow.success and slow.error == "no answer within 2 s"
+    after = results.run_within(spark, "SELECT id FROM range(7)", 60)
+    assert after.success and after.columns == ("id",) and after.frame.count() == 7
+    text = results.answers_context(spark, [("a", slow), ("b", after)]).first()["context"]
+    assert "Query failed: no answer within 2 s" in text and "Results: 7 rows returned" in text
+
+
+def test_other_jobs_go_on_while_a_question_is_interrupted(spark):
+    from concurrent.futures import ThreadPoolExecutor
+
+    with ThreadPoolExecutor(1) as pool:
+        other = pool.submit(lambda: spark.range(0, 4_000_000, 1, 60).selectExpr("sum(length(sha2(string(id), 512)))").first()[0])
+        assert not results.run_within(spark, SLOW, 1).success
+        assert other.result() == 4_000_000 * 128
+
+
+def test_a_question_that_fails_in_time(spark):
+    for sql, part in (("SELECT raise_error('no') FROM range(3)", "no"), ("DELETE FROM x", "")):
+        answer = results.run_within(spark, sql, 60)
+        assert not answer.success and part in answer.error and "\n\tat " not in answer.error
