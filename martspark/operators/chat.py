@@ -124,10 +124,15 @@ def sessions_after(
     return first_n_per_group(live, ["user_id"], order, limit)
 
 
-def page_cursors(page: DataFrame) -> DataFrame:
-    """(user_id, last_message_at, created_at, id): the last session of each user's page."""
+def page_cursors(page: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """(user_id, last_message_at, created_at, id): the last session of each user's page.
+
+    A user whose list has ended has no page and keeps the cursor `before`, or would begin again. Stage pages and cursors
+    on a walk over many pages, since each is made from the one before.
+    """
     last = F.max_by(F.struct(*CURSOR), "_place").alias("last")
-    return page.groupBy("user_id").agg(last).select("user_id", "last.*")
+    found = page.groupBy("user_id").agg(last).select("user_id", "last.*")
+    return found if before is None else found.unionByName(before.join(found, "user_id", "left_anti"))
 
 
 def chat_list(

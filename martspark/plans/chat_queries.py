@@ -79,7 +79,7 @@ def pages_by_cursor(spark, sf_dir):
         if page.isEmpty():
             return quality.union_all(*pages)
         pages.append(page.select("id", "user_id", F.lit(len(pages)).cast("long").alias("page")))
-        cursor = chat.page_cursors(page)
+        cursor = stage(chat.page_cursors(page, cursor), "cursors")
 
 
 @query(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from martspark.functions.text import number_item
 from martspark.operators import chat
+from martspark.session import stage
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -201,7 +202,7 @@ def pages_of(sessions, user, limit):
 def test_pages_behind_a_cursor_walk_the_whole_list(spark):
     """Ties in both times and NULL times, for one user and for all of them at once."""
     times = [None, dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 2)]
-    rows = [(i, i % 2, i % 11 != 3, times[i % 3], times[i // 3 % 3], f"u{i}", None, 0) for i in range(60)]
+    rows = [(i, min(i % 3, 1), i % 11 != 3, times[i % 3], times[i // 3 % 3], f"u{i}", None, 0) for i in range(60)]
     schema = "id long, user_id long, is_active boolean, last_message_at timestamp_ntz, created_at timestamp_ntz, uuid string, title string, message_count int"
     sessions = spark.createDataFrame(rows, schema)
     whole = {u: [r["id"] for r in chat.list_sessions(sessions, u, limit=100).collect()] for u in (0, 1)}
@@ -209,15 +210,16 @@ def test_pages_behind_a_cursor_walk_the_whole_list(spark):
 
     cursor, seen = None, {0: [], 1: []}
     while True:
-        page = chat.sessions_after(sessions, cursor, limit=4).persist()
+        page = stage(chat.sessions_after(sessions, cursor, limit=4), "page")
         found = sorted(page.collect(), key=lambda r: r["_place"])
         if not found:
             break
         for r in found:
             seen[r["user_id"]].append(r["id"])
-        cursor = chat.page_cursors(page)
+        cursor = stage(chat.page_cursors(page, cursor), "cursors")
         # A session that comes in front of the cursor later does not shift the pages behind it.
-        sessions = sessions.unionByName(spark.createDataFrame([(1000 + len(seen[0]), 0, True, dt.datetime(2025, 1, 1), None, "", None, 0)], schema))
+        newer = [(1000 + len(seen[0]), 0, True, dt.datetime(2025, 1, 1), None, "", None, 0)]
+        sessions = stage(sessions.unionByName(spark.createDataFrame(newer, schema)), "sessions")
     assert seen == whole
     behind = rows[whole[1][-4]]
     shown = chat.chat_list(sessions, 1, limit=3, cursor=[behind[3], behind[4], behind[0]]).collect()
