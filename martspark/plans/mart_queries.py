@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from martspark.operators import charts, features, marts, quality, segment
 from martspark.plans import daily_mart
 from martspark.plans import samples as s
 from martspark.plans.registry import clustered, order_features, query, rounded, services
-from martspark.session import stage_path
+from martspark.session import stage, stage_path
 
 
 # -- features and segments -----------------------------------------------------------------------
@@ -132,16 +132,22 @@ def segment_customers(spark, sf_dir):
     """What must hold of the segments: all users, three clusters named best first, and no more spread within
     them than the clusters of the frozen model have."""
     scored = features.standardize(features.staged_features(s.fact_trans(spark, sf_dir)))
-    found = scored.join(segment.segment_customers(scored, staged=True), "user_id", "left")
     z = [f"z_{c}" for c in features.FEATURES]
-    frozen = segment.assign_cluster(scored, s.FROZEN_MODEL, z)
-
-    def spread(df: DataFrame):
-        parts = df.groupBy("cluster").agg(*[(F.var_pop(c) * F.count(F.lit(1))).alias(c) for c in z])
-        return parts.agg(F.sum(sum((F.col(c) for c in z), F.lit(0.0)))).scalar()
-
-    score = F.avg(F.col("z_frequency") + F.col("z_monetary") - F.col("z_recency"))
-    by_name = found.groupBy("cluster").agg(score.alias("score"), F.count(F.lit(1)).alias("n"))
+    frozen = segment.assign_cluster(scored, s.FROZEN_MODEL, z).withColumnRenamed("cluster", "frozen")
+    found = frozen.join(segment.segment_customers(scored, staged=True), "user_id", "left")
+    # One pass over the users: both models' numbers follow from the few cells that they make together.
+    sums = [F.sum(c).alias(f"sum_{c}") for c in z] + [F.sum(F.col(c) * F.col(c)).alias(f"square_{c}") for c in z]
+    cells = stage(found.groupBy("cluster", "frozen").agg(F.count(F.lit(1)).alias("n"), *sums), "cells")
+
+    def spread(name: str):
+        parts = cells.groupBy(name).agg(
+            F.sum("n").alias("n"), *[F.sum(f"{kind}_{c}").alias(f"{kind}_{c}") for kind in ("sum", "square") for c in z]
+        )
+        within = sum((F.col(f"square_{c}") - F.col(f"sum_{c}") * F.col(f"sum_{c}") / F.col("n") for c in z), F.lit(0.0))
+        return parts.agg(F.sum(within)).scalar()
+
+    total = F.sum(F.col("sum_z_frequency") + F.col("sum_z_monetary") - F.col("sum_z_recency"))
+    by_name = cells.groupBy("cluster").agg((total / F.sum("n")).alias("score"), F.sum("n").alias("n"))
     ranked = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "cluster")))
     names = F.transform(ranked, lambda x: x["cluster"])
     return by_name.agg(
@@ -149,7 +155,7 @@ def segment_customers(spark, sf_dir):
         F.count_distinct("cluster").alias("clusters"),
         F.sum(F.when(F.col("cluster").isNull(), F.col("n")).otherwise(0)).alias("without"),
         (names == F.array(*map(F.lit, segment.CLUSTER_NAMES))).alias("best_first"),
-    ).withColumn("tight", spread(found) <= spread(frozen))
+    ).withColumn("tight", spread("cluster") <= spread("frozen"))
 
 
 @query(
@@ -168,19 +174,26 @@ def segment_coverage(spark, sf_dir):
 
 
 @query(
-    """WITH c AS (SELECT label AS cluster_id, avg(embedding[1]) AS f, avg(embedding[2]) AS m, avg(embedding[3]) AS r
-                  FROM embeddings GROUP BY label)
-       SELECT cluster_id, CASE row_number() OVER (ORDER BY f + m - r DESC, cluster_id)
-                WHEN 1 THEN 'Top Users' WHEN 2 THEN 'Loyal Users' WHEN 3 THEN 'At-Risk Users'
-                ELSE 'Cluster ' || row_number() OVER (ORDER BY f + m - r DESC, cluster_id) END AS cluster
-       FROM c"""
+    """WITH c AS (SELECT user_id % 5 AS cluster_id, cluster AS was, avg(z_frequency) AS f, avg(z_monetary) AS m, avg(z_recency) AS r
+                  FROM standard JOIN clusters USING (user_id) GROUP BY 1, 2),
+            n AS (SELECT *, row_number() OVER (ORDER BY was, cluster_id) AS id FROM c),
+            k AS (SELECT *, row_number() OVER (ORDER BY f + m - r DESC, id) AS place FROM n)
+       SELECT id AS cluster_id, was, CASE place WHEN 1 THEN 'Top Users' WHEN 2 THEN 'Loyal Users' WHEN 3 THEN 'At-Risk Users'
+              ELSE 'Cluster ' || place END AS cluster
+       FROM k""",
+    "standard clusters",
 )
 def name_clusters(spark, sf_dir):
-    vectors = s.table(spark, sf_dir, "embeddings")
-    centroids = vectors.groupBy(F.col("label").alias("cluster_id")).agg(
-        *[F.avg(F.col("embedding")[i]).alias(f"z_{c}") for i, c in enumerate(features.FEATURES)]
+    """The centroids of the frozen model's clusters, each in five parts by user, named anew."""
+    z = [f"z_{c}" for c in features.FEATURES]
+    scored = features.standardize(features.staged_features(s.fact_trans(spark, sf_dir)))
+    frozen = segment.assign_cluster(scored, s.FROZEN_MODEL, z)
+    parts = frozen.groupBy(F.col("cluster").alias("was"), (F.col("user_id") % 5).alias("part")).agg(
+        *[F.avg(c).alias(c) for c in z]
     )
-    return segment.name_clusters(centroids).select("cluster_id", "cluster")
+    # At most 15 rows.
+    numbered = parts.withColumn("cluster_id", F.row_number().over(Window.orderBy("was", "part")).cast("long"))
+    return segment.name_clusters(stage(numbered, "centroids")).select("cluster_id", "was", "cluster")
 
 
 def _frozen(scored: DataFrame) -> DataFrame:

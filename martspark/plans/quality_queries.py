@@ -171,12 +171,18 @@ def check_freshness(spark, sf_dir):
 def contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.split("c_name", "#")
     bad = F.col("c_acctbal") < 0
+    # Hosts with a hyphen at either end and of 63 and 64 characters, on which a looser rule would not agree.
+    key = F.col("c_custkey") % 7
+    host = (
+        F.when(key == 1, "-example").when(key == 2, "example-").when(key == 3, F.repeat(F.lit("e"), F.lit(63)))
+        .when(key == 4, F.repeat(F.lit("e"), F.lit(64))).otherwise("my-example")
+    )
     return s.table(spark, sf_dir, "customer").select(
         "c_custkey",
         name[0].alias("firstName"),
         F.when(F.col("c_nationkey") > 2, name[1]).alias("lastName"),
         F.when(bad, F.lower("c_name")).otherwise(
-            F.concat(F.lower(F.replace("c_name", F.lit("#"), F.lit("."))), F.lit("@example.com"))
+            F.concat(F.lower(F.replace("c_name", F.lit("#"), F.lit("."))), F.lit("@"), host, F.lit(".com"))
         ).alias("email"),
         F.concat(
             F.when(F.col("c_nationkey") < 10, F.lit("+1 ")).when(bad, F.lit("0x")).otherwise(F.lit("(030) ")),
@@ -187,10 +193,12 @@ def contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# The two patterns are fixed values, those of the contact rules in functions.text.
 @query(
     r"""WITH contacts AS (
          SELECT c_custkey, split_part(c_name, '#', 1) AS f, CASE WHEN c_nationkey > 2 THEN split_part(c_name, '#', 2) END AS l,
-                CASE WHEN c_acctbal < 0 THEN lower(c_name) ELSE lower(replace(c_name, '#', '.')) || '@example.com' END AS e,
+                CASE WHEN c_acctbal < 0 THEN lower(c_name) ELSE lower(replace(c_name, '#', '.')) || '@' || CASE c_custkey % 7 WHEN 1 THEN '-example'
+                  WHEN 2 THEN 'example-' WHEN 3 THEN repeat('e', 63) WHEN 4 THEN repeat('e', 64) ELSE 'my-example' END || '.com' END AS e,
                 CASE WHEN c_nationkey < 10 THEN '+1 ' WHEN c_acctbal < 0 THEN '0x' ELSE '(030) ' END
                     || lpad(CAST(c_custkey AS VARCHAR), 7, '5') AS p,
                 c_mktsegment AS a1, CASE WHEN c_acctbal < 0 THEN '' ELSE c_mktsegment END AS a2
@@ -202,7 +210,8 @@ def contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
          CASE WHEN coalesce(p, '') = '' THEN 'contact required' END,
          CASE WHEN coalesce(a1, '') = '' THEN 'address1 required' END,
          CASE WHEN coalesce(a2, '') = '' THEN 'address2 required' END,
-         CASE WHEN NOT regexp_matches(e, '^[a-zA-Z0-9.!#$%&''*+/=?^_`{|}~-]+@[a-zA-Z0-9-]+(\.[a-zA-Z0-9-]+)*$')
+         CASE WHEN NOT regexp_matches(e,
+              '^[a-zA-Z0-9.!#$%&''*+/=?^_`{|}~-]+@[a-zA-Z0-9](?:[a-zA-Z0-9-]{0,61}[a-zA-Z0-9])?(?:\.[a-zA-Z0-9](?:[a-zA-Z0-9-]{0,61}[a-zA-Z0-9])?)*$')
               THEN 'invalid email' END,
          CASE WHEN NOT regexp_matches(p,
               '^((\+[1-9]{1,4}[ -]?)|(\([0-9]{2,3}\)[ -]?)|([0-9]{2,4})[ -]?)*[0-9]{3,4}[ -]?[0-9]{3,4}$')
