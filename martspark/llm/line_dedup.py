@@ -66,18 +66,20 @@ def _half(n: Column) -> Column:
 def _ends(words: Column) -> Column:
     """Hashes of the first and last words, as many as `_half` says of the line and of one a word shorter.
 
-    Two lines one word apart share the first or the last of them: the other word lies in one half only.
+    Two lines one word apart share the first or the last of them: the other word lies in one half only. Both have
+    MIN_WORDS words, so the half that they share has some; an empty one, which all lines would share, is no key.
     """
     n = F.size(words)
     keys = []
     for length in (_half(n), _half(n - 1)):
-        keys.append(F.xxhash64(F.lit(0), length, F.slice(words, F.lit(1), length)))
-        keys.append(F.xxhash64(F.lit(1), length, F.slice(words, n - length + 1, length)))
-    return F.when(n >= MIN_WORDS, F.array_distinct(F.array(*keys))).otherwise(F.array().cast("array<bigint>"))
+        keys.append(F.when(length > 0, F.xxhash64(F.lit(0), length, F.slice(words, F.lit(1), length))))
+        keys.append(F.when(length > 0, F.xxhash64(F.lit(1), length, F.slice(words, n - length + 1, length))))
+    found = F.array_distinct(F.array_compact(F.array(*keys)))
+    return F.when(n >= MIN_WORDS, found).otherwise(F.array().cast("array<bigint>"))
 
 
 def _variants(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """All variants of the wanted lines with one word left out, and the line itself, as hashes.
+    """All variants of numbered lines with one word left out, and the line itself, as hashes.
 
     The hash of a line without word i comes from the rolling hashes before and after it.
     """
@@ -85,40 +87,37 @@ def _variants(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         made: list[tuple] = []
         size = 0
-        for row, text, wanted in zip(frame["row"], frame["text"], frame["wanted"]):
-            lines = text.split("\n")
-            for pos in wanted:
-                words = lines[pos].encode("utf-8", "surrogatepass").split()
-                n = len(words)
-                h = np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=n)
-                with np.errstate(over="ignore"):
-                    while len(power) < n:
-                        power = np.append(power, power * _BASE ** np.uint64(len(power)))
-                    terms = h * power[n - 1:: -1]
-                    whole = terms.sum(dtype=np.uint64)
-                    before = np.cumsum(terms) - terms
-                    # What stands after the word is shifted up, as what stands before it is already.
-                    without = before + (whole - before - terms) * _BASE
-                    made.append((row, pos, np.append(without, whole * _BASE)))
-                size += n + 1
-                if size > _ROWS:
-                    yield _rows(made)
-                    made, size = [], 0
+        for number, line in zip(frame["number"], frame["line"]):
+            words = line.encode("utf-8", "surrogatepass").split()
+            n = len(words)
+            h = np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=n)
+            with np.errstate(over="ignore"):
+                while len(power) < n:
+                    power = np.append(power, power * _BASE ** np.uint64(len(power)))
+                terms = h * power[n - 1:: -1]
+                whole = terms.sum(dtype=np.uint64)
+                before = np.cumsum(terms) - terms
+                # What stands after the word is shifted up, as what stands before it is already.
+                without = before + (whole - before - terms) * _BASE
+                made.append((number, np.append(without, whole * _BASE)))
+            size += n + 1
+            if size > _ROWS:
+                yield _rows(made)
+                made, size = [], 0
         if made:
             yield _rows(made)
 
 
 def _rows(made: list[tuple]) -> pd.DataFrame:
-    sizes = np.array([len(v) for _, _, v in made])
+    sizes = np.array([len(v) for _, v in made])
     ends = np.cumsum(sizes)
     place = np.arange(ends[-1]) - np.repeat(ends - sizes, sizes)
     place[ends - 1] = _FULL
     return pd.DataFrame({
-        "v": np.concatenate([v for _, _, v in made]).view(np.int64),
+        "v": np.concatenate([v for _, v in made]).view(np.int64),
         "place": place.astype(np.int32),
         "n": np.repeat(sizes - 1, sizes).astype(np.int32),
-        "row": np.repeat(np.array([r for r, _, _ in made], dtype=np.int64), sizes),
-        "pos": np.repeat([p for _, p, _ in made], sizes).astype(np.int32),
+        "number": np.repeat(np.array([r for r, _ in made], dtype=np.int64), sizes),
     })
 
 
@@ -150,48 +149,53 @@ def _near_earlier(docs: DataFrame, distinct: DataFrame) -> DataFrame:
         .groupBy(_key_of_line()).agg(F.sort_array(F.collect_list("id.pos")).alias("wanted"))
     )
     texts = docs.select(_key().alias("key"), text_or_empty().alias("text")).dropDuplicates(["key"])
-    # Rows are numbered where they are written, so that ids of any type need not pass through Python.
     asked = stage(
         texts.join(wanted, "key").select(
-            F.monotonically_increasing_id().alias("row"), "key", "wanted",
-            _picked(F.split("text", "\n", -1), lambda _: F.col("wanted")).alias("lines"),
+            "key", "wanted", _picked(F.split("text", "\n", -1), lambda _: F.col("wanted")).alias("lines")
         ), "lines-asked",
     )
-    ship(docs.sparkSession)
-    # The wanted lines alone, numbered 0, 1, ... as they stand in the list.
-    numbered = asked.select(
-        "row", F.array_join("lines", "\n").alias("text"), F.sequence(F.lit(0), F.size("lines") - 1).alias("wanted")
+    lines = _numbered(
+        asked.select("key", F.explode(F.arrays_zip(F.col("wanted").alias("pos"), "lines")).alias("l")).select(
+            _id(F.col("l.pos")), F.col("l.lines").alias("line")
+        )
     )
+    ship(docs.sparkSession)
     variants = stage(
-        numbered.mapInPandas(_variants, "v bigint, place int, n int, row bigint, pos int")
-        .join(asked.select("row", "key", F.posexplode("wanted").alias("pos", "at")), ["row", "pos"])
-        .select("v", "place", "n", _id(F.col("at"))),
-        "line-variants",
+        lines.select("number", "line").mapInPandas(_variants, "v bigint, place int, n int, number bigint"), "line-variants"
     )
     # Changed: the same variant with the word left out at the same place of equally long lines.
     changed = variants.where(F.col("place") >= 0)
-    least = changed.groupBy("v", "place", "n").agg(F.min("id").alias("first"), F.max("id").alias("last"))
-    pairs = changed.join(least.where("first < last").drop("last"), ["v", "place", "n"]).where("first < id").select("id", "first")
+    same = changed.select(F.xxhash64("v", "place", "n").alias("c"), "number")
+    least = same.groupBy("c").agg(F.min("number").alias("first"), F.max("number").alias("last"))
+    pairs = same.join(least.where("first < last").drop("last"), "c").where("first < number").select("number", "first")
     # Inserted: a whole line that equals a variant of a line with a word more.
-    whole = variants.where(F.col("place") == _FULL).select("v", "id")
-    longer = changed.groupBy("v").agg(F.min("id").alias("first"))
-    shorter = whole.groupBy("v").agg(F.min("id").alias("first"))
+    whole = variants.where(F.col("place") == _FULL).select("v", "number")
+    longer = changed.groupBy("v").agg(F.min("number").alias("first"))
+    shorter = whole.groupBy("v").agg(F.min("number").alias("first"))
     pairs = (
-        pairs.unionByName(whole.join(longer, "v").where("first < id").select("id", "first"))
-        .unionByName(changed.select("v", "id").join(shorter, "v").where("first < id").select("id", "first"))
+        pairs.unionByName(whole.join(longer, "v").where("first < number").select("number", "first"))
+        .unionByName(changed.select("v", "number").join(shorter, "v").where("first < number").select("number", "first"))
         .distinct()
     )
-    texts = asked.select("key", F.explode(F.arrays_zip(F.col("wanted").alias("pos"), "lines")).alias("l")).select(
-        _id(F.col("l.pos")),
-        F.filter(F.split("l.lines", _SPACE), lambda w: w != "").alias("words"),
-    )
+    words = F.filter(F.split("line", _SPACE), lambda w: w != "")
+    texts = lines.select("number", "id", words.alias("words"))
     checked = (
-        pairs.join(texts, "id").withColumnRenamed("words", "mine")
-        .join(texts.withColumnRenamed("id", "first"), "first")
+        pairs.join(texts, "number").withColumnRenamed("words", "mine")
+        .join(texts.select(F.col("number").alias("first"), "words"), "first")
     )
     return checked.where(_one_apart(F.col("mine"), F.col("words"))).select("id").distinct()
 
 
+def _numbered(lines: DataFrame) -> DataFrame:
+    """(number, id, line): numbers in the order of the ids, so that a line is one number where its variants are shuffled.
+
+    The lines are written in ranges of ids; a number is that of the file and the row in it.
+    """
+    written = stage(lines.repartitionByRange("id").sortWithinPartitions("id"), "lines-ordered")
+    file = F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("bigint")
+    return written.select((F.shiftleft(file, 40) + F.col("_metadata.row_index")).alias("number"), "id", "line")
+
+
 def repeated_lines(docs: DataFrame) -> DataFrame:
     """(key, doc_id, removed): per text the places of its lines that repeat an earlier one, in order.
 
