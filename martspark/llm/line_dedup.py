@@ -21,6 +21,8 @@ _FULL = -1  # place of the variant that deletes nothing
 # Shorter lines count as repeated only if they are equal.
 MIN_WORDS = 8
 _ROWS = 200_000
+# Marks of wanted texts: at most so many bits, a million numbers.
+_BITS = 1 << 26
 
 
 def _key() -> Column:
@@ -67,15 +69,14 @@ def _ends(words: Column) -> Column:
     """Hashes of the first and last words, as many as `_half` says of the line and of one a word shorter.
 
     Two lines one word apart share the first or the last of them: the other word lies in one half only. Both have
-    MIN_WORDS words, so the half that they share has some; an empty one, which all lines would share, is no key.
+    MIN_WORDS words, so a half is never that of a shorter line; an empty one would be shared by all lines.
     """
     n = F.size(words)
     keys = []
-    for length in (_half(n), _half(n - 1)):
-        keys.append(F.when(length > 0, F.xxhash64(F.lit(0), length, F.slice(words, F.lit(1), length))))
-        keys.append(F.when(length > 0, F.xxhash64(F.lit(1), length, F.slice(words, n - length + 1, length))))
-    found = F.array_distinct(F.array_compact(F.array(*keys)))
-    return F.when(n >= MIN_WORDS, found).otherwise(F.array().cast("array<bigint>"))
+    for length in (_half(n), _half(F.greatest(n - 1, F.lit(MIN_WORDS)))):
+        keys.append(F.xxhash64(F.lit(0), length, F.slice(words, F.lit(1), length)))
+        keys.append(F.xxhash64(F.lit(1), length, F.slice(words, n - length + 1, length)))
+    return F.when(n >= MIN_WORDS, F.array_distinct(F.array(*keys))).otherwise(F.array().cast("array<bigint>"))
 
 
 def _variants(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -144,11 +145,12 @@ def _near_earlier(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     # Only lines that share an end with another line can be one word apart.
     ends = distinct.where(F.size("ends") > 0).select("id", "h1", F.explode("ends").alias("end"))
     shared = ends.groupBy("end").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a != b").select("end")
-    wanted = (
+    wanted = stage(
         ends.join(shared, "end", "left_semi").select("id").distinct()
-        .groupBy(_key_of_line()).agg(F.sort_array(F.collect_list("id.pos")).alias("wanted"))
+        .groupBy(_key_of_line()).agg(F.sort_array(F.collect_list("id.pos")).alias("wanted")), "lines-wanted",
     )
-    texts = docs.select(_key().alias("key"), text_or_empty().alias("text")).dropDuplicates(["key"])
+    texts = docs.select(_key().alias("key"), text_or_empty().alias("text"))
+    texts = _with_some_key(texts, wanted).dropDuplicates(["key"])
     asked = stage(
         texts.join(wanted, "key").select(
             "key", "wanted", _picked(F.split("text", "\n", -1), lambda _: F.col("wanted")).alias("lines")
@@ -186,6 +188,20 @@ def _near_earlier(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     return checked.where(_one_apart(F.col("mine"), F.col("words"))).select("id").distinct()
 
 
+def _with_some_key(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows whose `key` may be among the keys: all that are, and a few others.
+
+    A bit for each key, sixteen times as many as there are keys up to _BITS, is broadcast as 64-bit numbers, so that texts
+    without a wanted line are mostly not shuffled. Beyond that number of keys more rows pass; none is lost.
+    """
+    bits = min(_BITS, 1 << (16 * keys.count()).bit_length())
+    slot = F.pmod(F.xxhash64("key"), F.lit(bits))
+    bit = F.expr(f"shiftleft(1L, int(pmod(xxhash64(key), {bits}L) % 64))")
+    marks = keys.groupBy(F.floor(slot / 64).alias("number")).agg(F.bit_or(bit).alias("marks"))
+    found = rows.withColumn("number", F.floor(slot / 64)).join(F.broadcast(marks), "number")
+    return found.where(F.col("marks").bitwiseAND(bit) != 0).select(*rows.columns)
+
+
 def _numbered(lines: DataFrame) -> DataFrame:
     """(number, id, line): numbers in the order of the ids, so that a line is one number where its variants are shuffled.
 
