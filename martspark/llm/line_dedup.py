@@ -15,6 +15,7 @@ from martspark.llm.pii import replaced
 from martspark.session import stage
 
 _SPACE = r"[\x20\x09-\x0D]+"
+_WORD_CHAR = r"[^\x20\x09-\x0D]"
 _SALT = 7919
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _FULL = -1  # place of the variant that deletes nothing
@@ -34,7 +35,8 @@ def _lines(docs: DataFrame) -> DataFrame:
     """(id, words) of the lines that have a word; the place in the id counts all lines of the text from 0."""
     rows = docs.select(_key().alias("key"), F.posexplode(F.split(text_or_empty(), "\n", -1)).alias("pos", "line"))
     words = F.filter(F.split("line", _SPACE), lambda w: w != "")
-    return rows.select(_id(F.col("pos")), words.alias("words")).where(F.size("words") > 0)
+    # Asked of the line, as a condition on the words would cut it a second time.
+    return rows.where(F.col("line").rlike(_WORD_CHAR)).select(_id(F.col("pos")), words.alias("words"))
 
 
 def _id(pos: Column) -> Column:
@@ -263,7 +265,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 def line_report(docs: DataFrame) -> DataFrame:
     """One row per row of `docs` with its number of lines, of removed lines, and the removed places as text."""
     counts = docs.select(
-        _key().alias("key"), F.size(F.filter(F.split(text_or_empty(), "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))).alias("n_lines")
+        _key().alias("key"), F.size(F.filter(F.split(text_or_empty(), "\n", -1), lambda x: x.rlike(_WORD_CHAR))).alias("n_lines")
     )
     removed = repeated_lines(docs).drop("doc_id")
     return counts.join(removed, "key", "left").select(
