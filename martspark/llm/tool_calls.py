@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import math
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -24,9 +26,51 @@ _TYPES = {
 }
 
 
+_LONE = re.compile("[\ud800-\udfff]")
+
+
 def canonical(value: object) -> str:
-    """JSON with sorted keys, no blanks, and letters as they are."""
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    """JSON with sorted keys, no blanks, and letters as they are; half of a surrogate pair, which is no letter, is escaped."""
+    text = json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+    return _escaped(text)
+
+
+def _escaped(text: str) -> str:
+    return _LONE.sub(lambda m: f"\\u{ord(m.group()):04x}", text)
+
+
+class _OutOfRange(ValueError):
+    pass
+
+
+def _number(text: str) -> float:
+    value = float(text)
+    if math.isinf(value):
+        raise _OutOfRange(text)
+    return value
+
+
+def _no_number(text: str) -> None:
+    raise ValueError(text)
+
+
+def parsed(arguments: str) -> tuple[object, str | None]:
+    """The value of a JSON text, or the text itself and what is wrong with it.
+
+    NaN and Infinity are not JSON; a number beyond the range of doubles and a value nested deeper than Python follows
+    are refused too.
+    """
+    try:
+        value = json.loads(arguments, parse_float=_number, parse_constant=_no_number)
+        # A value that is read may still be too deep to be written.
+        canonical(value)
+        return value, None
+    except _OutOfRange:
+        return arguments, "arguments: number out of range"
+    except ValueError:
+        return arguments, "arguments: not JSON"
+    except RecursionError:
+        return arguments, "arguments: too deep"
 
 
 def fault(value: object, schema: dict, at: str = "arguments") -> str | None:
@@ -65,17 +109,16 @@ def _checked(frames: Iterator[pd.DataFrame], schemas: dict) -> Iterator[pd.DataF
     for frame in frames:
         status, message = [], []
         for row in frame.itertuples(index=False):
-            try:
-                arguments = json.loads(row.arguments) if isinstance(row.arguments, str) else None
-                found = None
-            except ValueError:
-                arguments, found = row.arguments, "arguments: not JSON"
+            arguments, found = parsed(row.arguments) if isinstance(row.arguments, str) else (None, None)
             if found is None:
-                found = fault(arguments, schemas[row.name]) if row.name in schemas else "unknown tool"
+                try:
+                    found = fault(arguments, schemas[row.name]) if row.name in schemas else "unknown tool"
+                except RecursionError:
+                    arguments, found = row.arguments, "arguments: too deep"
             answered = isinstance(row.content, str)
             if found is None and pd.isna(row.level):
                 found = "circular dependency"
-            status.append(found or ("linked" if answered else "no result"))
+            status.append(_escaped(found) if found else "linked" if answered else "no result")
             message.append(canonical({
                 "arguments": arguments, "id": row.call_id, "name": row.name,
                 "result": row.content if answered else None, "type": "tool_call",
@@ -160,8 +203,10 @@ def link_calls(calls: DataFrame, results: DataFrame, schemas: dict) -> DataFrame
     it depends on. Dependencies on unknown calls are ignored. Of several calls or results with one
     identifier the one with the least turn counts, on ties the least text; calls without identifier are left
     out, and so are results that no call has. Status: the first fault of the arguments, "unknown tool",
-    "circular dependency" (level NULL), "no result" or "linked". NULL arguments are JSON null. Empty tables
-    give no rows; other columns are not read.
+    "circular dependency" (level NULL), "no result" or "linked". NULL arguments are JSON null. Arguments that are
+    not JSON (NaN and Infinity are not), hold a number beyond the range of doubles or are nested too deep to be followed
+    stand in the message as text; half of a surrogate pair stays an escape. Empty tables give no rows; other columns are
+    not read.
     """
     ship(calls.sparkSession)
     chosen = calls.where("call_id is not null").groupBy("call_id").agg(

@@ -332,6 +332,34 @@ def test_tool_calls_same_as_sql(spark, sf_dir):
     assert oracle.compare(QUERIES["op4_tool_calls"](spark, sf_dir), con, ORACLES["op4_tool_calls"]) == []
 
 
+def test_arguments_that_break_readers_and_clashing_columns(spark):
+    deep = "[" * 200_000
+    given = {
+        "half": '{"text":"\\ud83d"}', "name": '{"\\udc00":1}', "deep": deep, "nested": "[" * 900 + "]" * 900, "nan": '{"x":NaN}',
+        "minus": "-Infinity", "huge": '{"x":1e999}', "fine": '{"text":"\\ud83d\\ude00"}', "digits": '{"x":' + "9" * 5000 + "}",
+    }
+    clash = {c: F.lit(1) for c in ("content", "r", "c", "n", "end", "steps", "done", "base", "level", "status", "message", "Turn_")}
+    calls = spark.createDataFrame(
+        [(1, c, i, "free" if c != "name" else "closed", a, None) for i, (c, a) in enumerate(given.items())],
+        "conv_id long, call_id string, turn long, name string, arguments string, depends_on array<string>",
+    ).withColumns(clash)
+    results = spark.createDataFrame([(c, 1, "ok") for c in given], "call_id string, turn long, content string")
+    results = results.withColumns({c: F.lit(1) for c in clash if c != "content"})
+    schemas = {"free": {}, "closed": {"additionalProperties": False}}
+    got = {r["call_id"]: (r["status"], r["message"]) for r in tool_calls.link_calls(calls, results, schemas).collect()}
+    assert {c: s for c, (s, _) in got.items()} == {
+        "half": "linked", "name": "arguments.\\udc00: unknown", "deep": "arguments: too deep",
+        "nested": got["nested"][0], "nan": "arguments: not JSON", "minus": "arguments: not JSON",
+        "huge": "arguments: number out of range", "fine": "linked", "digits": "arguments: not JSON",
+    }
+    assert got["nested"][0] in ("linked", "arguments: too deep")
+    for call, (_, message) in got.items():
+        read = json.loads(message)
+        assert read["id"] == call and read["result"] == "ok"
+    assert json.loads(got["half"][1])["arguments"] == {"text": "\ud83d"} and "\\ud83d" in got["half"][1]
+    assert json.loads(got["deep"][1])["arguments"] == deep and "😀" in got["fine"][1]
+
+
 def test_turns_without_a_role_are_neither_calls_nor_results(spark):
     turns = [(1, 0, "user", "a"), (1, 1, None, "b"), (1, 2, "user", "c"), (1, 3, "assistant", "d"), (2, 0, None, "e")]
     conversations = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
