@@ -7,12 +7,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from martspark.llm.common import text_or_empty
+from martspark.operators.scale import count_below
 
 # Units are words; longer runs without white space are cut into pieces of this many characters.
 _LONGEST = 64
 _SPACE = r"[\x20\x09-\x0D]+"
 _PRIME = (1 << 31) - 1
 _BASE = 1_000_003
+# Documents of a range, and ranges at most; their ends are known to the driver and to every task.
+_RANGE_ROWS = 10_000
+_RANGES = 1 << 16
 # Packed: the hash above the place counted backwards, so the least value is the rightmost least hash.
 _PLACES = 1 << 31
 
@@ -108,18 +112,21 @@ def likeness(a: Column, b: Column) -> Column:
 def in_order(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """(key, text, part, rank): documents cut into ranges of ids, each with the document before its first.
 
-    Ranges come from approximate quantiles of the ids, four per shuffle partition, so they hold about
-    equally many documents wherever the ids lie. Rank 1 marks the documents of a range and rank 0 the one
+    Ranges come from approximate quantiles of the ids, so they hold about equally many documents wherever the
+    ids lie. Their number follows the rows: one for each `_RANGE_ROWS`, at least four per shuffle partition and
+    at most `_RANGES`, beyond which they grow. Rank 1 marks the documents of a range and rank 0 the one
     borrowed from the range before it; the first range borrows the very last document. Texts are shuffled
-    once, here. NULL ids count as the least.
+    once, here. Ids are numbers; NULL ids count as the least, and rows of one id share a range.
     """
-    parts = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    least = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = min(max(least, docs.count() // _RANGE_ROWS), max(least, _RANGES))
     rows = docs.select(F.coalesce(F.col(key), F.lit(-(1 << 63))).cast("bigint").alias("k"), F.col(key).alias("id"),
                        text_or_empty().alias("text"))
     ids = rows.select("k")
-    # Four numbers per shuffle partition come to the driver, whatever the number of documents.
+    # At most _RANGES numbers come to the driver.
     cuts = ids.agg(F.percentile_approx("k", [i / parts for i in range(1, parts)], 10 * parts)).first()[0]
-    part = F.size(F.filter(F.lit(np.array(cuts or [], dtype=np.int64)), lambda c: c < F.col("k")))
+    cuts = sorted(set(cuts or []))
+    part = count_below(F.lit(np.array(cuts, dtype=np.int64)), len(cuts).bit_length(), F.col("k")) if cuts else F.lit(0)
     # One row per range.
     ends = ids.groupBy(part.alias("part")).agg(F.max("k").alias("last"))
     order = Window.orderBy("part")

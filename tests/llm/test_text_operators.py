@@ -136,6 +136,43 @@ def test_fingerprints(spark, odd):
     assert all(len(v) == 1 for v in by_text.values())
 
 
+def test_ranges_follow_the_rows(spark, monkeypatch):
+    """100,000 documents at 8 partitions: as many ranges as the rows need, and no large one."""
+    monkeypatch.setattr(fingerprints, "_RANGE_ROWS", 500)
+    docs = spark.range(100_000).select((F.col("id") * F.col("id")).alias("doc_id"), F.lit("a b").alias("text"))
+    sizes = [r["count"] for r in fingerprints.in_order(docs).where("rank = 1").groupBy("part").count().collect()]
+    assert sum(sizes) == 100_000 and len(sizes) == 200 and max(sizes) <= 700
+
+
+def test_likeness_and_edited_fingerprints_by_hand(spark, odd):
+    """Edited texts fingerprinted by hand, short ones included, and both likenesses as shared over all hashes."""
+    rows = sorted({d: t for d, t in odd if len(t or "") < 5000}.items(), reverse=True)
+
+    def print_of(text):
+        units = re.findall(r"[^\x20\x09-\x0D]{1,64}", text)
+        return winnowed(text)[0] if len(units) >= 4 or not units else None
+
+    def hashes(listed):
+        return {int(x) >> 31 for x in listed.split(",") if x}
+
+    def like(a, b):
+        return len(a & b) / len(a | b) if a | b else 1.0
+
+    got = {r["doc_id"]: r for r in fingerprints.edited_fingerprints(frame(spark, rows)).collect()}
+    for i, (doc, text) in enumerate(rows):
+        text, following = text or "", rows[(i + 1) % len(rows)][1] or ""
+        half = len(text) // 2
+        r = got[doc]
+        by_hand = print_of(text[: len(text) - half] + following[:half])
+        if by_hand is not None:
+            assert r["edited_fingerprint"] == by_hand
+        else:
+            assert len(hashes(r["edited_fingerprint"])) == 1
+        own = hashes(r["fingerprint"])
+        assert r["near_edited"] == pytest.approx(like(own, hashes(r["edited_fingerprint"])))
+        assert r["near_next"] == pytest.approx(like(own, hashes(got[rows[(i + 1) % len(rows)][0]]["fingerprint"])))
+
+
 def test_edited_texts_are_nearer_than_others(real):
     r = fingerprints.edited_fingerprints(real).agg(F.avg("near_edited"), F.avg("near_next")).first()
     assert r[0] > 0.25 and r[1] < 0.05
