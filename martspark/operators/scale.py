@@ -157,7 +157,7 @@ def count_below(cuts: Column, steps: int, value: Column) -> Column:
 
 # Cuts of an interval in a round, and values of an interval that are read at once.
 _CUTS = 1000
-FEW = 2000
+FEW = 20_000
 
 
 def order_statistics(
