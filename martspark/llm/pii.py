@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -64,30 +66,92 @@ _REACH = 40
 LEAST_SCORE = 0.5
 
 
+# Places of a text are looked up in pieces of this many code points, lists grow in blocks of so many entries:
+# the work for a text grows with its length and its spans, not with their product.
+_PIECE = 256
+_BLOCK = 128
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use(value)` with the value computed once, also where `use` reads it for every entry of an array."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _running(
+    items: Column, carry: Column, step: Callable[[Column, Column], tuple[Column, Column]], entry: str
+) -> Column:
+    """struct<carry, out>: `step` turns the carry and an item into the next carry and an array of results.
+
+    Appending to an array copies it, so results are collected by block and the blocks joined once.
+    """
+    empty = F.array().cast(f"array<{entry}>")
+    blocks = F.array().cast(f"array<array<{entry}>>")
+
+    def add(state: Column, item: Column) -> Column:
+        after, more = step(state["carry"], item)
+        return F.struct(after.alias("carry"), F.concat(state["out"], more).alias("out"))
+
+    def whole(xs: Column) -> Column:
+        n = F.size(xs)
+
+        def block(state: Column, at: Column) -> Column:
+            mine = F.transform(F.sequence(at, F.least(at + _BLOCK, n) - 1), lambda i: F.get(xs, i))
+            done = F.aggregate(mine, F.struct(state["carry"].alias("carry"), empty.alias("out")), add)
+            return _let(done, lambda d: F.struct(
+                d["carry"].alias("carry"), F.concat(state["out"], F.array(d["out"])).alias("out")
+            ))
+
+        starts = F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(_BLOCK))).otherwise(F.array().cast("array<int>"))
+        return F.aggregate(
+            starts,
+            F.struct(carry.alias("carry"), blocks.alias("out")),
+            block,
+            lambda s: F.struct(s["carry"].alias("carry"), F.flatten(s["out"]).alias("out")),
+        )
+
+    return _let(items, whole)
+
+
+def _pieces(text: Column, wanted: Column) -> Column:
+    """The text in pieces of `_PIECE` code points; none if they are not wanted."""
+    cut = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_PIECE}}}+"), F.lit(0))
+    return F.when(wanted, cut).otherwise(F.array().cast("array<string>"))
+
+
+def _between(pieces: Column, begin: Column, end: Column) -> Column:
+    """The code points from `begin` to `end` (exclusive; the text may end before)."""
+
+    def part(i: Column) -> Column:
+        skipped = F.greatest(begin - i * _PIECE, F.lit(0))
+        return F.substring(
+            F.get(pieces, i.cast("int")), (skipped + 1).cast("int"), (end - i * _PIECE - skipped).cast("int")
+        )
+
+    first, last = F.floor(begin / _PIECE), F.floor(end / _PIECE)
+    return F.array_join(F.transform(F.sequence(first, last), part), "")
+
+
 def _matches(text: Column, pattern: str, maybe: Column) -> Column:
     """array<struct<start, found>> of the leftmost non-overlapping matches, in code points from 0.
 
     Cutting the text at the matches gives what stands between them, so the starts are running sums.
     `maybe` is a cheap test that holds for every text with a match.
     """
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
-    empty = F.array().cast("array<struct<start:bigint,found:string>>")
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), empty.alias("out"))
+    pairs = F.zip_with(
+        F.split(text, pattern, -1),
+        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
+        lambda b, m: F.struct(b.alias("before"), m.alias("found")),
+    )
 
-    def step(state: Column, pair: Column) -> Column:
-        at = state["at"] + F.length(pair["before"])
-        return F.struct(
-            (at + F.length(pair["found"])).alias("at"),
-            F.concat(state["out"], F.array(F.struct(at.alias("start"), pair["found"].alias("found")))).alias("out"),
-        )
+    def step(at: Column, pair: Column) -> tuple[Column, Column]:
+        start = at + F.length(pair["before"])
+        return start + F.length(pair["found"]), F.array(F.struct(start.alias("start"), pair["found"].alias("found")))
 
+    entry = "struct<start:bigint,found:string>"
     # The piece after the last match has no match of its own.
-    pairs = F.zip_with(
-        F.slice(between, 1, F.size(found)), found, lambda b, m: F.struct(b.alias("before"), m.alias("found"))
-    )
-    placed = F.aggregate(pairs, start, step, lambda s: s["out"])
-    return F.when(maybe, placed).otherwise(empty)
+    matched = F.filter(pairs, lambda p: p["found"].isNotNull())
+    placed = _running(matched, F.lit(0).cast("bigint"), step, entry)["out"]
+    return F.when(maybe, placed).otherwise(F.array().cast(f"array<{entry}>"))
 
 
 def _digits(found: Column) -> Column:
@@ -117,30 +181,32 @@ def mod97(account: Column) -> Column:
     return F.aggregate(F.split(moved, ""), F.lit(0), add) == 1
 
 
-def _accounts(text: Column, heads: Column) -> Column:
+def _accounts(pieces: Column, heads: Column) -> Column:
     """The account numbers that begin at some heads, as `_matches` gives them. They do not overlap.
 
     Every head is tried by itself, so what fails the check hides nothing that begins inside it. Of two that
     overlap the first stays, but one of a listed country before one of another.
     """
+    entry = "struct<start:bigint,found:string,listed:boolean>"
 
     def whole(head: Column) -> Column:
-        ahead = F.substring(text, (head["start"] + 1).cast("int"), F.lit(_IBAN_REACH))
-        tried = F.array(*[F.regexp_extract(ahead, p, 0) for p in _iban_ends()])
-        confirmed = F.filter(tried, lambda t: F.when(t == "", False).otherwise(mod97(t)))
-        return F.struct(
-            head["start"].alias("start"), F.get(confirmed, F.lit(0)).alias("found"), (tried[0] != "").alias("listed")
-        )
-
-    def step(out: Column, m: Column) -> Column:
-        last = F.get(out, F.size(out) - 1)
-        apart = (F.size(out) == 0) | (m["start"] >= last["start"] + F.length(last["found"]))
-        return F.when(apart, F.concat(out, F.array(m))).when(
-            m["listed"] & ~last["listed"], F.concat(F.slice(out, F.lit(1), F.size(out) - 1), F.array(m))
-        ).otherwise(out)
+        ahead = _between(pieces, head["start"], head["start"] + _IBAN_REACH)
+        tried = _let(ahead, lambda a: F.array(*[F.regexp_extract(a, p, 0) for p in _iban_ends()]))
+        return _let(tried, lambda t: F.struct(
+            head["start"].alias("start"),
+            F.get(F.filter(t, lambda w: F.when(w == "", False).otherwise(mod97(w))), F.lit(0)).alias("found"),
+            (t[0] != "").alias("listed"),
+        ))
+
+    def step(last: Column, m: Column) -> tuple[Column, Column]:
+        # The last one waits until the next is known to begin behind it.
+        apart = last.isNull() | (m["start"] >= last["start"] + F.length(last["found"]))
+        kept = F.when(apart | (m["listed"] & ~last["listed"]), m).otherwise(last)
+        return kept, F.when(apart & last.isNotNull(), F.array(last)).otherwise(F.array().cast(f"array<{entry}>"))
 
     found = F.filter(F.transform(heads, whole), lambda m: m["found"].isNotNull())
-    return F.aggregate(found, F.array().cast("array<struct<start:bigint,found:string,listed:boolean>>"), step)
+    ran = _running(found, F.lit(None).cast(entry), step, entry)
+    return _let(ran, lambda r: F.filter(F.concat(r["out"], F.array(r["carry"])), lambda m: m.isNotNull()))
 
 
 def _is_ip(found: Column) -> Column:
@@ -158,14 +224,13 @@ def _is_phone(found: Column) -> Column:
     return F.length(_digits(found)).between(10, 15)
 
 
-def _scored(text: Column, rank: int, kind: str) -> Callable[[Column], Column]:
+def _scored(pieces: Column, rank: int, kind: str) -> Callable[[Column], Column]:
     def span(m: Column) -> Column:
-        begin = F.greatest(m["start"] - _REACH, F.lit(0))
         end = m["start"] + F.length(m["found"])
         around = F.concat(
-            F.substring(text, (begin + 1).cast("int"), (m["start"] - begin).cast("int")),
+            _between(pieces, F.greatest(m["start"] - _REACH, F.lit(0)), m["start"]),
             F.lit(" "),
-            F.substring(text, (end + 1).cast("int"), F.lit(_REACH)),
+            _between(pieces, end, end + _REACH),
         )
         near = around.rlike(rf"(?i)(?<![\p{{L}}])(?:{_WORDS[kind]})")
         return F.struct(
@@ -198,15 +263,19 @@ def find_spans(text: Column) -> Column:
         "iban": (text, _IBAN, text.rlike("[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}"), lambda m: F.lit(True)),
         "ssn": (text, _SSN, text.rlike("[0-9]-[0-9]{2}-[0-9]"), lambda m: F.lit(True)),
     }
-    found = []
-    for rank, kind in enumerate(KINDS):
-        where, pattern, maybe, confirmed = kinds[kind]
-        matches = F.filter(_matches(where, pattern, maybe), _on_found(confirmed))
-        if kind == "iban":
-            matches = _accounts(text, matches)
-        spans = F.transform(matches, _scored(text, rank, kind))
-        found.append(spans if kind in BASE_KINDS else F.filter(spans, lambda s: s["score"] >= LEAST_SCORE))
-    return F.array_sort(F.concat(*found))
+
+    def spans(pieces: Column) -> Column:
+        found = []
+        for rank, kind in enumerate(KINDS):
+            where, pattern, maybe, confirmed = kinds[kind]
+            matches = F.filter(_matches(where, pattern, maybe), _on_found(confirmed))
+            if kind == "iban":
+                matches = _accounts(pieces, matches)
+            scored = F.transform(matches, _scored(pieces, rank, kind))
+            found.append(scored if kind in BASE_KINDS else F.filter(scored, lambda s: s["score"] >= LEAST_SCORE))
+        return F.array_sort(F.concat(*found))
+
+    return _let(_pieces(text, reduce(or_, (maybe for _, _, maybe, _ in kinds.values()))), spans)
 
 
 def _on_found(check: Callable[[Column], Column]) -> Callable[[Column], Column]:
@@ -247,30 +316,24 @@ def mask_personal_data(docs: DataFrame) -> DataFrame:
     Overlapping spans are replaced as one, named after the one that begins first. A text without
     spans, also NULL, stays as it is. Columns and their order stay.
     """
-    state = "struct<at:bigint,out:array<string>>"
     text = F.coalesce(F.col("r.text"), F.lit(""))
 
-    def step(s: Column, span: Column) -> Column:
-        inside = span["start"] < s["at"]
-        piece = F.concat(
-            F.substring(text, (s["at"] + 1).cast("int"), (span["start"] - s["at"]).cast("int")),
-            F.lit("<"), F.upper(span["kind"]), F.lit(">"),
-        )
-        return F.struct(
-            F.greatest(s["at"], span["end"]).alias("at"),
-            F.when(inside, s["out"]).otherwise(F.concat(s["out"], F.array(piece))).alias("out"),
-        )
+    def masked(pieces: Column) -> Column:
+        def step(at: Column, span: Column) -> tuple[Column, Column]:
+            piece = F.concat(_between(pieces, at, span["start"]), F.lit("<"), F.upper(span["kind"]), F.lit(">"))
+            inside = span["start"] < at
+            new = F.when(inside, F.array().cast("array<string>")).otherwise(F.array(piece))
+            return F.greatest(at, span["end"]), new
+
+        ran = _running(F.col("s"), F.lit(0).cast("bigint"), step, "string")
+        return _let(ran, lambda r: F.concat(
+            F.array_join(r["out"], ""), _between(pieces, r["carry"], F.length(text).cast("bigint"))
+        ))
 
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("out")).cast(state)
-    masked = F.aggregate(
-        "s",
-        start,
-        step,
-        lambda s: F.concat(F.array_join(s["out"], ""), F.substring(text, (s["at"] + 1).cast("int"), F.length(text))),
-    )
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("r"))
     found = row.withColumn("s", find_spans(text))
-    new = found.withColumn("t", F.when(F.size("s") > 0, masked).otherwise(F.col("r.text"))).select("r", "t")
+    hit = F.size("s") > 0
+    new = found.withColumn("t", F.when(hit, _let(_pieces(text, hit), masked)).otherwise(F.col("r.text"))).select("r", "t")
     return replaced(new, docs)
 
 

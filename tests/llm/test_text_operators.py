@@ -5,6 +5,7 @@ import json
 import random
 import re
 import struct
+import time
 import zlib
 
 import numpy as np
@@ -760,6 +761,38 @@ def test_masking(spark):
     assert got == {1: (masked, len(masked)), 2: (None, None), 3: ("clean", 5), 4: ("", 0)}
 
 
+def test_many_spans_in_one_text(spark):
+    """Work grows with the spans, not with their square: places, scores and masks of 100,000 in one text."""
+    rng = random.Random(4)
+    kinds = ["a.b{0}@mail.org", "10.{0}.2.3", "4111 1111 1111 1111", "+1 (323) 555-98{0:02d}", "ssn 123-45-67{0:02d}", IBANS[5]]
+    gaps = [" ", ", ", " é🙂 ", " call ", " x" * 300 + " "]
+
+    def text(n, weights):
+        parts = (kinds[rng.choices(range(6), weights)[0]].format(rng.randint(10, 99)) + rng.choice(gaps[:4]) for _ in range(n))
+        return "".join(p + gaps[4] * (i % 50 == 0) for i, p in enumerate(parts))
+
+    mixed, plain = text(3000, [1] * 6), text(100_000, [6, 1, 0, 1, 0, 0])
+    docs = frame(spark, [(1, mixed), (2, plain), (3, mixed + "end"), (4, "x" * 256), (5, "a@b.c" + "x" * 507)])
+    begun = time.monotonic()
+    got = {r["doc_id"]: r for r in pii.find_personal_data(docs).collect()}
+    masked = {r["doc_id"]: r["text"] for r in pii.mask_personal_data(docs).collect()}
+    assert time.monotonic() - begun < 60
+    for doc, t in docs.select("doc_id", "text").collect():
+        spans = [s for s in got[doc]["spans"].split(",") if s]
+        assert [s for s in spans if s[:4] not in ("iban", "ssn:")] == plain_spans(t)
+        out, at = [], 0
+        for span, score in zip(spans, got[doc]["scores"].split(",")):
+            kind, start, end = span.split(":")
+            start, end = int(start), int(end)
+            near = re.search(rf"(?i)(?<![^\W\d_])(?:{pii._WORDS[kind]})", t[max(0, start - 40): start] + " " + t[end: end + 40])
+            assert float(score) == round(min(1.0, pii._SCORES[kind] + (0.3 if near else 0)), 1)
+            if start >= at:
+                out.append(t[at:start] + f"<{kind.upper()}>")
+            at = max(at, end)
+        assert masked[doc] == "".join(out) + t[at:]
+    assert got[1]["spans"].count("iban:") == mixed.count(IBANS[5]) and got[1]["spans"].count("ssn:") == mixed.count("ssn ")
+
+
 # -- the pipeline ------------------------------------------------------------------------------------
 
 
