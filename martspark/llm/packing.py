@@ -66,23 +66,28 @@ class Packer:
         return None
 
     def rest(self) -> Iterator[list[Piece]]:
-        """The partially filled windows, laid end to end and cut anew: full windows, and what is left
-        over as windows whose lengths are powers of two, which need no padding."""
-        pieces = [p for level in sorted(self.open, reverse=True) for w in self.open[level] for p in w]
-        left = sum(len(p[2]) // 4 for p in pieces)
-        window: list[Piece] = []
-        room = 0
-        for doc_id, start, ids, n in pieces:
-            while ids:
-                if not room:
-                    room = self.size if left >= self.size else 1 << (left.bit_length() - 1)
-                    left -= room
-                taken = ids[: 4 * room]
-                window.append((doc_id, start, taken, n))
-                ids, start, room = ids[4 * room:], start + len(taken) // 4, room - len(taken) // 4
-                if not room:
-                    yield window
-                    window = []
+        """The partially filled windows: the fullest ones keep what was placed in them and are filled up with
+        pieces cut from the emptiest. What is left over becomes windows whose lengths are powers of two,
+        which need no padding, so no window is padded."""
+        fills = [level for level in sorted(self.open, reverse=True) for _ in self.open[level]]
+        windows = [w for level in sorted(self.open, reverse=True) for w in self.open[level]]
+        n_full, left = divmod(sum(fills), self.size)
+        # All open windows together hold the tokens of n_full full ones, so the others fill these exactly.
+        supply = [p for w in windows[n_full:] for p in w]
+        rooms = [self.size - level for level in fills[:n_full]]
+        rooms += [1 << i for i in reversed(range(left.bit_length())) if left >> i & 1]
+        kept = windows[:n_full] + [[] for _ in rooms[n_full:]]
+        at = taken = 0  # in the supply: a piece, and the ids already taken from it
+        for window, room in zip(kept, rooms):
+            while room:
+                doc_id, start, ids, n = supply[at]
+                cut = ids[4 * taken: 4 * (taken + room)]
+                window.append((doc_id, start + taken, cut, n))
+                room -= len(cut) // 4
+                taken += len(cut) // 4
+                if 4 * taken == len(ids):
+                    at, taken = at + 1, 0
+            yield window
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, size: int = 2048) -> DataFrame:
@@ -91,9 +96,9 @@ def pack_documents(docs: DataFrame, tokenizer: str, size: int = 2048) -> DataFra
 
     `tokenizer` is the file of a byte-level vocabulary that every executor can read. Each document
     ends with id 1; a NULL or empty text is that id alone. Each task packs the rows that it reads:
-    nothing is shuffled and no rows of a key meet, a lost task is packed anew in the same way, and
-    at most one window per task is cut smaller. Repeated rows are packed each; other columns are not
-    read. An empty table gives no rows.
+    nothing is shuffled and no rows of a key meet, a lost task is packed anew in the same way. At its
+    end the emptiest windows fill the others up, and fewer than `size` tokens go into smaller windows.
+    Repeated rows are packed each; other columns are not read. An empty table gives no rows.
     """
     ship(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()

@@ -228,6 +228,38 @@ def test_a_rest_goes_where_the_squares_grow_least():
     assert list(np.flatnonzero(packer.count)) == [5, 6]
 
 
+@pytest.mark.parametrize("per_task", [1, 2, 30, 1000])
+def test_windows_keep_what_was_placed_in_them(per_task):
+    """At the end of a task the rest is only moved where windows are not full: under a tenth at 1,000 documents."""
+    rng, size = np.random.default_rng(5), 2048
+    lengths = np.minimum(rng.lognormal(6.3, 1.1, 3 * per_task).astype(int) + 1, 20_000)
+    placed = moved = 0
+    for at in range(0, len(lengths), per_task):
+        packer, made = packing.Packer(size), []
+        for doc, n in enumerate(lengths[at: at + per_task]):
+            made += packer.add(doc, np.arange(n, dtype="<u4").tobytes())
+        open_windows = [[p[:2] for p in w] for level in packer.open.values() for w in level]
+        last = list(packer.rest())
+        ends = [[p[:2] for p in w] for w in last]
+        for w in open_windows:
+            n = sum(int(lengths[at + doc]) - start for doc, start in w)
+            moved += 0 if any(end[: len(w)] == w for end in ends) else n
+        placed += sum(int(n) % size for n in lengths[at: at + per_task])
+        ids, smaller = {}, 0
+        for w in made + last:
+            n = sum(len(p[2]) // 4 for p in w)
+            assert n == size or n & (n - 1) == 0
+            smaller += n < size
+            for doc, start, cut, _ in w:
+                assert cut
+                ids.setdefault(doc, []).append((start, np.frombuffer(cut, "<u4")))
+        for doc, cuts in ids.items():
+            assert np.array_equal(np.concatenate([c for _, c in sorted(cuts, key=lambda c: c[0])]), np.arange(lengths[at + doc]))
+        assert len(ids) == per_task and smaller <= 11
+    if per_task == 1000:
+        assert moved < 0.1 * placed
+
+
 # -- 3 -----------------------------------------------------------------------------------------------
 
 
