@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import math
 import random
 import re
 import struct
@@ -693,6 +694,74 @@ def test_toxicity_on_held_out_rows(spark):
     assert toxicity.train(docs, marks.limit(0)).score("idiot") == 0.0
 
 
+def slow_fit(pos, unl, prior, settings):
+    """The risk by its definition, text by text, and its slope by differences. Also how often the step went back up."""
+    def share(rows, word):
+        return sum(word in r for r in rows) / len(rows)
+
+    deviation = {}
+    for word in sorted(set().union(*pos, *unl)):
+        a, b, both = share(pos, word), share(unl, word), share(pos + unl, word)
+        if both * len(pos + unl) > 4.5:
+            deviation[word] = abs(a - b) / math.sqrt(both * (1 - both) * (1 / len(pos) + 1 / len(unl)) + 1e-12)
+    words = [w for w in sorted(deviation, key=lambda w: -deviation[w])[: settings.words] if deviation[w] > 4]
+    words.sort()
+    weights, back = [], 0
+    for seed in range(settings.classifiers):
+        draw = np.random.default_rng(seed)
+        own_pos = [pos[i] for i in draw.integers(0, len(pos), len(pos))]
+        own_unl = [unl[i] for i in draw.integers(0, len(unl), len(unl))]
+
+        def loss(rows, w, sign):
+            margins = [w[-1] + sum(v for v, word in zip(w, words) if word in r) for r in rows]
+            return sum(math.log1p(math.exp(-sign * m)) for m in margins) / len(rows)
+
+        def toxic(w):
+            return prior * loss(own_pos, w, 1)
+
+        def clean(w):
+            return loss(own_unl, w, -1) - prior * loss(own_pos, w, -1)
+
+        def slope(risk, w, i):
+            up, down = list(w), list(w)
+            up[i] += 1e-5
+            down[i] -= 1e-5
+            return (risk(up) - risk(down)) / 2e-5
+
+        w = [0.0] * (len(words) + 1)
+        mean, square = list(w), list(w)
+        for step in range(1, settings.steps + 1):
+            below = clean(w) < 0
+            back += below
+            slopes = [-slope(clean, w, i) if below else slope(toxic, w, i) + slope(clean, w, i) for i in range(len(w))]
+            for i, g in enumerate(slopes):
+                g += settings.decay * w[i] * (i < len(words))
+                mean[i] = 0.9 * mean[i] + 0.1 * g
+                square[i] = 0.999 * square[i] + 0.001 * g * g
+                w[i] -= settings.rate * mean[i] / (1 - 0.9**step) / (math.sqrt(square[i] / (1 - 0.999**step)) + 1e-8)
+        weights.append(w)
+    return words, weights, back
+
+
+def test_risk_and_steps_are_those_of_the_definition():
+    rng = random.Random(9)
+
+    def row(toxic):
+        found = {w for w in range(1, 9) if rng.random() < 0.4}
+        return found | {w for w in (100, 101, 102) if rng.random() < (0.7 if toxic else 0.03)}
+
+    pos = [row(True) for _ in range(40)]
+    unl = [row(rng.random() < 0.1) for _ in range(80)]
+    settings = toxicity.Settings(words=5, classifiers=2, steps=30, rate=0.2)
+    arrays = [[np.array(sorted(r), dtype=np.uint32) for r in rows] for rows in (pos, unl)]
+    for prior in (0.1, 0.5):
+        words, weights, back = slow_fit(pos, unl, prior, settings)
+        model = toxicity.fit(*arrays, prior, settings)
+        assert list(model.words) == words and set(words) >= {100, 101, 102}
+        assert np.allclose(np.column_stack([model.weights, model.bias]), weights, atol=1e-4)
+        assert 0 < back < settings.classifiers * settings.steps  # both kinds of steps were taken
+
+
 # -- 10 ----------------------------------------------------------------------------------------------
 
 
