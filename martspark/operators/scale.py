@@ -21,6 +21,7 @@ def salted_join(
     on: Sequence[str],
     how: str = "left",
     rows_per_task: int = ROWS_PER_TASK,
+    salt_by: Sequence[str] | None = None,
 ) -> DataFrame:
     """Equi join of a skewed `left` with a `right` that is unique on `on`.
 
@@ -28,7 +29,9 @@ def salted_join(
     right row repeated once per salt, so the limit of a task does not move with the size of the
     table. NULL keys match nothing and are spread too. The salt is a hash of the row, so a
     recomputed task puts each row in the same place; let `left` carry a row key, as fully equal
-    rows get equal salts. The list of large keys is joined as Spark sees fit for its size.
+    rows get equal salts. With `salt_by`, such a key, the other columns of `left` are not read where
+    they are not used later. The large keys, at most one in `rows_per_task` rows, are broadcast: a
+    shuffle for them would bring all rows of a large key, or without one, to one task.
     """
     on = list(on)
     known = F.lit(True)
@@ -36,11 +39,11 @@ def salted_join(
         known = known & F.col(key).isNotNull()
 
     sizes = left.where(known).groupBy(*on).agg(F.count(F.lit(1)).alias("_rows"))
-    hot = sizes.where(F.col("_rows") > rows_per_task).select(
+    hot = F.broadcast(sizes.where(F.col("_rows") > rows_per_task).select(
         *on, F.ceil(F.col("_rows") / rows_per_task).cast("int").alias("_salts")
-    )
+    ))
     salts = F.when(known, F.coalesce("_salts", F.lit(1))).otherwise(F.lit(_NULL_SALTS))
-    row_salt = F.pmod(F.xxhash64(*[F.col(c) for c in left.columns]), salts).cast("int")
+    row_salt = F.pmod(F.xxhash64(*[F.col(c) for c in salt_by or left.columns]), salts).cast("int")
     salted_left = left.join(hot, on, "left").select(*left.columns, row_salt.alias("_salt"))
     every_salt = F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)
     salted_right = right.join(hot, on, "left").select(*right.columns, F.explode(every_salt).alias("_salt"))
@@ -107,6 +110,9 @@ def positions(
     shifts = sizes.select(
         *[F.col(k).alias(f"_shift_{k}") for k in [*keys, "_part"]], F.sum("_size").over(earlier).alias("_shift")
     )
+    if not keys:
+        # One row per range, so that the numbered rows are not shuffled once more.
+        shifts = F.broadcast(shifts)
     here = _all_equal([(k, f"_shift_{k}") for k in [*keys, "_part"]])
     return numbered.drop("_cuts").join(shifts, here, "left").select(
         *df.columns,

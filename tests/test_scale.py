@@ -52,6 +52,25 @@ def test_salted_join_spreads_the_hot_key_and_no_key(spark, facts, dims):
     assert max(plain) > 6_000 and max(sizes) < 5_000
 
 
+def test_salted_join_moves_its_rows_once_and_by_salt(spark, facts, dims):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = plan_of(salted_join(facts, dims, ["k"], "left"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10485760")
+    joins = [line for line in plan.splitlines() if "SortMergeJoin" in line]
+    # By the key alone all rows of a large key, or without one, would meet in one task.
+    assert len(joins) == 1 and "_salt" in joins[0]
+
+
+def test_salted_join_by_a_row_key_reads_no_other_columns(spark, tmp_path, dims):
+    path = str(tmp_path / "facts")
+    spark.range(1000).select("id", (F.col("id") % 7).alias("k"), F.lit("long text").alias("text")).write.parquet(path)
+    joined = salted_join(spark.read.parquet(path), dims, ["k"], "left", rows_per_task=100, salt_by=["id"])
+    assert "text" not in plan_of(joined.select("id", "d"))
+    assert joined.where("text = 'long text' AND d = k * 10").count() == 1000
+
+
 @pytest.mark.parametrize("range_rows", [100, 0, 1_000_000])
 def test_positions_of_hot_small_and_unknown_groups(facts, range_rows):
     out = positions(facts, ["k"], [F.col("id")], "id", total="n", range_rows=range_rows).collect()
@@ -63,6 +82,15 @@ def test_positions_of_hot_small_and_unknown_groups(facts, range_rows):
     assert all(r["n"] == seen[r["k"]] for r in out) and len(out) == 20_000
 
 
+def test_positions_without_key_move_the_rows_once(spark, facts):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = plan_of(positions(facts, [], [F.col("id")], "id"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10485760")
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
 def test_positions_without_key(facts):
     out = positions(facts, [], [F.col("id")], "id").select("id", "position").collect()
     assert all(r["id"] == r["position"] for r in out) and len(out) == 20_000
