@@ -49,7 +49,8 @@ def apply_requests(
         F.col("uuid").alias("chat_uuid"), F.col("id").alias("_session"), F.col("user_id").alias("_owner")
     )
     # Any share of the requests may go to one chat, and new chats have no key at all.
-    looked_up = salted_join(requests, heads, ["chat_uuid"], "left")
+    # Salted by their id: the numbering measures the requests in passes that read no texts.
+    looked_up = salted_join(requests, heads, ["chat_uuid"], "left", salt_by=["request_id"])
     opens = F.col("chat_uuid").isNull()
     allowed = F.coalesce(F.col("_owner") == F.col("user_id"), F.lit(False))
     numbered = positions(
