@@ -16,7 +16,7 @@ from martspark.functions.text import (
     non_blank_text,
     number_items,
 )
-from martspark.operators.scale import first_n_per_group, last_n_per_group, positions, salted_join
+from martspark.operators.scale import Salted, deal, first_n_per_group, last_n_per_group, positions, salted_join
 
 NEW_CHAT = "New Chat"
 MESSAGE_ORDER = ("created_at", "id")
@@ -98,8 +98,25 @@ def _after(row: Sequence[Column], cursor: Sequence[Column]) -> Column:
     return F.coalesce(later(*last) | behind, F.lit(False))
 
 
+_OWNER = ("_user", "_owned")
+
+
+def _with_owner(df: DataFrame) -> DataFrame:
+    """The user as two columns that are never NULL, since sessions without a user are a list like any other."""
+    stand_in = F.lit("0").try_cast(df.schema["user_id"].dataType)
+    return df.withColumns({"_user": F.coalesce("user_id", stand_in), "_owned": F.col("user_id").isNotNull()})
+
+
+def deal_sessions(sessions: DataFrame) -> Salted:
+    """The active sessions as they are now, written once by user for a walk of `sessions_after` over all pages of all users.
+
+    A page then shuffles its cursors and its own rows, but not the sessions. Select the columns a page needs first.
+    """
+    return deal(_with_owner(active_for_user(sessions)), _OWNER)
+
+
 def sessions_after(
-    sessions: DataFrame, cursor: DataFrame | Sequence | None = None, user_id: int | None = None, limit: int = 50
+    sessions: DataFrame | Salted, cursor: DataFrame | Sequence | None = None, user_id: int | None = None, limit: int = 50
 ) -> DataFrame:
     """The page of sessions behind a cursor, latest first: of one user, or one page for each user.
 
@@ -108,31 +125,36 @@ def sessions_after(
     next one; their pages have the `_place` in the page. A page costs one filter and the first `limit` sessions of each task, however far down the list it is, and
     sessions that are added meanwhile do not shift it.
     """
-    live = active_for_user(sessions, user_id)
+    live = active_for_user(sessions.rows if isinstance(sessions, Salted) else sessions, user_id)
+    columns = [c for c in live.columns if c not in (*_OWNER, "_salt")]
     order = [F.desc_nulls_last("last_message_at"), F.desc_nulls_last("created_at"), F.col("id")]
     own = [F.col(c) for c in CURSOR]
     if user_id is not None:
         if cursor is not None:
-            kinds = [sessions.schema[c].dataType for c in CURSOR]
+            kinds = [live.schema[c].dataType for c in CURSOR]
             live = live.where(_after(own, [F.lit(v).cast(k) for v, k in zip(cursor, kinds)]))
-        return live.orderBy(*order).limit(limit)
+        return live.select(*columns).orderBy(*order).limit(limit)
     if cursor is not None:
         seen = [F.col(f"_seen_{c}") for c in CURSOR]
-        marks = cursor.select("user_id", *[F.col(c).alias(f"_seen_{c}") for c in CURSOR])
-        met = salted_join(live, marks, ["user_id"], "left")
-        live = met.where(F.col("_seen_id").isNull() | _after(own, seen)).select(*sessions.columns)
-    return first_n_per_group(live, ["user_id"], order, limit)
+        marks = _with_owner(cursor).select(*_OWNER, *[F.col(c).alias(f"_seen_{c}") for c in CURSOR])
+        met = salted_join(sessions if isinstance(sessions, Salted) else _with_owner(live), marks, _OWNER, "left")
+        live = met.where(F.col("_seen_id").isNull() | _after(own, seen))
+    return first_n_per_group(live.select(*columns), ["user_id"], order, limit)
 
 
 def page_cursors(page: DataFrame, before: DataFrame | None = None) -> DataFrame:
     """(user_id, last_message_at, created_at, id): the last session of each user's page.
 
-    A user whose list has ended has no page and keeps the cursor `before`, or would begin again. Stage pages and cursors
-    on a walk over many pages, since each is made from the one before.
+    A user whose list has ended has no page and keeps the cursor `before`, or would begin again; sessions without a user
+    are one list. Stage pages and cursors on a walk over many pages, since each is made from the one before, and let
+    `deal_sessions` write the sessions if no new ones need to be seen.
     """
     last = F.max_by(F.struct(*CURSOR), "_place").alias("last")
     found = page.groupBy("user_id").agg(last).select("user_id", "last.*")
-    return found if before is None else found.unionByName(before.join(found, "user_id", "left_anti"))
+    if before is None:
+        return found
+    ended = before.join(found.select(F.col("user_id").alias("_found")), F.col("user_id").eqNullSafe(F.col("_found")), "left_anti")
+    return found.unionByName(ended)
 
 
 def chat_list(

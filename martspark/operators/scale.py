@@ -3,20 +3,62 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from martspark.session import stage, stage_dealt
+
 
 # Rows of one key that a task may take before the key is spread.
 ROWS_PER_TASK = 1_000_000
 _NULL_SALTS = 65_536
 
 
+@dataclass(frozen=True)
+class Salted:
+    """Rows with a `_salt` beside their own columns, and the keys that have more than one salt."""
+
+    rows: DataFrame
+    on: tuple[str, ...]
+    columns: tuple[str, ...]
+    large: DataFrame
+
+
+def _salted(left: DataFrame, on: Sequence[str], rows_per_task: int, salt_by: Sequence[str] | None) -> Salted:
+    known = F.lit(True)
+    for key in on:
+        known = known & F.col(key).isNotNull()
+
+    sizes = left.where(known).groupBy(*on).agg(F.count(F.lit(1)).alias("_rows"))
+    hot = F.broadcast(sizes.where(F.col("_rows") > rows_per_task).select(
+        *on, F.ceil(F.col("_rows") / rows_per_task).cast("int").alias("_salts")
+    ))
+    salts = F.when(known, F.coalesce("_salts", F.lit(1))).otherwise(F.lit(_NULL_SALTS))
+    row_salt = F.pmod(F.xxhash64(*[F.col(c) for c in salt_by or left.columns]), salts).cast("int")
+    rows = left.join(hot, on, "left").select(*left.columns, row_salt.alias("_salt"))
+    return Salted(rows, tuple(on), tuple(left.columns), hot)
+
+
+def deal(
+    left: DataFrame, on: Sequence[str], rows_per_task: int = ROWS_PER_TASK, rows_per_file: int = 250_000
+) -> Salted:
+    """The left side of many salted joins on the same key, written once in files by key and salt.
+
+    Each of the joins then shuffles its right side only, however many rows the left has.
+    """
+    salted = _salted(left, list(on), rows_per_task, None)
+    files = max(left.sparkSession.sparkContext.defaultParallelism, -(-left.count() // rows_per_file))
+    most = int(left.sparkSession.conf.get("spark.sql.sources.bucketing.maxBuckets", "100000"))
+    rows = stage_dealt(salted.rows, "dealt", [*on, "_salt"], min(files, most))
+    return replace(salted, rows=rows, large=F.broadcast(stage(salted.large, "large-keys")))
+
+
 def salted_join(
-    left: DataFrame,
+    left: DataFrame | Salted,
     right: DataFrame,
     on: Sequence[str],
     how: str = "left",
@@ -31,25 +73,18 @@ def salted_join(
     recomputed task puts each row in the same place; let `left` carry a row key, as fully equal
     rows get equal salts. With `salt_by`, such a key, the other columns of `left` are not read where
     they are not used later. The large keys, at most one in `rows_per_task` rows, are broadcast: a
-    shuffle for them would bring all rows of a large key, or without one, to one task.
+    shuffle for them would bring all rows of a large key, or without one, to one task. A `left` that
+    `deal` has written on the same key is not shuffled again.
     """
     on = list(on)
-    known = F.lit(True)
-    for key in on:
-        known = known & F.col(key).isNotNull()
-
-    sizes = left.where(known).groupBy(*on).agg(F.count(F.lit(1)).alias("_rows"))
-    hot = F.broadcast(sizes.where(F.col("_rows") > rows_per_task).select(
-        *on, F.ceil(F.col("_rows") / rows_per_task).cast("int").alias("_salts")
-    ))
-    salts = F.when(known, F.coalesce("_salts", F.lit(1))).otherwise(F.lit(_NULL_SALTS))
-    row_salt = F.pmod(F.xxhash64(*[F.col(c) for c in salt_by or left.columns]), salts).cast("int")
-    salted_left = left.join(hot, on, "left").select(*left.columns, row_salt.alias("_salt"))
+    salted = left if isinstance(left, Salted) else _salted(left, on, rows_per_task, salt_by)
+    if list(salted.on) != on:
+        raise ValueError(f"dealt by {salted.on}, joined on {on}")
     every_salt = F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)
-    salted_right = right.join(hot, on, "left").select(*right.columns, F.explode(every_salt).alias("_salt"))
-    joined = salted_left.join(salted_right, [*on, "_salt"], how)
+    salted_right = right.join(salted.large, on, "left").select(*right.columns, F.explode(every_salt).alias("_salt"))
+    joined = salted.rows.join(salted_right, [*on, "_salt"], how)
     extra = [c for c in right.columns if c not in on] if how in ("inner", "left") else []
-    return joined.select(*left.columns, *extra)
+    return joined.select(*salted.columns, *extra)
 
 
 _COARSE, _FINE = 32, 32

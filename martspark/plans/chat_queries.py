@@ -72,7 +72,7 @@ def chat_list(spark, sf_dir):
 )
 def pages_by_cursor(spark, sf_dir):
     """All sessions of all users, four at a time, each page behind the last row of the one before."""
-    sessions = s.chat_sessions(spark, sf_dir)
+    sessions = chat.deal_sessions(s.chat_sessions(spark, sf_dir).select("user_id", "is_active", *chat.CURSOR))
     cursor, pages = None, []
     while True:
         page = stage(chat.sessions_after(sessions, cursor, limit=4), "page")

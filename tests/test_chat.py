@@ -3,6 +3,7 @@ import datetime as dt
 import duckdb
 import pytest
 from oracle import compare
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from martspark.functions.text import number_item
@@ -226,6 +227,43 @@ def test_pages_behind_a_cursor_walk_the_whole_list(spark):
     assert sorted(r["id"] for r in shown) == sorted(f"u{i}" for i in whole[1][-3:]) and {r["total"] for r in shown} == {len(whole[1])}
 
 
+@pytest.mark.parametrize("dealt", [True, False])
+def test_a_walk_over_all_users_shows_each_session_once(spark, dealt):
+    """Users of many and of few sessions, and sessions without a user, whose list ends as well."""
+    times = [None, dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 2)]
+    owner = [None, 0, 1, 1, 2, 2, 2, 2]
+    rows = [(i, owner[i % 8], i % 11 != 3, times[i % 3], times[i // 3 % 3]) for i in range(64)]
+    schema = "id long, user_id long, is_active boolean, last_message_at timestamp_ntz, created_at timestamp_ntz"
+    sessions = spark.createDataFrame(rows, schema)
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy(
+        F.desc_nulls_last("last_message_at"), F.desc_nulls_last("created_at"), "id"))
+    wanted = sessions.where("is_active").select("id", F.floor((place - 1) / 4).alias("page")).collect()
+
+    walked = chat.deal_sessions(sessions) if dealt else sessions
+    cursor, seen = None, []
+    for number in range(10):
+        page = stage(chat.sessions_after(walked, cursor, limit=4), "page")
+        assert page.columns == [*sessions.columns, "_place"]
+        seen += [(r["id"], number) for r in page.collect()]
+        cursor = stage(chat.page_cursors(page, cursor), "cursors")
+    assert sorted(seen) == sorted(map(tuple, wanted))
+
+
+def test_a_page_of_dealt_sessions_does_not_shuffle_them(spark):
+    sessions = spark.range(100).selectExpr(
+        "id", "id % 9 AS user_id", "true AS is_active", "timestamp_ntz'2024-01-01' AS last_message_at",
+        "timestamp_ntz'2024-01-01' AS created_at")
+    dealt = chat.deal_sessions(sessions)
+    cursor = stage(chat.page_cursors(chat.sessions_after(dealt, limit=4)), "cursors")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = chat.sessions_after(dealt, cursor, limit=4)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10485760")
+    left = plan[plan.index("SortMergeJoin"):]
+    assert "dealt" in left and "Exchange" not in left[: left.index("FileScan")]
+
+
 def test_a_page_sorts_only_its_own_length(spark):
     sessions = spark.createDataFrame(
         [(i, 1, True, None, None) for i in range(5)], "id long, user_id long, is_active boolean, last_message_at timestamp, created_at timestamp"

@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from martspark.operators import scale
-from martspark.operators.scale import exact_quantiles, last_n_per_group, positions, salted_join
+from martspark.operators.scale import deal, exact_quantiles, last_n_per_group, positions, salted_join
 
 
 def plan_of(df) -> str:
@@ -71,6 +71,24 @@ def test_salted_join_by_a_row_key_reads_no_other_columns(spark, tmp_path, dims):
     assert joined.where("text = 'long text' AND d = k * 10").count() == 1000
 
 
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_dealt_rows_join_as_before_without_a_shuffle(spark, facts, dims, how):
+    dealt = deal(facts, ["k"], rows_per_task=1000, rows_per_file=500)
+    assert len(dealt.rows.inputFiles()) >= 20 and dealt.large.collect() == [(7, 7)]
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("dealt")]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = salted_join(dealt, dims, ["k"], how)
+        left = plan_of(joined).split("SortMergeJoin")[1].split("SortMergeJoin")[0]
+        left = left[: left.index("FileScan")]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10485760")
+    assert "Exchange" not in left
+    assert sorted(map(str, joined.collect())) == sorted(map(str, facts.join(dims, "k", how).select(joined.columns).collect()))
+    with pytest.raises(ValueError, match="joined on"):
+        salted_join(dealt, dims, ["d"], how)
+
+
 @pytest.mark.parametrize("range_rows", [100, 0, 1_000_000])
 def test_positions_of_hot_small_and_unknown_groups(facts, range_rows):
     out = positions(facts, ["k"], [F.col("id")], "id", total="n", range_rows=range_rows).collect()
